@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe_automaton, packing
+from loomspark.llm import bpe_automaton, chat_events, packing, secrets
 from loomspark.llm.common import read_table
 
 
@@ -25,9 +25,11 @@ def op6_tokenization_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_harmonic_packing": packing.op5_harmonic_packing,
+        "op7_event_sourced_chat": chat_events.op7_event_sourced_chat,
+        "op10_entropy_secret_scan": secrets.op10_entropy_secret_scan,
         "op6_tokenization_automaton": op6_tokenization_automaton,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_event_sourced_chat": chat_events.OP7_SQL}
