@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe_automaton, chat_events, packing, secrets
+from loomspark.llm import bpe_automaton, chat_events, language_id, packing, secrets
 from loomspark.llm.common import read_table
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_harmonic_packing": packing.op5_harmonic_packing,
         "op7_event_sourced_chat": chat_events.op7_event_sourced_chat,
+        "op8_byte_cnn_language": language_id.op8_byte_cnn_language,
         "op10_entropy_secret_scan": secrets.op10_entropy_secret_scan,
         "op6_tokenization_automaton": op6_tokenization_automaton,
     }
