@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe_automaton, chat_events, language_id, packing, secrets
+from loomspark.llm import bpe_automaton, chat_events, dual_tree, language_id, lm_scoring, multi_index_hashing, near_duplicates, packing, secrets, sharding
 from loomspark.llm.common import read_table
 
 
@@ -24,9 +24,14 @@ def op6_tokenization_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sampled_splitters": sharding.op1_sampled_splitters,
+        "op2_multi_index_hashing": multi_index_hashing.op2_multi_index_hashing,
+        "op3_probminhash_near_duplicates": near_duplicates.op3_probminhash_near_duplicates,
+        "op4_dual_tree_top_products": dual_tree.op4_dual_tree_top_products,
         "op5_harmonic_packing": packing.op5_harmonic_packing,
         "op7_event_sourced_chat": chat_events.op7_event_sourced_chat,
         "op8_byte_cnn_language": language_id.op8_byte_cnn_language,
+        "op9_cross_entropy_difference": lm_scoring.op9_cross_entropy_difference,
         "op10_entropy_secret_scan": secrets.op10_entropy_secret_scan,
         "op6_tokenization_automaton": op6_tokenization_automaton,
     }
