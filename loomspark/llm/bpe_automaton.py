@@ -17,8 +17,9 @@ state has an arc is read from the two tables ``removed`` (state, label -> rank)
 ``snapshot`` (state -> older state, rank) and kept in the transition table.
 
 Encoding runs over a pre-split word: every prefix of a word has exactly one accepted path,
-so each position holds one state, and its outgoing arcs whose labels match the following
-symbols are followed. Decoding emits the labels of the arcs.
+so each position holds one state; its outgoing arcs whose labels match the following symbols
+are followed, the longest first, and a position from which the end isn't reached is given up
+for good. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def byte_symbols() -> list[str]:
 class TokenAutomaton:
     """The automaton over ``vocab`` (label -> id), compiled from ``merges`` in rank order."""
 
-    def __init__(self, vocab: dict[str, int], merges: list, table_size: int = 400_000):
+    def __init__(self, vocab: dict[str, int], merges: list, table_size: int = 1_000_000):
         self.vocab = vocab
         self.labels: dict[int, str] = {i: label for label, i in vocab.items()}
         self.removed: dict[int, int] = {}
@@ -114,25 +115,36 @@ class TokenAutomaton:
         """The labels of the one accepting path over a word's symbols."""
         n = len(symbols)
         table, root = self.table, self.root
-        state = [START] + [None] * n
-        came = [0] * (n + 1)
-        for i in range(n):
-            at, node = state[i], root
-            base = at << 20
-            for end in range(i + 1, n + 1):
+        dead = bytearray(n + 1)
+        path, starts, choices = [], [], []
+        state, at = START, 0
+        while at < n:
+            node, open_arcs = root, []
+            for end in range(at + 1, n + 1):
                 node = node.get(symbols[end - 1])
                 if node is None:
                     break
-                if state[end] is None:
-                    label = node.get(INNER if end < n else FINAL)
-                    if label is not None and (table[base | label] if base | label in table else self.has_arc(at, label)):
-                        state[end] = label
-                        came[end] = i
-        path, end = [], n
-        while end:
-            path.append(state[end])
-            end = came[end]
-        path.reverse()
+                label = node.get(INNER if end < n else FINAL)
+                if label is not None and not dead[end]:
+                    open_arcs.append((end, label))
+            base = state << 20
+            while True:
+                if open_arcs:
+                    end, label = open_arcs.pop()
+                    key = base | label
+                    if not dead[end] and (table[key] if key in table else self.has_arc(state, label)):
+                        path.append(label)
+                        starts.append(at)
+                        choices.append(open_arcs)
+                        state, at = label, end
+                        break
+                else:
+                    # Every prefix has one path, so a position without a way on is given up.
+                    dead[at] = 1
+                    path.pop()
+                    at, open_arcs = starts.pop(), choices.pop()
+                    state = path[-1] if path else START
+                    base = state << 20
         return path
 
 
@@ -167,7 +179,7 @@ class WordBpe:
     Ids are packed as little-endian unsigned 32-bit integers.
     """
 
-    def __init__(self, path: str, cache_words: int = 200_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -186,9 +198,13 @@ class WordBpe:
         for label, i in [*vocab.items(), *self.added.items()]:
             self.arc_labels[i] = label
         self.words = _Words(self._encode_plain, cache_words)
-        self.symbol_words = _Words(self._encode_symbols, cache_words // 4)
+        self.symbol_words = _Words(self._encode_symbols, cache_words // 8)
 
     def _encode_plain(self, word: str) -> bytes:
+        """Ids of a run without white space: its pieces one by one, or one piece."""
+        pieces = _SPLIT.findall(word)
+        if len(pieces) > 1:
+            return b"".join(map(self.words.__getitem__, pieces))
         return self._encode_symbols("".join(map(self.symbols.__getitem__, word.encode())))
 
     def _encode_symbols(self, word: str) -> bytes:
@@ -196,7 +212,7 @@ class WordBpe:
 
     def _encode_part(self, text: str) -> bytes:
         if not _UNUSUAL.search(text):
-            return b"".join(map(self.words.__getitem__, _SPLIT.findall(text.lower())))
+            return b"".join(map(self.words.__getitem__, text.lower().split()))
         normal = self.library.normalizer.normalize_str(text)
         pieces = self.library.pre_tokenizer.pre_tokenize_str(normal)
         return b"".join([self.symbol_words[piece] for piece, _ in pieces])
