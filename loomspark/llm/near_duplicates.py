@@ -9,12 +9,12 @@ next arrival is later than the latest register, usually after one or two arrival
 
 1. Documents of equal word sequences form a group; one of them stands for it from here on.
 2. Registers are banded; a bucket is a band with equal registers.
-3. Candidate links: to a bucket's smallest id, and all pairs in buckets of up to
-   ``SMALL_BUCKET``. First each document's most frequent leader is verified, then only
-   candidates whose ends are not connected yet.
+3. Candidate links: to a bucket's leader, the member that shares large buckets most often,
+   and all pairs in buckets of up to ``SMALL_BUCKET``. First each document's most frequent
+   leader is verified, then only candidates whose ends are not connected yet.
 4. In larger buckets that still hold several components, all members outside the largest
-   component are paired with all members of other components, so no link between members of
-   a bucket is left untested unless its ends are connected already.
+   component are compared with all members of other components, so no link between members
+   of a bucket is left untested unless its ends are connected already.
 5. Verified links (Jaccard similarity of the shingle sets of 0.8 or more) give components.
 
 Nothing is capped, and no bucket, group or component is brought together in one task.
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.bpe_automaton import rows_in_slices
@@ -167,14 +167,29 @@ def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
+def alike(similarity: float) -> Column:
+    """Whether the sets ``sa`` and ``sb`` have the similarity; sizes alone often decide."""
+    small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return (small >= similarity * large) & (common >= similarity * (F.size("sa") + F.size("sb") - common))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets have the similarity."""
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    # A set that is too small or too large by itself needs no intersection.
-    joined = pairs.join(left, "a").join(right, "b")
-    small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return joined.where((small >= similarity * large) & (common >= similarity * (F.size("sa") + F.size("sb") - common))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(alike(similarity)).select("a", "b")
+
+
+def crossing_links(open_members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between members of other components and all members around one main component.
+
+    The comparison is the join's own condition, so only links come out of it.
+    """
+    held = open_members.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    outside = held.where("label <> main").select("main", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("shingles").alias("sa"))
+    others = held.select("main", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("shingles").alias("sb"))
+    near = (outside["main"] == others["main"]) & (F.col("la") != F.col("lb")) & alike(similarity)
+    return outside.join(others, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,20 +222,25 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     groups = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     stands = signed.join(groups.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
     placed = stands.select(F.col("doc_id").alias("rep"), F.explode("buckets").alias("bucket")).distinct()
-    buckets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1")
+    buckets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut_lineage(placed.join(buckets, "bucket"))
 
-    star = members.where("rep <> leader").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    best = star.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    # Who shares large buckets most often is likely what the others were copied from.
+    centrality = members.groupBy("rep").agg(F.sum("n").alias("score"))
+    leaders = members.join(centrality, "rep").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("rep")).alias("first"))).alias("m"))
+    led = members.join(leaders.select("bucket", (-F.col("m.first")).alias("leader")), "bucket").where("rep <> leader")
+    star = led.groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("n"))
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    best = star.groupBy("rep").agg(F.max(F.struct("n", "leader")).alias("m")).select(*ordered(F.col("rep"), F.col("m.leader"))).distinct()
     small = members.where(F.col("n") <= SMALL_BUCKET).select("bucket", "rep")
     close = small.select("bucket", F.col("rep").alias("a")).join(small.select("bucket", F.col("rep").alias("b")), "bucket").where("a < b").select("a", "b")
-    candidates = cut_lineage(star.select("a", "b").union(close).distinct())
+    best = cut_lineage(best)
+    candidates = star.select(*ordered(F.col("leader"), F.col("rep"))).union(close).distinct().join(best, ["a", "b"], "left_anti")
 
     sets = cut_lineage(shingle_sets(only(usable, members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), shingle))
     links = cut_lineage(verified(best, sets, similarity))
     labels = components(links)
-    rest = unconnected(candidates.join(best, ["a", "b"], "left_anti"), labels)
-    more = cut_lineage(verified(rest, sets, similarity))
+    more = cut_lineage(verified(unconnected(candidates, labels), sets, similarity))
     if not more.isEmpty():
         links = links.union(more)
         labels = components(links)
@@ -228,12 +248,9 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     # Larger buckets that still hold several components.
     large = members.where(F.col("n") > SMALL_BUCKET).select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     main = large.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", F.col("m.label").alias("main"))
-    open_members = cut_lineage(large.join(main, "bucket"))
+    open_members = cut_lineage(large.join(main, "bucket").select("main", "rep", "label").distinct())
     if not open_members.isEmpty():
-        outside = open_members.where("label <> main").select("bucket", F.col("rep").alias("x"), F.col("label").alias("lx"))
-        others = open_members.select("bucket", F.col("rep").alias("y"), F.col("label").alias("ly"))
-        crossing = outside.join(others, "bucket").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = cut_lineage(verified(crossing.join(candidates, ["a", "b"], "left_anti"), sets, similarity))
+        more = cut_lineage(crossing_links(open_members, sets, similarity))
         if not more.isEmpty():
             labels = components(links.union(more))
 
