@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomspark.plans import chat_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return chat_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return chat_queries.oracle_sql()
