@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.bpe_automaton import open_bpe, rows_in_slices
-from loomspark.llm.common import default_tokenizer_path, read_table
+from loomspark.llm.common import cut_lineage, default_tokenizer_path, read_table
+from loomspark.llm.near_duplicates import BROADCAST_IDS
 
 BUCKET_BITS = 22
 BIGRAM_WEIGHT = 0.7
@@ -35,10 +36,14 @@ def bucket_of(previous: np.ndarray, token: np.ndarray, vocabulary: int, bits: in
     return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def token_arrays(packed: list[bytes], vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def id_type(vocabulary: int) -> type:
+    return np.uint16 if vocabulary <= 1 << 16 else np.uint32
+
+
+def token_arrays(packed: list[bytes], vocabulary: int, width: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All tokens of several texts, what stands before each (``vocabulary`` at a start), sizes."""
-    sizes = np.array([len(p) // 4 for p in packed], np.int64)
-    token = np.frombuffer(b"".join(packed), np.uint32).astype(np.int64)
+    sizes = np.array([len(p) // np.dtype(width).itemsize for p in packed], np.int64)
+    token = np.frombuffer(b"".join(packed), width).astype(np.int64)
     previous = np.empty_like(token)
     previous[1:] = token[:-1]
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
@@ -65,23 +70,36 @@ class NgramModels:
         return out
 
 
-def counted(rows: DataFrame, path: str, bits: int) -> DataFrame:
-    """Counters (slot, target, background) of rows (text, target); bigram buckets come first,
-    then the tokens, then the number of texts with a token."""
+def encoded(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
+    """doc_id and the packed ids of the whole text, in as few bytes an id as the vocabulary needs."""
+    kind = dict(docs.dtypes)[doc_id]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = open_bpe(path)
-        vocabulary, pairs = len(bpe.arc_labels), 1 << bits
+        width = id_type(len(bpe.arc_labels))
+        for batch in batches:
+            for part in rows_in_slices(batch, 1):
+                packed = [np.frombuffer(bpe.encode(t), np.uint32).astype(width).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, f"doc_id {kind}, ids binary")
+
+
+def counted(rows: DataFrame, vocabulary: int, bits: int) -> DataFrame:
+    """Counters (slot, target, background) of rows (ids, target); bigram buckets come first,
+    then the tokens, then the number of texts with a token."""
+    pairs, width = 1 << bits, id_type(vocabulary)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, pairs + vocabulary + 1), np.int64)
         for batch in batches:
             for part in rows_in_slices(batch, 0):
-                flags = np.array(part.column(1).to_pylist(), bool)
-                packed = [bpe.encode(t) for t in part.column(0).to_pylist()]
+                flags = part.column(1).to_pylist()
+                packed = part.column(0).to_pylist()
                 for m, flag in enumerate((True, False)):
-                    token, previous, sizes = token_arrays([p for p, f in zip(packed, flags) if f == flag], vocabulary)
-                    slots = np.concatenate([bucket_of(previous, token, vocabulary, bits), pairs + token])
-                    found, times = np.unique(slots, return_counts=True)
-                    counts[m, found] += times
+                    token, previous, sizes = token_arrays([p for p, f in zip(packed, flags) if f == flag], vocabulary, width)
+                    np.add.at(counts[m], bucket_of(previous, token, vocabulary, bits), 1)
+                    np.add.at(counts[m], pairs + token, 1)
                     counts[m, -1] += int((sizes > 0).sum())
         used = np.flatnonzero(counts.any(axis=0))
         for at in range(0, len(used), 1 << 16):
@@ -92,34 +110,33 @@ def counted(rows: DataFrame, path: str, bits: int) -> DataFrame:
     return parts.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-def fit(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, bits: int = BUCKET_BITS) -> NgramModels:
-    """Count all documents; ``targets`` holds the distinct ids of target documents.
+def fit(ids: DataFrame, targets: DataFrame, vocabulary: int, bits: int = BUCKET_BITS) -> NgramModels:
+    """Count all documents (doc_id, ids); ``targets`` holds the ids of target documents.
 
     The result has at most ``2 ** bits`` plus the vocabulary counters, however many documents.
+    Few target ids are broadcast; more are joined.
     """
-    path = tokenizer or default_tokenizer_path()
-    flags = targets.select(F.col(doc_id), F.lit(True).alias("__target")).distinct()
-    rows = docs.select(doc_id, text).where(F.col(text).isNotNull()).join(flags, doc_id, "left").select(text, F.coalesce("__target", F.lit(False)).alias("target"))
-    table = counted(rows, path, bits).toPandas()
-    vocabulary, pairs = len(open_bpe(path).arc_labels), 1 << bits
+    flags = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("__target", F.lit(True))
+    few = flags.count() <= BROADCAST_IDS
+    rows = ids.join(F.broadcast(flags) if few else flags, "doc_id", "left").select("ids", F.coalesce("__target", F.lit(False)).alias("target"))
+    table = counted(rows, vocabulary, bits).toPandas()
+    pairs = 1 << bits
     counts = np.zeros((2, pairs + vocabulary + 1), np.int64)
     for m, name in enumerate(("target", "background")):
         counts[m, table["slot"].to_numpy()] = table[name].to_numpy()
     return NgramModels(vocabulary, counts[:, pairs:-1], counts[:, :pairs], counts[:, -1], bits)
 
 
-def score(docs: DataFrame, models: NgramModels, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+def score(ids: DataFrame, models: NgramModels) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (losses a token, in nats)."""
-    path = tokenizer or default_tokenizer_path()
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    kind = dict(docs.dtypes)[doc_id]
+    shared = ids.sparkSession.sparkContext.broadcast(models)
+    kind, width = dict(ids.dtypes)["doc_id"], id_type(models.vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, model = open_bpe(path), shared.value
+        model = shared.value
         for batch in batches:
             for part in rows_in_slices(batch, 1, most_bytes=1 << 20):
-                packed = [bpe.encode(t) for t in part.column(1).to_pylist()]
-                token, previous, sizes = token_arrays(packed, model.vocabulary)
+                token, previous, sizes = token_arrays(part.column(1).to_pylist(), model.vocabulary, width)
                 sums = np.concatenate([np.zeros((2, 1)), np.cumsum(model.losses(token, previous), axis=1)], axis=1)
                 ends = np.cumsum(sizes)
                 means = (sums[:, ends] - sums[:, ends - sizes]) / np.maximum(sizes, 1)
@@ -127,10 +144,17 @@ def score(docs: DataFrame, models: NgramModels, doc_id: str = "doc_id", text: st
                 columns = [pa.array(x, pa.float64(), mask=none) for x in (means[0], means[1], means[0] - means[1])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    return ids.mapInArrow(work, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+
+
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, bits: int = BUCKET_BITS) -> DataFrame:
+    """Encode all texts once, fit both models on them and score every document."""
+    path = tokenizer or default_tokenizer_path()
+    vocabulary = len(open_bpe(path).arc_labels)
+    ids = cut_lineage(encoded(docs, doc_id, text, path))
+    return score(ids, fit(ids, targets, vocabulary, bits))
 
 
 def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
     targets = read_table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    return score(docs, fit(docs, targets))
+    return cross_entropy_difference(read_table(spark, sf_dir, "documents"), targets)
