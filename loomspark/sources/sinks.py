@@ -44,8 +44,8 @@ def write_pair_scores(rows: DataFrame, path: str) -> None:
     pair_scores(rows).write.mode("errorifexists").json(path)
 
 
-def pair_scores(rows: DataFrame) -> DataFrame:
-    return rows.select(F.bround("chosen", 2).alias("chosen"), F.bround("rejected", 2).alias("rejected"))
+def pair_scores(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    return rows.select(*(keep or []), F.bround("chosen", 2).alias("chosen"), F.bround("rejected", 2).alias("rejected"))
 
 
 def write_eval_results(results: DataFrame, report: str, path: str) -> None:
