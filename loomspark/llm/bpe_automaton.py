@@ -67,6 +67,8 @@ class TokenAutomaton:
             self._apply_gadget(rank, vocab[a], vocab[b], vocab[a + b])
         self.root: dict = {}
         for label, i in vocab.items():
+            if i not in self.left and len(label.removesuffix(WORD_END)) > 1:
+                continue
             ends = label.endswith(WORD_END) and label != WORD_END
             node = self.root
             for symbol in label.removesuffix(WORD_END) if ends else label:
@@ -76,10 +78,11 @@ class TokenAutomaton:
         self.table_size = table_size
 
     def _apply_gadget(self, rank: int, a: int, b: int, c: int) -> None:
-        if c not in self.snapshot:
+        # Without a ``b`` arc behind ``a``, earlier merges never leave the two side by side.
+        if self._derive_arc(a, b):
             self.snapshot[c] = (b, rank)
             self.left[c] = (a, rank)
-        self.removed.setdefault((a << 20) | b, rank)
+            self.removed[(a << 20) | b] = rank
 
     def has_arc(self, state: int, label: int) -> bool:
         """Whether ``state`` has an arc labelled ``label`` in the finished automaton."""

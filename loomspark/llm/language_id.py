@@ -101,8 +101,12 @@ def folded_bytes() -> np.ndarray:
     return fold
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = 8, rate: float = 0.01, batch: int = 128, seed: int = 7) -> ByteCnn:
-    """Fit the network on windows (the first WINDOW bytes of each given text)."""
+def train(texts: list[bytes], labels: list[str], epochs: int = 8, least_steps: int = 200, rate: float = 0.01, batch: int = 128, seed: int = 7) -> ByteCnn:
+    """Fit the network on windows (the first WINDOW bytes of each given text).
+
+    Small samples are gone through more often, for at least ``least_steps`` steps.
+    """
+    epochs = max(epochs, -(-least_steps // -(-len(texts) // batch)))
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     fold = folded_bytes()

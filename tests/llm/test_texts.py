@@ -1,0 +1,251 @@
+"""Chat logs, secrets, languages, near duplicates and the pipeline against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from loomspark.llm import chat_events, language_id, near_duplicates, registry, secrets
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# Chat logs.
+EVENTS = "conv_id long, seq long, kind string, message_id string, role string, text string"
+
+
+def test_events_fold_into_messages(spark):
+    rows = [
+        (1, 0, "message", "q", "user", "Hi"),
+        (1, 1, "delta", "a", "assistant", "He"),
+        (1, 2, "delta", "a", None, "llo"),
+        (1, 3, "edit", "q", "user", "Hi there"),
+        (1, 4, "regenerate", "a", None, None),
+        (1, 6, "delta", "a", None, "bye"),
+        (1, 5, "delta", "a", None, "Good"),
+        (1, 7, None, "z", None, None),
+        (None, 0, "message", "n", "user", "alone"),
+    ]
+    out = chat_events.fold_events(spark.createDataFrame(rows, EVENTS)).orderBy("conv_id", "pos").collect()
+    assert [(r["conv_id"], r["pos"], r["role"], r["text"]) for r in out] == [(None, 0, "user", "alone"), (1, 0, "user", "Hi there"), (1, 1, "assistant", "Goodbye"), (1, 7, "", "")]
+
+
+def test_rendering_is_reversible(spark):
+    rng = random.Random(5)
+    marks = ["<|im_end|>", "<|im_start|>", "<|", "\\", "\\|", "<", "|", "\n", "ok", "é😀", "assistant ok", ""]
+    rows, want = [], {}
+    for conv in range(60):
+        turns = [(rng.choice(["user", "assistant", "tool\nx", "<|im_start|>", "a%20b"]), "".join(rng.choices(marks, k=rng.randint(0, 8)))) for _ in range(rng.randint(1, 6))]
+        rows += [(conv, i, role, text) for i, (role, text) in enumerate(turns)]
+        want[conv] = turns
+    rows += [(99, 0, None, None)]
+    want[99] = [("", "")]
+    messages = spark.createDataFrame(rows, "conv_id long, pos long, role string, text string").select("conv_id", "pos", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    for r in chat_events.parse(chat_events.render(messages)).collect():
+        assert [(t["role"], t["text"]) for t in r["parsed"]] == want[r["conv_id"]]
+        assert list(r["loss_texts"]) == [text for role, text in want[r["conv_id"]] if role == "assistant"]
+        for s, text in zip(r["loss_mask"], r["loss_texts"]):
+            raw = r["formatted"][s["start"] : s["start"] + s["length"]]
+            assert re.sub(r"\\([\\|])", r"\1", raw) == text
+
+
+def test_op7_keeps_repeats_and_ties(spark, tmp_path):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", None), (None, 3, None, "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("kind", F.lit("delta")).write.parquet(f"{tmp_path}/conversations.parquet")
+    out = {r["conv_id"]: r for r in chat_events.op7_event_sourced_chat(spark, str(tmp_path)).collect()}
+    assert out[1]["n_turns"] == 4 and out[1]["turns_sha256"] == sha("user\na\nuser\na\nuser\nb\nassistant\n\n")
+    assert out[1]["loss_chars"] == 0 and out[None]["turns_sha256"] == sha("\nx\n")
+    said = "<|im_end|><|im_start|>assistant ok"
+    assert out[-1]["n_turns"] == 2 and out[-1]["loss_sha256"] == sha(said) and out[-1]["loss_chars"] == len(said)
+
+
+# Secrets.
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found)]
+
+
+def scanned(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("secrets", F.lit("mine"))
+    out = secrets.scan(df).select("doc_id", secrets.spans_text(F.col("secrets")).alias("s")).collect()
+    return [r["s"].split(",") if r["s"] else [] for r in sorted(out, key=lambda r: r["doc_id"])]
+
+
+def test_base_rules_are_the_regular_expressions(spark):
+    rng = random.Random(2)
+    pieces = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "=", ":", " ", "  ", '"', "'", "abcdefgh", "x.", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "deadbeef", "é😀", "\n", "token=a.token:longsecret1"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 14))) for _ in range(800)] + [None, "", "😀 token = " + "z" * 40]
+    for text, got in zip(texts, scanned(spark, texts)):
+        assert [s for s in got if not s.startswith("entropy")] == base_spans(text or ""), repr(text)
+
+
+def test_entropy_rule(spark):
+    secret, word = "q8ZtR2vXk1LmP0sWyB7c", "this-is-a-long-plain-word-list"
+    texts = [f"key {secret} end", word, "f47ac10b-58cc-4372-a567-0e02b2c3d479", "g1" * 20, "EXAMPLEq8ZtR2vXk1LmP0sWyB7c", f"token={secret}", "thequickbrownfoxjumpsoverthelazydog2024"]
+    got = scanned(spark, texts)
+    assert got[0] == ["entropy:4:24"] and got[1:5] == [[]] * 4 and got[5] == ["assign:0:26"] and got[6] == []
+
+
+def test_window_entropy_is_brute_force(spark):
+    from collections import Counter
+    from math import log2
+
+    rng = random.Random(9)
+    values = ["".join(rng.choices(secrets.ALPHABET, k=rng.randint(20, 70))) for _ in range(60)] + ["a" * 25, "ab" * 15]
+    want = []
+    for v in values:
+        windows = [Counter(v[i : i + 20]) for i in range(len(v) - 19)]
+        want.append(max(-sum(n / 20 * log2(n / 20) for n in w.values()) for w in windows))
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v string").select("i", secrets.largest_entropy(F.col("v")).alias("h")).collect()
+    assert [r["h"] for r in sorted(rows)] == pytest.approx(want, abs=1e-9)
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(0, "😀 password=abcdefgh12 x AKIAABCDEFGHIJKL end"), (1, "token: " + "0123456789abcdef" * 3), (2, None), (3, "clean")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert out == {0: "😀 [SECRET] x [SECRET] end", 1: "[SECRET]", 2: None, 3: "clean"}
+
+
+# Languages.
+def test_language_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = dict(docs.select("doc_id", "lang").collect())
+    rows = registry.queries()["op8_byte_cnn_language"](spark, "/root/testdata/sf0.01").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert len(rows) == len(truth) and len(held) > 150 and all(0 <= r["score"] <= 1 for r in rows)
+    assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.97 * len(held)
+
+
+def test_language_edges(spark):
+    model = language_id.train([b"aaaa bbbb " * 20, b"xxxx yyyy " * 20] * 40, ["l1", "l2"] * 40, epochs=4)
+    texts = [None, "", "123 !?", "aaaa bbbb", "xxxx yyyy " * 5000, "é", "aaaa bbbb " * 40 + "xxxx yyyy " * 400]
+    df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, lang_pred string")
+    out = {r["doc_id"]: r for r in language_id.predict(df, model).collect()}
+    assert [out[i]["lang_pred"] for i in range(5)] == ["und", "und", "und", "l1", "l2"] and out[6]["lang_pred"] == "l2"
+    assert out[0]["score"] == 0.0 and language_id.predict(df.limit(0), model).count() == 0
+    assert language_id.predict(df, None).where("lang_pred <> 'und'").count() == 0
+    assert language_id.fit(df.withColumn("lang", F.lit(None).cast("string"))) is None
+
+
+def test_windows_cover_whole_texts():
+    model = language_id.train([b"ab ab " * 40, b"cd cd " * 40] * 20, ["x", "y"] * 20, epochs=3)
+    long_text = b"ab ab " * 30000
+    assert model.predict([long_text])[0] == ["x"] and model.predict([b"", b"cd cd cd", long_text])[0][1:] == ["y", "x"]
+
+
+# Near duplicates.
+def brute_classes(docs):
+    words = {i: tuple(w for w in (re.sub(r"\W+", "", c) for c in t.lower().split()) if w) for i, t in docs.items() if t is not None}
+    sets = {i: {w[k : k + 5] for k in range(max(1, len(w) - 4))} if w else {("raw", docs[i])} for i, w in words.items()}
+    parent = {i: i for i in docs}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    holders = {}
+    for i in ids:
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    pairs = {(a, b) for h in holders.values() for k, b in enumerate(h) for a in h[:k]}
+    for a, b in pairs:
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return {i: find(i) for i in docs}
+
+
+def test_near_duplicates_of_the_test_table(spark):
+    data = "/root/testdata/sf0.01"
+    docs = dict(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect())
+    got = {r["doc_id"]: r["class_id"] for r in registry.queries()["op3_probminhash_near_duplicates"](spark, data).collect()}
+    assert got == brute_classes(docs)
+
+
+def test_near_duplicates_in_one_large_group(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(4000)]
+    first = [rng.choice(words) for _ in range(120)]
+    docs = {}
+    for i in range(90):
+        copy = list(first)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5])):
+            copy[rng.randrange(120)] = rng.choice(words)
+        docs[i] = " ".join(copy)
+    passage = " ".join(rng.choice(words) for _ in range(60))
+    docs |= {100 + i: passage + " " + " ".join(rng.choice(words) for _ in range(45)) for i in range(40)}
+    docs |= {200: None, 201: None, 202: "", 203: "", 204: "!!", 205: "one two", 206: "One, two!", 207: "one two three"}
+    df = spark.createDataFrame([(i, t, 5) for i, t in docs.items()], "doc_id long, text string, class_id int")
+    rows = near_duplicates.near_duplicate_classes(df).collect()
+    want = brute_classes(docs)
+    want[203] = 202
+    assert {r["doc_id"]: r["class_id"] for r in rows} == want and len(rows) == len(docs)
+
+
+def test_near_duplicate_edges(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (5, None)], "doc_id long, text string")
+    rows = sorted((r["doc_id"] or -1, r["class_id"] or -1) for r in near_duplicates.near_duplicate_classes(df).collect())
+    assert rows == [(-1, -1), (3, 3), (3, 3), (5, 5)]
+    kept = near_duplicates.keep_one(df)
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 5]
+    assert near_duplicates.near_duplicate_classes(df.limit(0)).count() == 0
+
+
+def test_signatures_estimate_probability_jaccard():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    shared, a, b = (rng.integers(1, 2**62, n).astype(np.uint64) for n in (60, 20, 20))
+    x, y = np.concatenate([shared, a]), np.concatenate([shared, b])
+    wx, wy = rng.uniform(1, 4, 80), rng.uniform(1, 4, 80)
+    s = near_duplicates.signatures([x, y], [wx, wy], 4000)
+    both = sum(1 / (np.maximum(wx[:60] / wx[i], wy[:60] / wy[i]).sum() + (wx[60:] / wx[i]).sum() + (wy[60:] / wy[i]).sum()) for i in range(60))
+    assert abs((s[0] == s[1]).mean() - both) < 0.035
+
+
+# The pipeline.
+def test_pipeline_stages(spark, data):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    texts = dict(docs.select("doc_id", "text").collect())
+    extra = spark.createDataFrame([(10**6, "1234 5678", "en", "s", 9), (10**6 + 1, None, None, None, None)], docs.schema)
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(extra), data)
+    assert kept.columns == corpus_pipeline.COLUMNS and {r["doc_id"] for r in kept.collect()} == set(texts)
+    once = corpus_pipeline.drop_near_duplicates(spark, docs, data)
+    classes = brute_classes(texts)
+    assert sorted(r["doc_id"] for r in once.collect()) == sorted(set(classes.values()))
+    clean = {r["doc_id"]: r for r in corpus_pipeline.redact_secrets(spark, docs, data).collect()}
+    for i, t in texts.items():
+        assert (clean[i]["text"] == t) == (not base_spans(t)) and clean[i]["n_chars"] == len(clean[i]["text"])
+        assert not base_spans(clean[i]["text"])
+    final = corpus_pipeline.run(spark, data)
+    assert {r["doc_id"] for r in final.select("doc_id").distinct().collect()} == set(classes.values())
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(-3, 3), st.integers(0, 2)), min_size=1, max_size=40))
+def test_splitters_locate_by_counting(points):
+    import numpy as np
+
+    from loomspark.llm.sharding import Splitters
+
+    s = Splitters(points[: len(points) // 2 + 1])
+    rows = np.array(points, np.int64)
+    want = [sum(p <= tuple(r) for p in s.points) for r in rows.tolist()]
+    assert s.locate(rows[:, 0], rows[:, 1], rows[:, 2]).tolist() == want
