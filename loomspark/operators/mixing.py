@@ -50,7 +50,8 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     drawn = spark.range(1, n - total + 1).select(F.col("id").cast("int").alias("draw"))
     number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("again"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
     drawn = drawn.withColumn("rid", F.pmod(number, F.lit(total)))
-    again = drawn.join(number_rows(df, [F.col(key)]), "rid").drop("rid")
+    numbered = number_rows(df, [F.col(key)], "__rid")
+    again = drawn.withColumnRenamed("rid", "__rid").join(numbered, "__rid").drop("__rid")
     return df.withColumn("draw", F.lit(0)).unionByName(again)
 
 

@@ -31,7 +31,7 @@ def without_ignored(labels: Column, pad: int | None = None) -> Column:
 
 def char_text(ids: Column, special: int = 0x110000) -> Column:
     """Text of character ids; special ids have none."""
-    return F.array_join(F.transform(F.filter(ids, lambda x: (x >= 0) & (x < special)), lambda x: F.decode(F.unhex(F.lpad(F.hex(x), 8, "0")), "UTF-32BE")), "")
+    return F.array_join(F.transform(F.filter(ids, lambda x: (x >= 0) & (x < special)), lambda x: F.decode(F.unhex(F.lpad(F.hex(x), 8, "0")), "UTF-32")), "")
 
 
 def write_predictions(rows: DataFrame, path: str) -> None:
