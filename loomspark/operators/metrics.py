@@ -89,6 +89,33 @@ def category_accuracy(rows: DataFrame, category: str, correct: Column) -> DataFr
     return out.where("g = 1 or category is not null").select(F.when(F.col("g") == 1, "Average").otherwise(F.col("category")).alias("category"), "accuracy", "n")
 
 
+def loss_perplexity(loss: Column) -> Column:
+    """exp of a mean loss; beyond the range of doubles it is infinite."""
+    return F.exp(loss)
+
+
+def step_counts(batch: int, accumulation: int, buffer: int, world: int, epochs: float, rows: int) -> dict[str, int]:
+    """Examples and steps of a run that collects ``buffer`` batches before each update."""
+    backward = batch * accumulation * buffer * world
+    total_batch = backward
+    per_epoch = max(1, -(-rows // total_batch))
+    return {"backward_batch": batch * accumulation, "total_batch": total_batch, "steps_per_epoch": per_epoch, "total_steps": math.ceil(epochs * per_epoch)}
+
+
+def preference_log(rows: DataFrame, group: str, liked: str, values: list[str]) -> DataFrame:
+    """Means of value columns over chosen and rejected rows, and their difference."""
+    parts = []
+    for v in values:
+        good, bad = F.avg(F.when(F.col(liked), F.col(v))), F.avg(F.when(~F.col(liked), F.col(v)))
+        parts += [good.alias(f"{v}_chosen"), bad.alias(f"{v}_rejected"), (good - bad).alias(f"{v}_margin")]
+    return rows.groupBy(group).agg(*parts)
+
+
+def mean_of_batches(rows: DataFrame, batch: str, values: list[str]) -> DataFrame:
+    """The mean over batches of each batch's mean."""
+    return rows.groupBy(batch).agg(*(F.avg(v).alias(v) for v in values)).agg(*(F.avg(v).alias(v) for v in values))
+
+
 def running_average(rows: DataFrame, value: str, weight: str, group: str, order: str) -> DataFrame:
     """Weighted mean of everything up to each row of a group."""
     upto = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -146,3 +146,35 @@ def prefixed(ids: Column, labels: Column, token: int, count: Column) -> tuple[Co
     n = count.cast("int")
     types = F.concat(F.array_repeat(F.lit(0), n), F.array_repeat(F.lit(1), F.size(ids)))
     return F.concat(F.array_repeat(F.lit(token), n), ids), F.concat(F.array_repeat(F.lit(IGNORE), n), labels), types
+
+
+def expand_texts(messages: Column, mark: str, texts: Column) -> Column:
+    """The n-th placeholder replaced by the n-th text, for processors that write their own."""
+    return expand(messages, mark, lambda n: F.element_at(texts, n + 1))
+
+
+def process_messages(plugin: str, tokens: dict[str, str], messages: Column, sizes: dict[str, Column]) -> Column:
+    """Messages with their placeholders expanded as a plugin does.
+
+    ``tokens`` names the media tokens; ``sizes`` holds, by medium, arrays with the number of
+    tokens of each item (or, for the plugins that write rows or slices, its text).
+    """
+    if plugin not in PLUGINS:
+        raise ValueError(f"There is no media plugin named {plugin}.")
+    wraps = {"qwen2_vl": ("<|vision_start|>", "<|vision_end|>"), "qwen2_audio": ("<|audio_bos|>", "<|audio_eos|>")}
+    before, after = wraps.get(plugin, ("", ""))
+    for kind, mark in (("image", IMAGE), ("video", VIDEO), ("audio", AUDIO)):
+        if kind not in tokens:
+            continue
+        if plugin == "paligemma":
+            # Its image tokens go in front of the ids instead (``prefixed``).
+            messages = expand_uniform(messages, mark, "")
+        elif plugin == "mllama":
+            messages = expand_uniform(messages, mark, tokens[kind])
+        elif kind not in sizes:
+            continue
+        elif plugin in ("pixtral", "minicpm_v"):
+            messages = expand_texts(messages, mark, sizes[kind])
+        else:
+            messages = expand_counted(messages, mark, tokens[kind], sizes[kind], before, after)
+    return messages

@@ -645,12 +645,74 @@ def flt_catalog_ranking(spark, sf_dir):
 FLT_CATALOG_RANKING = "SELECT * FROM (VALUES ('conversations', 'sharegpt', 'conversations.parquet'), ('labels', 'alpaca', 'labels.parquet')) t(dataset, formatting, location)"
 
 
+def agg_kto_log(spark, sf_dir):
+    rows = logps(spark, sf_dir).withColumn("liked", F.col("vec_id") % 2 == 0)
+    out = metrics.preference_log(rows, "label", "liked", ["chosen", "ref_chosen"])
+    return out.select(long(F.col("label"), "label"), *(r6(F.col(c), c) for c in out.columns if c != "label"))
+
+
+AGG_KTO_LOG = f"""SELECT CAST(label AS BIGINT) AS label, round(avg(c) FILTER (vec_id % 2 = 0), 6) AS chosen_chosen, round(avg(c) FILTER (vec_id % 2 = 1), 6) AS chosen_rejected,
+  round(avg(c) FILTER (vec_id % 2 = 0) - avg(c) FILTER (vec_id % 2 = 1), 6) AS chosen_margin, round(avg(rc) FILTER (vec_id % 2 = 0), 6) AS ref_chosen_chosen,
+  round(avg(rc) FILTER (vec_id % 2 = 1), 6) AS ref_chosen_rejected, round(avg(rc) FILTER (vec_id % 2 = 0) - avg(rc) FILTER (vec_id % 2 = 1), 6) AS ref_chosen_margin FROM {L} GROUP BY 1"""
+
+
+def agg_dpo_log(spark, sf_dir):
+    out = metrics.mean_of_batches(logps(spark, sf_dir).withColumn("batch", F.floor(F.col("vec_id") / 64)), "batch", ["chosen", "rejected"])
+    return out.select(*(r6(F.col(c), c) for c in out.columns))
+
+
+AGG_DPO_LOG = f"SELECT round(avg(c), 6) AS chosen, round(avg(r), 6) AS rejected FROM (SELECT vec_id // 64 AS b, avg(c) AS c, avg(r) AS r FROM {L} GROUP BY 1)"
+
+
+def mm_plugins(spark, sf_dir):
+    """One placeholder in front of every question, expanded as each counting plugin does."""
+    rows = canonical(spark, sf_dir).where("size(_prompt) > 0")
+    put = F.transform("_prompt", lambda m: F.struct(m["role"].alias("role"), F.when(m["role"] == "user", F.concat(F.lit("<image>"), m["content"])).otherwise(m["content"]).alias("content")))
+    rows = rows.withColumn("messages", put).withColumn("counts", F.array_repeat(F.lit(4), F.size("_prompt")))
+    out = {}
+    for plugin, token in (("llava_next", "#"), ("qwen2_vl", "#"), ("mllama", "<|image|>"), ("paligemma", "#")):
+        made = multimodal.process_messages(plugin, {"image": token}, F.col("messages"), {"image": F.col("counts")})
+        out[plugin] = long(F.aggregate(made, F.lit(0), lambda a, m: a + F.length(m["content"])), plugin)
+    return rows.select("conv_id", *out.values())
+
+
+def _plugins_sql() -> str:
+    from loomspark.plans.tables import V
+
+    return (
+        V
+        + """, w AS (SELECT conv_id, i, m[i].text AS x, i % 2 = 1 AS u FROM (SELECT *, unnest(range(1, n)) AS i FROM v WHERE ok AND n % 2 = 0 AND n > 0))
+SELECT conv_id, CAST(sum(length(x) + CASE WHEN u THEN 4 ELSE 0 END) AS BIGINT) AS llava_next, CAST(sum(length(x) + CASE WHEN u THEN 34 ELSE 0 END) AS BIGINT) AS qwen2_vl,
+  CAST(sum(length(x) + CASE WHEN u THEN 9 ELSE 0 END) AS BIGINT) AS mllama, CAST(sum(length(x)) AS BIGINT) AS paligemma FROM w GROUP BY conv_id"""
+    )
+
+
+MM_PLUGINS = _plugins_sql()
+
+
+def st_events_by_window(spark, sf_dir):
+    """The events as a stream: counts by hour and kind, once all of it has been read."""
+    from uuid import uuid4
+
+    from loomspark.streaming.streams import events_by_window
+
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"events_{uuid4().hex}"
+    query = events_by_window(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", long(F.col("n"), "n"), F.round("total", 3).alias("total"))
+
+
+ST_EVENTS_BY_WINDOW = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2"
+
+
 QUERIES = (
     "smp_num_samples smp_num_samples_over smp_max_samples smp_page smp_train_order smp_fewshot mix_concat mix_interleave_under mix_interleave_over mix_interleave_probs "
     "spl_fraction spl_count agg_len_hist agg_len_cdf agg_lr agg_tps top_argmax_choice agg_tok_acc agg_rm_acc agg_ppl_seq agg_category_acc agg_avg_meter win_ema win_eta "
     "lim_page_log win_sample_5 win_last_token flt_log_loss agg_mfu ls_preference ls_rewards ls_batch_logps ls_ppo_trim snk_predictions_rm snk_predictions_batch mm_resize "
     "mm_token_counts mm_frame_idx mm_placeholders ev_format api_normalise api_usage api_stream api_resp_len fmt_think_html ex_gpa tool_formats agg_rouge_bleu "
-    "src_builder_belle src_builder_hh flt_catalog_ranking"
+    "src_builder_belle src_builder_hh flt_catalog_ranking agg_kto_log agg_dpo_log mm_plugins st_events_by_window"
 ).split()
 
 

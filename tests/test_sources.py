@@ -185,3 +185,16 @@ def test_sinks(spark, tmp_path):
     results = evaluation.results_by_subject(spark.createDataFrame([("law", 0, "A")], "subject string, i int, p string"), "subject", "i", "p")
     sinks.write_eval_results(results, "Average: 1", str(tmp_path / "r"))
     assert spark.read.text(str(tmp_path / "r/results.log")).first()[0] == "Average: 1"
+
+
+def test_settings_and_models(tmp_path):
+    from loomspark.sources.models import ModelCatalog
+    from loomspark.sources.settings import read_settings
+
+    (tmp_path / "a.yaml").write_text("# a run\nstage: sft\ncutoff_len: 1024  # tokens\nval_size: 0.1\npacking: true\nname: 'x y'\nempty:\n")
+    assert read_settings(str(tmp_path / "a.yaml")) == {"stage": "sft", "cutoff_len": 1024, "val_size": 0.1, "packing": True, "name": "x y", "empty": None}
+    (tmp_path / "a.json").write_text('{"a": 1}')
+    assert read_settings(str(tmp_path / "a.json")) == {"a": 1} and read_settings(["--a", "1", "--b=x", "--c"]) == {"a": 1, "b": "x", "c": True}
+    catalog = ModelCatalog()
+    catalog.register_group({"M-7B": {"huggingface": "m/7b"}, "M-7B-Chat": {"huggingface": "m/7b-chat", "modelscope": "M/7b"}}, template="m")
+    assert catalog.template("M-7B") == "default" and catalog.template("M-7B-Chat") == "m" and catalog.locate("M-7B-Chat", "modelscope") == "M/7b" and catalog.locate("other") == "other"
