@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import IGNORE, PAD_ID
+from loomspark.operators.mixing import running_sum
 
 INTS = "array<int>"
 
@@ -81,7 +82,7 @@ def unpadded(rows: DataFrame, order: str, mask: str = "attention_mask") -> DataF
     """
     lengths = rows.select(order, F.posexplode(segment_lengths(F.col(mask))).alias("segment", "length"))
     totals = lengths.groupBy(order).agg(F.sum("length").alias("__total"))
-    before = totals.select(order, (F.sum("__total").over(Window.orderBy(order)) - F.col("__total")).alias("__before"))
+    before = running_sum(totals, [F.col(order)], "__total", "__upto").select(order, (F.col("__upto") - F.col("__total")).alias("__before"))
     inside = F.sum("length").over(Window.partitionBy(order).orderBy("segment"))
     return lengths.join(before, order).select(order, "segment", "length", (F.col("__before") + inside - F.col("length")).alias("cu_start"), (F.col("__before") + inside).alias("cu_end"))
 

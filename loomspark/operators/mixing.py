@@ -13,23 +13,40 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.functions.lineage import cut_lineage
 from loomspark.functions.text import hash_order
 
 
+def in_order(df: DataFrame, order: list[Column], parts: int | None) -> DataFrame:
+    """Rows range-partitioned and sorted, with ``__part`` and ``__place`` in it.
+
+    Ranges come from a sample, so they are written down before anything counts them.
+    """
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    placed = cut_lineage(ranged.sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    return placed.withColumns({"__part": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND((1 << 33) - 1)}).drop("__at")
+
+
 def number_rows(df: DataFrame, order: list[Column], name: str = "rid", parts: int | None = None) -> DataFrame:
     """Consecutive numbers from 0 in the given order, without a single-task window.
 
-    Rows are range-partitioned by the order; the sizes of the ranges (one row each) give each
-    range its first number. Equal rows get different numbers.
+    The sizes of the ranges (one row each) give each range its first number. Equal rows get
+    different numbers.
     """
-    sorted_rows = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
-    sorted_rows = sorted_rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    keyed = sorted_rows.sortWithinPartitions(*order)
-    sizes = sorted_rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    placed = in_order(df, order, parts)
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
-    place = Window.partitionBy("__part").orderBy(*order)
-    numbered = keyed.withColumn("__place", F.row_number().over(place)).join(F.broadcast(starts), "__part")
-    return numbered.withColumn(name, (F.col("__start") + F.col("__place") - 1).cast("long")).drop("__part", "__at", "__start", "__place")
+    numbered = placed.join(F.broadcast(starts), "__part")
+    return numbered.withColumn(name, F.col("__start") + F.col("__place")).drop("__part", "__start", "__place")
+
+
+def running_sum(df: DataFrame, order: list[Column], value: str, name: str, parts: int | None = None) -> DataFrame:
+    """Sum of a column over all rows up to each row, without a single-task window."""
+    placed = in_order(df, order, parts)
+    sums = placed.groupBy("__part").agg(F.sum(value).alias("__sum"))
+    starts = sums.select("__part", (F.sum("__sum").over(Window.orderBy("__part")) - F.col("__sum")).alias("__start"))
+    inside = F.sum(value).over(Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("__inside", inside).join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__inside")).drop("__part", "__place", "__inside", "__start")
 
 
 def first_rows(df: DataFrame, n: int, order: str) -> DataFrame:
@@ -161,9 +178,10 @@ def few_shot(targets: DataFrame, supports: DataFrame, group: str, item: str, sup
     target takes the ones behind its own place, so a group of any size costs its targets
     times the shots.
     """
-    ring = Window.partitionBy(group).orderBy(hash_order(seed, F.col(support)), F.col(support))
-    placed = supports.select(group, support, (F.row_number().over(ring) - 1).alias("__at"))
-    sizes = placed.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    numbered = number_rows(supports.select(group, support), [F.col(group), hash_order(seed, F.col(support)), F.col(support)], "__number")
+    sizes = numbered.groupBy(group).agg(F.count(F.lit(1)).alias("__n"), F.min("__number").alias("__first"))
+    placed = numbered.join(sizes.select(group, "__first"), group).select(group, support, (F.col("__number") - F.col("__first")).cast("int").alias("__at"))
+    sizes = sizes.drop("__first")
     number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("shot"), F.col(item).cast("string"))), 1, 8), 16, 10).cast("long")
     wanted = targets.select(group, item).join(sizes, group).withColumn("__k", F.explode(F.sequence(F.lit(0), F.least(F.lit(shots), F.col("__n").cast("int")) - 1)))
     wanted = wanted.withColumn("__at", F.pmod(number + F.col("__k"), F.col("__n")).cast("int"))

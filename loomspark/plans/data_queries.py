@@ -697,9 +697,12 @@ def st_events_by_window(spark, sf_dir):
     from loomspark.streaming.streams import events_by_window
 
     schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     name = f"events_{uuid4().hex}"
-    query = events_by_window(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    writer = events_by_window(stream).writeStream
+    writer = writer.option("checkpointLocation", f"{folder.rstrip('/')}/{name}") if folder else writer
+    query = writer.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", long(F.col("n"), "n"), F.round("total", 3).alias("total"))
 
