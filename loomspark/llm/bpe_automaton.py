@@ -33,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomspark.llm.common import default_tokenizer_path
+from loomspark.llm.common import default_tokenizer_path, frugal, small_batches
 
 WORD_END = "</w>"
 START = -1
-#: Keys of a trie node: the label that ends there inside a word, and at its end.
-INNER, FINAL = 0, 1
+#: Places in a trie node, behind its children: the label that ends there inside a word, and
+#: at its end.
+INNER, FINAL = 1, 2
 
 
 def byte_symbols() -> list[str]:
@@ -57,7 +58,7 @@ def byte_symbols() -> list[str]:
 class TokenAutomaton:
     """The automaton over ``vocab`` (label -> id), compiled from ``merges`` in rank order."""
 
-    def __init__(self, vocab: dict[str, int], merges: list, table_size: int = 1_000_000):
+    def __init__(self, vocab: dict[str, int], merges: list, table_size: int = 250_000):
         self.vocab = vocab
         self.labels: dict[int, str] = {i: label for label, i in vocab.items()}
         self.removed: dict[int, int] = {}
@@ -70,9 +71,10 @@ class TokenAutomaton:
             if i not in self.left and len(label.removesuffix(WORD_END)) > 1:
                 continue
             ends = label.endswith(WORD_END) and label != WORD_END
-            node = self.root
+            children, node = self.root, []
             for symbol in label.removesuffix(WORD_END) if ends else label:
-                node = node.setdefault(symbol, {})
+                node = children.setdefault(symbol, [{}, None, None])
+                children = node[0]
             node[FINAL if ends else INNER] = i
         self.table: dict[int, bool] = {}
         self.table_size = table_size
@@ -122,12 +124,14 @@ class TokenAutomaton:
         path, starts, choices = [], [], []
         state, at = START, 0
         while at < n:
-            node, open_arcs = root, []
-            for end in range(at + 1, n + 1):
-                node = node.get(symbols[end - 1])
+            children, open_arcs, end = root, [], at
+            for symbol in symbols[at:]:
+                node = children.get(symbol)
                 if node is None:
                     break
-                label = node.get(INNER if end < n else FINAL)
+                end += 1
+                children, inner, final = node
+                label = inner if end < n else final
                 if label is not None and not dead[end]:
                     open_arcs.append((end, label))
             base = state << 20
@@ -176,13 +180,24 @@ class _Words(dict):
         return ids
 
 
+class _Symbols(_Words):
+    """The same for words in byte symbols, which are pieces already."""
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class WordBpe:
     """Encodes whole texts: added tokens, normalization, splitting, then ``encode_word``.
 
     Ids are packed as little-endian unsigned 32-bit integers.
     """
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 250_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -201,7 +216,7 @@ class WordBpe:
         for label, i in [*vocab.items(), *self.added.items()]:
             self.arc_labels[i] = label
         self.words = _Words(self._encode_plain, cache_words)
-        self.symbol_words = _Words(self._encode_symbols, cache_words // 8)
+        self.symbol_words = _Symbols(self._encode_symbols, cache_words // 8)
 
     def _encode_plain(self, word: str) -> bytes:
         """Ids of a run without white space: its pieces one by one, or one piece."""
@@ -279,7 +294,7 @@ def encode(df: DataFrame, text: str = "text", tokenizer: str | None = None, ids:
                     arrays.append(pa.array([bpe.decode(p) for p in packed], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, [*names, ids, *([decoded] if decoded else [])])
 
-    return df.select(*(n for n in dict.fromkeys([*names, text]))).mapInArrow(work, schema) if text in names else df.mapInArrow(work, schema)
+    return small_batches(df).mapInArrow(frugal(work), schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", tokenizer: str | None = None, decoded: str = "decoded") -> DataFrame:
@@ -295,4 +310,4 @@ def decode(df: DataFrame, ids: str = "ids", tokenizer: str | None = None, decode
             arrays = [batch.column(f.name) for f in kept] + [pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, [*(f.name for f in kept), decoded])
 
-    return df.mapInArrow(work, schema)
+    return small_batches(df).mapInArrow(frugal(work), schema)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +41,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Bytes of one Arrow batch between the JVM and Python. Texts can be long, and the default of
+#: 64 MB is held several times over by either side.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded by BATCH_BYTES."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def frugal(work: Callable) -> Callable:
+    """A partition function that gives freed memory back to the system when it ends.
+
+    Workers outlive their tasks, and allocators keep what a task freed.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def unit_hash(seed: int, *columns) -> F.Column:
     """A reproducible number in [0, 1) from the columns' values."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspark.llm.bpe_automaton import rows_in_slices
-from loomspark.llm.common import read_table, unit_hash
+from loomspark.llm.common import frugal, read_table, small_batches, unit_hash
 
 WINDOW = 256
 CLASSES = 64
@@ -196,7 +196,7 @@ def predict(df: DataFrame, model: ByteCnn | None, text: str = "text", keep: list
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in rows_in_slices(batch, batch.num_columns - 2, most_rows=4096):
+            for part in rows_in_slices(batch, batch.num_columns - 2, most_bytes=2 << 20, most_rows=4096):
                 texts = [t.encode() if t else b"" for t in part.column("__text").to_pylist()]
                 found, scores = model.predict(texts)
                 letters = part.column("__letter").to_pylist()
@@ -206,7 +206,7 @@ def predict(df: DataFrame, model: ByteCnn | None, text: str = "text", keep: list
                 yield pa.RecordBatch.from_arrays(arrays, [*names, lang_pred, score])
 
     given = F.col(text)
-    return df.select(*names, given.alias("__text"), F.coalesce(given.rlike(r"\p{L}"), F.lit(False)).alias("__letter")).mapInArrow(work, schema)
+    return small_batches(df).select(*names, given.alias("__text"), F.coalesce(given.rlike(r"\p{L}"), F.lit(False)).alias("__letter")).mapInArrow(frugal(work), schema)
 
 
 def op8_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.bpe_automaton import open_bpe, rows_in_slices
-from loomspark.llm.common import cut_lineage, default_tokenizer_path, read_table
+from loomspark.llm.common import cut_lineage, default_tokenizer_path, frugal, read_table, small_batches
 from loomspark.llm.near_duplicates import BROADCAST_IDS
 
 BUCKET_BITS = 22
@@ -82,7 +82,7 @@ def encoded(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
                 packed = [np.frombuffer(bpe.encode(t), np.uint32).astype(width).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, f"doc_id {kind}, ids binary")
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(frugal(work), f"doc_id {kind}, ids binary")
 
 
 def counted(rows: DataFrame, vocabulary: int, bits: int) -> DataFrame:
@@ -93,7 +93,7 @@ def counted(rows: DataFrame, vocabulary: int, bits: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, pairs + vocabulary + 1), np.int64)
         for batch in batches:
-            for part in rows_in_slices(batch, 0):
+            for part in rows_in_slices(batch, 0, most_bytes=2 << 20):
                 flags = part.column(1).to_pylist()
                 packed = part.column(0).to_pylist()
                 for m, flag in enumerate((True, False)):
@@ -106,7 +106,7 @@ def counted(rows: DataFrame, vocabulary: int, bits: int) -> DataFrame:
             some = used[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[0, some]), pa.array(counts[1, some])], ["slot", "target", "background"])
 
-    parts = rows.mapInArrow(work, "slot int, target long, background long")
+    parts = rows.mapInArrow(frugal(work), "slot int, target long, background long")
     return parts.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
@@ -144,7 +144,7 @@ def score(ids: DataFrame, models: NgramModels) -> DataFrame:
                 columns = [pa.array(x, pa.float64(), mask=none) for x in (means[0], means[1], means[0] - means[1])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return ids.mapInArrow(work, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    return ids.mapInArrow(frugal(work), f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, bits: int = BUCKET_BITS) -> DataFrame:

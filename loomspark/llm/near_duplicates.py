@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.bpe_automaton import rows_in_slices
-from loomspark.llm.common import cut_lineage, read_table
+from loomspark.llm.common import cut_lineage, frugal, read_table, small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -67,17 +67,14 @@ class WordHashes(dict):
         word = run if run.isalnum() else _MARKS.sub("", run)
         value = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little") | 1 if word else 0
         if len(run) <= 64:
-            if len(self) >= 500_000:
+            if len(self) >= 150_000:
                 self.clear()
             self[run] = value
         return value
 
 
-_HASHES = WordHashes()
-
-
-def word_hashes(text: str) -> np.ndarray:
-    found = np.fromiter(map(_HASHES.__getitem__, text.lower().split()), np.uint64)
+def word_hashes(text: str, known: WordHashes) -> np.ndarray:
+    found = np.fromiter(map(known.__getitem__, text.lower().split()), np.uint64)
     return found[found != 0]
 
 
@@ -129,11 +126,12 @@ def signature_rows(docs: DataFrame, bands: int, rows: int, shingle: int) -> Data
     """doc_id, content (two longs that equal word sequences share) and buckets of each text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            for part in rows_in_slices(batch, 1, most_rows=2048):
+            for part in rows_in_slices(batch, 1, most_bytes=1 << 20, most_rows=2048):
                 keys, elements, weights, shown = [], [], [], []
                 for text in part.column(1).to_pylist():
-                    words = word_hashes(text)
+                    words = word_hashes(text, known)
                     digest = hashlib.blake2b(words.tobytes() if len(words) else b"=" + text.encode(), digest_size=16).digest()
                     keys.append(np.frombuffer(digest, np.int64))
                     shown.append(len(words) > 0)
@@ -146,19 +144,20 @@ def signature_rows(docs: DataFrame, bands: int, rows: int, shingle: int) -> Data
                 lists = pa.array([next(buckets) if s else [] for s in shown], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), lists], ["doc_id", "k1", "k2", "buckets"])
 
-    return docs.mapInArrow(work, "doc_id long, k1 long, k2 long, buckets array<long>")
+    return small_batches(docs).mapInArrow(frugal(work), "doc_id long, k1 long, k2 long, buckets array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id and the set of shingle hashes of each text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            for part in rows_in_slices(batch, 1, most_rows=2048):
-                sets = [np.unique(shingle_hashes(word_hashes(t), shingle)).view(np.int64) for t in part.column(1).to_pylist()]
+            for part in rows_in_slices(batch, 1, most_bytes=1 << 20, most_rows=2048):
+                sets = [np.unique(shingle_hashes(word_hashes(t, known), shingle)).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    return docs.mapInArrow(work, "doc_id long, shingles array<long>")
+    return small_batches(docs).mapInArrow(frugal(work), "doc_id long, shingles array<long>")
 
 
 def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspark.llm.bpe_automaton import open_bpe, rows_in_slices
-from loomspark.llm.common import cut_lineage, default_tokenizer_path, read_table
+from loomspark.llm.common import cut_lineage, default_tokenizer_path, frugal, read_table, small_batches
 
 CAPACITY = 2048
 #: Shortest piece that a remainder is cut into; what is left is the tail.
@@ -79,7 +79,7 @@ def cut_documents(df: DataFrame, doc_id: str, text: str, tokenizer: str | None,
                 types = [part.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary() if payload == "ids" else pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names)
 
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, schema)
+    return small_batches(df).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(frugal(work), schema)
 
 
 def first_fit(sizes: dict[int, int], capacity: int) -> dict[int, int]:
