@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.llm.common import cut_lineage
+
 #: Rows of one index block inside a task, and of one block of queries sent to the tasks.
 INDEX_ROWS = 8192
 QUERY_ROWS = 8192
@@ -40,9 +42,8 @@ def query_blocks(queries: DataFrame, rows_per_block: int = QUERY_ROWS) -> Iterat
 
     A repeated query id is one query; of different vectors under one id the smallest counts.
     """
-    single = queries.groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    n = single.count()
-    blocks = -(-n // rows_per_block)
+    single = cut_lineage(queries.groupBy("vec_id").agg(F.min("vec").alias("vec")))
+    blocks = -(-single.count() // rows_per_block)
     for b in range(blocks):
         rows = single.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
         if rows:
