@@ -14,7 +14,7 @@ from loomspark.llm.common import read_table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose best language has less than this share of the probability is rejected.
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.26
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
