@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from loomspark.operators.multimodal import IMAGE
 
@@ -119,3 +123,25 @@ def valid_tools(text: Column) -> Column:
     """Whether a text is a JSON list whose items all have a name."""
     items = F.from_json(text, "array<struct<name:string>>")
     return F.coalesce(text.startswith("[") & ~F.exists(items, lambda t: t["name"].isNull()), F.lit(False))
+
+
+def responses(answers: DataFrame, tool_format: str, text: str = "text", reason: str = "reason") -> DataFrame:
+    """Answers with their tool calls taken out of the text, and why each one finished."""
+    from loomspark.operators.tools import extract_calls
+
+    rows = answers.withColumn("tool_calls", extract_calls(F.col(text), tool_format))
+    return rows.withColumns({"content": F.when(F.col("tool_calls").isNull(), F.col(text)), "finish_reason": finish_reason(F.col("tool_calls"), F.col(reason))})
+
+
+def scored(rows: DataFrame, text: str, scorer: Callable[[list[str]], list[float]], name: str = "score", batch: int = 64) -> DataFrame:
+    """Add scores of texts from a client, such as a reward service, called by batch.
+
+    ``scorer`` runs in the executors and has to be picklable; none is built in.
+    """
+
+    @pandas_udf("double")
+    def score(column: pd.Series) -> pd.Series:
+        values = column.fillna("").tolist()
+        return pd.Series([float(x) for at in range(0, len(values), batch) for x in scorer(values[at : at + batch])])
+
+    return rows.withColumn(name, score(F.col(text)))

@@ -173,6 +173,18 @@ def process_kto(df: DataFrame, template: Template, cutoff: int, order: str, keep
     return rows.select(*(keep or []), *out, F.col("__tag").alias("kto_tags"), *media_columns())
 
 
+def preference_balance(rows: DataFrame, batch: str) -> DataFrame:
+    """Liked and other rows of each batch, and whether one kind is missing."""
+    counts = rows.groupBy(batch).agg(F.count_if("kto_tags").alias("liked"), F.count_if(~F.col("kto_tags")).alias("other"))
+    return counts.withColumn("one_sided", (F.col("liked") == 0) | (F.col("other") == 0))
+
+
+def first_example(rows: DataFrame, decode: Callable[[Column], Column]) -> str:
+    """The first row's ids and labels with their texts, for a look at the data."""
+    row = rows.select("input_ids", decode(F.col("input_ids")).alias("inputs"), "labels", decode(F.filter("labels", lambda x: x != IGNORE)).alias("targets")).first()
+    return "no rows" if row is None else "\n".join(f"{name}: {row[name]}" for name in row.asDict())
+
+
 def process_unsupervised(df: DataFrame, template: Template, cutoff: int, keep: list[str] | None = None, encode: Encoder = char_ids, tools_date: str | None = None) -> DataFrame:
     """Prompt ids as input and the response (or an empty one) as labels."""
     rows = df.where(valid_for("ppo"))

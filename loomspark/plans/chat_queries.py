@@ -168,8 +168,11 @@ def prc_sft_mask_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sft_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: align, filter, render, tokenize and budget conversations."""
-    text = rendered(spark, sf_dir, "chatml").select("conv_id", "text_md5", (F.col("pairs") * 2).alias("n_turns"))
-    return text.join(prc_sft(spark, sf_dir), "conv_id")
+    rows = canonical(spark, sf_dir).where(valid_for("sft"))
+    made = encoded(F.concat("_prompt", "_response"), CHATML, text_target(), F.col("_system"), F.lit(""))
+    rows = rows.withColumns({"text_md5": F.md5(F.array_join(made, "")), "n_turns": (F.size("_prompt") + 1).cast("long")})
+    out = stages.process_sft(rows, CHATML, CUTOFF, keep=["conv_id", "text_md5", "n_turns"])
+    return out.select("conv_id", "text_md5", "n_turns", long(F.size("input_ids"), "n_input"), long(F.size("labels"), "n_labels"), long(F.size(F.filter("labels", lambda x: x != IGNORE)), "n_target"))
 
 
 SFT_PREP = f"SELECT a.conv_id, a.text_md5, a.pairs * 2 AS n_turns, b.n_input, b.n_labels, b.n_target FROM ({TPL_SQL['chatml']}) a JOIN ({sft_fold_sql(False)}) b USING (conv_id)"
@@ -241,6 +244,40 @@ z AS (SELECT o.doc_id, o.tag, o.p, o.a, y.a AS k FROM o JOIN o y ON y.b = o.b AN
 SELECT doc_id, tag AS kto_tags, CAST({_KS} + {_KT} AS BIGINT) AS n_input, CAST({_QS} + {_QT} AS BIGINT) AS n_kl_input FROM z"""
 
 
+def prc_kto_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rated answer beside that of its mirrored batch partner."""
+    rows = stages.kl_partners(rated(spark, sf_dir), "doc_id", BATCH)
+    text = lambda c: F.md5(F.array_join(F.transform(c, lambda m: m["content"]), ""))
+    return rows.select("doc_id", text("_response").alias("own_md5"), text("__kl").alias("partner_md5"))
+
+
+PRC_KTO_KL = f"""
+WITH r AS (SELECT doc_id, doc_id // {BATCH} AS b, md5(text) AS h FROM documents JOIN labels USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY b) AS n FROM r)
+SELECT o.doc_id, o.h AS own_md5, y.h AS partner_md5 FROM o JOIN o y ON y.b = o.b AND y.i = o.n + 1 - o.i"""
+
+
+def prc_kto_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stages.process_kto(rated(spark, sf_dir), CHATML, CUTOFF, "doc_id", keep=["doc_id"], batch_size=BATCH)
+    out = stages.preference_balance(rows.withColumn("batch_id", F.floor(F.col("doc_id") / BATCH)), "batch_id")
+    return out.select("batch_id", long(F.col("liked"), "liked"), long(F.col("other"), "other"), "one_sided")
+
+
+PRC_KTO_BALANCE = f"""SELECT doc_id // {BATCH} AS batch_id, count(*) FILTER (quality = 1) AS liked, count(*) FILTER (quality <> 1) AS other,
+  count(*) FILTER (quality = 1) = 0 OR count(*) FILTER (quality <> 1) = 0 AS one_sided FROM documents JOIN labels USING (doc_id) GROUP BY 1"""
+
+
+def src_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a dataset of a file spec, counted by language and source."""
+    from loomspark.sources.readers import read_dataset
+
+    rows = read_dataset(spark, DatasetSpec("documents.parquet"), sf_dir)
+    return rows.groupBy("lang", "source").agg(long(F.count(F.lit(1)), "n"), long(F.sum("n_chars"), "chars"))
+
+
+SRC_PARQUET = "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1, 2"
+
+
 def prc_infer_seqlen(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("t"), F.pmod(F.col("doc_id") * 7919, F.lit(4000)).cast("int").alias("s"))
     source, target = stages.infer_seqlen(F.col("s"), F.col("t"), F.lit(2048))
@@ -364,6 +401,9 @@ def queries() -> dict:
         "prc_unsup": prc_unsup,
         "prc_kto": prc_kto,
         "prc_infer_seqlen": prc_infer_seqlen,
+        "prc_kto_kl": prc_kto_kl,
+        "prc_kto_balance": prc_kto_balance,
+        "src_parquet": src_parquet,
         "agg_valid_ratio": agg_valid_ratio,
         "col_pad": col_pad,
         "col_pair": col_pair,

@@ -142,6 +142,15 @@ def with_loss(log: DataFrame, key: str = "loss") -> DataFrame:
     return log.where(F.col(key).isNotNull() & (F.col(key) != 0))
 
 
+def loss_series(log: DataFrame, key: str = "loss", order: str = "current_steps") -> DataFrame:
+    """A run's losses in order beside their moving average: what a loss plot shows."""
+    from loomspark.operators.metrics import smoothed
+
+    held = with_loss(log, key).agg(F.array_sort(F.collect_list(F.struct(order, key))).alias("s"))
+    values = F.transform("s", lambda p: p[key])
+    return held.select(F.inline(F.arrays_zip(F.transform("s", lambda p: p[order]).alias("step"), values.alias("loss"), smoothed(values).alias("smoothed"))))
+
+
 def has_tokenized(spark: SparkSession, path: str) -> bool:
     place, system = hadoop_path(spark, path)
     return system.exists(place) and system.getFileStatus(place).isDirectory() and len(system.listStatus(place)) > 0

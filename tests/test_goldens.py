@@ -401,3 +401,27 @@ def test_text_functions(spark):
     assert one(spark, char_ids(F.lit("aé😀")))[0] == [97, 233, 128512] and one(spark, char_ids(F.lit("")))[0] == []
     assert len(one(spark, word_ids(F.lit(" a  b ")))[0]) == 2
     assert one(spark, turn_pairs(F.array().cast("array<array<int>>")))[0] is None and valid_for("pt") is not None
+
+
+def test_special_tokens():
+    fixed = templates.fixed_tokens(templates.SpecialTokens(eos="</s>"), TEMPLATES["chatml"])
+    assert (fixed.eos, fixed.pad, fixed.additional) == ("<|im_end|>", "<|im_end|>", ("<|im_start|>",))
+    assert templates.fixed_tokens(templates.SpecialTokens(pad="<p>"), TEMPLATES["default"]) == templates.SpecialTokens(None, "<|endoftext|>", "<p>")
+    assert EOS_ID in templates.stop_ids(TEMPLATES["llama3"]) and len(templates.stop_ids(TEMPLATES["llama3"])) == 3
+
+
+def test_answers_and_scores(spark):
+    rows = spark.createDataFrame([(1, "plain", "stop"), (1, '<tool_call>\n{"name": "f", "arguments": {}}\n</tool_call>', "stop")], "id long, text string, reason string")
+    out = {r["finish_reason"]: r for r in serving.responses(rows, "qwen").collect()}
+    assert out["stop"]["content"] == "plain" and out["tool_calls"]["content"] is None and out["tool_calls"]["tool_calls"][0]["name"] == "f"
+    assert sorted(r["score"] for r in serving.scored(rows, "text", lambda texts: [len(t) for t in texts]).collect())[0] == 5.0
+
+
+def test_first_example_and_balance(spark):
+    from loomspark.sources.sinks import char_text
+
+    rows = chat_rows(spark, ([("user", "ab")], [("assistant", "cd")]))
+    shown = stages.first_example(stages.process_sft(rows, TEMPLATES["empty"], 100), char_text)
+    assert "inputs: abcd" in shown and "targets: cd" in shown and stages.first_example(stages.process_sft(rows.limit(0), TEMPLATES["empty"], 100), char_text) == "no rows"
+    tags = spark.createDataFrame([(0, True), (0, False), (1, True)], "b int, kto_tags boolean")
+    assert {r["b"]: r["one_sided"] for r in stages.preference_balance(tags, "b").collect()} == {0: False, 1: True}

@@ -87,6 +87,8 @@ def test_logs(spark, tmp_path):
     (tmp_path / "log" / "a.jsonl").write_text("\n".join(map(json.dumps, records)))
     log = readers.read_trainer_log(spark, str(tmp_path / "log"))
     assert readers.with_loss(log).count() == 3 and readers.latest_record(log).first()["percentage"] == 100.0
+    series = readers.loss_series(log).orderBy("step").collect()
+    assert [r["loss"] for r in series] == [3.0, 2.0, 1.0] and series[0]["smoothed"] == 3.0
     query = streams.watch(streams.monitor(spark, str(tmp_path / "log")), "watched")
     query.processAllAvailable()
     assert spark.table("watched").first()["current_steps"] == 4
