@@ -51,7 +51,7 @@ def pack_sft(rows: DataFrame, cutoff: int, batch: str, order: str, neat: bool =
     With ``neat`` the mask numbers the rows of a block and is 0 in the padding.
     """
     plan = plan_packing(rows.select(batch, order, F.size("input_ids").alias("length")), cutoff, batch, order)
-    parts = rows.join(plan, [batch, order]).groupBy(batch, "block").agg(F.array_sort(F.collect_list(F.struct("position", "input_ids", "labels"))).alias("parts"))
+    parts = rows.join(plan, [batch, order]).groupBy(batch, "block").agg(F.sort_array(F.collect_list(F.struct("position", "input_ids", "labels"))).alias("parts"))
     ids = F.flatten(F.transform("parts", lambda p: p["input_ids"]))
     labels = F.flatten(F.transform("parts", lambda p: p["labels"]))
     segments = F.flatten(F.transform("parts", lambda p, i: F.array_repeat(i + 1, F.size(p["input_ids"]))))

@@ -49,7 +49,7 @@ def prompts(shots: DataFrame, group: list[str], order: str, language: str = "en"
     subject, prompt and answer.
     """
     turn = F.struct(F.col(order).alias("o"), F.col("prompt").alias("prompt"), F.col("answer").alias("answer"))
-    held = shots.groupBy(*group, "subject").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    held = shots.groupBy(*group, "subject").agg(F.sort_array(F.collect_list(turn)).alias("t"))
     say = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     pair = lambda t, i: F.array(say("user", F.when(i == 0, F.concat(header(F.col("subject"), language), t["prompt"])).otherwise(t["prompt"])), say("assistant", t["answer"]))
     return held.select(*group, "subject", F.flatten(F.transform("t", pair)).alias("messages"))
@@ -57,7 +57,7 @@ def prompts(shots: DataFrame, group: list[str], order: str, language: str = "en"
 
 def results_by_subject(rows: DataFrame, subject: str, index: str, predicted: str) -> DataFrame:
     """One row a subject with a map from item to prediction."""
-    return rows.groupBy(subject).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(index).cast("string"), predicted)))).alias("results"))
+    return rows.groupBy(subject).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(index).cast("string"), predicted)))).alias("results"))
 
 
 def report(scores: DataFrame) -> str:

@@ -109,7 +109,7 @@ def process_pretrain(df: DataFrame, cutoff: int, keep: list[str] | None = None,
 
 def pack_pretrain(rows: DataFrame, block: int, batch: str, order: str, ids: str = "input_ids", add_bos: bool = False) -> DataFrame:
     """Blocks of ``block`` ids of a batch's concatenated rows; the remainder is dropped."""
-    joined = rows.groupBy(batch).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ids).alias("x")))), lambda s: s["x"])).alias("all"))
+    joined = rows.groupBy(batch).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ids).alias("x")))), lambda s: s["x"])).alias("all"))
     count = F.floor(F.size("all") / block).cast("int")
     cut = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda b: F.slice(F.col("all"), b * block + 1, F.lit(block))))
     out = joined.select(batch, F.posexplode(cut).alias("block", "input_ids"))

@@ -189,7 +189,7 @@ TOP_ARGMAX_CHOICE = "SELECT vec_id, substr('ABCD', list_position(embedding[1:4],
 
 def agg_tok_acc(spark, sf_dir):
     """Turns' lengths modulo 3 as predictions, modulo 2 as labels of the odd turns."""
-    t = F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n"))))
+    t = F.sort_array(F.collect_list(F.struct("turn", F.length("text").alias("n"))))
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(t.alias("t"))
     predictions = F.transform("t", lambda x: x["n"] % 3)
     labels = F.transform("t", lambda x, i: F.when(i % 2 == 1, x["n"] % 2).otherwise(IGNORE))
@@ -243,7 +243,7 @@ AGG_AVG_METER = "SELECT event_id, round(sum(value * (user_id % 5 + 1)) OVER w /
 
 
 def win_ema(spark, sf_dir):
-    series = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"])
+    series = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"])
     rows = events(spark, sf_dir).groupBy("user_id").agg(series.alias("s"))
     return rows.select("user_id", F.posexplode(metrics.smoothed(F.col("s"))).alias("step", "smoothed")).select("user_id", long(F.col("step"), "step"), F.round("smoothed", 4).alias("smoothed"))
 

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id and its messages by turn."""
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t"))
     return grouped.select("conv_id", F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("messages"))
 

@@ -146,7 +146,7 @@ def loss_series(log: DataFrame, key: str = "loss", order: str = "current_steps")
     """A run's losses in order beside their moving average: what a loss plot shows."""
     from loomspark.operators.metrics import smoothed
 
-    held = with_loss(log, key).agg(F.array_sort(F.collect_list(F.struct(order, key))).alias("s"))
+    held = with_loss(log, key).agg(F.sort_array(F.collect_list(F.struct(order, key))).alias("s"))
     values = F.transform("s", lambda p: p[key])
     return held.select(F.inline(F.arrays_zip(F.transform("s", lambda p: p[order]).alias("step"), values.alias("loss"), smoothed(values).alias("smoothed"))))
 
