@@ -29,7 +29,9 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -40,6 +42,10 @@ START = -1
 #: Places in a trie node, behind its children: the label that ends there inside a word, and
 #: at its end.
 INNER, FINAL = 1, 2
+#: The labels that open a stretch of so many symbols are kept, for so many stretches; the mark
+#: stands behind a stretch that ends the word (it is no byte symbol).
+WINDOW, WINDOWS_KEPT = 5, 150_000
+END_MARK = "\0"
 
 
 def byte_symbols() -> list[str]:
@@ -77,6 +83,7 @@ class TokenAutomaton:
                 children = node[0]
             node[FINAL if ends else INNER] = i
         self.table: dict[int, bool] = {}
+        self.windows: dict[str, tuple] = {}
         self.table_size = table_size
 
     def _apply_gadget(self, rank: int, a: int, b: int, c: int) -> None:
@@ -116,40 +123,60 @@ class TokenAutomaton:
             state, until = self.snapshot[state]
             seen_until = until if seen_until is None else min(seen_until, until)
 
+    @staticmethod
+    def _walk(children: dict, symbols: str, ended: bool, passed: int = 0) -> tuple[tuple[tuple[int, int], ...], dict | None]:
+        """(length, label) of all labels that the symbols start with, the shortest first, and
+        where longer ones go on. ``ended`` says that the word ends with the symbols."""
+        arcs, last = [], passed + len(symbols)
+        for length, symbol in enumerate(symbols, passed + 1):
+            node = children.get(symbol)
+            if node is None:
+                return tuple(arcs), None
+            children = node[0]
+            label = node[FINAL if ended and length == last else INNER]
+            if label is not None:
+                arcs.append((length, label))
+        return tuple(arcs), None if ended else children or None
+
+    def _open_window(self, key: str) -> tuple[tuple[tuple[int, int], ...], dict | None]:
+        if len(self.windows) >= WINDOWS_KEPT:
+            self.windows.clear()
+        ended = key.endswith(END_MARK)
+        found = self.windows[key] = self._walk(self.root, key.removesuffix(END_MARK), ended)
+        return found
+
     def run(self, symbols: str) -> list[int]:
         """The labels of the one accepting path over a word's symbols."""
         n = len(symbols)
-        table, root = self.table, self.root
+        known, windows = self.table.get, self.windows
         dead = bytearray(n + 1)
         path, starts, choices = [], [], []
         state, at = START, 0
         while at < n:
-            children, open_arcs, end = root, [], at
-            for symbol in symbols[at:]:
-                node = children.get(symbol)
-                if node is None:
-                    break
-                end += 1
-                children, inner, final = node
-                label = inner if end < n else final
-                if label is not None and not dead[end]:
-                    open_arcs.append((end, label))
-            base = state << 20
+            key = symbols[at : at + WINDOW] if n - at > WINDOW else symbols[at:] + END_MARK
+            arcs, deeper = windows.get(key) or self._open_window(key)
+            if deeper:
+                arcs = arcs + self._walk(deeper, symbols[at + WINDOW :], True, WINDOW)[0]
+            i, base = len(arcs), state << 20
             while True:
-                if open_arcs:
-                    end, label = open_arcs.pop()
-                    key = base | label
-                    if not dead[end] and (table[key] if key in table else self.has_arc(state, label)):
+                if i:
+                    i -= 1
+                    length, label = arcs[i]
+                    if dead[at + length]:
+                        continue
+                    there = known(base | label)
+                    if self.has_arc(state, label) if there is None else there:
                         path.append(label)
                         starts.append(at)
-                        choices.append(open_arcs)
-                        state, at = label, end
+                        choices.append((arcs, i))
+                        state, at = label, at + length
                         break
                 else:
                     # Every prefix has one path, so a position without a way on is given up.
                     dead[at] = 1
                     path.pop()
-                    at, open_arcs = starts.pop(), choices.pop()
+                    at = starts.pop()
+                    arcs, i = choices.pop()
                     state = path[-1] if path else START
                     base = state << 20
         return path
@@ -157,7 +184,7 @@ class TokenAutomaton:
 
 #: Code points whose split, case and normal form need no Unicode tables: below U+0250,
 #: without the number-like and case-changing exceptions, and common punctuation.
-_UNUSUAL = re.compile("[^\t-\r -\x7e\x85\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧€]")
+_UNUSUAL = re.compile("[^\t-\r -\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧€]")
 #: The splitting rule of the vocabulary, restricted to those code points.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
@@ -220,10 +247,12 @@ class WordBpe:
 
     def _encode_plain(self, word: str) -> bytes:
         """Ids of a run without white space: its pieces one by one, or one piece."""
-        pieces = _SPLIT.findall(word)
-        if len(pieces) > 1:
-            return b"".join(map(self.words.__getitem__, pieces))
-        return self._encode_symbols("".join(map(self.symbols.__getitem__, word.encode())))
+        if not word.isalpha():
+            pieces = _SPLIT.findall(word)
+            if len(pieces) > 1:
+                return b"".join(map(self.words.__getitem__, pieces))
+        # Printable ASCII stands for itself among the byte symbols.
+        return self._encode_symbols(word if word.isascii() else "".join(map(self.symbols.__getitem__, word.encode())))
 
     def _encode_symbols(self, word: str) -> bytes:
         return array("I", self.automaton.run(word)).tobytes()
@@ -248,6 +277,32 @@ class WordBpe:
         out.append(self._encode_part(text[at:]))
         return b"".join(out)
 
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """Packed ids of a column of texts.
+
+        Ordinary texts are split together and each distinct run is looked up once; the ids of
+        all texts are then gathered by the runs' numbers. Runs of digits are still split.
+        """
+        texts = column.to_pylist()
+        plain = [bool(t) and "<|" not in t and "'" not in t and not _UNUSUAL.search(t) for t in texts]
+        if not any(plain):
+            return [self.encode(t) for t in texts]
+        # Without apostrophes a run of marks is one piece whatever surrounds it.
+        apart = pc.replace_substring_regex(pc.utf8_lower(column.filter(pa.array(plain))), r"([^\s\p{L}\p{N}]+)", r" \1 ")
+        runs = pc.utf8_split_whitespace(apart)
+        coded = runs.flatten().dictionary_encode()
+        packed = list(map(self.words.__getitem__, coded.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        number = coded.indices.to_numpy()
+        counts = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        shift = (np.cumsum(sizes) - sizes)[number] - ends[:-1]
+        ids = np.frombuffer(b"".join(packed), np.uint32)[np.arange(ends[-1]) + np.repeat(shift, counts)]
+        bounds = ends[runs.offsets.to_numpy() - runs.offsets[0].as_py()]
+        spans = zip(bounds[:-1].tolist(), bounds[1:].tolist())
+        made = (ids[a:b].tobytes() for a, b in spans)
+        return [next(made) if p else self.encode(t) for t, p in zip(texts, plain)]
+
     def decode(self, ids: bytes) -> str:
         """Arc labels joined by a space, as a vocabulary without a decoder is read back."""
         return " ".join(map(self.arc_labels.__getitem__, array("I", ids)))
@@ -263,7 +318,7 @@ def open_bpe(path: str) -> WordBpe:
     return _OPEN[path]
 
 
-def rows_in_slices(batch: pa.RecordBatch, text_at: int, most_bytes: int = 4 << 20, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
+def rows_in_slices(batch: pa.RecordBatch, text_at: int, most_bytes: int = 4 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most_bytes`` of text each, so that outputs stay small."""
     column = batch.column(text_at)
     per_row = max(1, column.nbytes // max(1, len(column)))
@@ -288,7 +343,7 @@ def encode(df: DataFrame, text: str = "text", tokenizer: str | None = None, ids:
         bpe = open_bpe(path)
         for batch in batches:
             for part in rows_in_slices(batch, batch.schema.get_field_index(text)):
-                packed = [bpe.encode(t) for t in part.column(text).to_pylist()]
+                packed = bpe.encode_column(part.column(text))
                 arrays = [part.column(n) for n in names] + [pa.array(packed, pa.binary())]
                 if decoded:
                     arrays.append(pa.array([bpe.decode(p) for p in packed], pa.string()))

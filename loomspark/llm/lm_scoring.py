@@ -79,7 +79,7 @@ def encoded(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
         width = id_type(len(bpe.arc_labels))
         for batch in batches:
             for part in rows_in_slices(batch, 1):
-                packed = [np.frombuffer(bpe.encode(t), np.uint32).astype(width).tobytes() for t in part.column(1).to_pylist()]
+                packed = [np.frombuffer(p, np.uint32).astype(width).tobytes() for p in bpe.encode_column(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
 
     return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(frugal(work), f"doc_id {kind}, ids binary")

@@ -66,8 +66,8 @@ def cut_documents(df: DataFrame, doc_id: str, text: str, tokenizer: str | None,
         for batch in batches:
             for part in rows_in_slices(batch, 1):
                 rows: list[list] = [[] for _ in names]
-                for doc, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = bpe.encode(content) + last
+                for doc, packed in zip(part.column(0).to_pylist(), bpe.encode_column(part.column(1))):
+                    ids = packed + last
                     total, start = len(ids) // 4, 0
                     for n in cut_lengths(total, capacity, smallest):
                         group = capacity // n
