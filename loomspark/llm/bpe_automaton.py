@@ -44,7 +44,7 @@ START = -1
 INNER, FINAL = 1, 2
 #: The labels that open a stretch of so many symbols are kept, for so many stretches; the mark
 #: stands behind a stretch that ends the word (it is no byte symbol).
-WINDOW, WINDOWS_KEPT = 5, 150_000
+WINDOW, WINDOWS_KEPT = 5, 30_000
 END_MARK = "\0"
 
 
@@ -224,7 +224,7 @@ class WordBpe:
     Ids are packed as little-endian unsigned 32-bit integers.
     """
 
-    def __init__(self, path: str, cache_words: int = 250_000):
+    def __init__(self, path: str, cache_words: int = 200_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -248,8 +248,9 @@ class WordBpe:
     def _encode_plain(self, word: str) -> bytes:
         """Ids of a run without white space: its pieces one by one, or one piece."""
         if not word.isalpha():
+            # Splitting a column can leave white space at a mark; pieces never hold any.
             pieces = _SPLIT.findall(word)
-            if len(pieces) > 1:
+            if pieces != [word]:
                 return b"".join(map(self.words.__getitem__, pieces))
         # Printable ASCII stands for itself among the byte symbols.
         return self._encode_symbols(word if word.isascii() else "".join(map(self.symbols.__getitem__, word.encode())))

@@ -10,6 +10,7 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,17 @@ def test_encoding_is_the_librarys(bpe):
         assert array("I", bpe.encode(text)).tolist() == library_ids(bpe, text), repr(text)
 
 
+def test_columns_are_encoded_like_single_texts(bpe):
+    rng = random.Random(8)
+    texts = [*ODD, *("".join(rng.choice("abcdeth ins.,!_-\n\tÉéßñ0123…“”'") for _ in range(rng.randint(0, 60))) for _ in range(2000))]
+    texts += ["lorem ipsum " * rng.randint(1, 50) + rng.choice([".", "!!", " ", "x"]) for _ in range(300)]
+    for got, text in zip(bpe.encode_column(pa.array(texts, pa.string())), texts):
+        assert array("I", got).tolist() == library_ids(bpe, text), repr(text)
+    assert bpe.encode_column(pa.array([], pa.string())) == [] and bpe.encode_column(pa.array([None])) == [b""]
+    for run in (". ", "!! ", " a", "a b", ""):
+        assert array("I", bpe.words[run]).tolist() == library_ids(bpe, run)
+
+
 def test_decoding_emits_labels(bpe):
     for text in ODD:
         assert bpe.decode(bpe.encode(text)) == bpe.library.decode(library_ids(bpe, text), skip_special_tokens=False)
