@@ -1,10 +1,15 @@
 """Cross-entropy difference of matched target and background n-gram models.
 
 Both models are interpolated bigram models over one vocabulary, the ids of a public BPE
-tokenizer, with the same smoothing; they differ only in the documents counted. Bigram counts
-are kept in ``2 ** BUCKET_BITS`` hash buckets, so a model has a fixed size whatever the
-corpus. All documents are counted: each task adds up its own and sends its non-empty
-counters, which are summed by bucket.
+tokenizer, with the same smoothing; they differ only in the documents counted. Every distinct
+pair of neighbouring tokens has counters of its own, so a model grows with its corpus.
+
+1. Texts are encoded once, in blocks of about ``BLOCK_TOKENS`` tokens.
+2. Each block sends its distinct pairs with their counts; summed by pair, they are the model.
+3. The model is joined to the pairs of each block, and a block's documents are scored with the
+   counts of the block's own pairs. No task holds more of the model than one block asks for.
+
+Only counts of single tokens, bounded by the vocabulary, reach the driver.
 
 A document's score is the mean over its tokens of its target loss less its background loss,
 in nats: negative for text that is more like the target.
@@ -20,20 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.bpe_automaton import open_bpe, rows_in_slices
-from loomspark.llm.common import cut_lineage, default_tokenizer_path, frugal, read_table, small_batches
+from loomspark.llm.common import cut_lineage, default_tokenizer_path, frugal, read_table, small_batches, written
 from loomspark.llm.near_duplicates import BROADCAST_IDS
 
-BUCKET_BITS = 22
+#: Tokens after which a block ends; only a longer text makes a longer block.
+BLOCK_TOKENS = 2_000_000
 BIGRAM_WEIGHT = 0.7
 
 
-def bucket_of(previous: np.ndarray, token: np.ndarray, vocabulary: int, bits: int = BUCKET_BITS) -> np.ndarray:
-    key = previous.astype(np.uint64) * np.uint64(vocabulary + 1) + token.astype(np.uint64) + np.uint64(1)
-    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+def pair_keys(previous: np.ndarray, token: np.ndarray, vocabulary: int) -> np.ndarray:
+    """One number for each pair; ``vocabulary`` stands for the start of a text."""
+    return previous * (vocabulary + 1) + token
 
 
 def id_type(vocabulary: int) -> type:
@@ -51,108 +58,140 @@ def token_arrays(packed: list[bytes], vocabulary: int, width: type) -> tuple[np.
     return token, previous, sizes
 
 
-class NgramModels:
-    """Counts of both models: row 0 target, row 1 background."""
+class TokenCounts:
+    """Counts of single tokens in both models: row 0 target, row 1 background."""
 
-    def __init__(self, vocabulary: int, unigrams: np.ndarray, bigrams: np.ndarray, starts: np.ndarray, bits: int = BUCKET_BITS):
-        self.vocabulary, self.bigrams, self.bits = vocabulary, bigrams.astype(np.float32), bits
+    def __init__(self, vocabulary: int, unigrams: np.ndarray, starts: np.ndarray):
+        self.vocabulary = vocabulary
         self.contexts = np.concatenate([unigrams, starts[:, None]], axis=1).astype(np.float64)
         self.single = (unigrams + 1.0) / (unigrams.sum(axis=1, keepdims=True) + vocabulary)
 
-    def losses(self, token: np.ndarray, previous: np.ndarray) -> np.ndarray:
-        """The loss of every token under both models."""
-        bucket = bucket_of(previous, token, self.vocabulary, self.bits)
-        out = np.empty((2, len(token)))
+    def losses(self, keys: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+        """The loss of every pair under both models, given its counts."""
+        previous, token = np.divmod(keys, self.vocabulary + 1)
+        out = np.empty((2, len(keys)))
         for m in range(2):
-            pair = np.minimum(self.bigrams[m].take(bucket), self.contexts[m].take(previous))
-            share = pair / np.maximum(self.contexts[m].take(previous), 1.0)
+            share = counts[m] / np.maximum(self.contexts[m].take(previous), 1.0)
             out[m] = -np.log(BIGRAM_WEIGHT * share + (1 - BIGRAM_WEIGHT) * self.single[m].take(token))
         return out
 
 
-def encoded(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
-    """doc_id and the packed ids of the whole text, in as few bytes an id as the vocabulary needs."""
-    kind = dict(docs.dtypes)[doc_id]
+def encoded(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """doc_id, target, block and the packed ids of the whole text, in as few bytes an id as
+    the vocabulary needs, of rows (doc_id, target, text)."""
+    kind = dict(docs.dtypes)["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = open_bpe(path)
         width = id_type(len(bpe.arc_labels))
+        block, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for part in rows_in_slices(batch, 1):
-                packed = [np.frombuffer(p, np.uint32).astype(width).tobytes() for p in bpe.encode_column(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
-
-    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(frugal(work), f"doc_id {kind}, ids binary")
-
-
-def counted(rows: DataFrame, vocabulary: int, bits: int) -> DataFrame:
-    """Counters (slot, target, background) of rows (ids, target); bigram buckets come first,
-    then the tokens, then the number of texts with a token."""
-    pairs, width = 1 << bits, id_type(vocabulary)
+            for part in rows_in_slices(batch, 2):
+                packed, blocks = [], []
+                for ids in bpe.encode_column(part.column(2)):
+                    if held >= block_tokens:
+                        block, held = block + 1, 0
+                    packed.append(np.frombuffer(ids, np.uint32).astype(width).tobytes())
+                    blocks.append(block)
+                    held += len(ids) // 4
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blocks, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "target", "block", "ids"])
+
+    return small_batches(docs).select("doc_id", "target", "text").mapInArrow(frugal(work), f"doc_id {kind}, target boolean, block long, ids binary")
+
+
+def counted(rows: DataFrame, vocabulary: int) -> DataFrame:
+    """block, pair and its counts (target, background) of rows whose blocks stand together."""
+    width = id_type(vocabulary)
+
+    def summed(block: int, found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, counts = (np.concatenate(x) for x in zip(*found))
+        keys, at = np.unique(keys, return_inverse=True)
+        both = [np.bincount(at, counts[:, m], len(keys)).astype(np.int64) for m in range(2)]
+        for i in range(0, len(keys), 1 << 16):
+            s = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[s]), block)), *(pa.array(x[s]) for x in (keys, *both))], ["block", "pair", "target", "background"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, pairs + vocabulary + 1), np.int64)
+        current, found = None, []
         for batch in batches:
-            for part in rows_in_slices(batch, 0, most_bytes=2 << 20):
-                flags = part.column(1).to_pylist()
-                packed = part.column(0).to_pylist()
-                for m, flag in enumerate((True, False)):
-                    token, previous, sizes = token_arrays([p for p, f in zip(packed, flags) if f == flag], vocabulary, width)
-                    np.add.at(counts[m], bucket_of(previous, token, vocabulary, bits), 1)
-                    np.add.at(counts[m], pairs + token, 1)
-                    counts[m, -1] += int((sizes > 0).sum())
-        used = np.flatnonzero(counts.any(axis=0))
-        for at in range(0, len(used), 1 << 16):
-            some = used[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[0, some]), pa.array(counts[1, some])], ["slot", "target", "background"])
-
-    parts = rows.mapInArrow(frugal(work), "slot int, target long, background long")
-    return parts.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def fit(ids: DataFrame, targets: DataFrame, vocabulary: int, bits: int = BUCKET_BITS) -> NgramModels:
-    """Count all documents (doc_id, ids); ``targets`` holds the ids of target documents.
-
-    The result has at most ``2 ** bits`` plus the vocabulary counters, however many documents.
-    Few target ids are broadcast; more are joined.
-    """
-    flags = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("__target", F.lit(True))
-    few = flags.count() <= BROADCAST_IDS
-    rows = ids.join(F.broadcast(flags) if few else flags, "doc_id", "left").select("ids", F.coalesce("__target", F.lit(False)).alias("target"))
-    table = counted(rows, vocabulary, bits).toPandas()
-    pairs = 1 << bits
-    counts = np.zeros((2, pairs + vocabulary + 1), np.int64)
+            for part in rows_in_slices(batch, 2, most_bytes=1 << 20):
+                blocks, flags, packed = np.array(part.column(0)), np.array(part.column(1).to_pylist(), bool), part.column(2).to_pylist()
+                for block in np.unique(blocks).tolist():
+                    if block != current and found:
+                        yield from summed(current, found)
+                        found = []
+                    current = block
+                    mine = np.flatnonzero(blocks == block)
+                    token, previous, sizes = token_arrays([packed[i] for i in mine], vocabulary, width)
+                    keys, at = np.unique(pair_keys(previous, token, vocabulary), return_inverse=True)
+                    target = np.bincount(at, np.repeat(flags[mine], sizes), len(keys))
+                    found.append((keys, np.stack([target, np.bincount(at, minlength=len(keys)) - target], axis=1)))
+        if found:
+            yield from summed(current, found)
+
+    return small_batches(rows).select("block", "target", "ids").mapInArrow(frugal(work), "block long, pair long, target long, background long")
+
+
+def fit(pairs: DataFrame, vocabulary: int) -> tuple[DataFrame, TokenCounts]:
+    """The model of all pairs (pair, target, background), and the counts of single tokens."""
+    sums = [F.sum(m).alias(m) for m in ("target", "background")]
+    model = pairs.groupBy("pair").agg(*sums)
+    start = F.col("pair") >= vocabulary * (vocabulary + 1)
+    # One row a token of the vocabulary, and one for the starts.
+    token = (F.col("pair") % (vocabulary + 1)).cast("int").alias("token")
+    table = pairs.groupBy(token).agg(*sums, *(F.sum(F.when(start, F.col(m)).otherwise(0)).alias(f"{m}_starts") for m in ("target", "background"))).toPandas()
+    unigrams, starts = np.zeros((2, vocabulary), np.int64), np.zeros(2, np.int64)
     for m, name in enumerate(("target", "background")):
-        counts[m, table["slot"].to_numpy()] = table[name].to_numpy()
-    return NgramModels(vocabulary, counts[:, pairs:-1], counts[:, :pairs], counts[:, -1], bits)
+        unigrams[m, table["token"].to_numpy(np.int64)] = table[name].to_numpy(np.int64)
+        starts[m] = table[f"{name}_starts"].sum()
+    return model, TokenCounts(vocabulary, unigrams, starts)
 
 
-def score(ids: DataFrame, models: NgramModels) -> DataFrame:
+def score(rows: DataFrame, pairs: DataFrame, model: DataFrame, tokens: TokenCounts) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (losses a token, in nats)."""
-    shared = ids.sparkSession.sparkContext.broadcast(models)
-    kind, width = dict(ids.dtypes)["doc_id"], id_type(models.vocabulary)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
+    shared = rows.sparkSession.sparkContext.broadcast(tokens)
+    kind, width = dict(rows.dtypes)["doc_id"], id_type(tokens.vocabulary)
+    names = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
+
+    def work(texts: pa.Table, known: pa.Table) -> pa.Table:
+        tokens = shared.value
+        keys = known.column("pair").to_numpy()
+        order = np.argsort(keys)
+        keys = keys[order]
+        losses = tokens.losses(keys, [known.column(m).to_numpy()[order] for m in ("target", "background")])
+        done = []
+        for batch in texts.select(["doc_id", "ids"]).to_batches():
             for part in rows_in_slices(batch, 1, most_bytes=1 << 20):
-                token, previous, sizes = token_arrays(part.column(1).to_pylist(), model.vocabulary, width)
-                sums = np.concatenate([np.zeros((2, 1)), np.cumsum(model.losses(token, previous), axis=1)], axis=1)
+                token, previous, sizes = token_arrays(part.column(1).to_pylist(), tokens.vocabulary, width)
+                found, at = np.unique(pair_keys(previous, token, tokens.vocabulary), return_inverse=True)
+                mine = losses[:, np.searchsorted(keys, found)]
+                sums = np.concatenate([np.zeros((2, 1)), np.cumsum(mine[:, at], axis=1)], axis=1)
                 ends = np.cumsum(sizes)
                 means = (sums[:, ends] - sums[:, ends - sizes]) / np.maximum(sizes, 1)
                 none = sizes == 0
                 columns = [pa.array(x, pa.float64(), mask=none) for x in (means[0], means[1], means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+                done.append(pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *columns], names))
+        return pa.Table.from_batches(done)
+
+    asked = pairs.select("block", "pair").join(model, "pair")
+    texts = rows.select("doc_id", "block", "ids")
+    schema = f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double"
+    return texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(work, schema)
 
-    return ids.mapInArrow(frugal(work), f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Encode all texts once, fit both models on them and score every document.
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, bits: int = BUCKET_BITS) -> DataFrame:
-    """Encode all texts once, fit both models on them and score every document."""
+    ``targets`` holds the ids of target documents: few are broadcast, more are joined.
+    """
     path = tokenizer or default_tokenizer_path()
     vocabulary = len(open_bpe(path).arc_labels)
-    ids = cut_lineage(encoded(docs, doc_id, text, path))
-    return score(ids, fit(ids, targets, vocabulary, bits))
+    flags = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("__target", F.lit(True))
+    few = flags.count() <= BROADCAST_IDS
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(flags) if few else flags, "doc_id", "left")
+    rows = cut_lineage(encoded(texts.select("doc_id", F.coalesce("__target", F.lit(False)).alias("target"), "text"), path, block_tokens))
+    pairs = written(counted(rows, vocabulary), "pairs")
+    return score(rows, pairs, *fit(pairs, vocabulary))
 
 
 def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,3 +185,29 @@ def test_language_model_scores(spark, bpe):
     assert got[2]["score"] < 0 < got[1]["score"]
     assert lm_scoring.cross_entropy_difference(df.limit(0), labels).count() == 0
     assert lm_scoring.cross_entropy_difference(df, labels.limit(0)).where(F.col("score").isNotNull()).count() == 5
+
+
+def test_bigrams_never_share_a_counter(spark, bpe):
+    """Two pairs that 2^22 hash buckets would count together; blocks don't matter either."""
+    vocabulary = len(bpe.arc_labels)
+    words = [w for w in (a + b + c for a in "bcdfglmnprst" for b in "aeiou" for c in "bdgklmnprst") if len(library_ids(bpe, w)) == 1]
+    ids = {w: library_ids(bpe, w)[0] for w in words}
+    seen = {}
+    for p in words:
+        for x in words:
+            bucket = ((ids[p] * (vocabulary + 1) + ids[x] + 1) * 0x9E3779B97F4A7C15 % 2**64) >> 42
+            if bucket in seen and len({p, x, *seen[bucket]}) == 4:
+                break
+            seen[bucket] = (p, x)
+        else:
+            continue
+        break
+    (q, y), other = seen[bucket], next(w for w in words if w not in (p, x, *seen[bucket]))
+    texts = [f"{p} {x}"] * 50 + [f"{q} {other}"] * 9 + [f"{q} {y}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i,) for i in range(0, 50, 2)], "doc_id long")
+    rows = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(df, labels).collect()}
+    loss = -math.log(0.7 * 10 / 35 + 0.3 * 11 / (70 + vocabulary)) - math.log(0.7 * 1 / 10 + 0.3 * 2 / (70 + vocabulary))
+    assert math.isclose(rows[59]["background_loss"], loss / 2, rel_tol=1e-9)
+    small = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(df, labels, block_tokens=3).collect()}
+    assert len(small) == 60 and all(np.allclose(small[i][1:], rows[i][1:]) for i in rows)
