@@ -1,14 +1,15 @@
 """Near-duplicate classes with ProbMinHash signatures, banding and exact verification.
 
 Words are the runs between white space, lower-cased, without punctuation; a document's
-elements are its shingles of five words (of all its words, if fewer), weighted by
-``1 + ln(count)``. Every element sends arrivals of a Poisson process whose rate is its weight
+elements are its shingles of five words (of all its words, if fewer). A document has a
+signature of unit weights, whose agreement follows the similarity that is verified; one that
+repeats shingles has a second, with weights ``1 + ln(count)``, in the same buckets. Every element sends arrivals of a Poisson process whose rate is its weight
 to random registers; a register keeps the first arrival, so two documents agree in a register
 with probability equal to their probability Jaccard similarity. An element stops once its
 next arrival is later than the latest register, usually after one or two arrivals.
 
 1. Documents of equal word sequences form a group; one of them stands for it from here on.
-2. Registers are banded; a bucket is a band with equal registers.
+2. Registers are banded; a bucket is a band with equal registers, of either signature.
 3. Candidate links: to a bucket's leader, the member that shares large buckets most often,
    and all pairs in buckets of up to ``SMALL_BUCKET``. First each document's most frequent
    leader is verified, then only candidates whose ends are not connected yet.
@@ -129,19 +130,22 @@ def signature_rows(docs: DataFrame, bands: int, rows: int, shingle: int) -> Data
         known = WordHashes()
         for batch in batches:
             for part in rows_in_slices(batch, 1, most_bytes=1 << 20, most_rows=2048):
-                keys, elements, weights, shown = [], [], [], []
+                keys, elements, weights, owners = [], [], [], []
                 for text in part.column(1).to_pylist():
                     words = word_hashes(text, known)
                     digest = hashlib.blake2b(words.tobytes() if len(words) else b"=" + text.encode(), digest_size=16).digest()
                     keys.append(np.frombuffer(digest, np.int64))
-                    shown.append(len(words) > 0)
                     if len(words):
                         found, counts = np.unique(shingle_hashes(words, shingle), return_counts=True)
-                        elements.append(found)
-                        weights.append(1.0 + np.log(counts))
-                buckets = iter(bucket_ids(signatures(elements, weights, bands * rows), bands, rows))
+                        for weight in [np.ones(len(found)), 1.0 + np.log(counts)][: 1 + bool(counts.max() > 1)]:
+                            owners.append(len(keys) - 1)
+                            elements.append(found)
+                            weights.append(weight)
+                held: list[list[np.ndarray]] = [[] for _ in keys]
+                for owner, ids in zip(owners, bucket_ids(signatures(elements, weights, bands * rows), bands, rows)):
+                    held[owner].append(ids)
                 both = np.array(keys)
-                lists = pa.array([next(buckets) if s else [] for s in shown], pa.list_(pa.int64()))
+                lists = pa.array([np.unique(np.concatenate(h)) if h else [] for h in held], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), lists], ["doc_id", "k1", "k2", "buckets"])
 
     return small_batches(docs).mapInArrow(frugal(work), "doc_id long, k1 long, k2 long, buckets array<long>")

@@ -197,6 +197,18 @@ def test_near_duplicates_in_one_large_group(spark):
     assert {r["doc_id"]: r["class_id"] for r in rows} == want and len(rows) == len(docs)
 
 
+def test_near_duplicates_that_repeat_lines(spark):
+    docs = {}
+    for i in range(60):
+        often, once, more = ([f"{k}{i}x{n}" for n in range(size)] for k, size in (("a", 20), ("b", 30), ("c", 3)))
+        docs[2 * i] = " ".join(often * 60 + once)
+        docs[2 * i + 1] = " ".join(often * 2 + once + more)
+    want = brute_classes(docs)
+    assert all(want[2 * i + 1] == 2 * i for i in range(60))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(df).collect()} == want
+
+
 def test_near_duplicate_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (5, None)], "doc_id long, text string")
     rows = sorted((r["doc_id"] or -1, r["class_id"] or -1) for r in near_duplicates.near_duplicate_classes(df).collect())
