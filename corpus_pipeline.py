@@ -13,14 +13,12 @@ from loomspark.llm import language_id, near_duplicates, packing, secrets
 from loomspark.llm.common import read_table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text whose best language has less than this share of the probability is rejected.
-LEAST_SCORE = 0.26
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter, and those that no language fits."""
-    seen = language_id.predict(docs.select(*COLUMNS), language_id.fit(docs))
-    return seen.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    seen = language_id.predict(docs.select(*COLUMNS), language_id.fit(docs, other=True))
+    return seen.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ look-ups for all filters.
 Defined cases: a null text or one without a letter is ``und`` with score 0; texts are read
 whole at any length; without any labelled row every text is ``und``; ties go to the language
 first in alphabetical order; repeated rows get equal predictions; other columns are kept.
+A model that was fitted with ``other`` gives ``und`` to texts that no learned language fits too.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ FILTERS = 16
 SAMPLE_PER_LANGUAGE = 800
 UNKNOWN = "und"
 CHUNK = 1 << 16
+#: Part of the labelled windows held out that may be taken for no language.
+HELD_OUT_REJECTED = 0.005
+#: First letter and number of letters: Greek, Cyrillic, Hebrew, Arabic, Devanagari, kana, Han, Hangul.
+OTHER_SCRIPTS = ((0x3B1, 25), (0x430, 32), (0x5D0, 27), (0x628, 35), (0x905, 53), (0x3041, 86), (0x4E00, 2000), (0xAC00, 2000))
 
 
 @dataclass
@@ -163,10 +168,61 @@ def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", held_out_fold: int = 2, per_language: int = SAMPLE_PER_LANGUAGE) -> ByteCnn | None:
+def pretender(text: str, kind: int, rng: np.random.Generator) -> str:
+    """A text in the shape of ``text`` that is of none of its languages: a letter cipher (kind
+    0, 1), random letters (2) or letters of another script (3)."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    if kind == 3:
+        first, size = OTHER_SCRIPTS[int(rng.integers(len(OTHER_SCRIPTS)))]
+        return "".join(chr(first + int(rng.integers(size))) if c.isalpha() else c for c in text)
+    if kind == 2:
+        return "".join(letters[int(rng.integers(26))] if c.isalpha() else c for c in text)
+    key = dict(zip(letters, rng.permutation(list(letters)).tolist()))
+    marked = {c: letters[int(rng.integers(26))] for c in set(text.lower()) if c.isalpha() and c not in key}
+    return "".join((key | marked).get(c, c) for c in text.lower())
+
+
+def train_with_other(texts: list[str], labels: list[str], seed: int = 11) -> ByteCnn:
+    """A network with one more class, ``und``, learned from pretenders.
+
+    Windows and their first whole words are learned alike, so short texts are calibrated too. Every
+    fifth labelled text is held out: the offset of ``und`` is then lowered until no more than
+    ``HELD_OUT_REJECTED`` of their windows would be rejected.
+    """
+    rng = np.random.default_rng(seed)
+    held = np.arange(len(texts)) % 5 == 4
+
+    def start(t: str) -> str:
+        words = t.split()
+        # A window may begin inside a word.
+        return " ".join((words[1:] or words)[: int(rng.integers(1, 7))])
+
+    given, names, kept = [], [], []
+    for i, (t, label) in enumerate(zip(texts, labels)):
+        both = [t, start(t)]
+        if held[i]:
+            kept += both
+            continue
+        given += both + [pretender(x, (i + k) % 4, rng) for k, x in enumerate(both)]
+        names += [label, label, UNKNOWN, UNKNOWN]
+    model = train([t.encode()[:WINDOW] for t in given], names)
+    kept = [t.encode()[:WINDOW] for t in kept if any(c.isalpha() for c in t)]
+    if kept:
+        stream = np.zeros((len(kept), WINDOW), np.uint8)
+        for row, t in zip(stream, kept):
+            row[: len(t)] = model.classes[np.frombuffer(t, np.uint8)]
+        chance = np.log(np.maximum(model.windows(stream.reshape(-1)), 1e-30))
+        at = model.languages.index(UNKNOWN)
+        margin = chance[:, at] - np.delete(chance, at, axis=1).max(axis=1)
+        model.offset[at] -= max(0.0, float(np.quantile(margin, 1 - HELD_OUT_REJECTED)))
+    return model
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", held_out_fold: int = 2, per_language: int = SAMPLE_PER_LANGUAGE, other: bool = False) -> ByteCnn | None:
     """Train on a sample bounded by ``per_language`` expected documents of each language.
 
     One window a sampled document, at an offset that its id decides, reaches the driver.
+    ``other`` adds a class for texts in none of the languages.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold_of(F.col(doc_id)) != held_out_fold))
@@ -183,6 +239,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     )
     sample = sorted((r["id"], r["__lang"], r["window"]) for r in taken.collect())
     sample = [s for s in sample if s[2].strip()]
+    if other and sample:
+        return train_with_other([s[2] for s in sample], [s[1] for s in sample])
     return train([s[2].encode() for s in sample], [s[1] for s in sample]) if sample else None
 
 

@@ -268,6 +268,27 @@ def test_pipeline_stages(spark, data):
     assert {r["doc_id"] for r in final.select("doc_id").distinct().collect()} == set(classes.values())
 
 
+def test_pipeline_rejects_junk_and_foreign_texts(spark):
+    import corpus_pipeline
+
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rng = random.Random(12)
+    bad = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(60)) for _ in range(20)]
+    bad += [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+    ]
+    extra = spark.createDataFrame([(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(bad)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(extra), data).select("doc_id").collect()}
+    clean = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert len(clean - kept) <= 0.002 * len(clean)
+    assert [i for i in kept if i >= 10**6] == []
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 5), st.integers(-3, 3), st.integers(0, 2)), min_size=1, max_size=40))
 def test_splitters_locate_by_counting(points):
