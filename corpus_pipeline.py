@@ -33,8 +33,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, payload="crc")
+    """Pieces of all documents, with their ids, in sequences of 2048 tokens."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [

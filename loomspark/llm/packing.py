@@ -18,7 +18,6 @@ rows. A null document id is kept.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,6 +29,7 @@ from pyspark.sql import types as T
 
 from loomspark.llm.bpe_automaton import open_bpe, rows_in_slices
 from loomspark.llm.common import cut_lineage, default_tokenizer_path, frugal, read_table, small_batches
+from loomspark.llm.near_duplicates import BROADCAST_IDS
 
 CAPACITY = 2048
 #: Shortest piece that a remainder is cut into; what is left is the tail.
@@ -49,15 +49,11 @@ def cut_lengths(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> l
     return out + [rest] * (rest > 0)
 
 
-def cut_documents(df: DataFrame, doc_id: str, text: str, tokenizer: str | None, capacity: int, smallest: int, end_id: int, payload: str) -> DataFrame:
-    """One row a piece; ``worker`` and ``nth`` number the pieces of each ``class``.
-
-    ``payload`` is "ids" for the packed ids themselves or "crc" for their CRC-32 only.
-    """
+def cut_documents(df: DataFrame, doc_id: str, text: str, tokenizer: str | None, capacity: int, smallest: int, end_id: int) -> DataFrame:
+    """One row a piece with its ids; ``worker`` and ``nth`` number the pieces of each ``class``."""
     path = tokenizer or default_tokenizer_path()
     kind = dict(df.dtypes)[doc_id]
-    value = "ids binary" if payload == "ids" else "ids_crc32 bigint"
-    schema = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, class int, worker int, nth bigint, {value}"
+    schema = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, class int, worker int, nth bigint, ids binary"
     names = [f.name for f in T.StructType.fromDDL(schema).fields]
     last = end_id.to_bytes(4, "little")
 
@@ -72,11 +68,11 @@ def cut_documents(df: DataFrame, doc_id: str, text: str, tokenizer: str | None,
                     for n in cut_lengths(total, capacity, smallest):
                         group = capacity // n
                         piece = ids[4 * start : 4 * (start + n)]
-                        for column, x in zip(rows, (doc, start, n, total, group, worker, seen[group], piece if payload == "ids" else zlib.crc32(piece))):
+                        for column, x in zip(rows, (doc, start, n, total, group, worker, seen[group], piece)):
                             column.append(x)
                         seen[group] += 1
                         start += n
-                types = [part.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary() if payload == "ids" else pa.int64()]
+                types = [part.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names)
 
     return small_batches(df).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(frugal(work), schema)
@@ -105,12 +101,18 @@ def pack_documents(
     end_id: int = END_ID,
     payload: str = "ids",
 ) -> DataFrame:
-    """Pieces with their ``sequence_id`` and ``offset`` in it (see the module's notes)."""
+    """Pieces with their ids, ``sequence_id`` and ``offset`` in it (see the module's notes).
+
+    With ``payload`` "crc" the CRC-32 of a piece's ids is given in their place, taken from the
+    finished pieces.
+    """
     spark = df.sparkSession
-    pieces = cut_lineage(cut_documents(df, doc_id, text, tokenizer, capacity, smallest, end_id, payload))
+    pieces = cut_lineage(cut_documents(df, doc_id, text, tokenizer, capacity, smallest, end_id))
     counts = pieces.groupBy("worker", "class").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("worker", "class", (F.sum("n").over(Window.partitionBy("class").orderBy("worker")) - F.col("n")).alias("before"))
-    ranked = pieces.join(before, ["worker", "class"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # A few rows a worker; a shuffle for this join would move all ids once more.
+    few = before.count() <= BROADCAST_IDS
+    ranked = pieces.join(F.broadcast(before) if few else before, ["worker", "class"]).withColumn("rank", F.col("before") + F.col("nth"))
 
     # One row a class, and there are at most `capacity` classes: bounded by a parameter.
     totals = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}
@@ -125,8 +127,13 @@ def pack_documents(
     last = F.broadcast(spark.createDataFrame([(group, base + at) for group, at in joined.items()], "class int, last long"))
     placed = placed.join(last, "class", "left").withColumn("sequence_id", F.when(F.col("bin") < F.col("whole"), F.col("base") + F.col("bin")).otherwise(F.col("last")))
     earlier = Window.partitionBy("sequence_id").orderBy("class", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    value = "ids" if payload == "ids" else "ids_crc32"
-    return placed.select("doc_id", "start", "length", value, "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long").alias("offset"))
+    out = placed.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long").alias("offset"))
+    return digests(out) if payload == "crc" else out
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """The pieces with the CRC-32 of their ids in the place of the ids."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def assemble_sequences(pieces: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
@@ -145,4 +152,4 @@ def assemble_sequences(pieces: DataFrame, capacity: int = CAPACITY, pad_id: int
 
 
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read_table(spark, sf_dir, "documents"), payload="crc")
+    return digests(pack_documents(read_table(spark, sf_dir, "documents")))

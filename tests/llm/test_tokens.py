@@ -211,3 +211,17 @@ def test_bigrams_never_share_a_counter(spark, bpe):
     assert math.isclose(rows[59]["background_loss"], loss / 2, rel_tol=1e-9)
     small = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(df, labels, block_tokens=3).collect()}
     assert len(small) == 60 and all(np.allclose(small[i][1:], rows[i][1:]) for i in rows)
+
+
+def test_op5_digests_come_from_the_ids_packed(spark, data, bpe, monkeypatch):
+    import corpus_pipeline
+
+    made = []
+    pack = packing.pack_documents
+    monkeypatch.setattr(packing, "pack_documents", lambda *a, **k: made.append(pack(*a, **k)) or made[-1])
+    got = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in registry.queries()["op5_harmonic_packing"](spark, data).collect()}
+    assert got == {(r["doc_id"], r["start"]): zlib.crc32(bytes(r["ids"])) for r in made[0].collect()}
+    docs = spark.createDataFrame([(1, "of the " * 700), (2, "a b c")], "doc_id long, text string")
+    out = corpus_pipeline.pack_sequences(spark, docs, data)
+    ids = {i: b"".join(bytes(r["ids"]) for r in sorted(out.where(f"doc_id = {i}").collect(), key=lambda r: r["start"])) for i in (1, 2)}
+    assert array("I", ids[1]).tolist() == [*library_ids(bpe, "of the " * 700), 1] and array("I", ids[2]).tolist() == [*library_ids(bpe, "a b c"), 1]
