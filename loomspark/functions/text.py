@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Ids of special tokens start above the Unicode range, so they never meet a code point.
 SPECIAL = 0x110000
-BOS_ID, EOS_ID, PAD_ID = SPECIAL, SPECIAL + 1, SPECIAL + 2
+BOS_ID, EOS_ID, PAD_ID, TEXT_END_ID, MEDIA_ID = (SPECIAL + i for i in range(5))
 IGNORE = -100
 
 

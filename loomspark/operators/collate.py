@@ -45,34 +45,57 @@ def plan_packing(lengths: DataFrame, capacity: int, batch: str, order: str) -> D
     return lengths.groupBy(batch).applyInPandas(plan, schema)
 
 
+MEDIA = ("images", "videos", "audios")
+
+
 def pack_sft(rows: DataFrame, cutoff: int, batch: str, order: str, neat: bool = False, pad_id: int = PAD_ID) -> DataFrame:
-    """Blocks of exactly ``cutoff + 1`` ids, labels and mask of several rows.
+    """Blocks of exactly ``cutoff + 1`` ids, labels and mask of several rows, with their media.
 
-    With ``neat`` the mask numbers the rows of a block and is 0 in the padding.
+    Rows are expected to be cut to the budget before; longer ones are left out (``too_long``
+    counts them). With ``neat`` the mask numbers the rows of a block and is 0 in the padding.
     """
+    media = [c for c in MEDIA if c in rows.columns]
     plan = plan_packing(rows.select(batch, order, F.size("input_ids").alias("length")), cutoff, batch, order)
-    parts = rows.join(plan, [batch, order]).groupBy(batch, "block").agg(F.sort_array(F.collect_list(F.struct("position", "input_ids", "labels"))).alias("parts"))
-    ids = F.flatten(F.transform("parts", lambda p: p["input_ids"]))
-    labels = F.flatten(F.transform("parts", lambda p: p["labels"]))
+    parts = rows.join(plan, [batch, order]).groupBy(batch, "block").agg(F.sort_array(F.collect_list(F.struct("position", order, "input_ids", "labels", *media))).alias("parts"))
     segments = F.flatten(F.transform("parts", lambda p, i: F.array_repeat(i + 1, F.size(p["input_ids"]))))
-    blocks = parts.select(batch, "block", F.size("parts").alias("segments"), ids.alias("ids"), labels.alias("labels"), segments.alias("mask"))
+    each = lambda name: F.transform("parts", lambda p: p[name])
+    held = [F.flatten(F.filter(each(c), lambda x: x.isNotNull())).alias(c) for c in media]
+    blocks = parts.select(batch, "block", F.size("parts").alias("segments"), each(order).alias("rows"), F.flatten(each("input_ids")).alias("ids"), F.flatten(each("labels")).alias("labels"), segments.alias("mask"), *held)
     pad = F.lit(cutoff + 1) - F.size("ids")
     mask = F.concat("mask", F.array_repeat(F.lit(0), pad)) if neat else F.array_repeat(F.lit(1), cutoff + 1)
     return blocks.select(
         batch,
         "block",
         "segments",
+        "rows",
         F.concat("ids", F.array_repeat(F.lit(pad_id), pad)).alias("input_ids"),
         mask.alias("attention_mask"),
         F.concat("labels", F.array_repeat(F.lit(IGNORE), pad)).alias("labels"),
+        *(F.when(F.size(c) > 0, F.col(c)).alias(c) for c in media),
     )
 
 
+def too_long(rows: DataFrame, cutoff: int, batch: str) -> DataFrame:
+    """Rows of each batch that no block can hold, and their longest."""
+    n = F.size("input_ids")
+    return rows.groupBy(batch).agg(F.count_if(n > cutoff).alias("dropped"), F.max(F.when(n > cutoff, n)).alias("longest"))
+
+
 def segment_lengths(mask: Column) -> Column:
-    """Lengths of the numbered segments of one mask, zeros left out."""
+    """Lengths of the numbered segments of one mask, zeros left out.
+
+    Segments that stand in order, as packing numbers them, are read off their borders; others
+    are counted number by number.
+    """
+    before = F.transform(mask, lambda x, i: F.when((x != 0) & ((i == 0) | (F.get(mask, i - 1) != x)), i))
+    after = F.transform(mask, lambda x, i: F.when((x != 0) & ((i == F.size(mask) - 1) | (F.get(mask, i + 1) != x)), i + 1))
+    held = lambda places: F.filter(places, lambda i: i.isNotNull())
+    numbers = F.transform(held(before), lambda i: F.get(mask, i))
+    ordered = numbers == F.array_sort(F.array_distinct(numbers))
     last = F.coalesce(F.array_max(mask), F.lit(0))
     counts = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda s: F.size(F.filter(mask, lambda x: x == s))))
-    return F.filter(F.coalesce(counts, F.array().cast(INTS)), lambda n: n > 0)
+    counted = F.filter(F.coalesce(counts, F.array().cast(INTS)), lambda n: n > 0)
+    return F.when(ordered, F.zip_with(held(before), held(after), lambda a, b: b - a)).otherwise(counted)
 
 
 def unpadded(rows: DataFrame, order: str, mask: str = "attention_mask") -> DataFrame:
@@ -122,6 +145,14 @@ def dense_mask(mask: Column, low: float = float("-inf")) -> Column:
     return F.transform(mask, lambda s, i: F.transform(mask, lambda t, j: F.when((s == t) & (s != 0) & (j <= i), F.lit(0.0)).otherwise(F.lit(low))))
 
 
+def attention_mask(mask: Column, block_diagonal: bool, attention: str = "sdpa") -> Column:
+    """The mask a model is given: a matrix (``dense_mask``) where rows of a block have to be kept
+    apart and its attention takes one, else the mask as it is, as doubles."""
+    if block_diagonal and attention != "flash_attention_2":
+        return dense_mask(mask)
+    return F.transform(mask, lambda x: x.cast("double"))
+
+
 def pair_batch(rows: DataFrame, order: str) -> DataFrame:
     """Two rows of each pair: all chosen, then all rejected."""
     sides = []

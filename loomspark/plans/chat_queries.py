@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import IGNORE
+from loomspark.functions.text import EOS_ID, IGNORE, PAD_ID
 from loomspark.operators import collate, stages
 from loomspark.operators.align import align, valid_for
 from loomspark.operators.templates import TEMPLATES, encoded, one_turn, text_target, turn_pairs
-from loomspark.plans.tables import BATCH, CUTOFF, V, canonical, chats, lengths_sql, ranked, rated, seqlen_sql, table
+from loomspark.operators.tools import QWEN_PROMPT
+from loomspark.plans.tables import ANSWER, BATCH, CUTOFF, NL, SYSTEM, USER, V, canonical, chats, ids_md5_sql, ids_sql, ranked, rated, seqlen_sql, sft_digest_sql, sft_sql, table
 from loomspark.sources.builders import build_turn_lists
 from loomspark.sources.catalog import DatasetSpec
 
 CHATML = TEMPLATES["chatml"]
+#: The test tables hold neither tools nor function messages, so these stages need no Python.
+NO_TOOLS = {"tools_date": None}
 
 
 def joined_text(messages):
@@ -24,6 +27,19 @@ def long(column, name):
     return column.cast("long").alias(name)
 
 
+def ids_md5(column, name):
+    """A digest of ids in their order."""
+    return F.md5(F.array_join(column, ",")).alias(name)
+
+
+def learned(labels):
+    return F.size(F.filter(labels, lambda x: x != IGNORE))
+
+
+def sft_digests(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.select(*keep, "conv_id", long(F.size("input_ids"), "n_input"), long(F.size("labels"), "n_labels"), long(learned("labels"), "n_target"), ids_md5("input_ids", "ids_md5"), ids_md5("labels", "labels_md5"))
+
+
 def sg_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = canonical(spark, sf_dir)
     return rows.select("conv_id", long(F.size("_prompt"), "n_prompt"), long(F.size("_response"), "n_response"), F.md5("_system").alias("system_md5"), F.md5(joined_text("_prompt")).alias("prompt_md5"), F.md5(joined_text("_response")).alias("response_md5"))
@@ -111,7 +127,6 @@ SELECT conv_id, md5(string_agg(piece, '' ORDER BY i)) AS text_md5, CAST(sum(leng
     )
 
 
-NL = "chr(10)"
 TPL_SQL = {
     "chatml": rendered_sql(
         f"CASE WHEN system <> '' THEN '<|im_start|>system' || {NL} || system || '<|im_end|>' || {NL} ELSE '' END",
@@ -143,27 +158,56 @@ TPL_SQL = {
 
 
 def prc_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stages.process_sft(canonical(spark, sf_dir), CHATML, CUTOFF, keep=["conv_id"])
-    return rows.select("conv_id", long(F.size("input_ids"), "n_input"), long(F.size("labels"), "n_labels"), long(F.size(F.filter("labels", lambda x: x != IGNORE)), "n_target"))
+    return sft_digests(stages.process_sft(canonical(spark, sf_dir), CHATML, CUTOFF, keep=["conv_id"], **NO_TOOLS))
 
 
-def sft_fold_sql(reverse: bool) -> str:
-    s, t = seqlen_sql("x.source", "x.target", f"({CUTOFF} - f.total)")
-    order = "-i" if reverse else "i"
-    target = "CASE WHEN x.k = 1 THEN {t} ELSE 0 END" if reverse else "{t}"
-    return (
-        "WITH RECURSIVE"
-        + lengths_sql().strip()[4:]
-        + f""", o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY {order}) AS k FROM s),
-f AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS target FROM o
-  UNION ALL SELECT f.conv_id, x.k, f.total + {s} + {t}, f.target + {target.format(t=t)} FROM f JOIN o x ON x.conv_id = f.conv_id AND x.k = f.k + 1 WHERE f.total < {CUTOFF})
-SELECT conv_id, max(total) AS n_input, max(total) AS n_labels, max(target) AS n_target FROM f GROUP BY conv_id"""
-    )
+PRC_SFT = sft_digest_sql()
 
 
 def prc_sft_mask_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stages.process_sft(canonical(spark, sf_dir), CHATML, CUTOFF, keep=["conv_id"], mask_history=True)
-    return rows.select("conv_id", long(F.size("input_ids"), "n_input"), long(F.size("labels"), "n_labels"), long(F.size(F.filter("labels", lambda x: x != IGNORE)), "n_target"))
+    return sft_digests(stages.process_sft(canonical(spark, sf_dir), CHATML, CUTOFF, keep=["conv_id"], mask_history=True, **NO_TOOLS))
+
+
+PRC_SFT_MASK_HISTORY = sft_digest_sql(reverse=True)
+
+
+def prc_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two in three conversations come with a tool, described in the system text (qwen format)."""
+    tool = F.concat(F.lit('[{"name": "look_'), F.col("conv_id") % 5, F.lit('", "description": "Looks \\"up\\".", "parameters": {"type": "object", "properties": {}, "required": []}}]'))
+    rows = canonical(spark, sf_dir).withColumn("_tools", F.when(F.col("conv_id") % 3 != 0, tool).otherwise(""))
+    return sft_digests(stages.process_sft(rows, TEMPLATES["qwen"], CUTOFF, keep=["conv_id"]))
+
+
+QWEN_SYSTEM = f"'<|im_start|>system' || {NL} || CASE WHEN system <> '' THEN system ELSE 'You are a helpful assistant.' END || {{more}} || '<|im_end|>' || {NL}"
+_BEFORE, _AFTER = (part.replace("{{", "{").replace("}}", "}") for part in QWEN_PROMPT.split("{tools}"))
+_TOOL = """chr(10) || '{"type": "function", "function": {"name": "look_' || (conv_id % 5) || '", "description": "Looks \\"up\\".", "parameters": {"type": "object", "properties": {}, "required": []}}}'"""
+PRC_TOOLS = sft_digest_sql(system=QWEN_SYSTEM.format(more=f"CASE WHEN conv_id % 3 <> 0 THEN '{_BEFORE}' || {_TOOL} || '{_AFTER}' ELSE '' END"))
+
+
+def prc_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second answer is a function call, given as JSON, written as the format writes it."""
+    call = lambda m: F.concat(F.lit('{"name":"count","arguments":{"n":'), F.length(m["content"]), F.lit(',"of":["é"]}}'))
+    changed = lambda m, i: F.when(i % 4 == 1, F.struct(F.lit("function").alias("role"), call(m).alias("content"))).otherwise(m)
+    rows = canonical(spark, sf_dir).withColumn("__all", F.transform(F.concat("_prompt", "_response"), changed))
+    rows = rows.withColumns({"_prompt": F.slice("__all", F.lit(1), F.size("_prompt")), "_response": F.slice("__all", F.size("_prompt") + 1, F.size("_response"))})
+    return sft_digests(stages.process_sft(rows, TEMPLATES["qwen"], CUTOFF, keep=["conv_id"]))
+
+
+PRC_FUNCTION = sft_digest_sql(
+    system=QWEN_SYSTEM.format(more="''"),
+    answered="""(CASE WHEN i % 2 = 1 THEN '<tool_call>' || chr(10) || '{"name": "count", "arguments": {"n": ' || length(m[2*i].text) || ', "of": ["é"]}}' || chr(10) || '</tool_call>' ELSE m[2*i].text END)""",
+)
+
+
+def prc_mm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image in front of every first question, whose mark becomes as many tokens as it has."""
+    rows = canonical(spark, sf_dir).withColumns({"_images": F.array(F.lit("a.png")), "_image_tokens": F.array((F.col("conv_id") % 7 + 1).cast("int"))})
+    marked = F.transform("_prompt", lambda m, i: F.when(i == 0, F.struct(m["role"].alias("role"), F.concat(F.lit("<image>"), m["content"]).alias("content"))).otherwise(m))
+    out = stages.process_sft(rows.withColumn("_prompt", marked), TEMPLATES["qwen2_vl"], CUTOFF, keep=["conv_id"], **NO_TOOLS)
+    return sft_digests(out.where(F.size("images") == 1))
+
+
+PRC_MM = sft_digest_sql(system=QWEN_SYSTEM.format(more="''"), asked="(CASE WHEN i = 1 THEN '<|vision_start|>' || repeat('<|image_pad|>', CAST(conv_id % 7 + 1 AS BIGINT)) || '<|vision_end|>' ELSE '' END || m[2*i-1].text)")
 
 
 def sft_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,11 +215,11 @@ def sft_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = canonical(spark, sf_dir).where(valid_for("sft"))
     made = encoded(F.concat("_prompt", "_response"), CHATML, text_target(), F.col("_system"), F.lit(""))
     rows = rows.withColumns({"text_md5": F.md5(F.array_join(made, "")), "n_turns": (F.size("_prompt") + 1).cast("long")})
-    out = stages.process_sft(rows, CHATML, CUTOFF, keep=["conv_id", "text_md5", "n_turns"])
-    return out.select("conv_id", "text_md5", "n_turns", long(F.size("input_ids"), "n_input"), long(F.size("labels"), "n_labels"), long(F.size(F.filter("labels", lambda x: x != IGNORE)), "n_target"))
+    out = stages.process_sft(rows, CHATML, CUTOFF, keep=["conv_id", "text_md5", "n_turns"], **NO_TOOLS)
+    return sft_digests(out, "text_md5", "n_turns")
 
 
-SFT_PREP = f"SELECT a.conv_id, a.text_md5, a.pairs * 2 AS n_turns, b.n_input, b.n_labels, b.n_target FROM ({TPL_SQL['chatml']}) a JOIN ({sft_fold_sql(False)}) b USING (conv_id)"
+SFT_PREP = f"SELECT a.conv_id, a.text_md5, a.pairs * 2 AS n_turns, b.n_input, b.n_labels, b.n_target, b.ids_md5, b.labels_md5 FROM ({TPL_SQL['chatml']}) a JOIN ({PRC_SFT}) b USING (conv_id)"
 
 
 def prc_pt_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,58 +234,75 @@ PRC_PT_PLAIN = f"""SELECT doc_id, CAST(least(length(text) + 1, {CUTOFF}) AS BIGI
 
 
 def prc_pt_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of each thousand documents; checked by the number of blocks and the first ids."""
+    """Blocks of each thousand documents, with a digest of their ids."""
     spec = DatasetSpec("docs", prompt="text", query=None, response=None)
     rows = align(table(spark, sf_dir, "documents"), spec, keep=["doc_id"])
     rows = stages.process_pretrain(rows, 2**31 - 1, keep=["doc_id"]).withColumn("batch_id", F.floor(F.col("doc_id") / 1000))
     blocks = stages.pack_pretrain(rows, 2048, "batch_id", "doc_id")
-    return blocks.groupBy("batch_id").agg(long(F.count(F.lit(1)), "blocks"), long(F.sum(F.size("input_ids")), "tokens"))
+    return blocks.select("batch_id", long(F.col("block"), "block"), long(F.size("input_ids"), "tokens"), ids_md5("input_ids", "ids_md5"))
 
 
-PRC_PT_PACK = "SELECT doc_id // 1000 AS batch_id, CAST(sum(length(text) + 1) // 2048 AS BIGINT) AS blocks, CAST(sum(length(text) + 1) // 2048 * 2048 AS BIGINT) AS tokens FROM documents GROUP BY 1 HAVING sum(length(text) + 1) >= 2048"
+PRC_PT_PACK = f"""WITH d AS (SELECT doc_id // 1000 AS b, length(text) + 1 AS n, list_transform(string_split(text, ''), lambda c: CASE WHEN c = '' THEN NULL ELSE unicode(c) END) || [{EOS_ID}] AS x,
+  sum(length(text) + 1) OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - length(text) - 1 AS p0, sum(length(text) + 1) OVER (PARTITION BY doc_id // 1000) AS n_all FROM documents WHERE text IS NOT NULL),
+e AS (SELECT b, n_all, p0 + generate_subscripts(list_filter(x, lambda i: i IS NOT NULL), 1) - 1 AS pos, unnest(list_filter(x, lambda i: i IS NOT NULL)) AS id FROM d)
+SELECT b AS batch_id, CAST(pos // 2048 AS BIGINT) AS block, count(*) AS tokens, md5(string_agg(id, ',' ORDER BY pos)) AS ids_md5 FROM e WHERE pos // 2048 < n_all // 2048 GROUP BY 1, 2"""
 
 
 def prc_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stages.process_pairwise(ranked(spark, sf_dir), CHATML, CUTOFF, keep=["conv_id"])
-    count = lambda c: F.size(F.filter(c, lambda x: x != IGNORE))
-    return rows.select("conv_id", long(F.size("chosen_input_ids"), "n_chosen"), long(F.size("rejected_input_ids"), "n_rejected"), long(count("chosen_labels"), "chosen_target"), long(count("rejected_labels"), "rejected_target"))
+    rows = stages.process_pairwise(ranked(spark, sf_dir), CHATML, CUTOFF, keep=["conv_id"], **NO_TOOLS)
+    made = [f(c, n) for side in ("chosen", "rejected") for f, c, n in ((ids_md5, F.col(f"{side}_input_ids"), f"{side}_md5"), (ids_md5, F.col(f"{side}_labels"), f"{side}_labels_md5"))]
+    return rows.select("conv_id", long(F.size("chosen_input_ids"), "n_chosen"), long(F.size("rejected_input_ids"), "n_rejected"), long(learned("chosen_labels"), "chosen_target"), long(learned("rejected_labels"), "rejected_target"), *made)
 
 
-PROMPT_LENGTH = "CAST(list_sum(list_transform(range(1, n + 1), lambda i: length(m[i].text) + CASE WHEN i % 2 = 1 THEN 50 ELSE 11 END)) + CASE WHEN system <> '' THEN length(system) + 30 ELSE 0 END AS BIGINT)"
-_S, _T = seqlen_sql("p", "greatest(c, r)", str(CUTOFF))
-PRC_PAIR = (
+def prompt_sql(last: str) -> str:
+    """The rendered messages up to ``last``."""
+    return f"({SYSTEM} || array_to_string(list_transform(range(1, {last} + 1), lambda i: CASE WHEN i % 2 = 1 THEN {USER.format(text='m[i].text')} ELSE {ANSWER.format(text='m[i].text')} END), ''))"
+
+
+_S, _T = seqlen_sql("length(p)", "greatest(length(c), length(r))", str(CUTOFF))
+PAIRS = (
     V
-    + f""", z AS (SELECT conv_id, {PROMPT_LENGTH} AS p, CAST(length(m[-1].text) + 16 AS BIGINT) AS c, CAST(length(m[-1].text) + 15 AS BIGINT) AS r FROM v WHERE ok AND n % 2 = 1),
-k AS (SELECT *, {_S} AS s, {_T} AS t FROM z)
-SELECT conv_id, s + least(c, t) AS n_chosen, s + least(r, t) AS n_rejected, least(c, t) AS chosen_target, least(r, t) AS rejected_target FROM k"""
+    + f""", z AS (SELECT conv_id, {prompt_sql('n')} AS p, {ANSWER.format(text="'Yes. ' || m[-1].text")} AS c, {ANSWER.format(text="'No. ' || m[-1].text")} AS r FROM v WHERE ok AND n % 2 = 1),
+k AS (SELECT conv_id, CAST({_S} AS BIGINT) AS s, substring(p, 1, {_S}) AS p, substring(c, 1, {_T}) AS c, substring(r, 1, {_T}) AS r FROM z)"""
+)
+PRC_PAIR = (
+    PAIRS
+    + f"""SELECT conv_id, CAST(s + length(c) AS BIGINT) AS n_chosen, CAST(s + length(r) AS BIGINT) AS n_rejected, CAST(length(c) AS BIGINT) AS chosen_target, CAST(length(r) AS BIGINT) AS rejected_target,
+  {ids_md5_sql(ids_sql('(p || c)'))} AS chosen_md5, {ids_md5_sql("repeat('-100,', s) || " + ids_sql('c'))} AS chosen_labels_md5,
+  {ids_md5_sql(ids_sql('(p || r)'))} AS rejected_md5, {ids_md5_sql("repeat('-100,', s) || " + ids_sql('r'))} AS rejected_labels_md5 FROM k"""
 )
 
 
 def prc_unsup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stages.process_unsupervised(canonical(spark, sf_dir), CHATML, CUTOFF, keep=["conv_id"])
-    return rows.select("conv_id", long(F.size("input_ids"), "n_input"), long(F.size("labels"), "n_labels"))
+    rows = stages.process_unsupervised(canonical(spark, sf_dir), CHATML, CUTOFF, keep=["conv_id"], **NO_TOOLS)
+    return rows.select("conv_id", long(F.size("input_ids"), "n_input"), long(F.size("labels"), "n_labels"), ids_md5("input_ids", "ids_md5"), ids_md5("labels", "labels_md5"))
 
 
-_US, _UT = seqlen_sql("p", "c", str(CUTOFF))
+_US, _UT = seqlen_sql("length(p)", "length(c)", str(CUTOFF))
 PRC_UNSUP = (
     V
-    + f""", z AS (SELECT conv_id, {PROMPT_LENGTH} - length(m[-1].text) - 11 AS p, CAST(length(m[-1].text) + 11 AS BIGINT) AS c FROM v WHERE ok AND n % 2 = 0 AND n > 0)
-SELECT conv_id, CAST({_US} AS BIGINT) AS n_input, CAST({_UT} AS BIGINT) AS n_labels FROM z"""
+    + f""", z AS (SELECT conv_id, {prompt_sql('n - 1')} AS p, {ANSWER.format(text='m[-1].text')} AS c FROM v WHERE ok AND n % 2 = 0 AND n > 0),
+k AS (SELECT conv_id, substring(p, 1, {_US}) AS p, substring(c, 1, {_UT}) AS c FROM z)
+SELECT conv_id, CAST(length(p) AS BIGINT) AS n_input, CAST(length(c) AS BIGINT) AS n_labels, {ids_md5_sql(ids_sql('p'))} AS ids_md5, {ids_md5_sql(ids_sql('c'))} AS labels_md5 FROM k"""
 )
 
 
 def prc_kto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stages.process_kto(rated(spark, sf_dir), CHATML, CUTOFF, "doc_id", keep=["doc_id"], batch_size=BATCH)
-    return rows.select("doc_id", "kto_tags", long(F.size("input_ids"), "n_input"), long(F.size("kl_input_ids"), "n_kl_input"))
+    rows = stages.process_kto(rated(spark, sf_dir), CHATML, CUTOFF, "doc_id", keep=["doc_id"], batch_size=BATCH, **NO_TOOLS)
+    made = [ids_md5(F.col(c), c.replace("input_ids", "ids") + "_md5") for c in ("input_ids", "labels", "kl_input_ids", "kl_labels")]
+    return rows.select("doc_id", "kto_tags", long(F.size("input_ids"), "n_input"), long(F.size("kl_input_ids"), "n_kl_input"), *made)
 
 
-_KS, _KT = seqlen_sql("p", "a", str(CUTOFF))
-_QS, _QT = seqlen_sql("p", "k", str(CUTOFF))
+_KS, _KT = seqlen_sql("length(p)", "length(a)", str(CUTOFF))
+_QS, _QT = seqlen_sql("length(p)", "length(k)", str(CUTOFF))
 PRC_KTO = f"""
-WITH r AS (SELECT doc_id, doc_id // {BATCH} AS b, quality = 1 AS tag, CAST(length(text) + 11 AS BIGINT) AS a, CAST(length(concat_ws(chr(10), nullif(source, ''), nullif(lang, ''))) + 50 AS BIGINT) AS p FROM documents JOIN labels USING (doc_id)),
+WITH r AS (SELECT doc_id, doc_id // {BATCH} AS b, quality = 1 AS tag, {ANSWER.format(text='text')} AS a, {USER.format(text="concat_ws(chr(10), nullif(source, ''), nullif(lang, ''))")} AS p FROM documents JOIN labels USING (doc_id)),
 o AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY b) AS n FROM r),
-z AS (SELECT o.doc_id, o.tag, o.p, o.a, y.a AS k FROM o JOIN o y ON y.b = o.b AND y.i = o.n + 1 - o.i)
-SELECT doc_id, tag AS kto_tags, CAST({_KS} + {_KT} AS BIGINT) AS n_input, CAST({_QS} + {_QT} AS BIGINT) AS n_kl_input FROM z"""
+z AS (SELECT o.doc_id, o.tag, o.p, o.a, y.a AS k FROM o JOIN o y ON y.b = o.b AND y.i = o.n + 1 - o.i),
+c AS (SELECT doc_id, tag, substring(p, 1, {_KS}) AS p, substring(a, 1, {_KT}) AS a, substring(p, 1, {_QS}) AS q, substring(k, 1, {_QT}) AS k FROM z)
+SELECT doc_id, tag AS kto_tags, CAST(length(p) + length(a) AS BIGINT) AS n_input, CAST(length(q) + length(k) AS BIGINT) AS n_kl_input,
+  {ids_md5_sql(ids_sql('(p || a)'))} AS ids_md5, {ids_md5_sql("repeat('-100,', length(p)) || " + ids_sql('a'))} AS labels_md5,
+  {ids_md5_sql(ids_sql('(q || k)'))} AS kl_ids_md5, {ids_md5_sql("repeat('-100,', length(q)) || " + ids_sql('k'))} AS kl_labels_md5 FROM c"""
 
 
 def prc_kto_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +319,7 @@ SELECT o.doc_id, o.h AS own_md5, y.h AS partner_md5 FROM o JOIN o y ON y.b = o.b
 
 
 def prc_kto_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stages.process_kto(rated(spark, sf_dir), CHATML, CUTOFF, "doc_id", keep=["doc_id"], batch_size=BATCH)
+    rows = stages.process_kto(rated(spark, sf_dir), CHATML, CUTOFF, "doc_id", keep=["doc_id"], batch_size=BATCH, **NO_TOOLS)
     out = stages.preference_balance(rows.withColumn("batch_id", F.floor(F.col("doc_id") / BATCH)), "batch_id")
     return out.select("batch_id", long(F.col("liked"), "liked"), long(F.col("other"), "other"), "one_sided")
 
@@ -289,7 +350,7 @@ PRC_INFER_SEQLEN = f"WITH r AS (SELECT doc_id, CAST(length(text) AS BIGINT) AS t
 
 
 def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stages.process_sft(canonical(spark, sf_dir), CHATML, CUTOFF, keep=["conv_id"])
+    rows = stages.process_sft(canonical(spark, sf_dir), CHATML, CUTOFF, keep=["conv_id"], **NO_TOOLS)
     return rows.withColumn("batch_id", F.floor(F.col("conv_id") / BATCH))
 
 
@@ -300,47 +361,52 @@ def agg_valid_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(long(F.col("valid_tokens"), "valid_tokens"), long(F.col("total_tokens"), "total_tokens"), F.round("valid_ratio", 6).alias("valid_ratio"))
 
 
-AGG_VALID_RATIO = f"""WITH a AS ({sft_fold_sql(False)}), b AS (SELECT conv_id // {BATCH} AS b, sum(n_target) AS v, max(n_input) * count(*) AS t FROM a GROUP BY 1)
+AGG_VALID_RATIO = f"""WITH a AS ({sft_sql()}), b AS (SELECT conv_id // {BATCH} AS b, sum(n_target) AS v, max(n_input) * count(*) AS t FROM a GROUP BY 1)
 SELECT CAST(sum(v) AS BIGINT) AS valid_tokens, CAST(sum(t) AS BIGINT) AS total_tokens, round(CAST(sum(v) AS DOUBLE) / sum(t), 6) AS valid_ratio FROM b"""
 
 
 def col_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = collate.pad_batches(sft_rows(spark, sf_dir), "batch_id")
     real = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
-    return rows.select("conv_id", long(F.size("input_ids"), "padded"), long(real, "real"), long(F.size("labels"), "n_labels"))
+    return rows.select("conv_id", long(F.size("input_ids"), "padded"), long(real, "real"), long(F.size("labels"), "n_labels"), ids_md5("input_ids", "ids_md5"), ids_md5("labels", "labels_md5"))
 
 
-COL_PAD = f"""WITH a AS ({sft_fold_sql(False)}) SELECT conv_id, CAST(ceil(max(n_input) OVER (PARTITION BY conv_id // {BATCH}) / 8.0) * 8 AS BIGINT) AS padded, n_input AS real,
-  CAST(ceil(max(n_input) OVER (PARTITION BY conv_id // {BATCH}) / 8.0) * 8 AS BIGINT) AS n_labels FROM a"""
+COL_PAD = f"""WITH a AS (SELECT *, CAST(ceil(max(n_input) OVER (PARTITION BY conv_id // {BATCH}) / 8.0) * 8 AS BIGINT) AS padded FROM ({sft_sql()}))
+SELECT conv_id, padded, n_input AS real, padded AS n_labels, {ids_md5_sql(f"ids || repeat('{PAD_ID},', padded - n_input)")} AS ids_md5, {ids_md5_sql("labels || repeat('-100,', padded - n_input)")} AS labels_md5 FROM a"""
 
 
 def col_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = collate.pair_batch(stages.process_pairwise(ranked(spark, sf_dir), CHATML, CUTOFF, keep=["conv_id"]), "conv_id")
-    return rows.select("conv_id", long(F.col("side"), "side"), long(F.size("input_ids"), "n_input"))
+    rows = collate.pair_batch(stages.process_pairwise(ranked(spark, sf_dir), CHATML, CUTOFF, keep=["conv_id"], **NO_TOOLS), "conv_id")
+    return rows.select("conv_id", long(F.col("side"), "side"), long(F.size("input_ids"), "n_input"), ids_md5("input_ids", "ids_md5"))
 
 
-COL_PAIR = f"WITH q AS ({PRC_PAIR}) SELECT conv_id, CAST(0 AS BIGINT) AS side, n_chosen AS n_input FROM q UNION ALL SELECT conv_id, CAST(1 AS BIGINT), n_rejected FROM q"
+COL_PAIR = f"WITH q AS ({PRC_PAIR}) SELECT conv_id, CAST(0 AS BIGINT) AS side, n_chosen AS n_input, chosen_md5 AS ids_md5 FROM q UNION ALL SELECT conv_id, CAST(1 AS BIGINT), n_rejected, rejected_md5 FROM q"
 
 
 def pk_blocks(spark: SparkSession, sf_dir: str, neat: bool) -> DataFrame:
-    return collate.pack_sft(sft_rows(spark, sf_dir), 2 * CUTOFF, "batch_id", "conv_id", neat)
+    """Rows are cut at the size of the blocks, as in data preparation, so every row is in one."""
+    return collate.pack_sft(sft_rows(spark, sf_dir), CUTOFF, "batch_id", "conv_id", neat)
 
 
 def pk_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row is in one block; checked by totals that any packing shares."""
+    """Totals of the blocks, which any packing shares."""
     rows = pk_blocks(spark, sf_dir, False)
-    return rows.groupBy("batch_id").agg(long(F.sum("segments"), "rows_packed"), long(F.sum(F.size(F.filter("labels", lambda x: x != IGNORE))), "targets"), long(F.max(F.size("input_ids")), "block_size"), long(F.min(F.size("attention_mask")), "mask_size"))
+    return rows.groupBy("batch_id").agg(long(F.sum("segments"), "rows_packed"), long(F.sum(learned("labels")), "targets"), long(F.max(F.size("input_ids")), "block_size"), long(F.min(F.size("attention_mask")), "mask_size"))
 
 
-PK_SFT = f"WITH a AS ({sft_fold_sql(False)}) SELECT conv_id // {BATCH} AS batch_id, CAST(count(*) AS BIGINT) AS rows_packed, CAST(sum(n_target) AS BIGINT) AS targets, CAST({2 * CUTOFF + 1} AS BIGINT) AS block_size, CAST({2 * CUTOFF + 1} AS BIGINT) AS mask_size FROM a GROUP BY 1"
+PK_SFT = f"WITH a AS ({sft_sql()}) SELECT conv_id // {BATCH} AS batch_id, CAST(count(*) AS BIGINT) AS rows_packed, CAST(sum(n_target) AS BIGINT) AS targets, CAST({CUTOFF + 1} AS BIGINT) AS block_size, CAST({CUTOFF + 1} AS BIGINT) AS mask_size FROM a GROUP BY 1"
 
 
 def pk_neat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pk_blocks(spark, sf_dir, True)
-    return rows.groupBy("batch_id").agg(long(F.sum(F.size(collate.segment_lengths(F.col("attention_mask")))), "segments"), long(F.sum(F.size(collate.flat_indices(F.col("attention_mask")))), "tokens"))
+    """The rows as they stand in the blocks, cut out by the numbers in the mask."""
+    blocks = pk_blocks(spark, sf_dir, True).withColumn("sizes", collate.segment_lengths(F.col("attention_mask")))
+    before = F.aggregate(F.slice("sizes", F.lit(1), F.col("at")), F.lit(0), lambda a, n: a + n)
+    parts = blocks.select("*", F.posexplode("sizes").alias("at", "n")).withColumn("from", before + 1)
+    ids, labels = F.slice("input_ids", F.col("from"), F.col("n")), F.slice("labels", F.col("from"), F.col("n"))
+    return parts.select(F.get("rows", F.col("at")).alias("conv_id"), long(F.col("n"), "n_input"), ids_md5(ids, "ids_md5"), ids_md5(labels, "labels_md5"))
 
 
-PK_NEAT = f"WITH a AS ({sft_fold_sql(False)}) SELECT conv_id // {BATCH} AS batch_id, CAST(count(*) AS BIGINT) AS segments, CAST(sum(n_input) AS BIGINT) AS tokens FROM a GROUP BY 1"
+PK_NEAT = f"SELECT conv_id, n_input, {ids_md5_sql('ids')} AS ids_md5, {ids_md5_sql('labels')} AS labels_md5 FROM ({sft_sql()})"
 
 
 def turn_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,6 +461,9 @@ def queries() -> dict:
         "alpaca_kto": alpaca_kto,
         "prc_sft": prc_sft,
         "prc_sft_mask_history": prc_sft_mask_history,
+        "prc_tools": prc_tools,
+        "prc_function": prc_function,
+        "prc_mm": prc_mm,
         "prc_pt_plain": prc_pt_plain,
         "prc_pt_pack": prc_pt_pack,
         "prc_pair": prc_pair,
@@ -421,5 +490,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     found = {name: globals()[name.upper()] for name in queries() if name.upper() in globals()}
-    found |= {f"tpl_{name}": sql for name, sql in TPL_SQL.items()}
-    return found | {"prc_sft": sft_fold_sql(False), "prc_sft_mask_history": sft_fold_sql(True)}
+    return found | {f"tpl_{name}": sql for name, sql in TPL_SQL.items()}

@@ -8,15 +8,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import char_ids
+from loomspark.functions.text import EOS_ID, TEXT_END_ID, char_ids
 from loomspark.operators import collate, mixing, stages
 from loomspark.operators.align import align
 from loomspark.operators.templates import resolve_template
+from loomspark.operators.tools import TOOLS_DATE
 from loomspark.sources.catalog import DatasetSpec, check_stage, column_names, dataset_specs
 from loomspark.sources.readers import has_tokenized, read_dataset, read_tokenized
 from loomspark.sources.sinks import write_tokenized
 
 
+#: Formats whose plain texts end with a token of their own.
+OWN_TEXT_END = ("llama3",)
+
+
 @dataclass(frozen=True)
 class DataOptions:
     """Settings of data preparation; see ``validate`` for what excludes what."""
@@ -37,7 +42,7 @@ class DataOptions:
     packing: bool | None = None
     neat_packing: bool = False
     tool_format: str | None = None
-    tools_date: str | None = None
+    tools_date: str | None = TOOLS_DATE
     tokenized_path: str | None = None
     seed: int = 42
     add_bos: bool = False
@@ -90,11 +95,11 @@ def tokenize(rows: DataFrame, stage: str, options: DataOptions, encode: Callable
     rows = rows.withColumn("batch_id", F.floor(F.col("rid") / options.batch_size))
     keep, generate = ["rid", "batch_id"], options.predict_with_generate and is_eval
     if stage == "pt":
-        made = stages.process_pretrain(rows, 2**31 - 1 if options.packs(stage) else options.cutoff_len, keep, encode, options.add_bos)
+        end = TEXT_END_ID if options.template in OWN_TEXT_END else EOS_ID
+        made = stages.process_pretrain(rows, 2**31 - 1 if options.packs(stage) else options.cutoff_len, keep, encode, options.add_bos, end)
         return stages.pack_pretrain(made, options.cutoff_len, "batch_id", "rid", add_bos=options.add_bos) if options.packs(stage) else made
     if stage == "sft" and not generate:
-        cutoff = options.cutoff_len if not options.packs(stage) else 2**31 - 1
-        made = stages.process_sft(rows, template, cutoff, keep, encode, options.train_on_prompt, options.mask_history, options.tools_date)
+        made = stages.process_sft(rows, template, options.cutoff_len, keep, encode, options.train_on_prompt, options.mask_history, options.tools_date)
         return collate.pack_sft(made, options.cutoff_len, "batch_id", "rid", options.neat_packing) if options.packs(stage) else made
     if stage in ("rm", "dpo"):
         return stages.process_pairwise(rows, template, options.cutoff_len, keep, encode, options.tools_date)

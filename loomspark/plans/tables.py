@@ -57,8 +57,7 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(docs.join(labels, "doc_id").withColumn("liked", F.col("quality") == 1), spec, keep=["doc_id"])
 
 
-#: conversations as SQL: v(conv_id, system, m, n, ok), p(pairs), with character lengths of the
-#: chat markup used: 30 + 24 + 22 around a question, 11 behind an answer, 30 around a system text.
+#: conversations as SQL: v(conv_id, system, m, n, ok).
 V = """
 WITH t AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn) AS l FROM conversations GROUP BY conv_id),
 c AS (SELECT conv_id, CASE WHEN l[1].role = 'system' THEN l[1].text ELSE '' END AS system,
@@ -66,19 +65,15 @@ c AS (SELECT conv_id, CASE WHEN l[1].role = 'system' THEN l[1].text ELSE '' END
 v AS (SELECT conv_id, system, m, len(m) AS n,
   len(list_filter(range(1, len(m) + 1), lambda i: m[i].role <> CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END)) = 0 AS ok FROM c)
 """
-U1, U2, A2 = "<|im_start|>user\\n", "<|im_end|>\\n<|im_start|>assistant\\n", "<|im_end|>\\n"
 
 
-def lengths_sql() -> str:
-    """s(conv_id, i, source, target): character counts of each pair in the chatml format."""
-    return (
-        V
-        + """, s AS (SELECT conv_id, i, n,
-  CAST(length(m[2*i-1].text) + 17 + 33 + CASE WHEN i = 1 AND system <> '' THEN length(system) + 30 ELSE 0 END AS BIGINT) AS source,
-  CAST(length(m[2*i].text) + 11 AS BIGINT) AS target
-  FROM (SELECT *, unnest(range(1, n // 2 + 1)) AS i FROM v WHERE ok AND n % 2 = 0 AND n > 0))
-"""
-    )
+def ids_sql(text: str) -> str:
+    """The character ids of a text, each with a comma behind it."""
+    return f"CASE WHEN length({text}) > 0 THEN array_to_string(list_transform(string_split({text}, ''), lambda c: unicode(c)), ',') || ',' ELSE '' END"
+
+
+def ids_md5_sql(joined: str) -> str:
+    return f"md5(rtrim({joined}, ','))"
 
 
 def seqlen_sql(s: str, t: str, cut: str) -> tuple[str, str]:
@@ -86,3 +81,37 @@ def seqlen_sql(s: str, t: str, cut: str) -> tuple[str, str]:
     most = f"CASE WHEN {t} * 2 < {cut} THEN {cut} WHEN {s} * 2 < {cut} THEN {cut} - {s} ELSE CAST(trunc({cut} * (CAST({t} AS DOUBLE) / ({s} + {t}))) AS BIGINT) END"
     target = f"least({most}, {t})"
     return f"least(greatest({cut} - {target}, 0), {s})", target
+
+
+NL = "chr(10)"
+#: How the chatml format writes a system text, a question and an answer, as SQL.
+SYSTEM = f"CASE WHEN system <> '' THEN '<|im_start|>system' || {NL} || system || '<|im_end|>' || {NL} ELSE '' END"
+USER = f"'<|im_start|>user' || {NL} || {{text}} || '<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL}"
+ANSWER = f"{{text}} || '<|im_end|>' || {NL}"
+
+
+def sft_sql(reverse: bool = False, system: str = SYSTEM, asked: str = "m[2*i-1].text", answered: str = "m[2*i].text") -> str:
+    """conv_id, n_input, n_target, ids and labels (joined by commas) of supervised rows.
+
+    Pairs are rendered as chatml and cut to the budget one after the other, from the last one
+    on if ``reverse``, when only the last answer is learned.
+    """
+    s, t = seqlen_sql("length(x.source)", "length(x.target)", f"({CUTOFF} - f.total)")
+    learned = f"CASE WHEN f.k = 1 THEN {ids_sql('kept_target')} ELSE repeat('-100,', f.t) END" if reverse else ids_sql("kept_target")
+    target = "CASE WHEN f.k = 1 THEN f.t ELSE 0 END" if reverse else "f.t"
+    return (
+        "WITH RECURSIVE"
+        + V.strip()[4:]
+        + f""", s AS (SELECT conv_id, i, CASE WHEN i = 1 THEN {system} ELSE '' END || {USER.format(text=asked)} AS source, {ANSWER.format(text=answered)} AS target
+  FROM (SELECT *, unnest(range(1, n // 2 + 1)) AS i FROM v WHERE ok AND n % 2 = 0 AND n > 0)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY {'-i' if reverse else 'i'}) AS k FROM s),
+f AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS t FROM o
+  UNION ALL SELECT f.conv_id, x.k, CAST(f.total + {s} + {t} AS BIGINT), CAST({s} AS BIGINT), CAST({t} AS BIGINT) FROM f JOIN o x ON x.conv_id = f.conv_id AND x.k = f.k + 1 WHERE f.total < {CUTOFF}),
+w AS (SELECT f.*, o.i, substring(o.source, 1, f.s) AS kept_source, substring(o.target, 1, f.t) AS kept_target FROM f JOIN o USING (conv_id, k))
+SELECT conv_id, CAST(sum(f.s + f.t) AS BIGINT) AS n_input, CAST(sum({target}) AS BIGINT) AS n_target,
+  string_agg({ids_sql('kept_source')} || {ids_sql('kept_target')}, '' ORDER BY i) AS ids, string_agg(repeat('-100,', f.s) || {learned}, '' ORDER BY i) AS labels FROM w f GROUP BY conv_id"""
+    )
+
+
+def sft_digest_sql(**given) -> str:
+    return f"SELECT conv_id, n_input, n_input AS n_labels, n_target, {ids_md5_sql('ids')} AS ids_md5, {ids_md5_sql('labels')} AS labels_md5 FROM ({sft_sql(**given)})"

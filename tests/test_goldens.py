@@ -210,7 +210,7 @@ def test_tool_calls(spark, name, single, double):
 
 def test_function_messages(spark):
     turns = [("user", "q"), ("function", json.dumps(CALL)), ("observation", "r"), ("assistant", "a")]
-    df = spark.createDataFrame([(turns, "", "")], CHAT).withColumn("messages", templates.with_calls(F.col("messages"), "qwen"))
+    df = templates.with_calls(spark.createDataFrame([(turns, "", "")], CHAT), ["messages"], "qwen")
     out = df.select(encoded(F.col("messages"), TEMPLATES["qwen"], text_target(), F.col("_system"), F.lit("")).alias("p")).first()["p"]
     assert out[1].startswith("<tool_call>\n") and "<tool_response>\nr\n</tool_response>" in out[2]
 
