@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.bpe_automaton import open_bpe, rows_in_slices
+from loomspark.llm.bpe_automaton import open_bpe, published, rows_in_slices
 from loomspark.llm.common import cut_lineage, default_tokenizer_path, frugal, read_table, small_batches, written
 from loomspark.llm.near_duplicates import BROADCAST_IDS
 
@@ -80,9 +80,10 @@ def encoded(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) -> Dat
     """doc_id, target, block and the packed ids of the whole text, in as few bytes an id as
     the vocabulary needs, of rows (doc_id, target, text)."""
     kind = dict(docs.dtypes)["doc_id"]
+    shared = published(docs.sparkSession, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = open_bpe(path)
+        bpe = shared.value
         width = id_type(len(bpe.arc_labels))
         block, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:

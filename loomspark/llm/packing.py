@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.bpe_automaton import open_bpe, rows_in_slices
+from loomspark.llm.bpe_automaton import published, rows_in_slices
 from loomspark.llm.common import cut_lineage, default_tokenizer_path, frugal, read_table, small_batches
 from loomspark.llm.near_duplicates import BROADCAST_IDS
 
@@ -51,14 +51,14 @@ def cut_lengths(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> l
 
 def cut_documents(df: DataFrame, doc_id: str, text: str, tokenizer: str | None, capacity: int, smallest: int, end_id: int) -> DataFrame:
     """One row a piece with its ids; ``worker`` and ``nth`` number the pieces of each ``class``."""
-    path = tokenizer or default_tokenizer_path()
+    shared = published(df.sparkSession, tokenizer or default_tokenizer_path())
     kind = dict(df.dtypes)[doc_id]
     schema = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, class int, worker int, nth bigint, ids binary"
     names = [f.name for f in T.StructType.fromDDL(schema).fields]
     last = end_id.to_bytes(4, "little")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seen, worker = open_bpe(path), Counter(), TaskContext.get().partitionId()
+        bpe, seen, worker = shared.value, Counter(), TaskContext.get().partitionId()
         for batch in batches:
             for part in rows_in_slices(batch, 1):
                 rows: list[list] = [[] for _ in names]

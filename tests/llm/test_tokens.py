@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import zlib
 from array import array
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from loomspark.llm import bpe_automaton, lm_scoring, packing, registry
 from loomspark.llm.common import default_tokenizer_path
@@ -28,8 +31,11 @@ def bpe():
     return bpe_automaton.open_bpe(default_tokenizer_path())
 
 
+LIBRARY = Tokenizer.from_file(default_tokenizer_path())
+
+
 def library_ids(bpe, text):
-    return bpe.library.encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoding_is_the_librarys(bpe):
@@ -47,13 +53,57 @@ def test_columns_are_encoded_like_single_texts(bpe):
     for got, text in zip(bpe.encode_column(pa.array(texts, pa.string())), texts):
         assert array("I", got).tolist() == library_ids(bpe, text), repr(text)
     assert bpe.encode_column(pa.array([], pa.string())) == [] and bpe.encode_column(pa.array([None])) == [b""]
-    for run in (". ", "!! ", " a", "a b", ""):
-        assert array("I", bpe.words[run]).tolist() == library_ids(bpe, run)
+    for run in (". ", "!! ", " a", "a b", "", "a\x0b.\x0b!\x0cb", "a1b22.c"):
+        assert array("I", bpe.encode(run)).tolist() == library_ids(bpe, run)
+
+
+def test_long_words_and_repeats(bpe):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abetionhsr") for _ in range(n)) for n in (511, 512, 513, 20000, 40000)] + ["the" * 9000, "漢字かな" * 3000]
+    for text, got in zip(texts, bpe.encode_column(pa.array(texts))):
+        assert array("I", got).tolist() == library_ids(bpe, text)
+
+
+def test_other_rules_are_the_librarys(tmp_path):
+    """Files with other normalizers, splits and decoders; what can't be expressed is refused."""
+    spec = json.loads(Path(default_tokenizer_path()).read_text())
+    texts = ["Hello World the CAT", "it's  10 <|endoftext|>cafés", "", None]
+    changes = {
+        "cased": {"normalizer": None},
+        "split": {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
+        "decoder": {"decoder": {"type": "BPEDecoder", "suffix": "</w>"}},
+        "whole": {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": False}},
+    }
+    for name, change in changes.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(spec | change))
+        mine, theirs = bpe_automaton.WordBpe(str(path)), Tokenizer.from_file(str(path))
+        for text, got in zip(texts, mine.encode_column(pa.array(texts, pa.string()))):
+            ids = theirs.encode(text or "", add_special_tokens=False).ids
+            assert array("I", got).tolist() == ids, (name, text)
+            assert mine.decode(got) == theirs.decode(ids, skip_special_tokens=False), (name, text)
+    for change in ({"dropout": 0.1}, {"unk_token": "x"}, {"continuing_subword_prefix": "##"}):
+        path = tmp_path / "refused.json"
+        path.write_text(json.dumps(spec | {"model": spec["model"] | change}))
+        with pytest.raises(ValueError):
+            bpe_automaton.WordBpe(str(path))
+
+
+def test_byte_level_vocabulary(bpe):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    mine, theirs = bpe_automaton.WordBpe(path), Tokenizer.from_file(path)
+    texts = [t for t in ODD if t is not None]
+    for text, got in zip(texts, mine.encode_column(pa.array(texts, pa.string()))):
+        ids = theirs.encode(text, add_special_tokens=False).ids
+        assert array("I", got).tolist() == ids, repr(text)
+        assert mine.decode(got) == theirs.decode(ids, skip_special_tokens=False)
 
 
 def test_decoding_emits_labels(bpe):
     for text in ODD:
-        assert bpe.decode(bpe.encode(text)) == bpe.library.decode(library_ids(bpe, text), skip_special_tokens=False)
+        assert bpe.decode(bpe.encode(text)) == LIBRARY.decode(library_ids(bpe, text), skip_special_tokens=False)
 
 
 def test_automaton_accepts_only_what_merging_gives(bpe):
@@ -73,6 +123,8 @@ def test_automaton_accepts_only_what_merging_gives(bpe):
     labels = dict.fromkeys(["a", "b", "a</w>", "b</w>", *("".join(m) for m in merges)])
     vocab = {label: i for i, label in enumerate(labels)}
     automaton = bpe_automaton.TokenAutomaton(vocab, merges)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 14))) for rng in [random.Random(2)] for _ in range(500)]
+    assert [automaton.run_long(np.frombuffer(w.encode(), np.uint8)).tolist() for w in words] == [automaton.run(w) for w in words]
     rng = random.Random(1)
     for _ in range(3000):
         word = "".join(rng.choice("ab") for _ in range(rng.randint(1, 14)))
@@ -95,7 +147,7 @@ def test_op6_digests(spark, data, bpe):
     for r in registry.queries()["op6_tokenization_automaton"](spark, data).collect():
         ids = library_ids(bpe, texts[r["doc_id"]])
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(array("I", ids).tobytes()).hexdigest()
-        assert r["decoded_sha256"] == hashlib.sha256(bpe.library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 def check_packing(pieces, ids_of, capacity=2048):
