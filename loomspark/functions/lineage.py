@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's ``spark.checkpoint.dir`` and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that is unset (local runs) a temporary folder is chosen.
+    Only a local session without it gets a temporary folder, which goes when Python ends;
+    elsewhere a folder of one machine would lose rows, so it is an error.
     """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all machines share.")
+        found = tempfile.mkdtemp(prefix="loomspark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomspark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions.lineage import cut_lineage
 from loomspark.sources.catalog import DatasetSpec
 
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -21,26 +22,38 @@ def no_messages() -> Column:
     return F.array().cast(MESSAGES)
 
 
-def media(df: DataFrame, name: str | None, media_files: dict[str, str] | None) -> Column:
-    """A list of references (or a single one); known files by their path; empty lists are null.
-
-    ``media_files`` maps a reference to its path in the media folder, listed once by the caller.
-    """
+def media(df: DataFrame, name: str | None) -> Column:
+    """A list of references (or a single one); empty lists are null."""
     if not name:
         return F.lit(None).cast("array<string>")
     value = F.col(name)
     if not df.schema[name].dataType.typeName() == "array":
         value = F.array(value)
     refs = F.filter(value, lambda m: m.isNotNull())
-    if media_files:
-        known = F.create_map(*(F.lit(x) for pair in media_files.items() for x in pair))
-        refs = F.transform(refs, lambda m: F.coalesce(F.try_element_at(known, m), m))
     return F.when(F.size(refs) > 0, refs)
 
 
-def rest(df: DataFrame, spec: DatasetSpec, system: Column, media_files: dict[str, str] | None) -> list[Column]:
+def with_paths(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Canonical rows whose media references that ``files`` (name, path) lists are paths.
+
+    References are taken apart, joined to the listing and put back in their order; rows without
+    media stay out of it.
+    """
+    kinds = ("_images", "_videos", "_audios")
+    held = cut_lineage(rows.withColumn("__row", F.monotonically_increasing_id()))
+    one = lambda k: F.coalesce(F.transform(k, lambda r, i: F.struct(F.lit(k).alias("kind"), i.alias("at"), r.alias("name"))), F.array().cast("array<struct<kind:string,at:int,name:string>>"))
+    refs = held.select("__row", F.inline(F.concat(*(one(k) for k in kinds))))
+    listed = files.select("name", "path").dropDuplicates(["name"])
+    found = refs.join(listed, "name", "left").select("__row", "kind", "at", F.coalesce("path", "name").alias("path"))
+    lists = {k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("at", "path")))), lambda x: x["path"]) for k in kinds}
+    put = found.groupBy("__row").agg(*(c.alias(f"_{k}") for k, c in lists.items()))
+    made = held.join(put, "__row", "left")
+    return made.select(*(F.when(F.size(f"_{c}") > 0, F.col(f"_{c}")).alias(c) if c in kinds else F.col(c) for c in rows.columns))
+
+
+def rest(df: DataFrame, spec: DatasetSpec, system: Column) -> list[Column]:
     tools = F.col(spec.tools).cast("string") if spec.tools else F.lit("")
-    refs = [media(df, getattr(spec, kind), media_files).alias(f"_{kind}") for kind in ("images", "videos", "audios")]
+    refs = [media(df, getattr(spec, kind)).alias(f"_{kind}") for kind in ("images", "videos", "audios")]
     return [system.alias("_system"), tools.alias("_tools"), *refs]
 
 
@@ -50,7 +63,7 @@ def twins(answer: Column, tag: Column) -> Column:
     return F.when(tag, F.array(answer, empty)).otherwise(F.array(empty, answer)).cast(MESSAGES)
 
 
-def align_alpaca(df: DataFrame, spec: DatasetSpec, keep: list[str], media_files: dict[str, str] | None = None) -> DataFrame:
+def align_alpaca(df: DataFrame, spec: DatasetSpec, keep: list[str]) -> DataFrame:
     types = dict(df.dtypes)
     asked = [F.nullif(F.col(c), F.lit("")) for c in (spec.prompt, spec.query) if c]
     ask = F.array(message("user", F.concat_ws("\n", *asked)))
@@ -69,10 +82,10 @@ def align_alpaca(df: DataFrame, spec: DatasetSpec, keep: list[str], media_files:
         rated = twins(message("assistant", F.col(spec.response)), F.col(spec.kto_tag))
         response = F.when(F.col(spec.kto_tag).isNotNull(), rated).otherwise(response)
     system = F.col(spec.system).cast("string") if spec.system else F.lit("")
-    return df.select(*keep, prompt.alias("_prompt"), response.alias("_response"), *rest(df, spec, system, media_files))
+    return df.select(*keep, prompt.alias("_prompt"), response.alias("_response"), *rest(df, spec, system))
 
 
-def align_sharegpt(df: DataFrame, spec: DatasetSpec, keep: list[str], media_files: dict[str, str] | None = None) -> DataFrame:
+def align_sharegpt(df: DataFrame, spec: DatasetSpec, keep: list[str]) -> DataFrame:
     """Broken conversations (a wrong role for its place, a wrong parity) get empty lists.
 
     A chosen or rejected message of an unknown role also makes the row broken.
@@ -122,7 +135,7 @@ def align_sharegpt(df: DataFrame, spec: DatasetSpec, keep: list[str], media_file
         *keep,
         F.when(broken, no_messages()).otherwise(prompt).cast(MESSAGES).alias("_prompt"),
         F.when(broken, no_messages()).otherwise(response).cast(MESSAGES).alias("_response"),
-        *rest(rows, spec, F.col("__system"), media_files),
+        *rest(rows, spec, F.col("__system")),
     )
 
 
@@ -135,11 +148,13 @@ def register_aligner(name: str, aligner: Callable[..., DataFrame]) -> None:
     ALIGNERS[name] = aligner
 
 
-def align(df: DataFrame, spec: DatasetSpec, keep: list[str] | None = None, media_files: dict[str, str] | None = None) -> DataFrame:
-    """Canonical rows; ``keep`` names columns (an ordinal, say) to carry along."""
+def align(df: DataFrame, spec: DatasetSpec, keep: list[str] | None = None, media_files: DataFrame | None = None) -> DataFrame:
+    """Canonical rows; ``keep`` names columns (an ordinal, say) to carry along, ``media_files``
+    is a listing (name, path) of media files, whose references become paths."""
     if spec.formatting not in ALIGNERS:
         raise ValueError(f"There is no aligner named {spec.formatting}.")
-    return ALIGNERS[spec.formatting](df, spec, keep or [], media_files)
+    rows = ALIGNERS[spec.formatting](df, spec, keep or [])
+    return rows if media_files is None else with_paths(rows, media_files)
 
 
 def valid_for(stage: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from loomspark.functions.text import IGNORE
+from loomspark.operators.mixing import running_sums
 
 
 def length_histogram(rows: DataFrame, length: Column, interval: int = 1000) -> DataFrame:
@@ -117,9 +118,15 @@ def mean_of_batches(rows: DataFrame, batch: str, values: list[str]) -> DataFrame
 
 
 def running_average(rows: DataFrame, value: str, weight: str, group: str, order: str) -> DataFrame:
-    """Weighted mean of everything up to each row of a group."""
-    upto = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("average", F.sum(F.col(value) * F.col(weight)).over(upto) / F.sum(weight).over(upto))
+    """Weighted mean of everything up to each row of a group, however large the group."""
+    sums = {"__weighted": F.col(value) * F.col(weight), "__weights": F.col(weight)}
+    made = running_sums(rows, [F.col(order)], sums, [group])
+    return made.withColumn("average", F.col("__weighted") / F.col("__weights")).drop("__weighted", "__weights")
+
+
+def throughput(log: DataFrame, tokens: str = "total_tokens", elapsed: str = "elapsed_seconds") -> DataFrame:
+    """Tokens seen so far by the time they took, to two places; null before any time passed."""
+    return log.withColumn("throughput", F.when(F.col(elapsed) > 0, F.bround(F.col(tokens) / F.col(elapsed), 2)))
 
 
 def smoothing_weight(n: Column) -> Column:
@@ -199,13 +206,20 @@ def rouge_n(said: list[str], wanted: list[str], n: int) -> float:
 
 
 def rouge_l(said: list[str], wanted: list[str]) -> float:
-    """F score of the longest common subsequence."""
-    row = [0] * (len(wanted) + 1)
+    """F score of the longest common subsequence.
+
+    A column of the table is the set of places where its value grows, kept as the bits of one
+    number, so a word costs a few operations on whole numbers of ``len(wanted)`` bits.
+    """
+    places: dict[str, int] = {}
+    for j, y in enumerate(wanted):
+        places[y] = places.get(y, 0) | 1 << j
+    full = (1 << len(wanted)) - 1
+    same = full
     for x in said:
-        before = 0
-        for j, y in enumerate(wanted, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return overlap_f(row[-1], len(said), len(wanted))
+        met = same & places.get(x, 0)
+        same = ((same + met) | (same - met)) & full
+    return overlap_f(len(wanted) - same.bit_count(), len(said), len(wanted))
 
 
 def bleu4(said: str, wanted: str) -> float:

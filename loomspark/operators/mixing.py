@@ -40,13 +40,31 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "rid", parts: in
     return numbered.withColumn(name, F.col("__start") + F.col("__place")).drop("__part", "__start", "__place")
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], by: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """Sums over all rows up to each row, of all rows or of those of a group.
+
+    The sums of each range of rows (one row a range and group) give what came before; a group
+    of any size is spread over as many ranges as it needs, so no task holds one.
+    """
+    by = by or []
+    given = df.withColumns({f"__{n}": c for n, c in sums.items()})
+    placed = in_order(given, [*(F.col(c) for c in by), *order], parts)
+    totals = placed.groupBy("__part", *by).agg(*(F.sum(f"__{n}").alias(f"__t{n}") for n in sums))
+    earlier = Window.partitionBy(*by).orderBy("__part")
+    starts = totals.select("__part", *by, *((F.sum(f"__t{n}").over(earlier) - F.col(f"__t{n}")).alias(f"__s{n}") for n in sums))
+    inside = Window.partitionBy("__part", *by).orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed.withColumns({f"__i{n}": F.sum(f"__{n}").over(inside) for n in sums})
+    match = F.col("l.__part") == F.col("r.__part")
+    for c in by:
+        match = match & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    joined = rows.alias("l").join(starts.alias("r"), match)
+    kept = [F.col(f"l.{c}") for c in df.columns]
+    return joined.select(*kept, *((F.col(f"r.__s{n}") + F.col(f"l.__i{n}")).alias(n) for n in sums))
+
+
 def running_sum(df: DataFrame, order: list[Column], value: str, name: str, parts: int | None = None) -> DataFrame:
     """Sum of a column over all rows up to each row, without a single-task window."""
-    placed = in_order(df, order, parts)
-    sums = placed.groupBy("__part").agg(F.sum(value).alias("__sum"))
-    starts = sums.select("__part", (F.sum("__sum").over(Window.orderBy("__part")) - F.col("__sum")).alias("__start"))
-    inside = F.sum(value).over(Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0))
-    return placed.withColumn("__inside", inside).join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__inside")).drop("__part", "__place", "__inside", "__start")
+    return running_sums(df, order, {name: F.col(value)}, parts=parts)
 
 
 def first_rows(df: DataFrame, n: int, order: str) -> DataFrame:
@@ -114,10 +132,11 @@ def mix(datasets: list[DataFrame], strategy: str = "concat", probabilities: list
         rounds = min(sizes)
         return tagged.where(F.col(rid) < rounds).withColumn("mix_pos", F.col(rid) * k + F.col("ds_idx"))
     rounds = max(sizes)
-    # A row of a shorter dataset comes again every size-th round.
+    # A row of a shorter dataset comes again every size-th round: each round asks for its row.
+    steps = tagged.sparkSession.range(rounds * k).select(F.col("id").alias("mix_pos"), (F.col("id") % k).cast("int").alias("ds_idx"), F.floor(F.col("id") / k).alias("__round"))
     size = F.element_at(F.array(*(F.lit(max(1, s)) for s in sizes)), F.col("ds_idx") + 1)
-    turns = F.sequence(F.col(rid).cast("long"), F.lit(rounds - 1).cast("long"), size.cast("long"))
-    return tagged.withColumn("__round", F.explode(turns)).withColumn("mix_pos", F.col("__round") * k + F.col("ds_idx")).drop("__round")
+    wanted = steps.select("mix_pos", "ds_idx", (F.col("__round") % size).cast("long").alias(rid))
+    return wanted.join(tagged, ["ds_idx", rid])
 
 
 def interleave_by_chance(tagged: DataFrame, sizes: list[int], probabilities: list[float], strategy: str, seed: int, rid: str) -> DataFrame:
@@ -163,12 +182,17 @@ def validation_size(val_size: float, n: int) -> int:
 
 
 def split(df: DataFrame, val_size: float, key: str, seed: int = 42) -> dict[str, DataFrame]:
-    """Disjoint train and validation sets of exact sizes, in hash order."""
+    """Disjoint train and validation sets of exact sizes, by the hash order of a unique key."""
     if val_size <= 1e-6:
         return {"train": df}
     n = validation_size(val_size, df.count())
-    ranked = number_rows(df, [hash_order(seed, F.col(key)), F.col(key)], "__rank")
-    return {"train": ranked.where(F.col("__rank") >= n).drop("__rank"), "validation": ranked.where(F.col("__rank") < n).drop("__rank")}
+    # Only keys are put in order; the last one of the validation set then splits the rows.
+    place = F.struct(hash_order(seed, F.col(key)).alias("h"), F.col(key).alias("k"))
+    last = number_rows(df.select(place.alias("p")), [F.col("p")], "__rank").where(F.col("__rank") == n - 1).select("p.h", "p.k").first()
+    if last is None:
+        return {"train": df.limit(0), "validation": df}
+    inside = place <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["k"]).cast(dict(df.dtypes)[key]).alias("k"))
+    return {"train": df.where(~inside), "validation": df.where(inside)}
 
 
 def few_shot(targets: DataFrame, supports: DataFrame, group: str, item: str, support: str, shots: int, seed: int = 42) -> DataFrame:

@@ -18,14 +18,19 @@ IMAGE_PIXELS = (32 * 32, 768 * 768)
 VIDEO_PIXELS = (16 * 16, 256 * 256)
 VIDEO_FPS, VIDEO_FRAMES = 2.0, 128
 
-#: Which media each plugin takes besides those its template names a token for.
+#: Built-in plugins, and how registered ones expand messages: (tokens, messages, sizes) -> messages.
+Expand = Callable[[dict[str, str], Column, dict[str, Column]], Column]
 PLUGINS = {"base", "llava", "llava_next", "llava_next_video", "minicpm_v", "mllama", "paligemma", "pixtral", "qwen2_audio", "qwen2_vl", "video_llava"}
 
 
-def register_plugin(name: str) -> None:
-    if name in PLUGINS:
+REGISTERED: dict[str, Expand] = {}
+
+
+def register_plugin(name: str, expand: Expand) -> None:
+    """Add a plugin by what it makes of the messages of a template that names it."""
+    if name in PLUGINS or name in REGISTERED:
         raise ValueError(f"A media plugin named {name} exists already.")
-    PLUGINS.add(name)
+    REGISTERED[name] = expand
 
 
 def placeholders(messages: Column, mark: str) -> Column:
@@ -67,6 +72,11 @@ def vision_sides(width: Column, height: Column) -> tuple[Column, Column]:
     return width, F.when(height / width > 200, width * 180).otherwise(height)
 
 
+def even_frames(frames: Column) -> Column:
+    """Frames of a model that takes them in twos: the last of an odd number comes again."""
+    return F.when(F.size(frames) % 2 == 1, F.concat(frames, F.slice(frames, F.lit(-1), F.lit(1)))).otherwise(frames)
+
+
 def frame_indices(total: Column, seconds: Column, fps: float = VIDEO_FPS, most: int = VIDEO_FRAMES) -> Column:
     """Evenly spaced frames; of a stream without a known number the first ``most``."""
     n = F.least(total, F.lit(most), F.floor(seconds * fps).cast("int"))
@@ -159,6 +169,8 @@ def process_messages(plugin: str, tokens: dict[str, str], messages: Column, size
     ``tokens`` names the media tokens; ``sizes`` holds, by medium, arrays with the number of
     tokens of each item (or, for the plugins that write rows or slices, its text).
     """
+    if plugin in REGISTERED:
+        return REGISTERED[plugin](tokens, messages, sizes)
     if plugin not in PLUGINS:
         raise ValueError(f"There is no media plugin named {plugin}.")
     wraps = {"qwen2_vl": ("<|vision_start|>", "<|vision_end|>"), "qwen2_audio": ("<|audio_bos|>", "<|audio_eos|>")}

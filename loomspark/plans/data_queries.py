@@ -76,16 +76,19 @@ SELECT w.lang, w.item, s.support, w.k + 1 AS shot_rank FROM w JOIN s ON s.lang =
 
 # Mixing and splits.
 def by_language(spark, sf_dir) -> list[DataFrame]:
-    d = docs(spark, sf_dir).select("doc_id", "lang")
-    return [mixing.number_rows(d.where(F.col("lang") == lang), [F.col("doc_id")]) for lang in ("en", "de", "fr", "es")]
+    """A dataset for each language, documents without one included."""
+    d = docs(spark, sf_dir).select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"))
+    langs = sorted(r["lang"] for r in d.select("lang").distinct().collect())
+    return [mixing.number_rows(d.where(F.col("lang") == lang), [F.col("doc_id")]) for lang in langs]
 
 
 def mixed(spark, sf_dir, strategy, probabilities=None):
     return mixing.mix(by_language(spark, sf_dir), strategy, probabilities, SEED).select("doc_id", "lang", "mix_pos")
 
 
-LANGS = """WITH o(lang, i) AS (VALUES ('en', 0), ('de', 1), ('fr', 2), ('es', 3)),
-d AS (SELECT doc_id, lang, i, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rid, count(*) OVER (PARTITION BY lang) AS n FROM documents JOIN o USING (lang))
+LANGS = """WITH c AS (SELECT doc_id, coalesce(lang, 'none') AS lang FROM documents),
+o AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS i, count(*) OVER () AS langs FROM (SELECT DISTINCT lang FROM c)),
+d AS (SELECT doc_id, lang, i, langs, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rid, count(*) OVER (PARTITION BY lang) AS n FROM c JOIN o USING (lang))
 """
 
 
@@ -100,24 +103,28 @@ def mix_interleave_under(spark, sf_dir):
     return mixed(spark, sf_dir, "interleave_under")
 
 
-MIX_INTERLEAVE_UNDER = LANGS + "SELECT doc_id, lang, rid * 4 + i AS mix_pos FROM d WHERE rid < (SELECT min(n) FROM d)"
+MIX_INTERLEAVE_UNDER = LANGS + "SELECT doc_id, lang, rid * langs + i AS mix_pos FROM d WHERE rid < (SELECT min(n) FROM d)"
 
 
 def mix_interleave_over(spark, sf_dir):
     return mixed(spark, sf_dir, "interleave_over")
 
 
-MIX_INTERLEAVE_OVER = LANGS + "SELECT d.doc_id, d.lang, k.k * 4 + d.i AS mix_pos FROM d JOIN (SELECT unnest(range((SELECT max(n) FROM d))) AS k) k ON k.k % d.n = d.rid"
+MIX_INTERLEAVE_OVER = LANGS + "SELECT d.doc_id, d.lang, k.k * d.langs + d.i AS mix_pos FROM d JOIN (SELECT unnest(range((SELECT max(n) FROM d))) AS k) k ON k.k % d.n = d.rid"
 
 
 def mix_interleave_probs(spark, sf_dir):
-    return mixed(spark, sf_dir, "interleave_under", [0.4, 0.3, 0.2, 0.1])
+    """A language's share is in proportion to one, two, three, ... from the last one on."""
+    parts = by_language(spark, sf_dir)
+    shares = [float(len(parts) - i) for i in range(len(parts))]
+    return mixing.mix(parts, "interleave_under", shares, SEED).select("doc_id", "lang", "mix_pos")
 
 
 MIX_INTERLEAVE_PROBS = (
     LANGS
-    + """, u AS (SELECT k, CAST('0x' || substr(md5('42:mix:' || k), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM (SELECT unnest(range(4 * (SELECT count(*) FROM documents) + 1000)) AS k)),
-p AS (SELECT k, CASE WHEN u < 0.4 THEN 0 WHEN u < CAST(0.4 AS DOUBLE) + CAST(0.3 AS DOUBLE) THEN 1 WHEN u < CAST(0.4 AS DOUBLE) + CAST(0.3 AS DOUBLE) + CAST(0.2 AS DOUBLE) THEN 2 ELSE 3 END AS i FROM u),
+    + """, b AS (SELECT i, sum(CAST(langs - i AS DOUBLE) / (langs * (langs + 1) / 2)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS high, langs FROM o),
+u AS (SELECT k, CAST('0x' || substr(md5('42:mix:' || k), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM (SELECT unnest(range(8 * (SELECT count(*) FROM documents) + 1000)) AS k)),
+p AS (SELECT k, coalesce((SELECT min(i) FROM b WHERE u.u < b.high), (SELECT max(i) FROM b)) AS i FROM u),
 q AS (SELECT k, i, row_number() OVER (PARTITION BY i ORDER BY k) - 1 AS pick FROM p),
 e AS (SELECT min(k) AS stop FROM q JOIN (SELECT i, max(n) AS n FROM d GROUP BY i) z USING (i) WHERE pick + 1 = n)
 SELECT d.doc_id, d.lang, q.k AS mix_pos FROM q JOIN d ON d.i = q.i AND d.rid = q.pick % d.n WHERE q.k <= (SELECT stop FROM e)"""
@@ -253,9 +260,14 @@ s AS (SELECT user_id, step, w * value + (1 - w) * value AS smoothed FROM x WHERE
 SELECT user_id, step, round(smoothed, 4) AS smoothed FROM s"""
 
 
+def numbered_events(spark, sf_dir, *order) -> DataFrame:
+    """Events with their number among those of their kind, and how many these are."""
+    made = mixing.running_sums(events(spark, sf_dir), [F.col(c) for c in order], {"current": F.lit(1)}, ["event_type"])
+    return made.join(made.groupBy("event_type").agg(F.max("current").alias("total")), "event_type")
+
+
 def win_eta(spark, sf_dir):
-    place = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    rows = events(spark, sf_dir).withColumns({"current": F.row_number().over(place), "total": F.count(F.lit(1)).over(Window.partitionBy("event_type"))})
+    rows = numbered_events(spark, sf_dir, "ts", "event_id")
     made = metrics.progress(F.col("current"), F.col("total"), F.col("current").cast("long") * 37)
     return rows.select("event_id", *(c.alias(n) for n, c in made.items()))
 
@@ -271,12 +283,34 @@ def lim_page_log(spark, sf_dir):
     return e.groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
+def jn_pred_label(spark, sf_dir):
+    """Prompts, predictions and labels of three tables that share nothing but a row number."""
+    turns = table(spark, sf_dir, "conversations").where("turn < 2")
+    rows = turns.select(F.col("conv_id").alias("rid"), "turn", "text")
+    asked, said = rows.where("turn = 0").select("rid", F.col("text").alias("prompt")), rows.where("turn = 1").select("rid", F.col("text").alias("predict"))
+    wanted = docs(spark, sf_dir).select(F.col("doc_id").alias("rid"), F.col("text").alias("label"))
+    out = sinks.joined_predictions(asked, said, wanted)
+    return out.select("rid", F.md5(F.concat_ws("|", F.coalesce("prompt", F.lit("")), F.coalesce("predict", F.lit("")), F.coalesce("label", F.lit("")))).alias("row_md5"))
+
+
+JN_PRED_LABEL = """SELECT p.conv_id AS rid, md5(concat_ws('|', coalesce(p.text, ''), coalesce(a.text, ''), coalesce(d.text, ''))) AS row_md5
+FROM conversations p JOIN conversations a ON a.conv_id = p.conv_id AND a.turn = 1 JOIN documents d ON d.doc_id = p.conv_id WHERE p.turn = 0"""
+
+
+def win_throughput(spark, sf_dir):
+    e = events(spark, sf_dir).select("event_id", F.round(F.col("value") * 100).cast("long").alias("total_tokens"), (F.col("event_id") % 4).alias("elapsed_seconds"))
+    return metrics.throughput(e).select("event_id", "throughput")
+
+
+WIN_THROUGHPUT = "SELECT event_id, CASE WHEN event_id % 4 > 0 THEN round_even(CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) / (event_id % 4), 2) END AS throughput FROM events"
+
+
 LIM_PAGE_LOG = "SELECT event_type, arg_max(event_id, (ts, event_id)) AS event_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS at FROM events GROUP BY 1"
 
 
 def win_sample_5(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    return events(spark, sf_dir).withColumn("step", place).where("step % 5 = 0").select("event_type", "event_id", long(F.col("step"), "step"))
+    rows = numbered_events(spark, sf_dir, "event_id").where("current % 5 = 0")
+    return rows.select("event_type", "event_id", long(F.col("current"), "step"))
 
 
 WIN_SAMPLE_5 = "SELECT event_type, event_id, step FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS step FROM events) WHERE step % 5 = 0"
@@ -694,17 +728,14 @@ def st_events_by_window(spark, sf_dir):
     """The events as a stream: counts by hour and kind, once all of it has been read."""
     from uuid import uuid4
 
-    from loomspark.streaming.streams import events_by_window
+    from loomspark.functions.lineage import shared_folder
+    from loomspark.streaming.streams import events_by_window, keep_latest
 
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"events_{uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    writer = events_by_window(stream).writeStream
-    writer = writer.option("checkpointLocation", f"{folder.rstrip('/')}/{name}") if folder else writer
-    query = writer.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", long(F.col("n"), "n"), F.round("total", 3).alias("total"))
+    folder = f"{shared_folder(spark)}/events-{uuid4().hex}"
+    keep_latest(events_by_window(stream), f"{folder}/table", f"{folder}/checkpoint", seconds=None).awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", long(F.col("n"), "n"), F.round("total", 3).alias("total"))
 
 
 ST_EVENTS_BY_WINDOW = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2"
@@ -713,7 +744,7 @@ ST_EVENTS_BY_WINDOW = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS
 QUERIES = (
     "smp_num_samples smp_num_samples_over smp_max_samples smp_page smp_train_order smp_fewshot mix_concat mix_interleave_under mix_interleave_over mix_interleave_probs "
     "spl_fraction spl_count agg_len_hist agg_len_cdf agg_lr agg_tps top_argmax_choice agg_tok_acc agg_rm_acc agg_ppl_seq agg_category_acc agg_avg_meter win_ema win_eta "
-    "lim_page_log win_sample_5 win_last_token flt_log_loss agg_mfu ls_preference ls_rewards ls_batch_logps ls_ppo_trim snk_predictions_rm snk_predictions_batch mm_resize "
+    "lim_page_log jn_pred_label win_throughput win_sample_5 win_last_token flt_log_loss agg_mfu ls_preference ls_rewards ls_batch_logps ls_ppo_trim snk_predictions_rm snk_predictions_batch mm_resize "
     "mm_token_counts mm_frame_idx mm_placeholders ev_format api_normalise api_usage api_stream api_resp_len fmt_think_html ex_gpa tool_formats agg_rouge_bleu "
     "src_builder_belle src_builder_hh flt_catalog_ranking agg_kto_log agg_dpo_log mm_plugins st_events_by_window"
 ).split()

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from loomspark.operators.align import align
 from loomspark.operators.templates import resolve_template
 from loomspark.operators.tools import TOOLS_DATE
 from loomspark.sources.catalog import DatasetSpec, check_stage, column_names, dataset_specs
-from loomspark.sources.readers import has_tokenized, read_dataset, read_tokenized
+from loomspark.sources.readers import has_tokenized, input_state, read_dataset, read_tokenized, stream_dataset
 from loomspark.sources.sinks import write_tokenized
+from loomspark.streaming.streams import mix_streams
 
 
 #: Formats whose plain texts end with a token of their own.
@@ -44,6 +46,8 @@ class DataOptions:
     tool_format: str | None = None
     tools_date: str | None = TOOLS_DATE
     tokenized_path: str | None = None
+    cache_path: str | None = None
+    overwrite_cache: bool = False
     seed: int = 42
     add_bos: bool = False
     predict_with_generate: bool = False
@@ -108,15 +112,50 @@ def tokenize(rows: DataFrame, stage: str, options: DataOptions, encode: Callable
     return stages.process_unsupervised(rows, template, options.cutoff_len, keep, encode, options.tools_date)
 
 
+def get_stream(spark: SparkSession, options: DataOptions, stage: str, registry: dict[str, dict] | str, encode: Callable[[Column], Column] = char_ids) -> DataFrame:
+    """Token rows of streamed datasets as they come; nothing is counted, sorted or written.
+
+    Packing, and the partners of rated answers, need batches: use the stage functions on the
+    micro-batches of a ``foreachBatch`` for these. Streams are mixed and split by
+    ``streams.interleaved_batches`` and ``streams.take_and_skip``.
+    """
+    if options.packs(stage) or stage == "kto":
+        raise ValueError("A stream has no batches to pack or pair; use the stage in foreachBatch.")
+    parts = []
+    for spec in dataset_specs(list(options.dataset), registry):
+        check_stage(spec, stage)
+        parts.append(align(stream_dataset(spark, spec, options.dataset_dir), spec).withColumn("rid", F.lit(None).cast("long")))
+    return tokenize(mix_streams(parts).drop("ds_idx"), stage, options, encode).drop("rid", "batch_id")
+
+
+def cached(spark: SparkSession, options: DataOptions, stage: str, specs: list[DatasetSpec], encode: Callable, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, kept under ``cache_path`` by the settings and the files it comes from."""
+    if not options.cache_path:
+        return make()
+    settings = replace(options, cache_path=None, overwrite_cache=False, tokenized_path=None, val_size=0.0)
+    state = [(s, input_state(spark, s, options.dataset_dir)) for s in specs]
+    name = hashlib.sha256(repr((settings, stage, state, f"{encode.__module__}.{encode.__qualname__}")).encode()).hexdigest()[:32]
+    path = f"{options.cache_path.rstrip('/')}/{name}"
+    if options.overwrite_cache or not has_tokenized(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def get_dataset(spark: SparkSession, options: DataOptions, stage: str, registry: dict[str, dict] | str | None = None, encode: Callable[[Column], Column] = char_ids) -> dict[str, DataFrame]:
-    """Train and validation tables; an existing tokenized folder takes the place of all else."""
+    """Train and validation tables; an existing tokenized folder takes the place of all else.
+
+    With ``streaming`` the training set is a stream (see ``get_stream``).
+    """
     options.validate(stage)
     if options.tokenized_path and has_tokenized(spark, options.tokenized_path):
         return read_tokenized(spark, options.tokenized_path)
     registry = registry if registry is not None else options.dataset_dir
+    if options.streaming:
+        return {"train": get_stream(spark, options, stage, registry, encode)}
     out: dict[str, DataFrame] = {}
     if options.dataset:
-        train = tokenize(merged(spark, dataset_specs(list(options.dataset), registry), options, stage), stage, options, encode)
+        specs = dataset_specs(list(options.dataset), registry)
+        train = cached(spark, options, stage, specs, encode, lambda: tokenize(merged(spark, specs, options, stage), stage, options, encode))
         key = "rid" if "rid" in train.columns else "__key"
         if key == "__key":
             train = train.withColumn("__key", F.concat_ws(":", "batch_id", "block"))

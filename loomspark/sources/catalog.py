@@ -78,14 +78,22 @@ def load_registry(folder: str) -> dict[str, dict]:
     return json.loads(Path(folder, "dataset_info.json").read_text(encoding="utf-8"))
 
 
+def remote_registry(repository: str, hub: str) -> dict[str, dict]:
+    """The registry of a repository on a hub."""
+    from loomspark.sources.hubs import fetch_file
+
+    return json.loads(fetch_file(hub, repository, "dataset_info.json"))
+
+
 def dataset_specs(names: list[str], registry: dict[str, dict] | str | None, preferred_hub: str = "huggingface") -> list[DatasetSpec]:
-    """The specs of named datasets; without a registry ("ONLINE") names are hub datasets."""
+    """The specs of named datasets; without a registry ("ONLINE") names are hub datasets. A
+    registry is a folder, a table of entries, or ``REMOTE:<repository>`` on a hub."""
     if registry == "ONLINE":
         return [DatasetSpec(n, preferred_hub) for n in names]
     if isinstance(registry, str):
         try:
-            registry = load_registry(registry)
-        except OSError as e:
+            registry = remote_registry(registry.removeprefix("REMOTE:"), preferred_hub) if registry.startswith("REMOTE:") else load_registry(registry)
+        except (OSError, ValueError) as e:
             if names:
                 raise ValueError(f"The dataset registry in {registry} can't be read: {e}") from e
             registry = {}

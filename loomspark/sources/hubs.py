@@ -26,6 +26,20 @@ def read_hub(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     return _READERS[spec.load_from](spark, spec)
 
 
+_FILES: dict[str, Callable[[str, str], str]] = {}
+
+
+def register_files(name: str, fetch: Callable[[str, str], str]) -> None:
+    """Install what fetches the text of a file (repository, file) from a hub."""
+    _FILES[name] = fetch
+
+
+def fetch_file(hub: str, repository: str, file: str) -> str:
+    if hub not in _FILES:
+        raise OSError(f"Nothing is registered to fetch {file} of {repository} from the {hub} hub.")
+    return _FILES[hub](repository, file)
+
+
 def register_script(name: str, builder: Callable[[SparkSession, str], DataFrame]) -> None:
     """Register a dataset builder under the name that a registry's ``script_url`` has."""
     if name in _SCRIPTS:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,40 @@ def read_files(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return reader.parquet(*files)
 
 
+def stream_dataset(spark: SparkSession, spec: DatasetSpec, folder: str = "", files_per_batch: int = 1) -> DataFrame:
+    """The raw rows of a file spec as a stream, file by file, in the schema its files have now."""
+    if spec.load_from != "file":
+        raise ValueError("Only datasets of files can be streamed.")
+    path = os.path.join(folder, spec.name) if folder else spec.name
+    files = list_files(spark, path)
+    kind = format_of(files)
+    if kind == "arrow":
+        raise ValueError("Arrow files can't be streamed.")
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    # A stream reads folders or patterns; a pattern that fits one file stands for it.
+    place = re.sub(r"([^/])([^/]*)$", r"[\1]\2", path) if files == [path] else path
+    if kind == "text":
+        return reader.text(place).withColumnRenamed("value", "text")
+    reader = reader.schema(read_files(spark, path).schema)
+    if kind == "json":
+        return reader.option("multiLine", is_json_list(spark, files[0])).json(place)
+    if kind == "csv":
+        return reader.option("header", True).option("multiLine", True).option("escape", '"').csv(place)
+    return reader.parquet(place)
+
+
+def input_state(spark: SparkSession, spec: DatasetSpec, folder: str = "") -> list[tuple[str, int, int]]:
+    """Path, size and time of change of the files of a spec; none for other sources."""
+    if spec.load_from != "file":
+        return []
+    out = []
+    for file in list_files(spark, os.path.join(folder, spec.name) if folder else spec.name):
+        place, system = hadoop_path(spark, file)
+        found = system.getFileStatus(place)
+        out.append((file, found.getLen(), found.getModificationTime()))
+    return out
+
+
 def read_dataset(spark: SparkSession, spec: DatasetSpec, folder: str = "") -> DataFrame:
     """The raw rows of a dataset spec."""
     if spec.load_from == "file":
@@ -186,9 +221,10 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
-def media_listing(spark: SparkSession, folder: str) -> dict[str, str]:
-    """File name -> path of a media folder, listed once on the driver."""
-    return {os.path.basename(f): f for f in list_files(spark, folder)}
+def media_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Names and paths of the files of a media folder, listed by the tasks."""
+    found = spark.read.format("binaryFile").load(folder).select("path")
+    return found.select(F.substring_index("path", "/", -1).alias("name"), "path")
 
 
 def list_folders(spark: SparkSession, path: str, marker: str | None = None) -> list[str]:

@@ -66,3 +66,8 @@ def append_log(records: DataFrame, path: str) -> None:
 def command_settings(settings: dict) -> dict:
     """Settings worth writing down: those that are set, and whether to pack."""
     return {k: v for k, v in settings.items() if k == "packing" or not (v is None or v is False or v == "")}
+
+
+def joined_predictions(prompts: DataFrame, predictions: DataFrame, labels: DataFrame, rid: str = "rid") -> DataFrame:
+    """Prompt, prediction and label of each row, joined by the row's number, never by position."""
+    return prompts.select(rid, "prompt").join(predictions.select(rid, "predict"), rid).join(labels.select(rid, "label"), rid)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomspark.functions.text import hash_order
+from loomspark.operators import mixing
 from loomspark.sources.readers import LOG
 
 
@@ -62,8 +63,51 @@ def monitor(spark: SparkSession, path: str) -> DataFrame:
     return log.agg(F.max("current_steps").alias("current_steps"), F.max_by("loss", "current_steps").alias("loss"), F.max_by("percentage", "current_steps").alias("percentage"))
 
 
-def watch(updates: DataFrame, name: str, seconds: int = 2) -> StreamingQuery:
-    return updates.writeStream.outputMode("complete").format("memory").queryName(name).trigger(processingTime=f"{seconds} seconds").start()
+def keep_latest(updates: DataFrame, path: str, checkpoint: str, seconds: int | None = 2) -> StreamingQuery:
+    """An aggregate's latest state as a Parquet table at ``path``, written by the tasks.
+
+    ``seconds`` None: all that is there is read, then the query ends.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    writer = updates.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def interleaved_batches(streams: list[DataFrame], key: str, sink: Callable[[DataFrame, int], None], checkpoint: str, strategy: str = "interleave_under", probabilities: list[float] | None = None, seed: int = 42) -> StreamingQuery:
+    """Several streams mixed within each micro-batch, in turn or by chance, to ``sink``.
+
+    A stream has no end, so the strategy holds inside a micro-batch: rows that its shortest part
+    leaves over are not waited for. Rows of a part are taken in the order of ``key``.
+    """
+    mixing.check_mix(strategy, len(streams), probabilities)
+
+    def write(batch: DataFrame, number: int) -> None:
+        parts = [mixing.number_rows(batch.where(F.col("ds_idx") == i).drop("ds_idx"), [F.col(key)]) for i in range(len(streams))]
+        sink(mixing.mix(parts, strategy, probabilities, seed), number)
+
+    return mix_streams(streams).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def take_and_skip(stream: DataFrame, key: str, n: int, path: str, checkpoint: str, seed: int = 42) -> StreamingQuery:
+    """The first ``n`` rows of a shuffled stream under ``path/validation``, the others under
+    ``path/train``, one folder a micro-batch.
+
+    Each micro-batch is shuffled by hash and gives what is still missing; how much that is, is
+    read from what earlier batches wrote, so a batch that is run again writes the same.
+    """
+    session = stream.sparkSession
+    kinds = stream.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        held = session.read.schema(kinds).parquet(*(f"{path}/validation/batch={i}" for i in range(number))).count() if number else 0
+        ranked = mixing.number_rows(batch, [hash_order(seed, F.col(key)), F.col(key)], "__rank")
+        for name, rows in (("validation", ranked.where(F.col("__rank") < n - held)), ("train", ranked.where(F.col("__rank") >= n - held))):
+            rows.drop("__rank").write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -425,3 +425,78 @@ def test_first_example_and_balance(spark):
     assert "inputs: abcd" in shown and "targets: cd" in shown and stages.first_example(stages.process_sft(rows.limit(0), TEMPLATES["empty"], 100), char_text) == "no rows"
     tags = spark.createDataFrame([(0, True), (0, False), (1, True)], "b int, kto_tags boolean")
     assert {r["b"]: r["one_sided"] for r in stages.preference_balance(tags, "b").collect()} == {0: False, 1: True}
+
+
+# Tools, calls and media inside stages.
+def stage_rows(spark, turns, answer, tools="", images=None, tokens=None):
+    schema = "_prompt array<struct<role:string,content:string>>, _response array<struct<role:string,content:string>>, _system string, _tools string, _images array<string>, _videos array<string>, _audios array<string>, _image_tokens array<int>"
+    return spark.createDataFrame([(turns, answer, "", tools, images, None, None, tokens)], schema)
+
+
+def said(ids):
+    return "".join(chr(i) for i in ids if 0 <= i < 0x110000)
+
+
+def test_stages_hold_tools_and_calls(spark):
+    turns = [("user", "q"), ("function", json.dumps(CALL)), ("observation", "r")]
+    rows = stage_rows(spark, turns, [("assistant", "a"), ("function", json.dumps(CALL))], json.dumps(TOOLS))
+    template = TEMPLATES["qwen"]
+    call = '<tool_call>\n{"name": "tool_name", "arguments": {"foo": "bar", "size": 10}}\n</tool_call>'
+    answered = rows.withColumn("_response", F.slice("_response", 1, 1))
+    sft = said(stages.process_sft(answered, template, 5000).first()["input_ids"])
+    assert "# Tools" in sft and '"name": "test_tool"' in sft and call in sft and "<tool_response>\nr\n</tool_response>" in sft
+    pair = stages.process_pairwise(rows, template, 5000).first()
+    assert call in said(pair["rejected_labels"]) and "# Tools" in said(pair["chosen_input_ids"])
+    kto = stages.process_kto(rows.withColumn("rid", F.lit(0)), template, 5000, "rid").first()
+    assert "# Tools" in said(kto["kl_input_ids"]) and said(kto["labels"]).startswith("a")
+    assert "# Tools" in said(stages.process_unsupervised(answered, template, 5000).first()["input_ids"])
+
+
+def test_stages_hold_media(spark):
+    rows = stage_rows(spark, [("user", "<image>what <image>?")], [("assistant", "a")], images=["x", "y"], tokens=[2, 3])
+    one = stages.process_sft(rows, TEMPLATES["qwen2_vl"], 5000).first()
+    text = said(one["input_ids"])
+    assert "<|vision_start|>" + "<|image_pad|>" * 2 + "<|vision_end|>what <|vision_start|>" + "<|image_pad|>" * 3 in text and one["images"] == ["x", "y"]
+    for name, wrong in (("qwen2_vl", ["x"]), ("qwen", ["x", "y"])):
+        with pytest.raises(Exception, match="placeholders|no input"):
+            stages.process_sft(rows.withColumn("_images", F.array(*map(F.lit, wrong))), TEMPLATES[name], 5000).collect()
+    front = stages.process_sft(rows, TEMPLATES["paligemma"], 5000).first()
+    assert front["input_ids"][:5] == [front["input_ids"][0]] * 5 and front["labels"][:5] == [IGNORE] * 5 and "<image>" not in said(front["input_ids"])
+    both = rows.withColumns({"_videos": F.array(F.lit("v")), "_prompt": F.array(F.struct(F.lit("user").alias("role"), F.lit("<image><image><video>").alias("content")))})
+    with pytest.raises(Exception, match="either images or videos"):
+        stages.process_sft(both, TEMPLATES["minicpm_v"], 5000).collect()
+
+
+def test_packing_keeps_long_rows_and_media(spark):
+    schema = "rid long, b int, input_ids array<int>, labels array<int>, images array<string>"
+    df = spark.createDataFrame([(i, 0, [i] * n, [i] * n, m) for i, (n, m) in enumerate([(5, ["p"]), (3, None), (8, ["q", "r"])])], schema)
+    blocks = collate.pack_sft(df, 8, "b", "rid", neat=True).orderBy("block").collect()
+    assert [(list(r["rows"]), r["images"]) for r in blocks] == [([2], ["q", "r"]), ([0, 1], ["p"])] and all(len(r["input_ids"]) == 9 for r in blocks)
+    assert collate.too_long(df, 7, "b").first()["dropped"] == 1
+
+
+def test_segments_out_of_order(spark):
+    masks = [[1, 1, 2, 2, 2, 0], [2, 1, 2, 0], [0, 0], [], [3, 3, 1]]
+    df = spark.createDataFrame([(m,) for m in masks], "m array<int>")
+    assert [r[0] for r in df.select(collate.segment_lengths(F.col("m"))).collect()] == [[2, 3], [1, 2], [], [], [1, 2]]
+
+
+def test_running_sums_by_group(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randint(0, 9)) for i in range(300)]
+    out = mixing.running_sums(spark.createDataFrame(rows, "g string, i int, v int"), [F.col("i")], {"s": F.col("v"), "n": F.lit(1)}, ["g"], parts=7).collect()
+    assert len(out) == 300
+    for r in out:
+        before = [v for g, i, v in rows if g == r["g"] and i <= r["i"]]
+        assert (r["s"], r["n"]) == (sum(before), len(before))
+
+
+def test_longest_common_subsequence_is_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = (rng.choices("abcd", k=rng.randint(1, 30)) for _ in range(2))
+        row = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                row[i + 1][j + 1] = row[i][j] + 1 if x == y else max(row[i][j + 1], row[i + 1][j])
+        assert metrics.rouge_l(a, b) == pytest.approx(metrics.overlap_f(row[-1][-1], len(a), len(b)))

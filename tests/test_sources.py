@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.operators import evaluation
+from loomspark.operators.align import align
 from loomspark.plans.prepare import DataOptions, get_dataset, unmerged
 from loomspark.sources import builders, hubs, readers, sinks
 from loomspark.sources.catalog import DatasetSpec, catalog_table, usable_datasets
@@ -89,10 +90,9 @@ def test_logs(spark, tmp_path):
     assert readers.with_loss(log).count() == 3 and readers.latest_record(log).first()["percentage"] == 100.0
     series = readers.loss_series(log).orderBy("step").collect()
     assert [r["loss"] for r in series] == [3.0, 2.0, 1.0] and series[0]["smoothed"] == 3.0
-    query = streams.watch(streams.monitor(spark, str(tmp_path / "log")), "watched")
-    query.processAllAvailable()
-    assert spark.table("watched").first()["current_steps"] == 4
-    query.stop()
+    query = streams.keep_latest(streams.monitor(spark, str(tmp_path / "log")), str(tmp_path / "state"), str(tmp_path / "seen"), seconds=None)
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "state")).first()["current_steps"] == 4
     (tmp_path / "state.json").write_text(json.dumps({"log_history": [{"loss": 1.0, "step": 1}, {"eval_loss": 2.0, "step": 2}]}))
     assert readers.with_loss(readers.read_trainer_state(spark, str(tmp_path / "state.json"))).count() == 1
     sinks.append_log(log.where("current_steps = 1"), str(tmp_path / "log"))
@@ -200,3 +200,82 @@ def test_settings_and_models(tmp_path):
     catalog = ModelCatalog()
     catalog.register_group({"M-7B": {"huggingface": "m/7b"}, "M-7B-Chat": {"huggingface": "m/7b-chat", "modelscope": "M/7b"}}, template="m")
     assert catalog.template("M-7B") == "default" and catalog.template("M-7B-Chat") == "m" and catalog.locate("M-7B-Chat", "modelscope") == "M/7b" and catalog.locate("other") == "other"
+
+
+def test_streams_are_taken_and_interleaved(spark, tmp_path):
+    for i in range(3):
+        spark.range(10 * i, 10 * i + 10).withColumnRenamed("id", "k").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema("k long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.take_and_skip(source(), "k", 14, str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination()
+    taken, skipped = ([r["k"] for r in spark.read.parquet(str(tmp_path / "out" / part)).collect()] for part in ("validation", "train"))
+    assert len(taken) == 14 and sorted(taken + skipped) == list(range(30))
+    got = []
+    other = source().select((F.col("k") + 100).alias("k"))
+    streams.interleaved_batches([source(), other], "k", lambda df, n: got.append(df.orderBy("mix_pos").collect()), str(tmp_path / "c2")).awaitTermination()
+    assert [r["k"] for batch in got for r in batch if r["ds_idx"] == 0] and all([r["ds_idx"] for r in batch] == [0, 1] * (len(batch) // 2) for batch in got)
+    with pytest.raises(ValueError):
+        streams.interleaved_batches([source(), other], "k", print, str(tmp_path / "c3"), probabilities=[1.0])
+
+
+def test_media_paths(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"x")
+    listing = readers.media_listing(spark, str(tmp_path))
+    spec = DatasetSpec("m", formatting="alpaca", prompt="q", query=None, response="a", images="pics")
+    df = spark.createDataFrame([(1, "<image>?", "yes", ["b.png", "a.png"]), (2, "no", "no", None), (3, "<image>", "x", ["a.png"])], "rid long, q string, a string, pics array<string>")
+    out = {r["rid"]: r["_images"] for r in align(df, spec, keep=["rid"], media_files=listing).collect()}
+    assert out[1][0] == "b.png" and out[1][1].endswith("/a.png") and out[1][1] != "a.png" and out[2] is None and len(out[3]) == 1
+
+
+def test_nested_settings():
+    from loomspark.sources.settings import read_yaml
+
+    text = """# run
+model: x  # name
+dataset: [a, b]
+args:
+  rate: 1.0e-4
+  tags:
+    - one
+    - "two # 2"
+  deep: {}
+list:
+- k: 1
+  v: yes it is
+- plain
+"""
+    assert read_yaml(text) == {"model": "x", "dataset": ["a", "b"], "args": {"rate": 1.0e-4, "tags": ["one", "two # 2"], "deep": {}}, "list": [{"k": 1, "v": "yes it is"}, "plain"]}
+
+
+def test_remote_registry():
+    from loomspark.sources.catalog import dataset_specs
+
+    hubs.register_files("testhub", lambda repository, file: json.dumps({"d": {"file_name": f"{repository}.json"}}))
+    assert dataset_specs(["d"], "REMOTE:me/data", "testhub")[0].name == "me/data.json"
+    with pytest.raises(ValueError):
+        dataset_specs(["d"], "REMOTE:me/data", "huggingface")
+
+
+def test_streamed_and_cached_preparation(spark, tmp_path):
+    rows = [{"instruction": f"ask {i}", "output": f"answer {i}"} for i in range(6)]
+    (tmp_path / "d.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    registry = {"d": {"file_name": "d.jsonl", "columns": {"prompt": "instruction", "response": "output"}}}
+    options = DataOptions(template="default", dataset=("d",), dataset_dir=str(tmp_path), streaming=True)
+    stream = get_dataset(spark, options, "sft", registry)["train"]
+    assert stream.isStreaming
+    stream.writeStream.format("memory").queryName("streamed").trigger(availableNow=True).start().awaitTermination()
+    batch = DataOptions(template="default", dataset=("d",), dataset_dir=str(tmp_path), cache_path=str(tmp_path / "cache"))
+    want = get_dataset(spark, batch, "sft", registry)["train"]
+    ids = lambda df: sorted(tuple(r["input_ids"]) for r in df.collect())
+    assert ids(spark.table("streamed")) == ids(want) and want.count() == 6
+    assert ids(get_dataset(spark, batch, "sft", registry)["train"]) == ids(want) and len([f for f in (tmp_path / "cache").iterdir() if f.is_dir()]) == 1
+    with pytest.raises(ValueError):
+        get_dataset(spark, options, "kto", registry)
+
+
+def test_packed_preparation_keeps_long_rows(spark, tmp_path):
+    rows = [{"instruction": "short", "output": "x"}, {"instruction": "long", "output": "y" * 2000}]
+    (tmp_path / "d.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    registry = {"d": {"file_name": "d.jsonl", "columns": {"prompt": "instruction", "response": "output"}}}
+    options = DataOptions(template="default", dataset=("d",), dataset_dir=str(tmp_path), cutoff_len=512, packing=True)
+    blocks = get_dataset(spark, options, "sft", registry)["train"].collect()
+    assert sorted(i for r in blocks for i in r["rows"]) == [0, 1] and all(len(r["input_ids"]) == 513 for r in blocks)
