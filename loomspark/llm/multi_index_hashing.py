@@ -6,13 +6,18 @@ eight bits, each indexed by a table from its value to the rows that have it. Two
 within Hamming distance ``r`` agree in some substring up to a threshold, where the thresholds
 add up to ``r`` less the number of substrings plus one (pigeonhole); probing all values
 within the thresholds therefore retrieves every code within the radius, whose rows are then
-ranked by their true distance. A query with fewer than ``k`` rows in the radius gets a larger
-one. The rotations and the radius are fitted on a bounded sample; all rows are indexed, in
-blocks inside the tasks that read them, and blocks of queries are sent to these tasks.
+ranked by their true distance. Where that many values are within the thresholds that the rows
+they list outnumber the block, comparing all codes gives the same rows at less cost.
+
+A query's radius follows its own neighbours: it starts small, grows until ``k`` rows are found,
+and ends at the radius that, on the sample, holds ``REACH`` of the pairs as near as the
+``k``-th row found. Rotations and that relation are fitted on a bounded sample; all rows are
+indexed, in blocks that meet blocks of queries (see ``vectors``).
 
 Defined cases: rows without id, vectors null, zero, of another length or with null or
 non-finite components take no part; ties go to the smaller id; repeated rows are candidates
-of their own, a repeated query id is one query; without queries the result is empty.
+of their own, a repeated query id is one query; other columns play no part; without queries,
+and for an empty table, the result is empty.
 """
 
 from __future__ import annotations
@@ -22,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import read_table, unit_hash
-from loomspark.llm.vectors import best_of, query_blocks, search_blocks, sound_vectors
+from loomspark.llm.vectors import best_of, search_blocks, sound_vectors
 
 #: Bound of the sample that rotations and radius are fitted on.
 SAMPLE_ROWS = 4096
 ROTATIONS = 2
-#: Part of the sample's true neighbours that the radius has to reach.
+#: Part of the sample's pairs of a distance that the radius for it has to hold.
 REACH = 0.99
 BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 DISTANCE = BITS[np.arange(256)[:, None] ^ np.arange(256)[None]]
@@ -48,46 +53,83 @@ class Hasher:
                 u, _, v = np.linalg.svd(np.where(x @ r >= 0, 1.0, -1.0).T @ x)
                 r = (u @ v).T
             self.rotations.append(r)
-        self.radius = self._fit_radius(sample, k)
+        self.start, self.edges, self.radii = self._fit_radii(sample, k)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         x = x - self.centre
         return np.packbits(np.concatenate([x @ r >= 0 for r in self.rotations], axis=1), axis=1)
 
-    def _fit_radius(self, sample: np.ndarray, k: int) -> int:
-        """A radius that holds REACH of the true neighbours inside the sample."""
-        codes, reached = self.codes(sample), []
+    def _fit_radii(self, sample: np.ndarray, k: int, classes: int = 24) -> tuple[int, np.ndarray, np.ndarray]:
+        """A radius to begin with, and upper ends of classes of distances with the radius for each."""
+        codes = self.codes(sample)
+        bits, firsts, pairs = 8 * codes.shape[1], [], []
         for i in range(min(256, len(sample))):
-            near = np.argsort(((sample - sample[i]) ** 2).sum(axis=1), kind="stable")[: k + 1]
-            reached.append(BITS[codes[near] ^ codes[i]].sum(axis=1))
-        return int(np.quantile(np.concatenate(reached), REACH)) if reached else 0
+            distance = np.sqrt(((sample - sample[i]) ** 2).sum(axis=1))
+            near = np.argsort(distance, kind="stable")[1 : 4 * k + 1]
+            apart = BITS[codes[near] ^ codes[i]].sum(axis=1, dtype=np.int64)
+            firsts += apart[:k].tolist()
+            pairs.append(np.stack([distance[near], apart]))
+        distance, apart = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0))
+        if len(distance) < 10 * classes:
+            return bits, np.zeros(0), np.full(1, bits)
+        order = np.argsort(distance, kind="stable")
+        parts = np.array_split(order, classes)
+        radii = np.maximum.accumulate([int(np.quantile(apart[p], REACH)) for p in parts])
+        return int(np.quantile(firsts, 0.05)), np.array([distance[p].max() for p in parts]), np.append(radii, bits)
+
+    def radius(self, distance: float) -> int:
+        """The radius for rows up to a distance."""
+        return int(self.radii[np.searchsorted(self.edges, distance, "left")])
 
 
 class CodeIndex:
     """A table for each byte of the codes: rows in the order of that byte's value."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
+        self.codes, self.probed = codes, 0
         self.order = [np.argsort(c, kind="stable") for c in codes.T]
         self.starts = [np.searchsorted(c[o], np.arange(257)) for c, o in zip(codes.T, self.order)]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows within the radius of a code."""
+        """All rows within the radius of a code; ``probed`` counts the rows whose codes are read."""
         m = len(code)
         thresholds = np.full(m, (radius - m + 1) // m)
         thresholds[: (radius - m + 1) % m] += 1
-        met = np.zeros(len(self.codes), bool)
-        for j in np.flatnonzero(thresholds >= 0):
-            values = np.flatnonzero(DISTANCE[code[j]] <= thresholds[j])
-            begins, sizes = self.starts[j][values], self.starts[j][values + 1] - self.starts[j][values]
-            shift = np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
-            met[self.order[j][shift + np.arange(len(shift))]] = True
-        rows = np.flatnonzero(met)
+        parts = [(j, np.flatnonzero(DISTANCE[code[j]] <= thresholds[j])) for j in np.flatnonzero(thresholds >= 0)]
+        spans = [(j, self.starts[j][values], self.starts[j][values + 1]) for j, values in parts]
+        if sum(int((ends - begins).sum()) for _, begins, ends in spans) >= len(self.codes):
+            rows = np.arange(len(self.codes))
+        else:
+            met = np.zeros(len(self.codes), bool)
+            for j, begins, ends in spans:
+                sizes = ends - begins
+                shift = np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
+                met[self.order[j][shift + np.arange(len(shift))]] = True
+            rows = np.flatnonzero(met)
+        self.probed += len(rows)
         return rows[BITS[self.codes[rows] ^ code].sum(axis=1, dtype=np.int64) <= radius]
 
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The ``k`` nearest rows found for each query, by Euclidean distance, itself excluded."""
+    def search(self, hasher: Hasher, code: np.ndarray, query: np.ndarray, rows: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows found for a query, among ``others``, and their distances."""
+        bits, radius, wanted = 8 * len(code), hasher.start, min(k, int(others.sum()))
+        while True:
+            found = self.within(code, radius)
+            found = found[others[found]]
+            score = np.sqrt(((rows[found] - query) ** 2).sum(axis=1))
+            if radius >= bits:
+                return found, score
+            if len(found) >= wanted:
+                needed = hasher.radius(float(np.partition(score, wanted - 1)[wanted - 1])) if wanted else 0
+                if needed <= radius:
+                    return found, score
+                radius = needed
+            else:
+                radius = min(bits, radius + max(4, radius // 4))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, sample_rows: int = SAMPLE_ROWS, **blocks: int) -> DataFrame:
+    """The ``k`` nearest rows found for each query, by Euclidean distance, itself excluded;
+    ``blocks`` are sizes for ``search_blocks``."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n = vectors.count()
@@ -96,26 +138,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, sample_rows: int = S
     if not sample:
         return empty
     hasher = Hasher(np.array([r["vec"] for r in sample], np.float64), k)
-    bits = 8 * hasher.codes(np.zeros((1, len(sample[0]["vec"])))).shape[1]
 
     def search(ids, block, row_ids, rows):
         index, codes = CodeIndex(hasher.codes(rows)), hasher.codes(block)
         out = []
         for q, (code, own) in enumerate(zip(codes, ids)):
-            radius, others = hasher.radius, int((row_ids != own).sum())
-            while True:
-                found = index.within(code, radius)
-                found = found[row_ids[found] != own]
-                if len(found) >= min(k, others) or radius >= bits:
-                    break
-                radius = min(bits, radius + max(2, radius // 8))
-            score = np.sqrt(((rows[found] - block[q]) ** 2).sum(axis=1))
+            found, score = index.search(hasher, code, block[q], rows, row_ids != own, k)
             best = np.lexsort((row_ids[found], score))[:k]
             out.append((np.full(len(best), q), row_ids[found[best]], score[best]))
         return tuple(np.concatenate(c) for c in zip(*out))
 
-    found = search_blocks(vectors, query_blocks(queries), search, "double")
-    return empty if found is None else best_of(found, k, F.col("score").asc())
+    return best_of(search_blocks(vectors, queries, search, "double", **blocks), k, F.col("score").asc())
 
 
 def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:

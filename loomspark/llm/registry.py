@@ -38,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_event_sourced_chat": chat_events.OP7_SQL}
+    return {"op4_dual_tree_top_products": dual_tree.OP4_SQL, "op7_event_sourced_chat": chat_events.OP7_SQL}

@@ -12,7 +12,8 @@ Only the sample and one row a range reach the driver; both depend on the number
 
 Defined cases: a null text has no bytes and the hash of an empty text; every record counts 8
 bytes more than its text; repeated rows are records of their own, told apart by their place
-in the input; a null id is kept; an empty table gives no rows.
+in the input; a null id is kept, and ids of any type; other columns, whatever their names, play
+no part in the placement; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -123,23 +124,32 @@ def place(rows: DataFrame, shards: int, ranges_per_shard: int = RANGES_PER_SHARD
     return placed.join(firsts, "shard").withColumn("slot", F.col("rank") - F.col("first_rank")).drop("rank", "first_rank")
 
 
-def shard_documents(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Placement of every document: doc_id, size, text_crc32, shard and slot."""
+def shard_documents(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """Placement of every document: doc_id, size, text_crc32, shard and slot (and ``row``, a
+    column that numbers the rows, if named)."""
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(content) + 8).cast("long").alias("size"),
         F.crc32(content.cast("binary")).alias("text_crc32"),
         F.xxhash64(content).alias("key"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**62))).alias("tie"),
-        F.monotonically_increasing_id().alias("row"),
+        # Any number that the id decides will do; whole numbers keep their order.
+        F.coalesce(F.col(doc_id).cast("string").try_cast("long"), F.xxhash64(doc_id), F.lit(-(2**62))).alias("tie"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
     )
-    return place(cut_lineage(rows), shards).select("doc_id", "size", "text_crc32", "shard", "slot")
+    placed = place(cut_lineage(rows), shards)
+    return placed.select("doc_id", "size", "text_crc32", "shard", "slot", *(["row"] if row else []))
 
 
-def write_shards(docs: DataFrame, placement: DataFrame, path: str, doc_id: str = "doc_id", rows_per_file: int = 100_000) -> None:
-    """Write whole documents, one folder a shard, in the order of their slots."""
-    rows = docs.join(placement.select(doc_id, "shard", "slot"), doc_id)
+def write_shards(docs: DataFrame, shards: int, path: str, doc_id: str = "doc_id", text: str = "text", rows_per_file: int = 100_000) -> None:
+    """Write all documents whole, one folder a shard, in the order of their slots.
+
+    Rows are numbered in a written copy and placed by these numbers, so that repeated and null
+    ids don't matter.
+    """
+    held = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
+    placed = shard_documents(held, shards, doc_id, text, "__row").select(F.col("row").alias("__row"), "shard", "slot")
+    rows = held.drop("shard", "slot").join(placed, "__row").drop("__row")
     rows = rows.repartition("shard", F.floor(F.col("slot") / rows_per_file))
     rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("errorifexists").parquet(path)
 

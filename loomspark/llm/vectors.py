@@ -1,8 +1,14 @@
-"""Reading vectors, bounded blocks of queries, and merging the results of index blocks."""
+"""Reading vectors, blocks of queries and of rows that meet in tasks, and merging their results.
+
+Queries and rows are cut into numbered blocks of bounded size, and every pair of a block of
+queries and a block of rows is one group of a co-grouped join: nothing of either goes through
+the driver, and a task holds two blocks whatever the size of the table. Rows are moved once for
+each block of queries.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +17,9 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.common import cut_lineage
 
-#: Rows of one index block inside a task, and of one block of queries sent to the tasks.
+#: Rows of one index block, and of one block of queries.
 INDEX_ROWS = 8192
-QUERY_ROWS = 8192
+QUERY_ROWS = 16384
 
 
 def sound_vectors(df: DataFrame, id_column: str, vector: str, allow_zero: bool) -> DataFrame:
@@ -37,50 +43,36 @@ def matrix(column: pa.Array, rows: int) -> np.ndarray:
     return flat.reshape(rows, -1)
 
 
-def query_blocks(queries: DataFrame, rows_per_block: int = QUERY_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks (ids, matrix) of about ``rows_per_block`` queries, one at a time on the driver.
-
-    A repeated query id is one query; of different vectors under one id the smallest counts.
-    """
-    single = cut_lineage(queries.groupBy("vec_id").agg(F.min("vec").alias("vec")))
-    blocks = -(-single.count() // rows_per_block)
-    for b in range(blocks):
-        rows = single.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
-        if rows:
-            yield np.array([r["vec_id"] for r in rows], np.int64), np.array([r["vec"] for r in rows], np.float64)
-
-
-#: Searches one index block: (query ids, queries, row ids, rows) -> (query row, id, score) arrays.
+#: Searches one block: (query ids, queries, row ids, rows) -> (query row, id, score) arrays.
 Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def search_blocks(vectors: DataFrame, blocks: Iterator[tuple[np.ndarray, np.ndarray]], search: Search, score_type: str, index_rows: int = INDEX_ROWS) -> DataFrame | None:
-    """Results of every block of queries against every index block of every task."""
+def search_blocks(vectors: DataFrame, queries: DataFrame, search: Search, score_type: str, index_rows: int = INDEX_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """Results of every block of queries against every block of rows.
+
+    A repeated query id is one query; of different vectors under one id the smallest counts.
+    """
     arrow = pa.int64() if score_type == "long" else pa.float64()
-    out = None
-    for ids, queries in blocks:
-
-        def work(batches: Iterator[pa.RecordBatch], ids=ids, queries=queries) -> Iterator[pa.RecordBatch]:
-            def run(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-                table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                row, found, score = search(ids, queries, table.column(0).to_numpy(), matrix(table.column(1), table.num_rows))
-                return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(found), pa.array(score, arrow)], ["query_id", "vec_id", "score"])
-
-            held, n = [], 0
-            for batch in batches:
-                for at in range(0, batch.num_rows, index_rows):
-                    part = batch.slice(at, index_rows)
-                    if n + part.num_rows > index_rows and held:
-                        yield run(held)
-                        held, n = [], 0
-                    held.append(part)
-                    n += part.num_rows
-            if n:
-                yield run(held)
-
-        found = vectors.mapInArrow(work, f"query_id long, vec_id long, score {score_type}")
-        out = found if out is None else out.unionByName(found)
-    return out
+    single = cut_lineage(queries.groupBy("vec_id").agg(F.min("vec").alias("vec")))
+    # Rows are dealt out by their place, so that one frequent id is spread over all blocks.
+    rows = cut_lineage(vectors.withColumn("at", F.monotonically_increasing_id()))
+    asked, held = max(1, -(-single.count() // query_rows)), max(1, -(-rows.count() // index_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = single.select(F.pmod(F.xxhash64("vec_id"), F.lit(asked)).cast("int").alias("q"), every(held).alias("d"), "vec_id", "vec")
+    right = rows.select(every(asked).alias("q"), F.pmod(F.col("at") + F.shiftright("at", 33), F.lit(held)).cast("int").alias("d"), "vec_id", "vec")
+
+    def work(asked: pa.Table, held: pa.Table) -> pa.Table:
+        names = ["query_id", "vec_id", "score"]
+        if not asked.num_rows or not held.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], arrow)], names)
+        sides = [t.sort_by("vec_id").combine_chunks() for t in (asked, held)]
+        ids, row_ids = (t.column("vec_id").to_numpy() for t in sides)
+        block, rows = (matrix(t.column("vec").combine_chunks(), t.num_rows) for t in sides)
+        row, found, score = search(ids, block, row_ids, rows)
+        return pa.table([pa.array(ids[row]), pa.array(found, pa.int64()), pa.array(score, arrow)], names)
+
+    found = left.groupBy("q", "d").cogroup(right.groupBy("q", "d"))
+    return found.applyInArrow(work, f"query_id long, vec_id long, score {score_type}")
 
 
 def best_of(found: DataFrame, k: int, score: Column) -> DataFrame:

@@ -52,10 +52,17 @@ def test_one_key_only(spark):
 
 
 def test_shards_are_written_whole(spark, tmp_path):
-    df = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string")
-    sharding.write_shards(df, sharding.shard_documents(df, 3), str(tmp_path / "out"))
+    texts = [(i, f"t{i}") for i in range(50)] + [(7, "again"), (7, "t7"), (None, "no id"), (None, None)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, slot string")
+    sharding.write_shards(df, 3, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 50 and sorted(r[0] for r in back.select("shard").distinct().collect()) == [0, 1, 2]
+    assert sorted(map(str, back.select("doc_id", "text").collect())) == sorted(map(str, df.select("doc_id", "text").collect()))
+    assert sorted(r[0] for r in back.select("shard").distinct().collect()) == [0, 1, 2]
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([(f"doc-{i}", "x" * i) for i in range(30)] + [("", ""), (None, "y")], "doc_id string, text string")
+    assert sharding.shard_documents(df, 3).count() == 32
 
 
 @pytest.fixture(scope="module")
@@ -137,3 +144,92 @@ def test_cover_tree_holds_its_points():
         return held
 
     assert sorted(points(tree).tolist()) == list(range(len(x)))
+
+
+def test_blocks_do_not_change_results(vectors):
+    rows, df = vectors
+    v = sound_vectors(df, "vec_id", "embedding", allow_zero=True).where("vec_id < 2000").withColumn("vec", F.transform("vec", lambda x: F.floor(F.lit(256.0) * x).cast("double")))
+    one = sorted(map(tuple, dual_tree.top_products(v, v.where("vec_id % 50 = 0"), 5).collect()))
+    assert one == sorted(map(tuple, dual_tree.top_products(v, v.where("vec_id % 50 = 0"), 5, index_rows=200, query_rows=7).collect()))
+    w = sound_vectors(df, "vec_id", "embedding", allow_zero=False)
+    small = multi_index_hashing.nearest(w, w.where("vec_id % 100 = 0"), 10, index_rows=400, query_rows=4).collect()
+    assert len(small) == 150 and all(r["rank"] <= 10 for r in small)
+
+
+def clustered(rng, clusters=40, each=60, d=32):
+    centres = rng.normal(size=(clusters, d))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    return np.repeat(centres, each, axis=0) * 10 + rng.normal(size=(clusters * each, d)) * 0.1
+
+
+def test_trees_prune_where_vectors_are_clustered():
+    x = np.floor(256 * clustered(np.random.default_rng(3))).astype(np.int64)
+    ids = np.arange(len(x))
+    search = dual_tree.Search(x[::20], ids[::20], x, ids, 5)
+    search.visit(dual_tree.cover_tree(x[::20].astype(float), np.arange(len(x[::20])), 0), dual_tree.cover_tree(x.astype(float), ids, 0))
+    assert search.compared <= 0.2 * len(x) * len(x[::20])
+    for q, i in enumerate(ids[::20]):
+        s = x @ x[i]
+        s[i] = np.iinfo(np.int64).min
+        want = np.lexsort((ids, ~s))[:5]
+        assert sorted(zip((-search.score[q]).tolist(), search.found[q].tolist())) == [(-int(s[w]), int(w)) for w in want]
+
+
+def test_whole_numbers_beyond_doubles():
+    rng = np.random.default_rng(5)
+    x = rng.integers(-(2**28), 2**28, (300, 8))
+    ids = np.arange(300)
+    search = dual_tree.Search(x, ids, x, ids, 3)
+    assert search.kind is np.int64
+    search.visit(dual_tree.cover_tree(x.astype(float), ids, 0), dual_tree.cover_tree(x.astype(float), ids, 0))
+    for i in ids:
+        s = [(-sum(int(a) * int(b) for a, b in zip(x[i], x[j])), int(j)) for j in ids if j != i]
+        assert sorted(zip((-search.score[i]).tolist(), search.found[i].tolist())) == sorted(s)[:3]
+
+
+def test_probing_is_selective_where_vectors_are_clustered():
+    rng = np.random.default_rng(4)
+    x = clustered(rng)
+    hasher = multi_index_hashing.Hasher(x[rng.permutation(len(x))[:1000]], 10)
+    index, hits = multi_index_hashing.CodeIndex(hasher.codes(x)), 0
+    queries = range(0, len(x), 48)
+    for q in queries:
+        others = np.arange(len(x)) != q
+        found, _ = index.search(hasher, index.codes[q], x[q], x, others, 10)
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & set(found.tolist()))
+    assert hits >= 0.95 * 10 * len(queries) and index.probed <= 0.25 * len(x) * len(queries)
+
+
+def table_vectors(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
+    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+
+
+def test_op2_on_the_table(spark):
+    data = "/root/testdata/sf0.01"
+    ids, x = table_vectors(spark, data)
+    got = registry.queries()["op2_multi_index_hashing"](spark, data).collect()
+    hits, queries = 0, [i for i in ids.tolist() if i % 100 == 0]
+    for q in queries:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        want = set(ids[np.lexsort((ids, d))[:10]].tolist())
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert len(mine) == 10 and all(abs(r["score"] - d[ids == r["vec_id"]][0]) < 1e-12 for r in mine)
+        hits += len(want & {r["vec_id"] for r in mine})
+    assert hits >= 0.9 * 10 * len(queries) and len(got) == 10 * len(queries)
+
+
+def test_op4_on_the_table(spark):
+    data = "/root/testdata/sf0.01"
+    ids, x = table_vectors(spark, data)
+    x = np.floor(256 * x).astype(np.int64)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in registry.queries()["op4_dual_tree_top_products"](spark, data).collect()}
+    want = {}
+    for q in ids[ids % 50 == 0]:
+        s = x @ x[ids == q][0]
+        s[ids == q] = np.iinfo(np.int64).min
+        want |= {(int(q), rank + 1): (int(ids[w]), int(s[w])) for rank, w in enumerate(np.lexsort((ids, ~s))[:5])}
+    assert got == want
