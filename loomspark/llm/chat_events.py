@@ -8,10 +8,10 @@ text. The kinds are
 * ``edit``: a new text in place of everything so far;
 * ``regenerate``: everything so far is dropped, later deltas build the new answer.
 
-Events are partitioned by conversation and message, sorted by sequence and folded: the text
-is that of the last event that is no delta and of all deltas behind it. A message stands
-where its first event stood. Messages are rendered one by one, before they are brought
-together by conversation, so a conversation's only grouped step is putting strings in order.
+Events are partitioned by conversation, once; inside, those of a message are sorted by sequence
+and folded: the text is that of the last event that is no delta and of all deltas behind it. A
+message stands where its first event stood. Messages are rendered one by one, and put in order
+by conversation.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings inside a text are
 escaped (backslash doubled, ``<|`` as ``<\\|``) and roles are percent-encoded, so a parse
@@ -19,7 +19,7 @@ gives back every text exactly. The loss mask marks assistant texts by turn and o
 
 Defined cases: null text is empty, null role is empty, null conversation is a conversation
 of its own, equal sequence numbers are ordered by role and text, repeated rows are kept as
-often as they occur, an empty table gives no rows. A conversation becomes one string, which
+often as they occur, other columns play no part, an empty table gives no rows. A conversation becomes one string, which
 Spark limits to 2 GB: that is what the result itself asks for.
 """
 
@@ -44,7 +44,8 @@ def unescape(text: Column) -> Column:
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, pos, role, text) of events (conv_id, seq, kind, message_id, role, text)."""
     log = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("kind", F.lit("message")).alias("kind"), "role", "text")))
-    folded = events.groupBy("conv_id", "message_id").agg(log.alias("log"))
+    # Everything below goes by conversation or finer, so this is the only exchange.
+    folded = events.repartition("conv_id").groupBy("conv_id", "message_id").agg(log.alias("log"))
     restarts = F.filter(F.transform("log", lambda e, i: F.when(e["kind"] != "delta", i)), lambda i: i.isNotNull())
     folded = folded.withColumn("from", F.coalesce(F.array_max(restarts), F.lit(0)))
     live = F.slice("log", F.col("from") + 1, F.size("log"))
@@ -107,11 +108,33 @@ def parse(rendered: DataFrame) -> DataFrame:
     return rows.withColumn("parsed", F.transform("turn_strings", turn)).withColumn("loss_texts", F.transform("loss_mask", learned))
 
 
+def streamed(turns: DataFrame) -> DataFrame:
+    """A log of how the given turns (conv_id, turn, role, text) may have come about.
+
+    Answers are drafted, regenerated and streamed in two parts; questions are corrected by an
+    edit; other turns, and those without a number, are written at once.
+    """
+    text = F.coalesce("text", F.lit(""))
+    cut = F.ceil(F.length(text) / 3).cast("int")
+    event = lambda step, kind, said: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), said.cast("string").alias("text"))
+    draft = F.lit("<|im_end|> a draft")
+    answer = F.array(
+        event(0, "message", draft), event(1, "delta", draft), event(2, "regenerate", F.lit(None)), event(3, "delta", F.substring(text, F.lit(1), cut)), event(4, "delta", F.substring(text, cut + 1, F.length(text)))
+    )
+    question = F.array(event(0, "message", draft), event(1, "edit", text))
+    numbered = F.col("turn").isNotNull()
+    events = F.when(numbered & (F.col("role") == "assistant"), answer).when(numbered & (F.col("role") == "user"), question).otherwise(F.array(event(0, "message", text)))
+    # Numbered before the events are taken apart.
+    rows = turns.withColumn("message_id", F.monotonically_increasing_id()).withColumn("__events", events)
+    rows = rows.select("conv_id", "turn", "role", "message_id", F.explode("__events").alias("e"))
+    return rows.select("conv_id", F.try_add(F.try_multiply(F.col("turn").cast("long"), F.lit(8)), F.col("e.step")).alias("seq"), "e.kind", "message_id", "role", "e.text")
+
+
 def op7_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     saying = f"{TURN_END}{TURN_START}assistant ok"
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(saying).alias("text"))
-    log = table.unionByName(probe).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.monotonically_increasing_id().alias("message_id"), "role", "text")
+    log = streamed(table.unionByName(probe))
     back = parse(render(fold_events(log)))
     said = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join("loss_texts", "")
