@@ -61,19 +61,22 @@ class ByteCnn:
         return np.ascontiguousarray(np.concatenate(first, axis=1)), self.tables[3][2].copy(), np.ascontiguousarray((four[2][:, None] + four[3][None]).reshape(-1, FILTERS))
 
     def windows(self, stream: np.ndarray) -> np.ndarray:
-        """Probabilities of each window of a stream of byte classes (a multiple of WINDOW)."""
+        """Probabilities of each window of a stream of byte classes (a multiple of WINDOW).
+
+        What stands behind a window is none of its business, as in training: it sees zeros.
+        """
         pairs, third, last = self.compiled()
-        out = np.empty((len(stream) // WINDOW, len(self.languages)), np.float32)
-        padded = np.concatenate([stream, np.zeros(4, np.uint8)])
-        for at in range(0, len(stream), CHUNK):
-            part = padded[at : min(at + CHUNK, len(stream)) + 4].astype(np.intp)
-            n = len(part) - 4
-            pair = part[:-1] * CLASSES + part[1:]
-            response = pairs.take(pair[:n], axis=0)
-            response[:, FILTERS : 2 * FILTERS] += third.take(part[2 : n + 2], axis=0)
-            response[:, 2 * FILTERS :] += last.take(pair[2 : n + 2], axis=0)
-            pooled = np.maximum(response.reshape(-1, WINDOW, response.shape[1]).max(axis=1) + self.bias, 0)
-            out[at // WINDOW : at // WINDOW + n // WINDOW] = softmax(pooled @ self.dense + self.offset)
+        rows = stream.reshape(-1, WINDOW)
+        out = np.empty((len(rows), len(self.languages)), np.float32)
+        for at in range(0, len(rows), CHUNK // WINDOW):
+            part = np.zeros((len(rows[at : at + CHUNK // WINDOW]), WINDOW + 4), np.intp)
+            part[:, :WINDOW] = rows[at : at + CHUNK // WINDOW]
+            pair = part[:, :-1] * CLASSES + part[:, 1:]
+            response = pairs.take(pair[:, :WINDOW], axis=0)
+            response[:, :, FILTERS : 2 * FILTERS] += third.take(part[:, 2 : WINDOW + 2], axis=0)
+            response[:, :, 2 * FILTERS :] += last.take(pair[:, 2 : WINDOW + 2], axis=0)
+            pooled = np.maximum(response.max(axis=1) + self.bias, 0)
+            out[at : at + len(part)] = softmax(pooled @ self.dense + self.offset)
         return out
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
