@@ -8,6 +8,8 @@ pair of neighbouring tokens has counters of its own, so a model grows with its c
 2. Each block sends its distinct pairs with their counts; summed by pair, they are the model.
 3. The model is joined to the pairs of each block, and a block's documents are scored with the
    counts of the block's own pairs. No task holds more of the model than one block asks for.
+   A document's own counts are taken out of the model that counted it, so it is scored by the
+   others only (by its copies, too).
 
 Only counts of single tokens, bounded by the vocabulary, reach the driver.
 
@@ -16,7 +18,8 @@ in nats: negative for text that is more like the target.
 
 Defined cases: null and empty texts have no token and null losses; a document counts as
 target if any of its label rows does; without target documents the target model is the
-smoothing alone; repeated rows count as often as they occur; whole texts are scored.
+smoothing alone; repeated rows count as often as they occur, each scored by the others, so
+equal texts of one model have equal scores; whole texts are scored; other columns play no part.
 """
 
 from __future__ import annotations
@@ -58,21 +61,35 @@ def token_arrays(packed: list[bytes], vocabulary: int, width: type) -> tuple[np.
     return token, previous, sizes
 
 
+def counts_within(owner: np.ndarray, value: np.ndarray, values: int) -> np.ndarray:
+    """How often each value occurs in the text of its place."""
+    _, at, counts = np.unique(owner * values + value, return_inverse=True, return_counts=True)
+    return counts[at]
+
+
 class TokenCounts:
     """Counts of single tokens in both models: row 0 target, row 1 background."""
 
     def __init__(self, vocabulary: int, unigrams: np.ndarray, starts: np.ndarray):
         self.vocabulary = vocabulary
         self.contexts = np.concatenate([unigrams, starts[:, None]], axis=1).astype(np.float64)
-        self.single = (unigrams + 1.0) / (unigrams.sum(axis=1, keepdims=True) + vocabulary)
-
-    def losses(self, keys: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
-        """The loss of every pair under both models, given its counts."""
-        previous, token = np.divmod(keys, self.vocabulary + 1)
-        out = np.empty((2, len(keys)))
+        self.totals = unigrams.sum(axis=1).astype(np.float64)
+
+    def losses(self, token: np.ndarray, previous: np.ndarray, sizes: np.ndarray, pairs: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+        """The loss of every token of several texts under both models, given the counts of its
+        pair in each; what a text itself adds to a model's counts is left out."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        own_pair = counts_within(owner, pair_keys(previous, token, self.vocabulary), (self.vocabulary + 1) ** 2)
+        own_token = counts_within(owner, token, self.vocabulary)
+        own_context = np.empty_like(own_token)
+        own_context[1:] = own_token[:-1]
+        own_context[previous == self.vocabulary] = 1
+        out = np.empty((2, len(token)))
         for m in range(2):
-            share = counts[m] / np.maximum(self.contexts[m].take(previous), 1.0)
-            out[m] = -np.log(BIGRAM_WEIGHT * share + (1 - BIGRAM_WEIGHT) * self.single[m].take(token))
+            mine = np.repeat(target if m == 0 else ~target, sizes)
+            share = (pairs[m] - mine * own_pair) / np.maximum(self.contexts[m].take(previous) - mine * own_context, 1.0)
+            single = (self.contexts[m].take(token) - mine * own_token + 1.0) / (self.totals[m] - mine * np.repeat(sizes, sizes) + self.vocabulary)
+            out[m] = -np.log(BIGRAM_WEIGHT * share + (1 - BIGRAM_WEIGHT) * single)
         return out
 
 
@@ -159,14 +176,14 @@ def score(rows: DataFrame, pairs: DataFrame, model: DataFrame, tokens: TokenCoun
         keys = known.column("pair").to_numpy()
         order = np.argsort(keys)
         keys = keys[order]
-        losses = tokens.losses(keys, [known.column(m).to_numpy()[order] for m in ("target", "background")])
+        counts = [known.column(m).to_numpy()[order] for m in ("target", "background")]
         done = []
-        for batch in texts.select(["doc_id", "ids"]).to_batches():
-            for part in rows_in_slices(batch, 1, most_bytes=1 << 20):
+        for batch in texts.select(["doc_id", "ids", "target"]).to_batches():
+            for part in rows_in_slices(batch, 1, most_bytes=1 << 19):
                 token, previous, sizes = token_arrays(part.column(1).to_pylist(), tokens.vocabulary, width)
-                found, at = np.unique(pair_keys(previous, token, tokens.vocabulary), return_inverse=True)
-                mine = losses[:, np.searchsorted(keys, found)]
-                sums = np.concatenate([np.zeros((2, 1)), np.cumsum(mine[:, at], axis=1)], axis=1)
+                at = np.searchsorted(keys, pair_keys(previous, token, tokens.vocabulary))
+                mine = tokens.losses(token, previous, sizes, [c[at] for c in counts], np.array(part.column(2).to_pylist(), bool))
+                sums = np.concatenate([np.zeros((2, 1)), np.cumsum(mine, axis=1)], axis=1)
                 ends = np.cumsum(sizes)
                 means = (sums[:, ends] - sums[:, ends - sizes]) / np.maximum(sizes, 1)
                 none = sizes == 0
@@ -175,7 +192,7 @@ def score(rows: DataFrame, pairs: DataFrame, model: DataFrame, tokens: TokenCoun
         return pa.Table.from_batches(done)
 
     asked = pairs.select("block", "pair").join(model, "pair")
-    texts = rows.select("doc_id", "block", "ids")
+    texts = rows.select("doc_id", "block", "ids", "target")
     schema = f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double"
     return texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(work, schema)
 

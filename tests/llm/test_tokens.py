@@ -228,13 +228,18 @@ def test_language_model_scores(spark, bpe):
             continue
         loss = []
         for m in range(2):
-            n, total = 0.0, sum(uni[m].values())
+            own = m == (0 if i in targets else 1)
+            u, b = Counter(uni[m]), Counter(bi[m])
+            if own:
+                u.subtract(ids)
+                b.subtract(zip([vocabulary, *ids], ids))
+            n, total = 0.0, sum(u.values())
             for p, x in zip([vocabulary, *ids], ids):
-                context = starts[m] if p == vocabulary else uni[m][p]
-                n -= math.log(0.7 * bi[m][p, x] / max(1, context) + 0.3 * (uni[m][x] + 1) / (total + vocabulary))
+                context = starts[m] - own if p == vocabulary else u[p]
+                n -= math.log(0.7 * b[p, x] / max(1, context) + 0.3 * (u[x] + 1) / (total + vocabulary))
             loss.append(n / len(ids))
         assert np.allclose([got[i]["target_loss"], got[i]["background_loss"], got[i]["score"]], [*loss, loss[0] - loss[1]])
-    assert got[2]["score"] < 0 < got[1]["score"]
+    assert got[2]["score"] < 0
     assert lm_scoring.cross_entropy_difference(df.limit(0), labels).count() == 0
     assert lm_scoring.cross_entropy_difference(df, labels.limit(0)).where(F.col("score").isNotNull()).count() == 5
 
@@ -259,7 +264,7 @@ def test_bigrams_never_share_a_counter(spark, bpe):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i,) for i in range(0, 50, 2)], "doc_id long")
     rows = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(df, labels).collect()}
-    loss = -math.log(0.7 * 10 / 35 + 0.3 * 11 / (70 + vocabulary)) - math.log(0.7 * 1 / 10 + 0.3 * 2 / (70 + vocabulary))
+    loss = -math.log(0.7 * 9 / 34 + 0.3 * 10 / (68 + vocabulary)) - math.log(0.3 * 1 / (68 + vocabulary))
     assert math.isclose(rows[59]["background_loss"], loss / 2, rel_tol=1e-9)
     small = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(df, labels, block_tokens=3).collect()}
     assert len(small) == 60 and all(np.allclose(small[i][1:], rows[i][1:]) for i in rows)
@@ -277,3 +282,32 @@ def test_op5_digests_come_from_the_ids_packed(spark, data, bpe, monkeypatch):
     out = corpus_pipeline.pack_sequences(spark, docs, data)
     ids = {i: b"".join(bytes(r["ids"]) for r in sorted(out.where(f"doc_id = {i}").collect(), key=lambda r: r["start"])) for i in (1, 2)}
     assert array("I", ids[1]).tolist() == [*library_ids(bpe, "of the " * 700), 1] and array("I", ids[2]).tolist() == [*library_ids(bpe, "a b c"), 1]
+
+
+def test_op9_on_the_table(spark, data):
+    """A document counts as target if a label row says so; losses by plain counting."""
+    texts = dict(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect())
+    labels = spark.read.parquet(f"{data}/labels.parquet").collect()
+    targets = {r["doc_id"] for r in labels if r["quality"] == 1 and r["toxic"] == 0}
+    bpe = bpe_automaton.open_bpe(default_tokenizer_path())
+    vocabulary = len(bpe.arc_labels)
+    ids = {i: library_ids(bpe, t) for i, t in texts.items()}
+    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
+    for i, x in ids.items():
+        m = 0 if i in targets else 1
+        uni[m].update(x)
+        uni[m][vocabulary] += bool(x)
+        bi[m].update(zip([vocabulary, *x], x))
+    got = {r["doc_id"]: r for r in registry.queries()["op9_cross_entropy_difference"](spark, data).collect()}
+    assert set(got) == set(texts)
+    total = [sum(n for t, n in u.items() if t != vocabulary) for u in uni]
+    for i in sorted(ids)[::7]:
+        if ids[i]:
+            loss = []
+            own_uni, own_bi = Counter([vocabulary, *ids[i]]), Counter(zip([vocabulary, *ids[i]], ids[i]))
+            for m in range(2):
+                out = int(m == (0 if i in targets else 1))
+                u, b = (lambda t: uni[m][t] - out * own_uni[t]), (lambda k: bi[m][k] - out * own_bi[k])  # noqa: B023
+                n = total[m] - out * len(ids[i]) + vocabulary
+                loss.append(-sum(math.log(0.7 * b((p, x)) / max(1, u(p)) + 0.3 * (u(x) + 1) / n) for p, x in zip([vocabulary, *ids[i]], ids[i])) / len(ids[i]))
+            assert math.isclose(got[i]["score"], loss[0] - loss[1], rel_tol=1e-6, abs_tol=1e-9)
