@@ -1,7 +1,14 @@
 """A corpus from raw documents to packed token sequences, in four stages.
 
 Every stage takes (spark, docs, sf_dir) and works on all documents that its predecessor
-kept. All but the last return the columns of ``documents``.
+kept. All but the last return the columns of ``documents``, so other columns don't come along,
+whatever their names.
+
+Defined cases: language ID drops null and empty texts (without a letter); the other stages keep
+them: they are in no group of near duplicates, hold no secret and pack as their end id alone.
+Rows without id stay until the end. Whole texts of any length count. Of a group of near
+duplicates, repeated rows included, the smallest id stays; rows of one id with different texts
+are documents of their own. Empty tables pass all stages.
 """
 
 from __future__ import annotations
@@ -16,9 +23,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, and those that no language fits."""
+    """Drop documents without a letter, and those that a trained class of none of the languages
+    fits best; ``lang`` takes the predicted language where it is null."""
     seen = language_id.predict(docs.select(*COLUMNS), language_id.fit(docs, other=True))
-    return seen.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
+    kept = seen.where(F.col("lang_pred") != language_id.UNKNOWN)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

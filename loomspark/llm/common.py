@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,28 +19,43 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a local session without it (in tests) gets a temporary folder; elsewhere a folder of
+    one machine would lose rows, so it is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all machines share.")
+        found = tempfile.mkdtemp(prefix="loomspark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` to the shared folder and read it back.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local
-    tests) a temporary folder is chosen. Executors may be lost afterwards: the rows are on
-    shared storage, so nothing upstream is computed again.
+    Executors may be lost afterwards: the rows are on shared storage, so nothing upstream is
+    computed again. The session removes a checkpoint that nothing refers to any more if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomspark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table of its own in the shared folder and read it again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomspark-tables-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` as a table of its own in the shared folder and read it again.
+
+    The folder is the caller's to keep or clear: rows may be asked for until the session ends.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 #: Bytes of one Arrow batch between the JVM and Python. Texts can be long, and the default of
