@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import IGNORE, PAD_ID
+from loomspark.functions.text import IGNORE, PAD_ID, bound
 from loomspark.operators.mixing import running_sum
 
 INTS = "array<int>"
@@ -87,15 +87,19 @@ def segment_lengths(mask: Column) -> Column:
     Segments that stand in order, as packing numbers them, are read off their borders; others
     are counted number by number.
     """
-    before = F.transform(mask, lambda x, i: F.when((x != 0) & ((i == 0) | (F.get(mask, i - 1) != x)), i))
-    after = F.transform(mask, lambda x, i: F.when((x != 0) & ((i == F.size(mask) - 1) | (F.get(mask, i + 1) != x)), i + 1))
     held = lambda places: F.filter(places, lambda i: i.isNotNull())
-    numbers = F.transform(held(before), lambda i: F.get(mask, i))
-    ordered = numbers == F.array_sort(F.array_distinct(numbers))
-    last = F.coalesce(F.array_max(mask), F.lit(0))
-    counts = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda s: F.size(F.filter(mask, lambda x: x == s))))
-    counted = F.filter(F.coalesce(counts, F.array().cast(INTS)), lambda n: n > 0)
-    return F.when(ordered, F.zip_with(held(before), held(after), lambda a, b: b - a)).otherwise(counted)
+
+    def lengths(m: Column) -> Column:
+        first = held(F.transform(m, lambda x, i: F.when((x != 0) & ((i == 0) | (F.get(m, i - 1) != x)), i)))
+        behind = held(F.transform(m, lambda x, i: F.when((x != 0) & ((i == F.size(m) - 1) | (F.get(m, i + 1) != x)), i + 1)))
+        numbers = F.transform(first, lambda i: F.get(m, i))
+        last = F.coalesce(F.array_max(m), F.lit(0))
+        counts = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda s: F.size(F.filter(m, lambda x: x == s))))
+        counted = F.filter(F.coalesce(counts, F.array().cast(INTS)), lambda n: n > 0)
+        ordered = bound(numbers, lambda n: n == F.array_sort(F.array_distinct(n)))
+        return F.when(ordered, F.zip_with(first, behind, lambda a, b: b - a)).otherwise(counted)
+
+    return bound(mask, lengths)
 
 
 def unpadded(rows: DataFrame, order: str, mask: str = "attention_mask") -> DataFrame:

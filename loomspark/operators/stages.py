@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import BOS_ID, EOS_ID, IGNORE, MEDIA_ID, char_ids
+from loomspark.functions.text import BOS_ID, EOS_ID, IGNORE, MEDIA_ID, bound, char_ids
 from loomspark.operators.align import MESSAGES, message, valid_for
 from loomspark.operators.multimodal import AUDIO, IMAGE, VIDEO, checked, process_messages
 from loomspark.operators.templates import Template, encoded, id_target, one_turn, special_ids, turn_pairs, with_calls
@@ -44,11 +44,6 @@ def ones(ids: Column) -> Column:
     return F.array_repeat(F.lit(1), F.size(ids))
 
 
-def bound(value: Column, make: Callable[[Column], Column]) -> Column:
-    """``make`` of a value that is computed once, however often ``make`` reads it."""
-    return F.transform(F.array(value), make)[0]
-
-
 def ready(df: DataFrame, template: Template, date: str | None) -> DataFrame:
     """Rows whose tools, function messages and media marks are text that can be encoded.
 
