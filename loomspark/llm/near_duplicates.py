@@ -13,16 +13,21 @@ next arrival is later than the latest register, usually after one or two arrival
 3. Candidate links: to a bucket's leader, the member that shares large buckets most often,
    and all pairs in buckets of up to ``SMALL_BUCKET``. First each document's most frequent
    leader is verified, then only candidates whose ends are not connected yet.
-4. In larger buckets that still hold several components, all members outside the largest
-   component are compared with all members of other components, so no link between members
-   of a bucket is left untested unless its ends are connected already.
+4. Members of larger buckets that still hold several components are compared by an exact
+   set-similarity join: sets of similarity 0.8 share one of their rarest fifth of shingles (in
+   any common order), so documents meet by these, whatever they share besides.
 5. Verified links (Jaccard similarity of the shingle sets of 0.8 or more) give components.
 
-Nothing is capped, and no bucket, group or component is brought together in one task.
+Nothing is capped, and no bucket, group or component is brought together in one task: tables of
+one row a bucket are written before they are joined, so that adaptive execution can split a
+bucket of many members, and larger groups of step 4 are a grid of blocks. ``SMALL_BUCKET``
+decides by which of the steps a pair is found, not whether.
 
 Defined cases: a null text, and a null id, is in no class but its own; texts without a word
 are copies if equal; whole texts count at any length; repeated rows are members of one class;
-the class id is the smallest document id of the class; an empty table gives no rows.
+rows of one id with different texts are documents of their own; of equally large classes and
+leaders the smaller row number counts; the class id is the smallest document id of the class;
+other columns of the input, whatever their names, play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +49,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 28, 5
 SMALL_BUCKET = 8
+#: Slots of the table of shingle counts that orders shingles in step 4, and rows of a block.
+COUNT_BITS, BLOCK_ROWS = 18, 1000
 #: Up to so many ids (8 bytes each) a set of documents is broadcast; beyond, it is joined.
 BROADCAST_IDS = 1_000_000
 
@@ -123,8 +131,13 @@ def bucket_ids(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def content_key(words: np.ndarray, text: str) -> np.ndarray:
+    """Two longs that equal word sequences share, and equal texts without a word."""
+    return np.frombuffer(hashlib.blake2b(words.tobytes() if len(words) else b"=" + text.encode(), digest_size=16).digest(), np.int64)
+
+
 def signature_rows(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
-    """doc_id, content (two longs that equal word sequences share) and buckets of each text."""
+    """doc_id, text_hash, content key (k1, k2) and buckets of each text (doc_id, text, text_hash)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -133,8 +146,7 @@ def signature_rows(docs: DataFrame, bands: int, rows: int, shingle: int) -> Data
                 keys, elements, weights, owners = [], [], [], []
                 for text in part.column(1).to_pylist():
                     words = word_hashes(text, known)
-                    digest = hashlib.blake2b(words.tobytes() if len(words) else b"=" + text.encode(), digest_size=16).digest()
-                    keys.append(np.frombuffer(digest, np.int64))
+                    keys.append(content_key(words, text))
                     if len(words):
                         found, counts = np.unique(shingle_hashes(words, shingle), return_counts=True)
                         for weight in [np.ones(len(found)), 1.0 + np.log(counts)][: 1 + bool(counts.max() > 1)]:
@@ -146,22 +158,27 @@ def signature_rows(docs: DataFrame, bands: int, rows: int, shingle: int) -> Data
                     held[owner].append(ids)
                 both = np.array(keys)
                 lists = pa.array([np.unique(np.concatenate(h)) if h else [] for h in held], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), lists], ["doc_id", "k1", "k2", "buckets"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(both[:, 0]), pa.array(both[:, 1]), lists], ["doc_id", "text_hash", "k1", "k2", "buckets"])
 
-    return small_batches(docs).mapInArrow(frugal(work), "doc_id long, k1 long, k2 long, buckets array<long>")
+    return small_batches(docs).mapInArrow(frugal(work), "doc_id long, text_hash long, k1 long, k2 long, buckets array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and the set of shingle hashes of each text."""
+    """Content key and the set of shingle hashes of each text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             for part in rows_in_slices(batch, 1, most_bytes=1 << 20, most_rows=2048):
-                sets = [np.unique(shingle_hashes(word_hashes(t, known), shingle)).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                keys, sets = [], []
+                for text in part.column(1).to_pylist():
+                    words = word_hashes(text, known)
+                    keys.append(content_key(words, text))
+                    sets.append(np.unique(shingle_hashes(words, shingle)).view(np.int64))
+                both = np.array(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sets, pa.list_(pa.int64()))], ["k1", "k2", "shingles"])
 
-    return small_batches(docs).mapInArrow(frugal(work), "doc_id long, shingles array<long>")
+    return small_batches(docs).mapInArrow(frugal(work), "k1 long, k2 long, shingles array<long>")
 
 
 def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -179,20 +196,59 @@ def alike(similarity: float) -> Column:
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets have the similarity."""
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(left, "a").join(right, "b").where(alike(similarity)).select("a", "b")
 
 
-def crossing_links(open_members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between members of other components and all members around one main component.
+def rare_shingles(members: DataFrame, similarity: float) -> DataFrame:
+    """The shingles of each member (rep, label, shingles) by which it has to meet all members of
+    the similarity: the rarest of its set, one more than a similar set can lack.
 
-    The comparison is the join's own condition, so only links come out of it.
+    Counts go by slots of a table of fixed size; they only order shingles, and any order that
+    all members share gives the same pairs.
     """
-    held = open_members.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    outside = held.where("label <> main").select("main", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("shingles").alias("sa"))
-    others = held.select("main", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("shingles").alias("sb"))
-    near = (outside["main"] == others["main"]) & (F.col("la") != F.col("lb")) & alike(similarity)
-    return outside.join(others, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    slots = F.shiftrightunsigned(F.col("s"), 64 - COUNT_BITS).cast("int")
+    held = members.select(F.explode("shingles").alias("s")).groupBy(slots.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    counts[[r["slot"] for r in held]] = [r["n"] for r in held]
+    shared = members.sparkSession.sparkContext.broadcast(counts)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            for part in rows_in_slices(batch, 2, most_bytes=1 << 20, most_rows=2048):
+                found = []
+                for shingles in part.column(2):
+                    s = shingles.values.to_numpy()
+                    order = np.lexsort((s, counts[s.view(np.uint64) >> np.uint64(64 - COUNT_BITS)]))
+                    found.append(s[order[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]])
+                sizes = pc.list_value_length(part.column(2))
+                at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                places = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(f), dtype=np.int32) for f in found)])
+                columns = [part.column(0).take(at), part.column(1).take(at), sizes.take(at), pa.array(places), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "label", "size", "place", "s"])
+
+    return small_batches(members).select("rep", "label", "shingles").mapInArrow(frugal(work), "rep long, label long, size int, place int, s long")
+
+
+def crossing_pairs(open_members: DataFrame, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs (a, b) of members of different components that may have the similarity.
+
+    Of the members that share a rare shingle, those outside the most frequent component meet all
+    others; groups of many members are cut into blocks on both sides. A pair is let through if
+    the shingles behind the shared one, in the common order, are enough for the similarity: for
+    the first one that two sets share this bounds what they have in common.
+    """
+    rare = cut_lineage(rare_shingles(open_members, similarity))
+    sizes = rare.groupBy("s", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"))
+    several = cut_lineage(sizes.where("parts > 1").select("s", F.col("m.label").alias("main"), F.ceil(F.col("all") / block_rows).cast("int").alias("blocks")))
+    met = rare.join(several, "s")
+    block, every = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = met.where("label <> main").select("s", block.alias("i"), every.alias("j"), F.col("rep").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("place").alias("pa"))
+    right = met.select("s", block.alias("j"), every.alias("i"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("place").alias("pb"))
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    fits = (F.col("la") != F.col("lb")) & (most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9)
+    return left.join(right, ["s", "i", "j"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,20 +273,21 @@ def unconnected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row a document: doc_id and class_id, the smallest id of its class."""
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def classified(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, text_hash and class (a number) of every row with an id and a text."""
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     usable = texts.where("doc_id is not null and text is not null")
-    signed = cut_lineage(signature_rows(usable, bands, rows, shingle))
-    groups = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    stands = signed.join(groups.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
-    placed = stands.select(F.col("doc_id").alias("rep"), F.explode("buckets").alias("bucket")).distinct()
-    buckets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    signed = cut_lineage(signature_rows(usable, bands, rows, shingle).withColumn("row", F.monotonically_increasing_id()))
+    groups = signed.groupBy("k1", "k2").agg(F.min("row").alias("rep"))
+    stands = signed.join(groups.select(F.col("rep").alias("row")), "row", "left_semi")
+    placed = stands.select(F.col("row").alias("rep"), F.explode("buckets").alias("bucket"))
+    # Written tables of one row a bucket: a join with a table under aggregation could not be split.
+    buckets = cut_lineage(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = cut_lineage(placed.join(buckets, "bucket"))
 
     # Who shares large buckets most often is likely what the others were copied from.
     centrality = members.groupBy("rep").agg(F.sum("n").alias("score"))
-    leaders = members.join(centrality, "rep").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("rep")).alias("first"))).alias("m"))
+    leaders = cut_lineage(members.join(centrality, "rep").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("rep")).alias("first"))).alias("m")))
     led = members.join(leaders.select("bucket", (-F.col("m.first")).alias("leader")), "bucket").where("rep <> leader")
     star = led.groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("n"))
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -240,7 +297,11 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     best = cut_lineage(best)
     candidates = star.select(*ordered(F.col("leader"), F.col("rep"))).union(close).distinct().join(best, ["a", "b"], "left_anti")
 
-    sets = cut_lineage(shingle_sets(only(usable, members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), shingle))
+    wanted = cut_lineage(signed.join(members.select(F.col("rep").alias("row")).distinct(), "row").select("doc_id", "k1", "k2", F.col("row").alias("rep")))
+    sets = shingle_sets(only(usable, wanted.select("doc_id").distinct(), "doc_id"), shingle)
+    sets = cut_lineage(sets.join(wanted.drop("doc_id"), ["k1", "k2"]).select("rep", "shingles"))
+    if sets.count() > wanted.count():
+        sets = cut_lineage(sets.dropDuplicates(["rep"]))
     links = cut_lineage(verified(best, sets, similarity))
     labels = components(links)
     more = cut_lineage(verified(unconnected(candidates, labels), sets, similarity))
@@ -250,30 +311,40 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     # Larger buckets that still hold several components.
     large = members.where(F.col("n") > SMALL_BUCKET).select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    main = large.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", F.col("m.label").alias("main"))
-    open_members = cut_lineage(large.join(main, "bucket").select("main", "rep", "label").distinct())
+    parts = cut_lineage(large.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"))
+    open_members = cut_lineage(large.join(parts, "bucket").select("rep", "label").distinct())
     if not open_members.isEmpty():
-        more = cut_lineage(crossing_links(open_members, sets, similarity))
+        pairs = crossing_pairs(open_members.join(sets, "rep"), similarity)
+        more = cut_lineage(verified(pairs, sets, similarity))
         if not more.isEmpty():
             labels = components(links.union(more))
 
-    groups = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("class_id"))
-    classed = signed.select("doc_id", "k1", "k2").join(groups, ["k1", "k2"]).select("doc_id", "class_id")
-    alone = texts.where("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return classed.unionByName(alone)
+    groups = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("class"))
+    return signed.select("doc_id", "text_hash", "k1", "k2").join(groups, ["k1", "k2"]).select("doc_id", "text_hash", "class")
+
+
+def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row a document: doc_id and class_id, the smallest id of its class."""
+    found = cut_lineage(classified(docs, doc_id, text, similarity, shingle, bands, rows))
+    firsts = cut_lineage(found.groupBy("class").agg(F.min("doc_id").alias("class_id")))
+    alone = docs.where(F.col(doc_id).isNull() | F.col(text).isNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_id).cast("long").alias("class_id"))
+    return found.join(firsts, "class").select("doc_id", "class_id").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents of which none with a smaller id is in the same class; null ids stay."""
-    classes = near_duplicate_classes(docs, doc_id, text)
-    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, doc_id, "left_anti")
-    ids = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count()
-    repeated = ids.where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    once = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-    return once.unionByName(kept.where(F.col(doc_id).isNull()))
+    """One document of each class, that of the smallest id; of several texts under that id the
+    one of the smallest hash, of repeated rows one. Rows without id or text stay."""
+    found = cut_lineage(classified(docs, doc_id, text, SIMILARITY, SHINGLE, BANDS, ROWS))
+    firsts = cut_lineage(found.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
+    others = found.join(firsts, "class").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("text_hash") != F.col("first.text_hash")))
+    gone = cut_lineage(others.select("doc_id", "text_hash").distinct())
+    rows = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__hash": F.xxhash64(text)})
+    gone, few = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), gone.count() <= BROADCAST_IDS
+    kept = rows.join(F.broadcast(gone) if few else gone, ["__id", "__hash"], "left_anti")
+    if not found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        whole = F.col("__id").isNotNull() & F.col(text).isNotNull()
+        kept = kept.where(whole).dropDuplicates(["__id", "__hash"]).unionByName(kept.where(~whole))
+    return kept.drop("__id", "__hash")
 
 
 def op3_probminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
