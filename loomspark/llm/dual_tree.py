@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import read_table
 from loomspark.llm.vectors import best_of, search_blocks, sound_vectors
 
-#: Points of a node that stays a leaf unless half as many centres halve its radius, and most
-#: children of larger nodes.
+#: Points of a node that stays a leaf unless nine tenths as many centres halve its radius, and
+#: most children of larger nodes.
 LEAF = 512
 MOST_CHILDREN = 16
 
@@ -59,7 +59,7 @@ def cover_tree(x: np.ndarray, members: np.ndarray, centre: int, away: np.ndarray
         node.points = members
         return node
     centres, nearest = [centre], np.zeros(len(members), np.int64)
-    most = len(members) // 2 if len(members) <= LEAF else MOST_CHILDREN
+    most = 9 * len(members) // 10 if len(members) <= LEAF else MOST_CHILDREN
     while away.max() > radius / 2 and len(centres) < most:
         centres.append(int(members[away.argmax()]))
         other = distances(centres[-1])

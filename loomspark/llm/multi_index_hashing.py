@@ -33,7 +33,7 @@ from loomspark.llm.vectors import best_of, search_blocks, sound_vectors
 SAMPLE_ROWS = 4096
 ROTATIONS = 2
 #: Part of the sample's pairs of a distance that the radius for it has to hold.
-REACH = 0.99
+REACH = 0.95
 BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 DISTANCE = BITS[np.arange(256)[:, None] ^ np.arange(256)[None]]
 
@@ -90,30 +90,38 @@ class CodeIndex:
         self.order = [np.argsort(c, kind="stable") for c in codes.T]
         self.starts = [np.searchsorted(c[o], np.arange(257)) for c, o in zip(codes.T, self.order)]
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows within the radius of a code; ``probed`` counts the rows whose codes are read."""
+    def apart(self, code: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Hamming distances of rows from a code; ``probed`` counts the rows whose codes are read."""
+        codes = self.codes[rows]
+        self.probed += len(codes)
+        return BITS[codes ^ code].sum(axis=1, dtype=np.int64)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray | None:
+        """All rows within the radius of a code, or None where probing would list every row."""
         m = len(code)
         thresholds = np.full(m, (radius - m + 1) // m)
         thresholds[: (radius - m + 1) % m] += 1
         parts = [(j, np.flatnonzero(DISTANCE[code[j]] <= thresholds[j])) for j in np.flatnonzero(thresholds >= 0)]
         spans = [(j, self.starts[j][values], self.starts[j][values + 1]) for j, values in parts]
         if sum(int((ends - begins).sum()) for _, begins, ends in spans) >= len(self.codes):
-            rows = np.arange(len(self.codes))
-        else:
-            met = np.zeros(len(self.codes), bool)
-            for j, begins, ends in spans:
-                sizes = ends - begins
-                shift = np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
-                met[self.order[j][shift + np.arange(len(shift))]] = True
-            rows = np.flatnonzero(met)
-        self.probed += len(rows)
-        return rows[BITS[self.codes[rows] ^ code].sum(axis=1, dtype=np.int64) <= radius]
+            return None
+        met = np.zeros(len(self.codes), bool)
+        for j, begins, ends in spans:
+            sizes = ends - begins
+            shift = np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
+            met[self.order[j][shift + np.arange(len(shift))]] = True
+        rows = np.flatnonzero(met)
+        return rows[self.apart(code, rows) <= radius]
 
     def search(self, hasher: Hasher, code: np.ndarray, query: np.ndarray, rows: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows found for a query, among ``others``, and their distances."""
         bits, radius, wanted = 8 * len(code), hasher.start, min(k, int(others.sum()))
+        every = None
         while True:
-            found = self.within(code, radius)
+            found = self.within(code, radius) if every is None else None
+            if found is None:
+                every = self.apart(code) if every is None else every
+                found = np.flatnonzero(every <= radius)
             found = found[others[found]]
             score = np.sqrt(((rows[found] - query) ** 2).sum(axis=1))
             if radius >= bits:
