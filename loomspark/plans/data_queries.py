@@ -623,6 +623,30 @@ def agg_rouge_bleu(spark, sf_dir):
     return rows.select("conv_id", "turn", metrics.similarity_scores(F.col("text"), F.col("label")).alias("s")).select("conv_id", "turn", "s.*")
 
 
+def agg_rouge_bleu_parts(spark, sf_dir):
+    """The scores that SQL can repeat: all but the longest common subsequence."""
+    return agg_rouge_bleu(spark, sf_dir).drop("rouge_l")
+
+
+AGG_ROUGE_BLEU_PARTS = """
+WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+r AS (SELECT conv_id, turn, a, b, list_filter(string_split_regex(a, '\\s+'), lambda w: w <> '') AS x, list_filter(string_split_regex(b, '\\s+'), lambda w: w <> '') AS y FROM t WHERE b IS NOT NULL),
+g AS (SELECT *, list_distinct(x) AS x1, list_distinct(y) AS y1, list_distinct(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) AS x2,
+  list_distinct(list_transform(range(1, len(y)), lambda i: y[i] || ' ' || y[i + 1])) AS y2 FROM r),
+f AS (SELECT conv_id, turn, a, b, CASE WHEN len(x) > 0 AND len(y) > 0 THEN 200.0 * len(list_intersect(x1, y1)) / (len(x1) + len(y1)) ELSE 0 END AS rouge_1,
+  CASE WHEN len(x2) + len(y2) > 0 AND len(x) > 0 AND len(y) > 0 THEN 200.0 * len(list_intersect(x2, y2)) / (len(x2) + len(y2)) ELSE 0 END AS rouge_2 FROM g),
+n AS (SELECT unnest([1, 2, 3, 4]) AS n),
+i AS (SELECT conv_id, turn, n, a, b, generate_subscripts(range(greatest(length(a), length(b))), 1) AS i FROM f, n),
+ca AS (SELECT conv_id, turn, n, substring(a, i, n) AS s, count(*) AS k FROM i WHERE i + n - 1 <= length(a) GROUP BY ALL),
+cb AS (SELECT conv_id, turn, n, substring(b, i, n) AS s, count(*) AS k FROM i WHERE i + n - 1 <= length(b) GROUP BY ALL),
+h AS (SELECT f.conv_id, f.turn, n.n, greatest(length(a) - n + 1, 1) AS size, coalesce((SELECT sum(least(ca.k, cb.k)) FROM ca JOIN cb USING (conv_id, turn, n, s) WHERE ca.conv_id = f.conv_id AND ca.turn = f.turn AND ca.n = n.n), 0) AS hits FROM f, n),
+z AS (SELECT *, count(*) FILTER (hits = 0) OVER (PARTITION BY conv_id, turn ORDER BY n) AS zeros FROM h),
+e AS (SELECT conv_id, turn, exp(sum(ln(CASE WHEN hits > 0 THEN hits / size ELSE 1.0 / (pow(2, zeros) * size) END)) / 4) AS p, max(hits) FILTER (n = 1) AS first FROM z GROUP BY 1, 2)
+SELECT conv_id, turn, round(rouge_1, 4) AS rouge_1, round(rouge_2, 4) AS rouge_2,
+  round(CASE WHEN first > 0 THEN 100 * p * CASE WHEN length(a) > length(b) THEN 1.0 ELSE exp(1 - length(b) / length(a)) END ELSE 0 END, 4) AS bleu_4 FROM f JOIN e USING (conv_id, turn)
+"""
+
+
 def transcripts(spark, sf_dir) -> DataFrame:
     rows = canonical(spark, sf_dir).where("size(_prompt) > 0 and size(_response) = 1")
     mark = lambda a, b: F.array_join(F.transform("_prompt", lambda m: F.concat(F.when(m["role"] == "user", a).otherwise(b), m["content"])), "")
@@ -745,7 +769,7 @@ QUERIES = (
     "smp_num_samples smp_num_samples_over smp_max_samples smp_page smp_train_order smp_fewshot mix_concat mix_interleave_under mix_interleave_over mix_interleave_probs "
     "spl_fraction spl_count agg_len_hist agg_len_cdf agg_lr agg_tps top_argmax_choice agg_tok_acc agg_rm_acc agg_ppl_seq agg_category_acc agg_avg_meter win_ema win_eta "
     "lim_page_log jn_pred_label win_throughput win_sample_5 win_last_token flt_log_loss agg_mfu ls_preference ls_rewards ls_batch_logps ls_ppo_trim snk_predictions_rm snk_predictions_batch mm_resize "
-    "mm_token_counts mm_frame_idx mm_placeholders ev_format api_normalise api_usage api_stream api_resp_len fmt_think_html ex_gpa tool_formats agg_rouge_bleu "
+    "mm_token_counts mm_frame_idx mm_placeholders ev_format api_normalise api_usage api_stream api_resp_len fmt_think_html ex_gpa tool_formats agg_rouge_bleu agg_rouge_bleu_parts "
     "src_builder_belle src_builder_hh flt_catalog_ranking agg_kto_log agg_dpo_log mm_plugins st_events_by_window"
 ).split()
 
