@@ -147,8 +147,8 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_category(items: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Items with their subject's category; a suite has tens of subjects."""
-    return items.join(F.broadcast(mapping.select("subject", "category")), "subject")
+    """Items with their subject's category; the optimizer broadcasts a mapping that is small."""
+    return items.join(mapping.select("subject", "category"), "subject")
 
 
 LOG = "current_steps int, total_steps int, loss double, eval_loss double, predict_loss double, reward double, accuracy double, lr double, epoch double, percentage double, elapsed_time string, remaining_time string, throughput double, total_tokens long"
@@ -162,9 +162,9 @@ def log_tail(text: DataFrame, column: str = "value", length: int = 20_000) -> Da
     return text.select(F.right(F.col(column), F.lit(length)).alias("tail"))
 
 
-def latest_record(log: DataFrame) -> DataFrame:
-    """The record of the last step."""
-    return log.agg(F.max_by(F.struct(*log.columns), "current_steps").alias("r")).select("r.*")
+def latest_record(log: DataFrame, order: tuple[str, ...] = ("current_steps",), by: tuple[str, ...] = ()) -> DataFrame:
+    """The record of the last step, of the whole log or of each run."""
+    return log.groupBy(*by).agg(F.max_by(F.struct(*log.columns), F.struct(*order)).alias("r")).select("r.*")
 
 
 def read_trainer_state(spark: SparkSession, path: str) -> DataFrame:
