@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe_automaton, byte_bpe, chat_events, divergence, dual_tree, language_id, lm_scoring, multi_index_hashing, near_duplicates, packing, secrets, sharding
+from loomspark.llm import bpe_automaton, byte_bpe, centroids, chat_events, divergence, dual_tree, language_id, lm_scoring, multi_index_hashing, near_duplicates, packing, secrets, sharding
 from loomspark.llm.common import read_table
 
 
@@ -34,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_cross_entropy_difference": lm_scoring.op9_cross_entropy_difference,
         "op10_entropy_secret_scan": secrets.op10_entropy_secret_scan,
         "op6_tokenization_automaton": op6_tokenization_automaton,
+        "op11_kd_tree_filtering": centroids.op11_kd_tree_filtering,
         "op12_distinct_word_shuffle": byte_bpe.op12_distinct_word_shuffle,
         "op13_baseline_divergence": divergence.op13_baseline_divergence,
     }
@@ -43,5 +44,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_dual_tree_top_products": dual_tree.OP4_SQL,
         "op7_event_sourced_chat": chat_events.OP7_SQL,
+        "op11_kd_tree_filtering": centroids.OP11_SQL,
         "op13_baseline_divergence": divergence.OP13_SQL,
     }
