@@ -6,30 +6,32 @@ reciprocal class ``k = capacity // n``; every bin of class ``k`` holds exactly `
 (harmonic packing), so bins of the cut classes are exactly full and a tail bin leaves less
 than one tail unused.
 
-Each worker numbers its own pieces of each class while it tokenizes; the only thing that
-workers share is how many pieces of each class came before, a table of one row per worker
-and class. The last, incomplete bin of each class (at most one a class, and the number of
-classes is fixed by the capacity) is combined with others first-fit by decreasing size.
+Each worker fills its own bins while it tokenizes and gives a bin's pieces out once it has all
+of them, so nothing is shuffled, a worker holds no more than one open bin a class, and a lost
+one is repeated by itself. At its end a worker puts its open bins (at most one a class, and the
+number of classes is fixed by the capacity) together first-fit by decreasing size, and cuts
+what is not full into lengths of powers of two, which need no padding. A sequence's number holds
+that of its worker.
 
 Defined cases: a null or empty text is a document of its end id alone; texts of any length
 are cut whole; repeated rows are packed as often as they occur; an empty table gives no
-rows. A null document id is kept.
+rows. A null document id is kept, and ids of any type; other columns, whatever their names, play
+no part.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspark.llm.bpe_automaton import published, rows_in_slices
-from loomspark.llm.common import cut_lineage, default_tokenizer_path, frugal, read_table, small_batches
-from loomspark.llm.near_duplicates import BROADCAST_IDS
+from loomspark.llm.common import default_tokenizer_path, frugal, read_table, small_batches
 
 CAPACITY = 2048
 #: Shortest piece that a remainder is cut into; what is left is the tail.
@@ -49,46 +51,78 @@ def cut_lengths(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> l
     return out + [rest] * (rest > 0)
 
 
-def cut_documents(df: DataFrame, doc_id: str, text: str, tokenizer: str | None, capacity: int, smallest: int, end_id: int) -> DataFrame:
-    """One row a piece with its ids; ``worker`` and ``nth`` number the pieces of each ``class``."""
-    shared = published(df.sparkSession, tokenizer or default_tokenizer_path())
-    kind = dict(df.dtypes)[doc_id]
-    schema = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, class int, worker int, nth bigint, ids binary"
-    names = [f.name for f in T.StructType.fromDDL(schema).fields]
-    last = end_id.to_bytes(4, "little")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seen, worker = shared.value, Counter(), TaskContext.get().partitionId()
-        for batch in batches:
-            for part in rows_in_slices(batch, 1):
-                rows: list[list] = [[] for _ in names]
-                for doc, packed in zip(part.column(0).to_pylist(), bpe.encode_column(part.column(1))):
-                    ids = packed + last
-                    total, start = len(ids) // 4, 0
-                    for n in cut_lengths(total, capacity, smallest):
-                        group = capacity // n
-                        piece = ids[4 * start : 4 * (start + n)]
-                        for column, x in zip(rows, (doc, start, n, total, group, worker, seen[group], piece)):
-                            column.append(x)
-                        seen[group] += 1
-                        start += n
-                types = [part.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names)
-
-    return small_batches(df).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(frugal(work), schema)
-
-
-def first_fit(sizes: dict[int, int], capacity: int) -> dict[int, int]:
-    """Class -> number of the combined sequence, for the incomplete bins of all classes."""
-    room: list[int] = []
-    place = {}
-    for group, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
-        at = next((i for i, free in enumerate(room) if free >= size), len(room))
-        if at == len(room):
-            room.append(capacity)
-        room[at] -= size
-        place[group] = at
-    return place
+@dataclass
+class Piece:
+    """A stretch of a document's ids, and where it is in its sequence."""
+
+    doc_id: object
+    start: int
+    ids: bytes
+    doc_tokens: int
+    sequence_id: int = -1
+    offset: int = -1
+
+    def __len__(self) -> int:
+        return len(self.ids) // 4
+
+    def split(self, n: int) -> tuple[Piece, Piece]:
+        """The first ``n`` ids and the rest."""
+        return replace(self, ids=self.ids[: 4 * n]), replace(self, start=self.start + n, ids=self.ids[4 * n :])
+
+
+class Bins:
+    """The open bin of every class of one worker."""
+
+    def __init__(self, worker: int, capacity: int):
+        self.capacity, self.sequence = capacity, worker << 33
+        self.open: dict[int, list[Piece]] = {}
+
+    def finished(self, pieces: list[Piece]) -> list[Piece]:
+        """The pieces as one sequence."""
+        at = 0
+        for piece in pieces:
+            piece.sequence_id, piece.offset = self.sequence, at
+            at += len(piece)
+        self.sequence += 1
+        return pieces
+
+    def add(self, piece: Piece) -> list[Piece]:
+        """The pieces of the bin that this one fills, or none yet."""
+        group = self.capacity // len(piece)
+        held = self.open.setdefault(group, [])
+        held.append(piece)
+        return self.finished(self.open.pop(group)) if len(held) == group else []
+
+    def rest(self) -> list[Piece]:
+        """The pieces of all open bins: bins go together first-fit by decreasing size, and a
+        sequence that is not full is cut where the powers of two in its length end, none of which
+        is padded."""
+        sequences: list[list[Piece]] = []
+        room: list[int] = []
+        size = lambda pieces: sum(map(len, pieces))
+        for _, pieces in sorted(self.open.items(), key=lambda x: (-size(x[1]), x[0])):
+            at = next((i for i, free in enumerate(room) if free >= size(pieces)), len(room))
+            if at == len(room):
+                room.append(self.capacity)
+                sequences.append([])
+            room[at] -= size(pieces)
+            sequences[at] += pieces
+        self.open = {}
+        out = []
+        for pieces in sequences:
+            left = size(pieces)
+            while left:
+                wanted = 1 << (left.bit_length() - 1)
+                left, taken = left - wanted, []
+                while wanted:
+                    piece = pieces.pop(0)
+                    if len(piece) > wanted:
+                        piece, more = piece.split(wanted)
+                        pieces.insert(0, more)
+                    taken.append(piece)
+                    wanted -= len(piece)
+                out += self.finished(taken)
+        return out
 
 
 def pack_documents(
@@ -106,28 +140,36 @@ def pack_documents(
     With ``payload`` "crc" the CRC-32 of a piece's ids is given in their place, taken from the
     finished pieces.
     """
-    spark = df.sparkSession
-    pieces = cut_lineage(cut_documents(df, doc_id, text, tokenizer, capacity, smallest, end_id))
-    counts = pieces.groupBy("worker", "class").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("worker", "class", (F.sum("n").over(Window.partitionBy("class").orderBy("worker")) - F.col("n")).alias("before"))
-    # A few rows a worker; a shuffle for this join would move all ids once more.
-    few = before.count() <= BROADCAST_IDS
-    ranked = pieces.join(F.broadcast(before) if few else before, ["worker", "class"]).withColumn("rank", F.col("before") + F.col("nth"))
-
-    # One row a class, and there are at most `capacity` classes: bounded by a parameter.
-    totals = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}
-    base, plan = 0, []
-    for group in sorted(totals):
-        plan.append((group, base, totals[group] // group))
-        base += totals[group] // group
-    classes = F.broadcast(spark.createDataFrame(plan, "class int, base long, whole long"))
-    placed = ranked.join(classes, "class").withColumn("bin", F.floor(F.col("rank") / F.col("class")))
-    left = placed.where("bin >= whole").groupBy("class").agg(F.sum("length").alias("n")).collect()
-    joined = first_fit({r["class"]: r["n"] for r in left}, capacity)
-    last = F.broadcast(spark.createDataFrame([(group, base + at) for group, at in joined.items()], "class int, last long"))
-    placed = placed.join(last, "class", "left").withColumn("sequence_id", F.when(F.col("bin") < F.col("whole"), F.col("base") + F.col("bin")).otherwise(F.col("last")))
-    earlier = Window.partitionBy("sequence_id").orderBy("class", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long").alias("offset"))
+    shared = published(df.sparkSession, tokenizer or default_tokenizer_path())
+    rows = small_batches(df).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType
+    fields = [("doc_id", kind), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
+    last = end_id.to_bytes(4, "little")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, bins = shared.value, Bins(TaskContext.get().partitionId(), capacity)
+        types = [None, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+        def table(pieces: list[Piece]) -> pa.RecordBatch:
+            columns = zip(*((p.doc_id, p.start, len(p), p.ids, p.doc_tokens, p.sequence_id, p.offset) for p in pieces))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], schema.names)
+
+        for batch in batches:
+            types[0] = batch.schema.field(0).type
+            for part in rows_in_slices(batch, 1):
+                done: list[Piece] = []
+                for doc, packed in zip(part.column(0).to_pylist(), bpe.encode_column(part.column(1))):
+                    ids, start = packed + last, 0
+                    for n in cut_lengths(len(ids) // 4, capacity, smallest):
+                        done += bins.add(Piece(doc, start, ids[4 * start : 4 * (start + n)], len(ids) // 4))
+                        start += n
+                if done:
+                    yield table(done)
+        if left := bins.rest():
+            yield table(left)
+
+    out = rows.mapInArrow(frugal(work), schema)
     return digests(out) if payload == "crc" else out
 
 
@@ -152,4 +194,5 @@ def assemble_sequences(pieces: DataFrame, capacity: int = CAPACITY, pad_id: int
 
 
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document went, with the CRC-32 of its ids."""
     return digests(pack_documents(read_table(spark, sf_dir, "documents")))
