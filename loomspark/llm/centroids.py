@@ -14,7 +14,7 @@ Everything is in whole numbers and exact: components are floor(``scale`` times t
 centroid is the floor of its vectors' means. Ties go to the smaller centroid; a centroid without
 vectors stays where it is.
 
-Defined cases: rows without id, vectors null, of another length, with null or non-finite
+Defined cases: rows without an id that is a whole number, vectors null, of another length, with null or non-finite
 components or with a component of 2^26 or more take no part (so that squared distances fit 64
 bits); an inertia beyond 64 bits is null; repeated rows and repeated ids are vectors of their
 own; with fewer vectors than centroids each vector starts one; an empty table gives no rows;
@@ -45,7 +45,7 @@ def whole_vectors(df: DataFrame, id_column: str, vector: str, scale: float, comp
     """Rows (vec_id long, vec array<long>) that take part."""
     value = F.col("vec")
     sound = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(F.lit(scale) * x) < float(COMPONENT_LIMIT)))
-    rows = df.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
+    rows = df.select(F.col(id_column).try_cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
     rows = rows.where(F.col("vec_id").isNotNull() & (F.size(value) == components) & F.coalesce(sound, F.lit(False)))
     return rows.select("vec_id", F.transform("vec", lambda x: F.floor(F.lit(scale) * x).cast("long")).alias("vec"))
 

@@ -65,9 +65,10 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     string, its ``start`` in the whole string and its length, in code points.
     """
     head = F.concat(F.lit(TURN_START), F.url_encode("role"), F.lit("\n"))
-    rows = messages.select("conv_id", "pos", "role", head.alias("head"), escape(F.col("text")).alias("body"))
+    rows = messages.select("conv_id", "pos", "role", "text", head.alias("head"), escape(F.col("text")).alias("body"))
     rows = rows.withColumn("turn_text", F.concat("head", "body", F.lit(TURN_END + "\n"))).withColumn("size", F.length("turn_text").cast("long"))
-    order = Window.partitionBy("conv_id").orderBy("pos", "role", "body")
+    # Ties go by the text itself: escaping changes the order of texts with control strings.
+    order = Window.partitionBy("conv_id").orderBy("pos", "role", "text")
     rows = rows.select(
         "conv_id",
         (F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("begin"),

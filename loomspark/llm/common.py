@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -48,13 +49,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a table of its own in the shared folder and read it again.
 
     The folder is the caller's to keep or clear: rows may be asked for until the session ends.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -86,6 +87,13 @@ def frugal(work: Callable) -> Callable:
     return run
 
 
+def free_names(df: DataFrame, n: int, *others: str) -> list[str]:
+    """Names for columns that are added and dropped again: not the table's, and none of ``others``."""
+    taken = {c.lower() for c in (*df.columns, *others)}
+    found = (f"held_{i}" for i in itertools.count())
+    return list(itertools.islice((c for c in found if c not in taken), n))
+
+
 def unit_hash(seed: int, *columns) -> F.Column:
     """A reproducible number in [0, 1) from the columns' values."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11)

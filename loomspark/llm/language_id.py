@@ -11,7 +11,8 @@ look-ups for all filters.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; texts are read
 whole at any length; without any labelled row every text is ``und``; ties go to the language
-first in alphabetical order; repeated rows get equal predictions; other columns are kept.
+first in alphabetical order; repeated rows get equal predictions; other columns are kept, whatever their names, but those named
+like the new ones are replaced; an empty table gives no rows.
 A model that was fitted with ``other`` gives ``und`` to texts that no learned language fits too.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspark.llm.bpe_automaton import rows_in_slices
-from loomspark.llm.common import frugal, read_table, small_batches, unit_hash
+from loomspark.llm.common import frugal, free_names, read_table, small_batches, unit_hash
 
 WINDOW = 256
 CLASSES = 64
@@ -251,23 +252,26 @@ def predict(df: DataFrame, model: ByteCnn | None, text: str = "text", keep: list
     """Add the predicted language of the whole text and its score; ``keep`` names the other columns."""
     names = [n for n in (keep or df.columns) if n not in (lang_pred, score)]
     kept = [df.schema[n] for n in names]
+    plain = [F.col(f"`{n}`") for n in names]
     if model is None:
-        return df.select(*names, F.lit(UNKNOWN).alias(lang_pred), F.lit(0.0).alias(score))
+        return df.select(*plain, F.lit(UNKNOWN).alias(lang_pred), F.lit(0.0).alias(score))
     schema = T.StructType([*kept, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    given, letter = free_names(df, 2, lang_pred, score)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in rows_in_slices(batch, batch.num_columns - 2, most_bytes=2 << 20, most_rows=4096):
-                texts = [t.encode() if t else b"" for t in part.column("__text").to_pylist()]
+                texts = [t.encode() if t else b"" for t in part.column(given).to_pylist()]
                 found, scores = model.predict(texts)
-                letters = part.column("__letter").to_pylist()
+                letters = part.column(letter).to_pylist()
                 arrays = [part.column(i) for i in range(len(names))]
                 arrays.append(pa.array([f if ok else UNKNOWN for f, ok in zip(found, letters)], pa.string()))
                 arrays.append(pa.array([float(s) if ok else 0.0 for s, ok in zip(scores, letters)], pa.float64()))
                 yield pa.RecordBatch.from_arrays(arrays, [*names, lang_pred, score])
 
-    given = F.col(text)
-    return small_batches(df).select(*names, given.alias("__text"), F.coalesce(given.rlike(r"\p{L}"), F.lit(False)).alias("__letter")).mapInArrow(frugal(work), schema)
+    content = F.col(f"`{text}`")
+    rows = small_batches(df).select(*plain, content.alias(given), F.coalesce(content.rlike(r"\p{L}"), F.lit(False)).alias(letter))
+    return rows.mapInArrow(frugal(work), schema)
 
 
 def op8_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:

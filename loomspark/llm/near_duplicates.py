@@ -26,7 +26,8 @@ decides by which of the steps a pair is found, not whether.
 Defined cases: a null text, and a null id, is in no class but its own; texts without a word
 are copies if equal; whole texts count at any length; repeated rows are members of one class;
 rows of one id with different texts are documents of their own; of equally large classes and
-leaders the smaller row number counts; the class id is the smallest document id of the class;
+leaders the smaller row number counts; ids may be of any type that has an order, and the class id
+is the smallest document id of the class;
 other columns of the input, whatever their names, play no part; an empty table gives no rows.
 """
 
@@ -43,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.bpe_automaton import rows_in_slices
-from loomspark.llm.common import cut_lineage, frugal, read_table, small_batches
+from loomspark.llm.common import cut_lineage, free_names, frugal, read_table, small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -138,6 +139,7 @@ def content_key(words: np.ndarray, text: str) -> np.ndarray:
 
 def signature_rows(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
     """doc_id, text_hash, content key (k1, k2) and buckets of each text (doc_id, text, text_hash)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -160,7 +162,7 @@ def signature_rows(docs: DataFrame, bands: int, rows: int, shingle: int) -> Data
                 lists = pa.array([np.unique(np.concatenate(h)) if h else [] for h in held], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(both[:, 0]), pa.array(both[:, 1]), lists], ["doc_id", "text_hash", "k1", "k2", "buckets"])
 
-    return small_batches(docs).mapInArrow(frugal(work), "doc_id long, text_hash long, k1 long, k2 long, buckets array<long>")
+    return small_batches(docs).mapInArrow(frugal(work), f"doc_id {kind}, text_hash long, k1 long, k2 long, buckets array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -275,7 +277,7 @@ def unconnected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def classified(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: int, bands: int, rows: int) -> DataFrame:
     """doc_id, text_hash and class (a number) of every row with an id and a text."""
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
     usable = texts.where("doc_id is not null and text is not null")
     signed = cut_lineage(signature_rows(usable, bands, rows, shingle).withColumn("row", F.monotonically_increasing_id()))
     groups = signed.groupBy("k1", "k2").agg(F.min("row").alias("rep"))
@@ -327,7 +329,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     """One row a document: doc_id and class_id, the smallest id of its class."""
     found = cut_lineage(classified(docs, doc_id, text, similarity, shingle, bands, rows))
     firsts = cut_lineage(found.groupBy("class").agg(F.min("doc_id").alias("class_id")))
-    alone = docs.where(F.col(doc_id).isNull() | F.col(text).isNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_id).cast("long").alias("class_id"))
+    alone = docs.where(F.col(f"`{doc_id}`").isNull() | F.col(f"`{text}`").isNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{doc_id}`").alias("class_id"))
     return found.join(firsts, "class").select("doc_id", "class_id").unionByName(alone)
 
 
@@ -338,13 +340,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     firsts = cut_lineage(found.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
     others = found.join(firsts, "class").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("text_hash") != F.col("first.text_hash")))
     gone = cut_lineage(others.select("doc_id", "text_hash").distinct())
-    rows = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__hash": F.xxhash64(text)})
-    gone, few = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), gone.count() <= BROADCAST_IDS
-    kept = rows.join(F.broadcast(gone) if few else gone, ["__id", "__hash"], "left_anti")
+    key, content = free_names(docs, 2)
+    rows = docs.withColumns({key: F.col(f"`{doc_id}`"), content: F.xxhash64(F.col(f"`{text}`"))})
+    gone, few = gone.select(F.col("doc_id").alias(key), F.col("text_hash").alias(content)), gone.count() <= BROADCAST_IDS
+    kept = rows.join(F.broadcast(gone) if few else gone, [key, content], "left_anti")
     if not found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
-        whole = F.col("__id").isNotNull() & F.col(text).isNotNull()
-        kept = kept.where(whole).dropDuplicates(["__id", "__hash"]).unionByName(kept.where(~whole))
-    return kept.drop("__id", "__hash")
+        whole = F.col(key).isNotNull() & F.col(f"`{text}`").isNotNull()
+        kept = kept.where(whole).dropDuplicates([key, content]).unionByName(kept.where(~whole))
+    return kept.drop(key, content).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op3_probminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ candidate counts if its largest entropy reaches the threshold of its character c
 digits, digits and letters of one case, or the whole alphabet), unless the allow-list knows it or base spans cover all of it.
 
 Positions are code points, end exclusive. Defined cases: a null or empty text has no spans;
-texts of any length are scanned whole; rows are scanned independently, so repeated rows,
-ties and extra columns need nothing special, and an empty table gives no rows.
+texts of any length are scanned whole; rows are scanned independently, so repeated rows and
+ties need nothing special; all other columns stay, whatever their names, but one named like the
+new column is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import read_table
+from loomspark.llm.common import free_names, read_table
 
 #: The base rules and their least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -98,7 +99,7 @@ def kind_spans(found: Column, kind: str) -> Column:
 
 def scan(df: DataFrame, text: str = "text", spans: str = "secrets") -> DataFrame:
     """Add ``spans``: an array of (start, order, end, kind), by start, then rule."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     value = F.lit(ASSIGN)
     assigned = F.filter(matches(t, ASSIGN), lambda m: F.length(F.regexp_extract(m["value"], ASSIGN, 2)) >= ASSIGN_VALUE_AT_LEAST)
@@ -110,22 +111,23 @@ def scan(df: DataFrame, text: str = "text", spans: str = "secrets") -> DataFrame
             out = F.when(value.rlike(pattern), bits).otherwise(out)
         return out
 
+    assign, access, hexes, held_runs, held = free_names(df, 5, spans)
     rows = df.withColumns(
         {
-            "__assign": F.when(F.regexp_like(t, value), assigned).otherwise(none),
-            "__access": F.when(F.contains(t, F.lit("AKIA")), matches(t, ACCESS)).otherwise(none),
-            "__hex": F.when(t.rlike(HEX), matches(t, HEX)).otherwise(none),
-            "__runs": F.when(t.rlike(RUN), runs).otherwise(none),
+            assign: F.when(F.regexp_like(t, value), assigned).otherwise(none),
+            access: F.when(F.contains(t, F.lit("AKIA")), matches(t, ACCESS)).otherwise(none),
+            hexes: F.when(t.rlike(HEX), matches(t, HEX)).otherwise(none),
+            held_runs: F.when(t.rlike(RUN), runs).otherwise(none),
         }
     )
-    base = F.array_sort(F.concat(*(kind_spans(F.col(f"__{k}"), k) for k in KINDS[:3])))
-    rows = rows.withColumn("__base", base)
+    base = F.array_sort(F.concat(*(kind_spans(F.col(c), k) for c, k in zip((assign, access, hexes), KINDS))))
+    rows = rows.withColumn(held, base)
     # How far base spans, which are in order, cover a run from its start without a gap.
-    reach = lambda r: F.aggregate("__base", r["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
-    free = F.filter("__runs", lambda r: reach(r) < r["end"])
-    high = F.filter(free, lambda r: largest_entropy(r["value"]) >= limit(r["value"]))
-    rows = rows.withColumn(spans, F.when(F.size("__runs") == 0, F.col("__base")).otherwise(F.array_sort(F.concat("__base", kind_spans(high, "entropy")))))
-    return rows.drop("__assign", "__access", "__hex", "__runs", "__base")
+    reach = lambda r: F.aggregate(held, r["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+    open_runs = F.filter(held_runs, lambda r: reach(r) < r["end"])
+    high = F.filter(open_runs, lambda r: largest_entropy(r["value"]) >= limit(r["value"]))
+    rows = rows.withColumn(spans, F.when(F.size(held_runs) == 0, F.col(held)).otherwise(F.array_sort(F.concat(held, kind_spans(high, "entropy")))))
+    return rows.drop(assign, access, hexes, held_runs, held)
 
 
 def spans_text(spans: Column) -> Column:
@@ -135,17 +137,20 @@ def spans_text(spans: Column) -> Column:
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Put ``mark`` in the place of every secret; overlapping spans become one."""
 
+    (held,) = free_names(df, 1)
+    given = F.col(f"`{text}`")
+
     def step(state: Column, s: Column) -> Column:
         inside = s["start"] < state["at"]
         return F.struct(
             F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(inside, state["parts"]).otherwise(F.concat(state["parts"], F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark)))).alias("parts"),
+            F.when(inside, state["parts"]).otherwise(F.concat(state["parts"], F.array(F.substring(given, state["at"] + 1, s["start"] - state["at"]), F.lit(mark)))).alias("parts"),
         )
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    cut = F.aggregate("__secrets", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    rows = scan(df, text, "__secrets")
-    return rows.withColumn(text, F.when(F.size("__secrets") > 0, cut).otherwise(F.col(text))).drop("__secrets")
+    cut = F.aggregate(held, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(given, s["at"] + 1, F.length(given))))
+    rows = scan(df, text, held)
+    return rows.withColumn(text, F.when(F.size(held) > 0, cut).otherwise(given)).drop(held)
 
 
 def op10_entropy_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

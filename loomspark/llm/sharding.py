@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from loomspark.llm.common import cut_lineage, read_table
+from loomspark.llm.common import cut_lineage, free_names, read_table
 
 #: Ranges for each shard, and sampled records for each range.
 RANGES_PER_SHARD = 16
@@ -145,13 +145,16 @@ def write_shards(docs: DataFrame, shards: int, path: str, doc_id: str = "doc_id"
     """Write all documents whole, one folder a shard, in the order of their slots.
 
     Rows are numbered in a written copy and placed by these numbers, so that repeated and null
-    ids don't matter.
+    ids don't matter. All columns are written; folders are named ``shard=...``, or, if the table has
+    a column of that name, by the first of ``shard_1``, ``shard_2``, ... that it lacks.
     """
-    held = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
-    placed = shard_documents(held, shards, doc_id, text, "__row").select(F.col("row").alias("__row"), "shard", "slot")
-    rows = held.drop("shard", "slot").join(placed, "__row").drop("__row")
-    rows = rows.repartition("shard", F.floor(F.col("slot") / rows_per_file))
-    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("errorifexists").parquet(path)
+    row, place = free_names(docs, 2)
+    taken = {c.lower() for c in docs.columns}
+    folder = next(c for c in ("shard", *(f"shard_{i}" for i in range(1, len(taken) + 2))) if c not in taken)
+    held = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    placed = shard_documents(held, shards, doc_id, text, row).select(F.col("row").alias(row), F.col("shard").alias(folder), F.col("slot").alias(place))
+    rows = held.join(placed, row).drop(row).repartition(folder, F.floor(F.col(place) / rows_per_file))
+    rows.sortWithinPartitions(folder, place).drop(place).write.partitionBy(folder).mode("errorifexists").parquet(path)
 
 
 def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:

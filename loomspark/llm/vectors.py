@@ -26,11 +26,11 @@ def sound_vectors(df: DataFrame, id_column: str, vector: str, allow_zero: bool)
     """Rows (vec_id long, vec array<double>) that take part: no null, NaN or infinity.
 
     Vectors of another length than the most frequent one (the smaller, if two are as
-    frequent) and rows without an id take no part either.
+    frequent) and rows without an id that is a whole number take no part either.
     """
     value = F.col("vec")
     finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = df.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
+    rows = df.select(F.col(id_column).try_cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
     rows = rows.where(F.col("vec_id").isNotNull() & value.isNotNull() & (F.size(value) > 0) & F.coalesce(finite, F.lit(False)))
     if not allow_zero:
         rows = rows.where(F.exists(value, lambda x: x != 0))

@@ -56,7 +56,12 @@ def test_shards_are_written_whole(spark, tmp_path):
     df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, slot string")
     sharding.write_shards(df, 3, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(map(str, back.select("doc_id", "text").collect())) == sorted(map(str, df.select("doc_id", "text").collect()))
+    assert sorted(map(str, back.select("doc_id", "text", "slot").collect())) == sorted(map(str, df.select("doc_id", "text", "slot").collect()))
+    mine = df.withColumn("shard", F.lit("mine")).withColumn("held_0", F.lit(1))
+    sharding.write_shards(mine, 3, str(tmp_path / "named"))
+    again = spark.read.parquet(str(tmp_path / "named"))
+    assert sorted(again.columns) == sorted([*mine.columns, "shard_1"]) and {r[0] for r in again.select("shard").collect()} == {"mine"}
+    assert sorted(r[0] for r in again.select("shard_1").distinct().collect()) == [0, 1, 2]
     assert sorted(r[0] for r in back.select("shard").distinct().collect()) == [0, 1, 2]
 
 
@@ -82,6 +87,13 @@ def test_unsound_vectors_take_no_part(vectors):
     assert sound_vectors(df, "vec_id", "embedding", allow_zero=True).count() == len(rows) + 1
 
 
+def test_ids_that_are_no_numbers_take_no_part(spark):
+    df = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(8)] + [("x", [0.0, 1.0]), (None, [0.0, 1.0])], "vec_id string, embedding array<double>")
+    for allow_zero in (True, False):
+        kept = sound_vectors(df, "vec_id", "embedding", allow_zero=allow_zero)
+        assert sorted(r["vec_id"] for r in kept.collect()) == list(range(8))
+
+
 def test_nearest_neighbours(vectors):
     rows, df = vectors
     v = sound_vectors(df, "vec_id", "embedding", allow_zero=False)
