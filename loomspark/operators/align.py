@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -143,6 +144,11 @@ ALIGNERS: dict[str, Callable[..., DataFrame]] = {"alpaca": align_alpaca, "shareg
 
 
 def register_aligner(name: str, aligner: Callable[..., DataFrame]) -> None:
+    """Add an aligner ``(df, spec, keep)`` for a formatting name.
+
+    One that takes a fourth argument gets the listing of media files (or None) and turns
+    references into paths itself.
+    """
     if name in ALIGNERS:
         raise ValueError(f"An aligner named {name} exists already.")
     ALIGNERS[name] = aligner
@@ -153,7 +159,10 @@ def align(df: DataFrame, spec: DatasetSpec, keep: list[str] | None = None, media
     is a listing (name, path) of media files, whose references become paths."""
     if spec.formatting not in ALIGNERS:
         raise ValueError(f"There is no aligner named {spec.formatting}.")
-    rows = ALIGNERS[spec.formatting](df, spec, keep or [])
+    aligner = ALIGNERS[spec.formatting]
+    if len(inspect.signature(aligner).parameters) > 3:
+        return aligner(df, spec, keep or [], media_files)
+    rows = aligner(df, spec, keep or [])
     return rows if media_files is None else with_paths(rows, media_files)
 
 

@@ -16,6 +16,7 @@ from loomspark.operators.align import MESSAGES, message, valid_for
 from loomspark.operators.multimodal import AUDIO, IMAGE, VIDEO, checked, process_messages
 from loomspark.operators.templates import Template, encoded, id_target, one_turn, special_ids, turn_pairs, with_calls
 from loomspark.operators.tools import TOOLS_DATE, tools_text
+from loomspark.operators.vision import PROCESSORS, item_tokens
 
 Encoder = Callable[[Column], Column]
 INTS = "array<int>"
@@ -52,7 +53,8 @@ def ready(df: DataFrame, template: Template, date: str | None) -> DataFrame:
     that rows hold neither tools nor function messages, so that no Python runs. Marks are
     expanded over prompt and responses together, in the order of their media, where a column
     ``_image_tokens`` (``_video_tokens``, ``_audio_tokens``) gives each item's number of tokens, or
-    its text for the plugins that write their own. Media that a format takes none of are an error.
+    its text for the plugins that write their own, or where ``_image_sizes`` and so on hold what
+    the headers of the files say (``sources.media.with_sizes``). Media that a format takes none of are an error.
     """
     if date is None:
         rows = df.withColumn("__tools", F.lit(""))
@@ -65,6 +67,12 @@ def with_media(rows: DataFrame, template: Template) -> DataFrame:
     """Media marks of prompt and responses as the plugin of the template writes them."""
     tokens = dict(template.mm_tokens)
     sizes = {k: F.col(f"_{k}_tokens") for k in MARKS if f"_{k}_tokens" in rows.columns}
+    for kind in MARKS:
+        if kind in tokens and kind not in sizes and f"_{kind}_sizes" in rows.columns and template.mm_plugin in PROCESSORS:
+            # Made once a row; the plugin reads them at every mark.
+            made = item_tokens(template.mm_plugin, kind, tokens[kind], F.col(f"_{kind}_sizes"))
+            rows = rows.withColumn(f"__{kind}_tokens", bound(made, lambda x: x))
+            sizes[kind] = F.col(f"__{kind}_tokens")
     held = {k: F.greatest(F.coalesce(F.size(f"_{k}s"), F.lit(0)), F.lit(0)) for k in MARKS if f"_{k}s" in rows.columns}
     refused = F.lit(False)
     for kind, n in held.items():

@@ -90,13 +90,13 @@ USER = f"'<|im_start|>user' || {NL} || {{text}} || '<|im_end|>' || {NL} || '<|im
 ANSWER = f"{{text}} || '<|im_end|>' || {NL}"
 
 
-def sft_sql(reverse: bool = False, system: str = SYSTEM, asked: str = "m[2*i-1].text", answered: str = "m[2*i].text") -> str:
+def sft_sql(reverse: bool = False, system: str = SYSTEM, asked: str = "m[2*i-1].text", answered: str = "m[2*i].text", cutoff: int = CUTOFF) -> str:
     """conv_id, n_input, n_target, ids and labels (joined by commas) of supervised rows.
 
     Pairs are rendered as chatml and cut to the budget one after the other, from the last one
     on if ``reverse``, when only the last answer is learned.
     """
-    s, t = seqlen_sql("length(x.source)", "length(x.target)", f"({CUTOFF} - f.total)")
+    s, t = seqlen_sql("length(x.source)", "length(x.target)", f"({cutoff} - f.total)")
     learned = f"CASE WHEN f.k = 1 THEN {ids_sql('kept_target')} ELSE repeat('-100,', f.t) END" if reverse else ids_sql("kept_target")
     target = "CASE WHEN f.k = 1 THEN f.t ELSE 0 END" if reverse else "f.t"
     return (
@@ -106,7 +106,7 @@ def sft_sql(reverse: bool = False, system: str = SYSTEM, asked: str = "m[2*i-1].
   FROM (SELECT *, unnest(range(1, n // 2 + 1)) AS i FROM v WHERE ok AND n % 2 = 0 AND n > 0)),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY {'-i' if reverse else 'i'}) AS k FROM s),
 f AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS t FROM o
-  UNION ALL SELECT f.conv_id, x.k, CAST(f.total + {s} + {t} AS BIGINT), CAST({s} AS BIGINT), CAST({t} AS BIGINT) FROM f JOIN o x ON x.conv_id = f.conv_id AND x.k = f.k + 1 WHERE f.total < {CUTOFF}),
+  UNION ALL SELECT f.conv_id, x.k, CAST(f.total + {s} + {t} AS BIGINT), CAST({s} AS BIGINT), CAST({t} AS BIGINT) FROM f JOIN o x ON x.conv_id = f.conv_id AND x.k = f.k + 1 WHERE f.total < {cutoff}),
 w AS (SELECT f.*, o.i, substring(o.source, 1, f.s) AS kept_source, substring(o.target, 1, f.t) AS kept_target FROM f JOIN o USING (conv_id, k))
 SELECT conv_id, CAST(sum(f.s + f.t) AS BIGINT) AS n_input, CAST(sum({target}) AS BIGINT) AS n_target,
   string_agg({ids_sql('kept_source')} || {ids_sql('kept_target')}, '' ORDER BY i) AS ids, string_agg(repeat('-100,', f.s) || {learned}, '' ORDER BY i) AS labels FROM w f GROUP BY conv_id"""

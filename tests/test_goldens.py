@@ -93,6 +93,9 @@ def test_own_aligners(spark):
     assert align(spark.range(1), DatasetSpec("x", formatting="lines")).first()["x"] == 1
     with pytest.raises(ValueError):
         register_aligner("lines", None)
+    register_aligner("pages", lambda df, spec, keep: df.select(*keep, F.array(F.lit("a.png")).alias("_images"), *(F.lit(None).cast("array<string>").alias(k) for k in ("_videos", "_audios"))))
+    listing = spark.createDataFrame([("a.png", "/media/a.png")], "name string, path string")
+    assert align(spark.range(1), DatasetSpec("x", formatting="pages"), keep=["id"], media_files=listing).first()["_images"] == ["/media/a.png"]
 
 
 # Templates.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.operators import evaluation
 from loomspark.operators.align import align
 from loomspark.plans.prepare import DataOptions, get_dataset, unmerged
-from loomspark.sources import builders, hubs, readers, sinks
+from loomspark.sources import builders, hubs, media, readers, sinks
 from loomspark.sources.catalog import DatasetSpec, catalog_table, usable_datasets
 from loomspark.streaming import streams
 
@@ -279,3 +279,60 @@ def test_packed_preparation_keeps_long_rows(spark, tmp_path):
     options = DataOptions(template="default", dataset=("d",), dataset_dir=str(tmp_path), cutoff_len=512, packing=True)
     blocks = get_dataset(spark, options, "sft", registry)["train"].collect()
     assert sorted(i for r in blocks for i in r["rows"]) == [0, 1] and all(len(r["input_ids"]) == 513 for r in blocks)
+
+
+def chunk(name, body):
+    return len(body).to_bytes(4, "big") + name + body + bytes(4)
+
+
+def mp4_box(name, *parts):
+    body = b"".join(parts)
+    return (8 + len(body)).to_bytes(4, "big") + name + body
+
+
+MEDIA_FILES = {
+    "a.png": (b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (640).to_bytes(4, "big") + (480).to_bytes(4, "big") + b"\x08\x02\0\0\0") + chunk(b"IDAT", b"x"), ("png", 640, 480, 1)),
+    "b.jpg": (b"\xff\xd8\xff\xe1\0\x06EXIF\xff\xff\xc4\0\x03\0\xff\xc2\0\x11\x08\x01\x02\x03\x04\x03", ("jpeg", 0x304, 0x102, 1)),
+    "c.jpg": (b"\xff\xd8\xff\xe0\0\x10JFIF", ("jpeg", None, None, None)),
+    "d.gif": (b"GIF89a\x05\0\x06\0\x91\0\0" + bytes(12) + b"!\xff\x0bNETSCAPE2.0\x03\x01\0\0\0" + (b"!\xf9\x04\0\x14\0\0\0" + b",\0\0\0\0\x05\0\x06\0\x80" + bytes(6) + b"\x02\x02L\x01\0") * 3 + b";", ("gif", 5, 6, 3)),
+    "e.webp": (b"RIFF\0\0\0\0WEBPVP8L\x05\0\0\0\x2f" + ((99) | (49 << 14)).to_bytes(4, "little") + b"\0", ("webp", 100, 50, 1)),
+    "f.webp": (b"RIFF\0\0\0\0WEBPVP8 \x0a\0\0\0\0\0\0\x9d\x01\x2a\x40\x01\xf0\x00", ("webp", 320, 240, 1)),
+    "g.bmp": (b"BM" + bytes(16) + (7).to_bytes(4, "little") + (-9).to_bytes(4, "little", signed=True), ("bmp", 7, 9, 1)),
+    "h.wav": (b"RIFF\0\0\0\0WAVELIST\x03\0\0\0abc\0fmt \x10\0\0\0\x01\0\x02\0\x80\x3e\0\0\0\xfa\0\0\x04\0\x10\0data\xff\xff\xff\xff" + bytes(32000), ("wav", None, None, None)),
+    "i.txt": (b"no medium", (None, None, None, None)),
+    "k.mp4": (
+        mp4_box(b"ftyp", b"isom") + (1).to_bytes(4, "big") + b"mdat" + (24).to_bytes(8, "big") + bytes(8)
+        + mp4_box(b"moov", mp4_box(b"mvhd", b"\x01" + bytes(19), (600).to_bytes(4, "big"), (1500).to_bytes(8, "big")),
+            mp4_box(b"trak", mp4_box(b"tkhd", bytes(76), bytes(8)), mp4_box(b"mdia", mp4_box(b"mdhd", bytes(12), (48000).to_bytes(4, "big"), (96000).to_bytes(4, "big")), mp4_box(b"hdlr", bytes(8), b"soun", bytes(12)))),
+            mp4_box(b"trak", mp4_box(b"tkhd", bytes(76), (1920 << 16).to_bytes(4, "big"), (1080 << 16).to_bytes(4, "big")),
+                mp4_box(b"mdia", mp4_box(b"mdhd", bytes(12), (25).to_bytes(4, "big"), (60).to_bytes(4, "big")), mp4_box(b"hdlr", bytes(8), b"vide", bytes(12)), mp4_box(b"minf", mp4_box(b"stbl", mp4_box(b"stsz", bytes(8), (60).to_bytes(4, "big"))))))),
+        ("mp4", 1920, 1080, 60),
+    ),
+}
+
+
+def test_media_headers(spark, tmp_path):
+    for name, (content, _) in MEDIA_FILES.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["name"]: r for r in media.read_media_info(spark, str(tmp_path)).collect()}
+    assert {n: tuple(got[n][c] for c in ("kind", "width", "height", "frames")) for n in got} == {n: want for n, (_, want) in MEDIA_FILES.items()}
+    assert (got["h.wav"]["samples"], got["h.wav"]["rate"], got["h.wav"]["seconds"]) == (8000, 16000, 0.5)
+    assert got["d.gif"]["seconds"] == 0.6 and got["k.mp4"]["seconds"] == 2.4 and (got["k.mp4"]["rate"], got["k.mp4"]["samples"]) == (48000, 96000)
+    assert got["a.png"]["length"] == len(MEDIA_FILES["a.png"][0])
+    odd = spark.createDataFrame([(None, 1), (bytearray(), 2)], "content binary, info int")
+    assert [r["info"]["kind"] for r in media.with_info(odd).collect()] == [None, None]
+
+
+def test_headers_that_break_off_are_no_error():
+    for content, _ in MEDIA_FILES.values():
+        for n in range(min(len(content), 400)):
+            media.read_header(content[:n])
+
+
+def test_sizes_follow_the_media_of_a_row(spark):
+    info = spark.createDataFrame([("a.png", "/m/a.png", "png", 4, 5), ("b.mp4", "/m/b.mp4", "mp4", 6, 7)], "name string, path string, kind string, width int, height int")
+    info = info.withColumns({"frames": F.lit(9).cast("long"), "seconds": F.lit(3.0), "samples": F.lit(None).cast("long"), "rate": F.lit(None).cast("int")})
+    rows = spark.createDataFrame([(1, ["a.png", "none.png", "/m/a.png"], None, None), (2, None, None, None), (3, ["a.png"], ["/m/b.mp4"], [])], "rid int, _images array<string>, _videos array<string>, _audios array<string>")
+    out = {r["rid"]: r for r in media.with_sizes(rows, info, "rid").collect()}
+    assert [x and x["width"] for x in out[1]["_image_sizes"]] == [4, None, 4] and out[2]["_image_sizes"] is None and out[1]["_video_sizes"] is None
+    assert out[3]["_video_sizes"][0]["frames"] == 9 and out[3]["_audio_sizes"] is None and len(out[3]["_image_sizes"]) == 1
