@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.lineage import cut_lineage
 from loomspark.functions.text import hash_order
+from loomspark.operators.selection import first_in_hash_order, first_of, hash_threshold, hex_of, key_at
 
 
 def in_order(df: DataFrame, order: list[Column], parts: int | None) -> DataFrame:
@@ -68,17 +69,25 @@ def running_sum(df: DataFrame, order: list[Column], value: str, name: str, parts
 
 
 def first_rows(df: DataFrame, n: int, order: str) -> DataFrame:
-    """The first ``n`` rows in order."""
-    return df.orderBy(order).limit(n)
+    """The first ``n`` rows in the order of a column: by selection for numbers, dates and times, by
+    a sort of the column's ranges for other kinds."""
+    key = hex_of(F.col(order), dict(df.dtypes)[order])
+    if key is not None:
+        missing = df.where(F.col(order).isNull())
+        nulls = missing.count()
+        if nulls >= n:
+            return missing.limit(n)
+        rest = first_of(df.where(F.col(order).isNotNull()), key, n - nulls, 16)
+        return missing.unionByName(rest) if nulls else rest
+    return number_rows(df, [F.col(order)], "__rank").where(F.col("__rank") < n).drop("__rank")
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows with their ``draw``: a hash-ordered prefix; beyond the number of
     rows, all rows and then draws with repetition."""
     total = df.count()
-    shuffled = [hash_order(seed, F.col(key)), F.col(key)]
     if n <= total:
-        return df.orderBy(*shuffled).limit(n).withColumn("draw", F.lit(0))
+        return first_in_hash_order(df, n, key, seed).withColumn("draw", F.lit(0))
     if not total:
         return df.withColumn("draw", F.lit(0)).limit(0)
     spark = df.sparkSession
@@ -91,7 +100,15 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 
 def page(df: DataFrame, index: int, order: str, size: int = 2) -> DataFrame:
-    return df.orderBy(order).offset(index * size).limit(size)
+    """One page of rows: what is in front of it is found by selection, so only a page is sorted."""
+    key = hex_of(F.col(order), dict(df.dtypes)[order])
+    if not index or key is None or not df.where(F.col(order).isNull()).isEmpty():
+        return df.orderBy(order).offset(index * size).limit(size)
+    found = key_at(df, key, index * size, 16)
+    if found is None:
+        return df.limit(0)
+    first, before = found
+    return df.where(key >= first).orderBy(order).offset(index * size - before).limit(size)
 
 
 def training_order(df: DataFrame, key: str, seed: int, epoch: int = 0, shuffle: bool = True) -> DataFrame:
@@ -139,6 +156,15 @@ def mix(datasets: list[DataFrame], strategy: str = "concat", probabilities: list
     return wanted.join(tagged, ["ds_idx", rid])
 
 
+def chosen(step: Column, shares: list[float], seed: int) -> Column:
+    """The dataset of a step: a hashed number picks it by the shares."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("mix"), step.cast("string"))), 1, 8), 16, 10).cast("double") / float(2**32)
+    choice = F.lit(len(shares) - 1)
+    for i in range(len(shares) - 2, -1, -1):
+        choice = F.when(u < sum(shares[: i + 1]), F.lit(i)).otherwise(choice)
+    return choice
+
+
 def interleave_by_chance(tagged: DataFrame, sizes: list[int], probabilities: list[float], strategy: str, seed: int, rid: str) -> DataFrame:
     """A hashed number picks each step's dataset; picks are numbered per dataset."""
     spark = tagged.sparkSession
@@ -146,13 +172,8 @@ def interleave_by_chance(tagged: DataFrame, sizes: list[int], probabilities: lis
     shares = [p / total for p in probabilities]
     want = [s / p for s, p in zip(sizes, shares) if p > 0]
     length = int((min(want) if strategy == "interleave_under" else max(want)) * 1.5) + 64 * len(sizes)
-    bounds = [sum(shares[: i + 1]) for i in range(len(shares))]
     while True:
-        u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("mix"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") / float(2**32)
-        choice = F.lit(len(sizes) - 1)
-        for i in range(len(sizes) - 2, -1, -1):
-            choice = F.when(u < bounds[i], F.lit(i)).otherwise(choice)
-        steps = number_picks(spark.range(length).select(F.col("id").alias("mix_pos"), choice.alias("ds_idx")), len(sizes))
+        steps = number_picks(spark.range(length).select(F.col("id").alias("mix_pos"), chosen(F.col("id"), shares, seed).alias("ds_idx")), len(sizes))
         ends = {r["ds_idx"]: r["last"] for r in steps.where(F.element_at(F.array(*(F.lit(s) for s in sizes)), F.col("ds_idx") + 1) == F.col("pick") + 1).groupBy("ds_idx").agg(F.min("mix_pos").alias("last")).collect()}
         needed = [i for i, p in enumerate(shares) if p > 0]
         done = ends if strategy == "interleave_under" else (ends if all(i in ends for i in needed) else {})
@@ -186,12 +207,11 @@ def split(df: DataFrame, val_size: float, key: str, seed: int = 42) -> dict[str,
     if val_size <= 1e-6:
         return {"train": df}
     n = validation_size(val_size, df.count())
-    # Only keys are put in order; the last one of the validation set then splits the rows.
-    place = F.struct(hash_order(seed, F.col(key)).alias("h"), F.col(key).alias("k"))
-    last = number_rows(df.select(place.alias("p")), [F.col("p")], "__rank").where(F.col("__rank") == n - 1).select("p.h", "p.k").first()
+    last = hash_threshold(df, n, key, seed)
     if last is None:
         return {"train": df.limit(0), "validation": df}
-    inside = place <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["k"]).cast(dict(df.dtypes)[key]).alias("k"))
+    place = F.struct(hash_order(seed, F.col(key)).alias("h"), F.col(key).alias("k"))
+    inside = place <= F.struct(F.lit(last[0]).alias("h"), F.lit(last[1]).cast(dict(df.dtypes)[key]).alias("k"))
     return {"train": df.where(~inside), "validation": df.where(inside)}
 
 

@@ -5,18 +5,22 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.functions.lineage import cut_lineage, shared_folder
 from loomspark.functions.text import EOS_ID, TEXT_END_ID, char_ids
 from loomspark.operators import collate, mixing, stages
 from loomspark.operators.align import align
+from loomspark.operators.selection import number_in_place
 from loomspark.operators.templates import resolve_template
 from loomspark.operators.tools import TOOLS_DATE
 from loomspark.sources.catalog import DatasetSpec, check_stage, column_names, dataset_specs
 from loomspark.sources.readers import has_tokenized, input_state, read_dataset, read_tokenized, stream_dataset
 from loomspark.sources.sinks import write_tokenized
+from loomspark.streaming import streams
 from loomspark.streaming.streams import mix_streams
 
 
@@ -73,8 +77,12 @@ class DataOptions:
 def load_one(spark: SparkSession, spec: DatasetSpec, options: DataOptions) -> DataFrame:
     """Raw rows, sampled and limited, aligned, with ``rid`` from 0 in file order."""
     raw = read_dataset(spark, spec, options.dataset_dir if spec.load_from != "script" else "")
-    raw = raw.select(*dict.fromkeys(c for c in column_names(spec) if c in raw.columns), F.monotonically_increasing_id().alias("__at"))
-    numbered = mixing.number_rows(raw, [F.col("__at")]).drop("__at")
+    raw = raw.select(*dict.fromkeys(c for c in column_names(spec) if c in raw.columns))
+    if spec.load_from == "file":
+        numbered = number_in_place(raw, touched=None if spec.name.endswith(".parquet") else raw.columns)
+    else:
+        # A script may give other partitions when it runs again, so its rows are written down.
+        numbered = number_in_place(cut_lineage(raw))
     if spec.num_samples and not options.streaming:
         sampled = mixing.sample_rows(numbered, spec.num_samples, "rid", options.seed)
         numbered = mixing.number_rows(sampled, [F.col("draw"), mixing.hash_order(options.seed, F.col("rid")), F.col("rid")], "__rid").drop("rid", "draw").withColumnRenamed("__rid", "rid")
@@ -88,9 +96,8 @@ def merged(spark: SparkSession, specs: list[DatasetSpec], options: DataOptions,
         check_stage(spec, stage)
     parts = [load_one(spark, s, options) for s in specs]
     mixed = mixing.mix(parts, options.mix_strategy, list(options.interleave_probs) if options.interleave_probs else None, options.seed)
-    if len(parts) == 1 or options.mix_strategy == "concat":
-        return mixed.withColumn("rid", F.col("mix_pos")).drop("mix_pos", "ds_idx")
-    return mixing.number_rows(mixed.drop("rid"), [F.col("mix_pos")]).drop("mix_pos", "ds_idx")
+    # Every strategy gives positions from 0 without gaps.
+    return mixed.withColumn("rid", F.col("mix_pos")).drop("mix_pos", "ds_idx")
 
 
 def tokenize(rows: DataFrame, stage: str, options: DataOptions, encode: Callable[[Column], Column] = char_ids, is_eval: bool = False) -> DataFrame:
@@ -112,20 +119,49 @@ def tokenize(rows: DataFrame, stage: str, options: DataOptions, encode: Callable
     return stages.process_unsupervised(rows, template, options.cutoff_len, keep, encode, options.tools_date)
 
 
-def get_stream(spark: SparkSession, options: DataOptions, stage: str, registry: dict[str, dict] | str, encode: Callable[[Column], Column] = char_ids) -> DataFrame:
-    """Token rows of streamed datasets as they come; nothing is counted, sorted or written.
+def get_stream(spark: SparkSession, options: DataOptions, stage: str, registry: dict[str, dict] | str, encode: Callable[[Column], Column] = char_ids) -> dict[str, DataFrame]:
+    """Token rows of streamed datasets, ``train`` (a stream) and, if asked, ``validation`` (a table).
 
-    Packing, and the partners of rated answers, need batches: use the stage functions on the
-    micro-batches of a ``foreachBatch`` for these. Streams are mixed and split by
-    ``streams.interleaved_batches`` and ``streams.take_and_skip``.
+    Datasets that are joined as they come need nothing but the stream itself. Interleaving and a
+    validation set depend on counts: what the sources hold now is mixed, and its first shuffled
+    rows are set apart, micro-batch by micro-batch into a folder beside the checkpoints, and the
+    training stream reads from there. Packing, and the partners of rated answers, need batches:
+    use the stage functions on the micro-batches of a ``foreachBatch`` for these.
     """
     if options.packs(stage) or stage == "kto":
         raise ValueError("A stream has no batches to pack or pair; use the stage in foreachBatch.")
     parts = []
     for spec in dataset_specs(list(options.dataset), registry):
         check_stage(spec, stage)
-        parts.append(align(stream_dataset(spark, spec, options.dataset_dir), spec).withColumn("rid", F.lit(None).cast("long")))
-    return tokenize(mix_streams(parts).drop("ds_idx"), stage, options, encode).drop("rid", "batch_id")
+        parts.append(align(stream_dataset(spark, spec, options.dataset_dir), spec))
+    made = lambda rows: tokenize(rows.withColumn("rid", F.lit(None).cast("long")), stage, options, encode).drop("rid", "batch_id")
+    probabilities = list(options.interleave_probs) if options.interleave_probs else None
+    mixing.check_mix(options.mix_strategy, len(parts), probabilities)
+    interleaved = len(parts) > 1 and options.mix_strategy != "concat"
+    if not interleaved and options.val_size <= 1e-6:
+        return {"train": made(mix_streams(parts).drop("ds_idx"))}
+    folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    columns = [c for c in parts[0].columns]
+    # Rows of a micro-batch count in the order in which they were read.
+    keyed = [p.withColumn("__key", F.xxhash64(F.to_json(F.struct(*columns)))) for p in parts]
+    write = lambda to: lambda rows, number: rows.select(*columns, "__key").write.mode("overwrite").parquet(f"{folder}/{to}/batch={number}")
+    source = mix_streams(keyed).drop("ds_idx")
+    if interleaved:
+        settings = (options.mix_strategy, probabilities, options.seed)
+        streams.interleaved_batches(keyed, "__key", write("mixed"), f"{folder}/mixing", *settings).awaitTermination()
+        streams.interleaved_rest(spark, len(parts), "__key", write("mixed"), f"{folder}/mixing", *settings)
+        source = read_back(spark, f"{folder}/mixed", source)
+    if options.val_size > 1e-6:
+        streams.take_and_skip(source, "__key", int(options.val_size), f"{folder}/split", f"{folder}/splitting", options.seed).awaitTermination()
+        source = read_back(spark, f"{folder}/split/train", source)
+        held = spark.read.schema(source.schema).parquet(f"{folder}/split/validation/batch=*")
+        return {"train": made(source.drop("__key")), "validation": made(held.drop("__key"))}
+    return {"train": made(source.drop("__key"))}
+
+
+def read_back(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    """The batches of a folder as a stream, the earliest first."""
+    return spark.readStream.schema(like.schema).parquet(f"{folder}/batch=*")
 
 
 def cached(spark: SparkSession, options: DataOptions, stage: str, specs: list[DatasetSpec], encode: Callable, make: Callable[[], DataFrame]) -> DataFrame:
@@ -151,7 +187,7 @@ def get_dataset(spark: SparkSession, options: DataOptions, stage: str, registry:
         return read_tokenized(spark, options.tokenized_path)
     registry = registry if registry is not None else options.dataset_dir
     if options.streaming:
-        return {"train": get_stream(spark, options, stage, registry, encode)}
+        return get_stream(spark, options, stage, registry, encode)
     out: dict[str, DataFrame] = {}
     if options.dataset:
         specs = dataset_specs(list(options.dataset), registry)

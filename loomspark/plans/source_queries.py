@@ -365,14 +365,37 @@ def st_take(spark, sf_dir):
 ST_TAKE = "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) <= 25 THEN 'validation' ELSE 'train' END AS part FROM documents"
 
 
+def in_batches(spark, sf_dir, name: str, path: str, cuts: tuple[str, ...]) -> DataFrame:
+    """The ids of a table as a stream of micro-batches, one for each condition: each is one file,
+    and the files are written one after the other."""
+    ids = table(spark, sf_dir, name).select("doc_id")
+    for cut in cuts:
+        ids.where(cut).coalesce(1).write.mode("append").parquet(f"{path}/{name}")
+    return spark.readStream.schema(ids.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/{name}")
+
+
+BUFFER = 60
+
+
 def st_shuffle(spark, sf_dir):
+    """Three micro-batches shuffled through one buffer, which is emptied in the end."""
     path = scratch(spark)
-    write = lambda batch, number: mixing.number_rows(batch, [mixing.hash_order(f"{SEED}:{number}", F.col("doc_id")), F.col("doc_id")], "place").write.mode("overwrite").parquet(f"{path}/out/batch={number}")
-    streams.shuffled_batches(streamed(spark, sf_dir, "documents").select("doc_id"), "doc_id", write, f"{path}/checkpoint", SEED).awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("doc_id", "place")
+    stream = in_batches(spark, sf_dir, "documents", path, ("doc_id % 4 < 2", "doc_id % 4 = 2", "doc_id % 4 = 3"))
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+    streams.shuffled_batches(stream, "doc_id", write, f"{path}/checkpoint", SEED, BUFFER).awaitTermination()
+    streams.shuffled_rest(spark, "doc_id", write, f"{path}/checkpoint", SEED)
+    return spark.read.parquet(f"{path}/out").select("doc_id", long(F.col("batch"), "batch"), "place")
 
 
-ST_SHUFFLE = "SELECT doc_id, row_number() OVER (ORDER BY md5('42:0:' || doc_id), doc_id) - 1 AS place FROM documents"
+ST_SHUFFLE = f"""WITH d AS (SELECT doc_id, greatest(doc_id % 4, 1) - 1 AS b FROM documents),
+a AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:0:' || doc_id), doc_id) - 1 AS place, count(*) OVER () - {BUFFER} AS cut FROM d WHERE b = 0),
+p AS (SELECT doc_id FROM a WHERE place >= cut UNION ALL SELECT doc_id FROM d WHERE b = 1),
+c AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:1:' || doc_id), doc_id) - 1 AS place, count(*) OVER () - {BUFFER} AS cut FROM p),
+q AS (SELECT doc_id FROM c WHERE place >= cut UNION ALL SELECT doc_id FROM d WHERE b = 2),
+e AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:2:' || doc_id), doc_id) - 1 AS place, count(*) OVER () - {BUFFER} AS cut FROM q),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:3:' || doc_id), doc_id) - 1 AS place FROM e WHERE place >= cut)
+SELECT doc_id, CAST(0 AS BIGINT) AS batch, place FROM a WHERE place < cut UNION ALL SELECT doc_id, 1, place FROM c WHERE place < cut
+UNION ALL SELECT doc_id, 2, place FROM e WHERE place < cut UNION ALL SELECT doc_id, 3, place FROM r"""
 
 
 def st_concat(spark, sf_dir):
@@ -387,14 +410,26 @@ ST_CONCAT = "SELECT CAST(0 AS BIGINT) AS ds_idx, count(*) AS n, CAST(sum(doc_id)
 
 
 def st_interleave(spark, sf_dir):
+    """Two streams whose micro-batches have other sizes, mixed in turn and by chance."""
     path = scratch(spark)
-    parts = [streamed(spark, sf_dir, "documents").select("doc_id"), streamed(spark, sf_dir, "labels").select("doc_id")]
-    streams.interleaved_batches(parts, "doc_id", lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}"), f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("doc_id", long(F.col("ds_idx"), "ds_idx"), "mix_pos")
-
-
-ST_INTERLEAVE = """WITH d AS (SELECT doc_id, 0 AS i, row_number() OVER (ORDER BY doc_id) - 1 AS rid FROM documents UNION ALL SELECT doc_id, 1, row_number() OVER (ORDER BY doc_id) - 1 FROM labels)
-SELECT doc_id, CAST(i AS BIGINT) AS ds_idx, rid * 2 + i AS mix_pos FROM d WHERE rid < least((SELECT count(*) FROM documents), (SELECT count(*) FROM labels))"""
+    # All files are there before the query starts, and a micro-batch takes one of each stream.
+    parts = [in_batches(spark, sf_dir, "documents", path, ("doc_id % 5 = 0", "doc_id % 5 in (1, 2, 3)", "doc_id % 5 = 4")), in_batches(spark, sf_dir, "labels", path, ("doc_id % 3 > 0", "doc_id % 3 = 0"))]
+    out = []
+    for name, settings in (("turn", ("interleave_under", None)), ("chance", ("interleave_over", [0.7, 0.3]))):
+        write = lambda batch, number, name=name: batch.write.mode("overwrite").parquet(f"{path}/out-{name}/batch={number}")
+        streams.interleaved_batches(parts, "doc_id", write, f"{path}/{name}", *settings, SEED).awaitTermination()
+        streams.interleaved_rest(spark, 2, "doc_id", write, f"{path}/{name}", *settings, SEED)
+        out.append(spark.read.parquet(f"{path}/out-{name}").select(F.lit(name).alias("kind"), "doc_id", long(F.col("ds_idx"), "ds_idx"), "mix_pos"))
+    return out[0].unionByName(out[1])
+
+
+ST_INTERLEAVE = """WITH d AS (SELECT doc_id, 0 AS i, row_number() OVER (ORDER BY CASE WHEN doc_id % 5 = 0 THEN 0 WHEN doc_id % 5 < 4 THEN 1 ELSE 2 END, doc_id) - 1 AS rid, count(*) OVER () AS n FROM documents
+  UNION ALL SELECT doc_id, 1, row_number() OVER (ORDER BY CASE WHEN doc_id % 3 > 0 THEN 0 ELSE 1 END, doc_id) - 1, count(*) OVER () FROM labels),
+u AS (SELECT k, CASE WHEN CAST('0x' || substr(md5('42:mix:' || k), 1, 8) AS BIGINT) / 4294967296.0 < 0.7 THEN 0 ELSE 1 END AS i FROM (SELECT unnest(range(8 * (SELECT count(*) FROM d) + 1000)) AS k)),
+q AS (SELECT k, i, row_number() OVER (PARTITION BY i ORDER BY k) - 1 AS pick FROM u),
+e AS (SELECT max(k) AS stop FROM q JOIN (SELECT i, max(n) AS n FROM d GROUP BY i) z USING (i) WHERE pick + 1 = n)
+SELECT 'turn' AS kind, doc_id, CAST(i AS BIGINT) AS ds_idx, CAST(rid * 2 + i AS BIGINT) AS mix_pos FROM d WHERE rid < (SELECT min(n) FROM d)
+UNION ALL SELECT 'chance', doc_id, CAST(d.i AS BIGINT), CAST(k AS BIGINT) FROM q JOIN d ON d.i = q.i AND d.rid = q.pick % d.n WHERE k <= (SELECT stop FROM e)"""
 
 
 QUERIES = (

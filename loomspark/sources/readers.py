@@ -203,7 +203,9 @@ def read_tokenized(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def preview(df: DataFrame, order: str, index: int, size: int = 2) -> tuple[int, DataFrame]:
     """The number of rows and one page of them."""
-    return df.count(), df.orderBy(order).offset(index * size).limit(size)
+    from loomspark.operators.mixing import page
+
+    return df.count(), page(df, index, order, size)
 
 
 def can_preview(spark: SparkSession, registry: dict[str, dict], name: str, folder: str) -> bool:
