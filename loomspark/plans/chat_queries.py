@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from loomspark.functions.text import EOS_ID, IGNORE, PAD_ID
 from loomspark.operators import collate, stages
 from loomspark.operators.align import align, valid_for
-from loomspark.operators.templates import TEMPLATES, encoded, one_turn, text_target, turn_pairs
+from loomspark.operators.chat_markup import compile_template
+from loomspark.operators.templates import ChatTokenizer, TEMPLATES, encoded, jinja_template, one_turn, template_from_source, text_target, turn_pairs
 from loomspark.operators.tools import QWEN_PROMPT
 from loomspark.plans.tables import ANSWER, BATCH, CUTOFF, NL, SYSTEM, USER, V, canonical, chats, ids_md5_sql, ids_sql, ranked, rated, seqlen_sql, sft_digest_sql, sft_sql, table
 from loomspark.sources.builders import build_turn_lists
@@ -199,6 +200,31 @@ PRC_FUNCTION = sft_digest_sql(
 )
 
 
+def tpl_compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text format as the Jinja template that is written for it, compiled to a column, and as
+    the slots that are read back from rendering that template."""
+    rows = canonical(spark, sf_dir).where(valid_for("sft"))
+    said = F.concat("_prompt", "_response")
+    system = F.array(F.struct(F.lit("system").alias("role"), F.col("_system").alias("content")))
+    messages = F.when(F.col("_system") != "", F.concat(system, said)).otherwise(said)
+    texts = []
+    for name in TPL_COMPILED_NAMES:
+        source = jinja_template(TEMPLATES[name])
+        texts.append(F.struct(F.lit(name).alias("name"), F.lit("compiled").alias("way"), F.md5(compile_template(source, "<s>", "</s>")(messages)).alias("text_md5")))
+        if not TEMPLATES[name].system_in_user:
+            read = template_from_source(ChatTokenizer(source, "<s>", "</s>"), name)
+            made = encoded(said, read, text_target("<s>", "</s>"), F.col("_system"), F.lit(""))
+            texts.append(F.struct(F.lit(name).alias("name"), F.lit("read").alias("way"), F.md5(F.array_join(made, "")).alias("text_md5")))
+    return rows.select("conv_id", F.inline(F.array(*texts)))
+
+
+#: Formats whose slots do not number the turns (a written Jinja template has no numbers).
+TPL_COMPILED_NAMES = [n for n in TPL_SQL if n != "chatglm2"]
+TPL_COMPILED = " UNION ALL ".join(
+    f"SELECT conv_id, '{n}' AS name, '{way}' AS way, text_md5 FROM ({TPL_SQL[n]})" for n in TPL_COMPILED_NAMES for way in ("compiled", "read") if way == "compiled" or not TEMPLATES[n].system_in_user
+)
+
+
 def prc_mm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An image in front of every first question, whose mark becomes as many tokens as it has."""
     rows = canonical(spark, sf_dir).withColumns({"_images": F.array(F.lit("a.png")), "_image_tokens": F.array((F.col("conv_id") % 7 + 1).cast("int"))})
@@ -464,6 +490,7 @@ def queries() -> dict:
         "prc_tools": prc_tools,
         "prc_function": prc_function,
         "prc_mm": prc_mm,
+        "tpl_compiled": tpl_compiled,
         "prc_pt_plain": prc_pt_plain,
         "prc_pt_pack": prc_pt_pack,
         "prc_pair": prc_pair,
