@@ -49,16 +49,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table of its own in the shared folder and read it again.
 
     The folder is the caller's to keep or clear: rows may be asked for until the session ends.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of a column and read it again: what is grouped or
+    joined by the column then needs no exchange on this side."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table, path = f"{name}_{uuid.uuid4().hex}", f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).options(path=path, compression="zstd").saveAsTable(table)
+    found = spark.table(table)
+    # Only the name goes: the table is external, and ``found`` knows its files and buckets.
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
 #: Bytes of one Arrow batch between the JVM and Python. Texts can be long, and the default of
 #: 64 MB is held several times over by either side.
 BATCH_BYTES = 4 << 20

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -44,7 +45,12 @@ def test_words_across_slices_are_encoded_once(spark, library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "SLICE_ROWS", 3)
     df = spark.createDataFrame([(i, f"the same words and {i % 5}" * (i % 3)) for i in range(60)], "doc_id long, text string").repartition(4)
     slices = byte_bpe.slices_of(df, "text", ["doc_id"], None).collect()
-    pairs = [(r["slice"], bytes(r["word"])) for r in slices if r["word"] is not None]
+    rows = [r for r in slices if r["bucket"] is not None]
+    pairs = []
+    for r in rows:
+        ends = np.cumsum(byte_bpe.unpack(bytes(r["lengths"]))).tolist()
+        pairs += [(r["slice"], bytes(r["words"])[a:b]) for a, b in zip([0, *ends], ends)]
+    assert len({(r["slice"], r["bucket"]) for r in rows}) == len(rows)
     assert len(pairs) == len(set(pairs)) and len({s for s, _ in pairs}) >= 16
     for r in byte_bpe.encode(df, ["doc_id"]).collect():
         assert r["ids"] == library.encode_ordinary(f"the same words and {r['doc_id'] % 5}" * (r["doc_id"] % 3))
@@ -67,6 +73,20 @@ def test_odd_tables(spark):
         byte_bpe.decode(spark.createDataFrame([([10**6],)], "ids array<int>")).collect()
 
 
+def test_texts_stay_where_they_are(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
+    plan = byte_bpe.encode(df, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(slice") == 1 and "Exchange hashpartitioning(home" not in plan
+
+
+def test_numbers_are_packed_whole():
+    rng = np.random.default_rng(2)
+    for top in (1, 128, 1 << 14, 1 << 21, 1 << 28):
+        numbers = np.concatenate([rng.integers(0, top, 500), [top - 1, 0]])
+        assert (byte_bpe.unpack(byte_bpe.pack(numbers)) == numbers).all()
+    assert byte_bpe.pack(np.zeros(0, np.int64)) == b"" and len(byte_bpe.unpack(b"")) == 0
+
+
 def test_long_words_merge_like_the_library(library):
     ranks = byte_bpe.read_ranks(byte_bpe.default_ranks_path())
     rng = random.Random(9)
