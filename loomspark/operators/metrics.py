@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from loomspark.functions.text import IGNORE
-from loomspark.operators.mixing import running_sums
+from loomspark.operators.mixing import linear_scan, running_sums
 
 
 def length_histogram(rows: DataFrame, length: Column, interval: int = 1000) -> DataFrame:
@@ -148,6 +148,22 @@ def smoothed(series: Column) -> Column:
     return F.aggregate(series, start, step, lambda s: s["all"])
 
 
+def smoothed_rows(rows: DataFrame, value: str, order: list[str], group: str | None = None, name: str = "smoothed") -> DataFrame:
+    """The moving average of ``smoothed`` along rows, for groups of any size.
+
+    The weight follows the number of values in the group; the first value is where it starts.
+    """
+    by = [group or "__all"]
+    rows = rows if group else rows.withColumn("__all", F.lit(0))
+    # One row a group, with its first row's place.
+    counts = rows.groupBy(*by).agg(F.count(value).alias("__n"), F.min_by(F.struct(*order), F.struct(*order)).alias("__first"))
+    held = rows.join(counts, by)
+    w = smoothing_weight(F.col("__n").cast("double"))
+    first = F.struct(*order) == F.col("__first")
+    made = linear_scan(held, [F.col(c) for c in order], F.when(first, 0.0).otherwise(w), F.when(first, F.col(value)).otherwise((1 - w) * F.col(value)), name, by)
+    return made.drop("__n", "__first", "__all")
+
+
 def clock(seconds: Column) -> Column:
     """Seconds as ``[D day[s], ]H:MM:SS``."""
     s = seconds.cast("long")

@@ -8,10 +8,13 @@ never from a window over all rows in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspark.functions.lineage import cut_lineage
 from loomspark.functions.text import hash_order
@@ -63,6 +66,47 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], by
     return joined.select(*kept, *((F.col(f"r.__s{n}") + F.col(f"l.__i{n}")).alias(n) for n in sums))
 
 
+def linear_scan(df: DataFrame, order: list[Column], factor: Column, addend: Column, name: str, by: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """``s = factor * s_before + addend`` along all rows, or along those of each group, from s = 0.
+
+    Such steps are associative (a step is a pair of numbers, and two in a row are one of
+    ``a1 * a2, a2 * b1 + b2``), so each range of rows is gone through by itself, what a range does
+    to a group's value is one pair, and the pairs of earlier ranges give what comes in. A group
+    of any size is spread over as many ranges as it needs; a null factor or addend counts as 1 or 0.
+    """
+    by = by or []
+    given = df.withColumns({"__a": F.coalesce(factor.cast("double"), F.lit(1.0)), "__b": F.coalesce(addend.cast("double"), F.lit(0.0))})
+    placed = in_order(given, [*(F.col(c) for c in by), *order], parts)
+    group = F.struct(F.col("__part").alias("__part"), *(F.col(c) for c in by)).alias("__group")
+    # One number for each run of equal groups: rows are in order, so a group is one run a range.
+    keyed = placed.withColumn("__run", F.xxhash64(group))
+    schema = T.StructType([*keyed.schema.fields, T.StructField("__inner", T.DoubleType()), T.StructField("__decay", T.DoubleType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, value, decay = None, 0.0, 1.0
+        for batch in batches:
+            inner, decays = [], []
+            for key, a, b in zip(*(batch.column(c).to_pylist() for c in ("__run", "__a", "__b"))):
+                if key != run:
+                    run, value, decay = key, 0.0, 1.0
+                value, decay = a * value + b, a * decay
+                inner.append(value)
+                decays.append(decay)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inner, pa.float64()), pa.array(decays, pa.float64())], schema.names)
+
+    walked = cut_lineage(keyed.mapInArrow(walk, schema))
+    ends = walked.groupBy("__part", *by).agg(F.max_by(F.struct("__decay", "__inner"), "__place").alias("__end"))
+    # One pair a range that holds rows of the group.
+    pairs = F.array_sort(F.collect_list(F.struct("__part", "__end.__decay", "__end.__inner")))
+    before = F.transform("p", lambda x: F.struct(x["__part"].alias("__part"), F.aggregate(F.filter("p", lambda y: y["__part"] < x["__part"]), F.lit(0.0), lambda s, y: y["__decay"] * s + y["__inner"]).alias("__in")))
+    starts = ends.groupBy(*by).agg(pairs.alias("p")).select(*by, F.inline(before))
+    match = F.col("l.__part") == F.col("r.__part")
+    for c in by:
+        match = match & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    joined = walked.alias("l").join(starts.alias("r"), match)
+    return joined.select(*(F.col(f"l.{c}") for c in df.columns), (F.col("l.__decay") * F.col("r.__in") + F.col("l.__inner")).alias(name))
+
+
 def running_sum(df: DataFrame, order: list[Column], value: str, name: str, parts: int | None = None) -> DataFrame:
     """Sum of a column over all rows up to each row, without a single-task window."""
     return running_sums(df, order, {name: F.col(value)}, parts=parts)

@@ -252,9 +252,9 @@ AGG_AVG_METER = "SELECT event_id, round(sum(value * (user_id % 5 + 1)) OVER w /
 
 
 def win_ema(spark, sf_dir):
-    series = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"])
-    rows = events(spark, sf_dir).groupBy("user_id").agg(series.alias("s"))
-    return rows.select("user_id", F.posexplode(metrics.smoothed(F.col("s"))).alias("step", "smoothed")).select("user_id", long(F.col("step"), "step"), F.round("smoothed", 4).alias("smoothed"))
+    rows = metrics.smoothed_rows(events(spark, sf_dir).select("user_id", "ts", "event_id", "value"), "value", ["ts", "event_id"], "user_id")
+    steps = mixing.running_sums(rows, [F.col("ts"), F.col("event_id")], {"step": F.lit(1)}, ["user_id"])
+    return steps.select("user_id", long(F.col("step") - 1, "step"), F.round("smoothed", 4).alias("smoothed"))
 
 
 WIN_EMA = """WITH RECURSIVE x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, 1.8 * (1 / (1 + exp(-0.05 * count(*) OVER (PARTITION BY user_id))) - 0.5) AS w FROM events),

@@ -179,11 +179,11 @@ def with_loss(log: DataFrame, key: str = "loss") -> DataFrame:
 
 def loss_series(log: DataFrame, key: str = "loss", order: str = "current_steps") -> DataFrame:
     """A run's losses in order beside their moving average: what a loss plot shows."""
-    from loomspark.operators.metrics import smoothed
+    from loomspark.operators.metrics import smoothed_rows
 
-    held = with_loss(log, key).agg(F.sort_array(F.collect_list(F.struct(order, key))).alias("s"))
-    values = F.transform("s", lambda p: p[key])
-    return held.select(F.inline(F.arrays_zip(F.transform("s", lambda p: p[order]).alias("step"), values.alias("loss"), smoothed(values).alias("smoothed"))))
+    # Several records of one step are in the order of their losses.
+    rows = with_loss(log, key).select(F.col(order).alias("step"), F.col(key).alias("loss"))
+    return smoothed_rows(rows, "loss", ["step", "loss"])
 
 
 def has_tokenized(spark: SparkSession, path: str) -> bool:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.operators import mixing, selection
+from loomspark.operators import metrics, mixing, selection
 from loomspark.plans.prepare import DataOptions, get_dataset
 from loomspark.streaming import streams
 
@@ -145,3 +146,28 @@ def test_streamed_preparation_honours_its_settings(spark, tmp_path):
     assert counts(val_size=4) == (6, 4, 10)
     train, _, texts = counts(mix_strategy="interleave_under", interleave_probs=(0.5, 0.5))
     assert 3 <= train <= 10 and texts == train
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_scans_go_over_ranges(spark, parts):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.uniform(-1, 1), rng.choice([None, rng.uniform(-2, 2)])) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, i int, f double, x double").repartition(3)
+    got = {r["i"]: r["s"] for r in mixing.linear_scan(df, [F.col("i")], F.col("f"), F.col("x"), "s", ["g"], parts).collect()}
+    last = {}
+    for g, i, f, x in rows:
+        last[g] = f * last.get(g, 0.0) + (x or 0.0)
+        assert got[i] == pytest.approx(last[g], abs=1e-12)
+    assert len(got) == 500 and mixing.linear_scan(df.limit(0), [F.col("i")], F.col("f"), F.col("x"), "s", ["g"]).count() == 0
+
+
+def test_averages_of_long_series(spark):
+    xs = [math.sin(i) + i % 3 for i in range(900)]
+    df = spark.createDataFrame([(i, x, "r") for i, x in enumerate(xs)], "i int, x double, run string").repartition(4)
+    w = 1.8 * (1 / (1 + math.exp(-0.05 * 900)) - 0.5)
+    for group in (None, "run"):
+        got = [r["smoothed"] for r in metrics.smoothed_rows(df, "x", ["i"], group).orderBy("i").collect()]
+        last = xs[0]
+        for x, y in zip(xs, got):
+            last = w * last + (1 - w) * x
+            assert y == pytest.approx(last, abs=1e-9)
