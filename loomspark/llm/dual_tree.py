@@ -10,8 +10,9 @@ exceeds
     min(c_q . c_r + rho_q |c_r| + rho_r |c_q| + rho_q rho_r, longest_q longest_r),
 
 so the pair is pruned when that is below the worst kth score of the query node's queries.
-Trees are built over blocks of queries and of rows that meet in tasks (see ``vectors``), and the
-exact results of all blocks are merged.
+Trees are built over blocks of queries and of rows that meet in tasks. Cells of rows have the same
+bound, and a query meets only the cells that can improve on what its first cell gave (see
+``vectors``). The exact results of all blocks are merged.
 
 Defined cases: rows without id, vectors null, of another length or with null or non-finite
 components take no part; ties go to the smaller id; repeated rows are candidates of their
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import read_table
-from loomspark.llm.vectors import best_of, search_blocks, sound_vectors
+from loomspark.llm.vectors import search_blocks, sound_vectors
 
 #: Points of a node that stays a leaf unless nine tenths as many centres halve its radius, and
 #: most children of larger nodes.
@@ -143,7 +144,11 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int, **blocks: int)
         row, at = np.nonzero(found.score > found.low)
         return row, found.found[row, at], found.score[row, at]
 
-    return best_of(search_blocks(vectors, queries, search, "long", **blocks), k, F.col("score").desc())
+    def optimistic(queries, pivots, radius, longest):
+        length = np.sqrt((queries**2).sum(axis=1))[:, None]
+        return np.minimum(queries @ pivots.T + length * radius, length * longest)
+
+    return search_blocks(vectors, queries, search, "long", optimistic, k, True, **blocks)
 
 
 def op4_dual_tree_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:

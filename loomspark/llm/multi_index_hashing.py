@@ -2,12 +2,11 @@
 
 Codes are the signs of centred vectors under learned rotations (iterative quantization: a
 rotation is alternately fitted to the signs it gives). A code is split into substrings of
-eight bits, each indexed by a table from its value to the rows that have it. Two codes
+sixteen bits, each indexed by a table from its value to the rows that have it. Two codes
 within Hamming distance ``r`` agree in some substring up to a threshold, where the thresholds
 add up to ``r`` less the number of substrings plus one (pigeonhole); probing all values
 within the thresholds therefore retrieves every code within the radius, whose rows are then
-ranked by their true distance. Where that many values are within the thresholds that the rows
-they list outnumber the block, comparing all codes gives the same rows at less cost.
+ranked by their true distance. A code is read once a query, however many substrings list it.
 
 A query's radius follows its own neighbours: it starts small, grows until ``k`` rows are found,
 and ends at the radius that, on the sample, holds ``REACH`` of the pairs as near as the
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import read_table, unit_hash
-from loomspark.llm.vectors import best_of, search_blocks, sound_vectors
+from loomspark.llm.vectors import search_blocks, sound_vectors
 
 #: Bound of the sample that rotations and radius are fitted on.
 SAMPLE_ROWS = 4096
@@ -35,11 +34,12 @@ ROTATIONS = 2
 #: Part of the sample's pairs of a distance that the radius for it has to hold.
 REACH = 0.95
 BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-DISTANCE = BITS[np.arange(256)[:, None] ^ np.arange(256)[None]]
+#: The same for substrings.
+SUBSTRING_BITS = BITS[np.arange(1 << 16) & 255] + BITS[np.arange(1 << 16) >> 8]
 
 
 class Hasher:
-    """Centre and rotations; codes are packed eight bits a byte."""
+    """Centre and rotations; codes are packed eight bits a byte, in whole substrings."""
 
     def __init__(self, sample: np.ndarray, k: int, rotations: int = ROTATIONS, steps: int = 30, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -57,7 +57,8 @@ class Hasher:
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         x = x - self.centre
-        return np.packbits(np.concatenate([x @ r >= 0 for r in self.rotations], axis=1), axis=1)
+        packed = np.packbits(np.concatenate([x @ r >= 0 for r in self.rotations], axis=1), axis=1)
+        return np.pad(packed, ((0, 0), (0, packed.shape[1] % 2)))
 
     def _fit_radii(self, sample: np.ndarray, k: int, classes: int = 24) -> tuple[int, np.ndarray, np.ndarray]:
         """A radius to begin with, and upper ends of classes of distances with the radius for each."""
@@ -83,12 +84,13 @@ class Hasher:
 
 
 class CodeIndex:
-    """A table for each byte of the codes: rows in the order of that byte's value."""
+    """A table for each substring of the codes: rows in the order of its value."""
 
     def __init__(self, codes: np.ndarray):
         self.codes, self.probed = codes, 0
-        self.order = [np.argsort(c, kind="stable") for c in codes.T]
-        self.starts = [np.searchsorted(c[o], np.arange(257)) for c, o in zip(codes.T, self.order)]
+        substrings = np.ascontiguousarray(codes).view(np.uint16).T
+        self.order = [np.argsort(c, kind="stable") for c in substrings]
+        self.starts = [np.searchsorted(c[o], np.arange((1 << 16) + 1)) for c, o in zip(substrings, self.order)]
 
     def apart(self, code: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
         """Hamming distances of rows from a code; ``probed`` counts the rows whose codes are read."""
@@ -96,32 +98,35 @@ class CodeIndex:
         self.probed += len(codes)
         return BITS[codes ^ code].sum(axis=1, dtype=np.int64)
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray | None:
-        """All rows within the radius of a code, or None where probing would list every row."""
-        m = len(code)
+    def listed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """The rows that some substring lists within its threshold (a mask): all rows within the
+        radius are among them."""
+        parts = np.ascontiguousarray(code).view(np.uint16)
+        m = len(parts)
         thresholds = np.full(m, (radius - m + 1) // m)
         thresholds[: (radius - m + 1) % m] += 1
-        parts = [(j, np.flatnonzero(DISTANCE[code[j]] <= thresholds[j])) for j in np.flatnonzero(thresholds >= 0)]
-        spans = [(j, self.starts[j][values], self.starts[j][values + 1]) for j, values in parts]
-        if sum(int((ends - begins).sum()) for _, begins, ends in spans) >= len(self.codes):
-            return None
         met = np.zeros(len(self.codes), bool)
-        for j, begins, ends in spans:
-            sizes = ends - begins
+        for j in np.flatnonzero(thresholds >= 0):
+            values = np.flatnonzero(SUBSTRING_BITS[np.arange(1 << 16) ^ parts[j]] <= thresholds[j])
+            begins, sizes = self.starts[j][values], self.starts[j][values + 1] - self.starts[j][values]
             shift = np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
             met[self.order[j][shift + np.arange(len(shift))]] = True
-        rows = np.flatnonzero(met)
-        return rows[self.apart(code, rows) <= radius]
+        return met
+
+    def within(self, code: np.ndarray, radius: int, known: np.ndarray | None = None) -> np.ndarray:
+        """All rows within the radius of a code. ``known`` holds the distances that earlier calls for
+        this code have read (-1 for none), and takes those of this one."""
+        known = np.full(len(self.codes), -1) if known is None else known
+        new = np.flatnonzero(self.listed(code, radius) & (known < 0))
+        known[new] = self.apart(code, new)
+        return np.flatnonzero((known >= 0) & (known <= radius))
 
     def search(self, hasher: Hasher, code: np.ndarray, query: np.ndarray, rows: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows found for a query, among ``others``, and their distances."""
         bits, radius, wanted = 8 * len(code), hasher.start, min(k, int(others.sum()))
-        every = None
+        known = np.full(len(self.codes), -1)
         while True:
-            found = self.within(code, radius) if every is None else None
-            if found is None:
-                every = self.apart(code) if every is None else every
-                found = np.flatnonzero(every <= radius)
+            found = self.within(code, radius, known)
             found = found[others[found]]
             score = np.sqrt(((rows[found] - query) ** 2).sum(axis=1))
             if radius >= bits:
@@ -156,7 +161,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, sample_rows: int = S
             out.append((np.full(len(best), q), row_ids[found[best]], score[best]))
         return tuple(np.concatenate(c) for c in zip(*out))
 
-    return best_of(search_blocks(vectors, queries, search, "double", **blocks), k, F.col("score").asc())
+    def optimistic(queries, pivots, radius, longest):
+        long, other = (queries**2).sum(axis=1)[:, None], (pivots**2).sum(axis=1)
+        # What rounding can take from a difference of squares is left out of the distance.
+        away = np.sqrt(np.maximum(long + other - 2 * (queries @ pivots.T), 0.0)) - 1e-7 * np.sqrt(long + other)
+        return -np.maximum(away - radius, 0.0)
+
+    return search_blocks(vectors, queries, search, "double", optimistic, k, False, **blocks)
 
 
 def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:

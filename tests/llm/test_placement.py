@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.llm import dual_tree, multi_index_hashing, registry, sharding
-from loomspark.llm.vectors import sound_vectors
+from loomspark.llm.vectors import search_blocks, sound_vectors
 
 
 def check_shards(rows, texts, shards, spread):
@@ -217,6 +217,43 @@ def test_probing_is_selective_where_vectors_are_clustered():
     assert hits >= 0.95 * 10 * len(queries) and index.probed <= 0.25 * len(x) * len(queries)
 
 
+def test_queries_meet_only_cells_that_can_improve(spark):
+    rng = np.random.default_rng(9)
+    x = clustered(rng, clusters=30, each=100, d=16)
+    order = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), x[j].tolist()) for i, j in enumerate(order)], "vec_id long, vec array<double>").repartition(4)
+    pairs = spark.sparkContext.accumulator(0)
+
+    def search(ids, block, row_ids, rows):
+        pairs.add(len(ids) * len(row_ids))
+        score = ((block[:, None, :] - rows[None]) ** 2).sum(axis=2) ** 0.5
+        score[ids[:, None] == row_ids[None]] = np.inf
+        best = np.argsort(score, axis=1, kind="stable")[:, :5]
+        kept = np.isfinite(np.take_along_axis(score, best, axis=1))
+        return np.nonzero(kept)[0], row_ids[best[kept]], np.take_along_axis(score, best, axis=1)[kept]
+
+    def optimistic(queries, pivots, radius, longest):
+        return -np.maximum(np.sqrt(((queries[:, None, :] - pivots[None]) ** 2).sum(axis=2)) - radius, 0.0)
+
+    got = search_blocks(df, df.where("vec_id % 20 = 0"), search, "double", optimistic, 5, False, index_rows=100, query_rows=40).collect()
+    assert pairs.value <= 0.25 * 3000 * 150
+    for q in range(0, 3000, 20):
+        d = ((x[order] - x[order[q]]) ** 2).sum(axis=1) ** 0.5
+        d[q] = np.inf
+        want = np.lexsort((np.arange(3000), d))[:5]
+        assert sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q) == [(i + 1, int(w)) for i, w in enumerate(want)]
+
+
+def test_codes_are_read_once(spark):
+    rng = np.random.default_rng(10)
+    codes = rng.integers(0, 256, (2000, 8)).astype(np.uint8)
+    index, known = multi_index_hashing.CodeIndex(codes), np.full(2000, -1)
+    for radius in (3, 10, 20, 28, 64):
+        want = np.flatnonzero(multi_index_hashing.BITS[codes ^ codes[5]].sum(axis=1) <= radius)
+        assert index.within(codes[5], radius, known).tolist() == want.tolist()
+    assert index.probed == 2000
+
+
 def table_vectors(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
     return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
