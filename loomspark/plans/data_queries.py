@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import IGNORE
-from loomspark.operators import evaluation, metrics, mixing, multimodal, preference, serving, tools
+from loomspark.operators import evaluation, metrics, mixing, multimodal, preference, segmentation, serving, tools
 from loomspark.plans.chat_queries import long
 from loomspark.plans.tables import canonical, chats, table
 from loomspark.sources import builders, readers, sinks
@@ -625,6 +625,23 @@ def agg_rouge_bleu(spark, sf_dir):
     return rows.select("conv_id", "turn", metrics.similarity_scores(F.col("text"), F.col("label")).alias("s")).select("conv_id", "turn", "s.*")
 
 
+#: Letters as characters of a script without spaces.
+LETTERS = ("abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x4E1A))))
+
+
+def agg_rouge_segmented(spark, sf_dir):
+    """The same over texts without spaces, in characters that stand for letters: a dictionary of the
+    words of documents cuts them."""
+    unspaced = lambda c: F.regexp_replace(F.translate(F.lower(c), *LETTERS), f"[^{LETTERS[1][0]}-{LETTERS[1][-1]}]", "")
+    words = docs(spark, sf_dir).select(F.explode(F.split("text", r"\s+")).alias("word")).select(unspaced(F.col("word")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    model = segmentation.train_segmenter(words)
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", before.alias("label")).where("label is not null")
+    rows = segmentation.segmented(segmentation.segmented(rows.select("conv_id", "turn", unspaced(F.col("text")).alias("a"), unspaced(F.col("label")).alias("b")), model, "a", "x"), model, "b", "y")
+    joined = lambda c: F.array_join(c, " ")
+    return rows.select("conv_id", "turn", metrics.similarity_scores(joined("x"), joined("y")).alias("s")).select("conv_id", "turn", "s.rouge_1", "s.rouge_2", "s.rouge_l")
+
+
 def agg_rouge_bleu_parts(spark, sf_dir):
     """The scores that SQL can repeat: all but the longest common subsequence."""
     return agg_rouge_bleu(spark, sf_dir).drop("rouge_l")
@@ -695,14 +712,17 @@ SNK_PREDICTIONS_BATCH = "SELECT vec_id, CAST(len(embedding) - (len(embedding) +
 
 
 def flt_catalog_ranking(spark, sf_dir):
-    """A registry of the test tables, filtered to what preference tuning can use."""
+    """A registry of the sources of labelled documents, filtered to what preference tuning can use:
+    those with documents of both qualities."""
     from loomspark.sources.catalog import catalog_table, usable_datasets
 
-    registry = {n: {"file_name": f"{n}.parquet", "formatting": "sharegpt" if n == "conversations" else "alpaca", "ranking": n in ("labels", "conversations")} for n in ("documents", "labels", "conversations", "benchmark")}
+    labelled = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").groupBy("source").agg(F.countDistinct("quality").alias("kinds")).where("source is not null").collect()
+    registry = {r["source"]: {"file_name": f"{r['source']}.parquet", "formatting": "sharegpt" if len(r["source"]) % 2 else "alpaca", "ranking": r["kinds"] > 1} for r in labelled}
     return usable_datasets(catalog_table(spark, registry), "rm").select("dataset", "formatting", "location")
 
 
-FLT_CATALOG_RANKING = "SELECT * FROM (VALUES ('conversations', 'sharegpt', 'conversations.parquet'), ('labels', 'alpaca', 'labels.parquet')) t(dataset, formatting, location)"
+FLT_CATALOG_RANKING = """SELECT source AS dataset, CASE WHEN length(source) % 2 = 1 THEN 'sharegpt' ELSE 'alpaca' END AS formatting, source || '.parquet' AS location
+FROM documents JOIN labels USING (doc_id) WHERE source IS NOT NULL GROUP BY source HAVING count(DISTINCT quality) > 1"""
 
 
 def agg_kto_log(spark, sf_dir):
@@ -771,7 +791,7 @@ QUERIES = (
     "smp_num_samples smp_num_samples_over smp_max_samples smp_page smp_train_order smp_fewshot mix_concat mix_interleave_under mix_interleave_over mix_interleave_probs "
     "spl_fraction spl_count agg_len_hist agg_len_cdf agg_lr agg_tps top_argmax_choice agg_tok_acc agg_rm_acc agg_ppl_seq agg_category_acc agg_avg_meter win_ema win_eta "
     "lim_page_log jn_pred_label win_throughput win_sample_5 win_last_token flt_log_loss agg_mfu ls_preference ls_rewards ls_batch_logps ls_ppo_trim snk_predictions_rm snk_predictions_batch mm_resize "
-    "mm_token_counts mm_frame_idx mm_placeholders ev_format api_normalise api_usage api_stream api_resp_len fmt_think_html ex_gpa tool_formats agg_rouge_bleu agg_rouge_bleu_parts "
+    "mm_token_counts mm_frame_idx mm_placeholders ev_format api_normalise api_usage api_stream api_resp_len fmt_think_html ex_gpa tool_formats agg_rouge_bleu agg_rouge_bleu_parts agg_rouge_segmented "
     "src_builder_belle src_builder_hh flt_catalog_ranking agg_kto_log agg_dpo_log mm_plugins st_events_by_window"
 ).split()
 

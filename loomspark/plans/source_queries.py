@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,10 @@ from loomspark.operators import collate, metrics, mixing, multimodal, preference
 from loomspark.operators.align import align
 from loomspark.operators.templates import TEMPLATES
 from loomspark.plans.chat_queries import CHATML, NO_TOOLS, PAIRS, PRC_KTO, PRC_PAIR, PRC_SFT, ids_md5, joined_text, learned, long, turn_masks
-from loomspark.plans.data_queries import SEED, docs, events
+from loomspark.plans.data_queries import L, SEED, docs, events, logps
 from loomspark.plans.prepare import DataOptions, get_dataset
 from loomspark.plans.tables import BATCH, CUTOFF, NL, RANKED, canonical, chats, ids_md5_sql, ids_sql, ranked, rated, sft_sql, table
-from loomspark.sources import readers, sinks
+from loomspark.sources import mirror, readers, sinks
 from loomspark.sources.catalog import DatasetSpec, catalog_table
 from loomspark.streaming import streams
 
@@ -60,19 +61,44 @@ SRC_TEXT = "SELECT source AS text, count(*) AS n FROM documents GROUP BY 1"
 
 
 def src_catalog(spark, sf_dir):
-    """Sources by precedence, formats and ranking flags of registry entries."""
-    registry = {
-        "a": {"file_name": "a.json"},
-        "b": {"script_url": "b", "file_name": "b.json", "formatting": "sharegpt"},
-        "c": {"hf_hub_url": "x/c", "script_url": "c", "ranking": True},
-        "d": {"ms_hub_url": "y/d", "hf_hub_url": "x/d"},
-        "e": {"ms_hub_url": "y/e"},
-    }
-    return catalog_table(spark, registry)
+    """A registry with an entry for each source of documents, of formats and places that its
+    number decides, and how many documents it stands for."""
+    sources = sorted(r[0] or "" for r in docs(spark, sf_dir).select("source").distinct().collect())
+    registry = {}
+    for i, name in enumerate(sources):
+        places = (("file_name", f"{name}.json", True), ("script_url", name, i % 3 > 0), ("ms_hub_url", f"y/{name}", i % 5 == 2), ("hf_hub_url", f"x/{name}", i % 5 > 2))
+        registry[name] = {k: v for k, v, given in places if given} | ({"formatting": "sharegpt"} if i % 2 else {}) | ({"ranking": True} if i % 4 == 1 else {})
+    counts = docs(spark, sf_dir).groupBy(F.coalesce("source", F.lit("")).alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
+    return catalog_table(spark, registry).join(counts, "dataset")
+
+
+SRC_CATALOG = """WITH s AS (SELECT coalesce(source, '') AS dataset, count(*) AS n FROM documents GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY dataset) - 1 AS i FROM s)
+SELECT dataset, CASE WHEN i % 2 = 1 THEN 'sharegpt' ELSE 'alpaca' END AS formatting, i % 4 = 1 AS ranking,
+  CASE WHEN i % 5 > 2 THEN 'huggingface' WHEN i % 5 = 2 THEN 'modelscope' WHEN i % 3 > 0 THEN 'script' ELSE 'file' END AS load_from,
+  CASE WHEN i % 5 > 2 THEN 'x/' || dataset WHEN i % 5 = 2 THEN 'y/' || dataset WHEN i % 3 > 0 THEN dataset ELSE dataset || '.json' END AS location, n FROM i"""
+
+
+def src_hub(spark, sf_dir):
+    """Documents written as a mirror of a repository, a folder a language and a file name a split, and
+    read back by subset and split, from another folder, and as a stream."""
+    path, langs = scratch(spark), ("de", "en")
+    rows = docs(spark, sf_dir).where(F.col("lang").isin(*langs)).select("doc_id", "lang", "text", F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train").alias("split"))
+    rows.write.partitionBy("lang", "split").json(f"{path}/hub/team/texts/data")
+    mirror.register_mirror("modelscope", f"{path}/hub")
+    out = []
+    for lang, split in (("lang=de", "train"), ("lang=en", "test"), ("lang=en", "train+test")):
+        spec = DatasetSpec("team/texts", "modelscope", folder="data", subset=lang, split=split)
+        out.append(readers.read_dataset(spark, spec).select("doc_id", F.md5("text").alias("text_md5"), F.lit(f"{lang} {split}").alias("part")))
+    spec = DatasetSpec("team/texts", "modelscope", folder="data", subset="lang=de", split="test")
+    stream = readers.stream_dataset(spark, spec).select("doc_id", F.md5("text").alias("text_md5"), F.lit("stream").alias("part"))
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return reduce(DataFrame.unionByName, [*out, spark.read.schema(stream.schema).parquet(f"{path}/out")])
 
 
-SRC_CATALOG = """SELECT * FROM (VALUES ('a', 'alpaca', false, 'file', 'a.json'), ('b', 'sharegpt', false, 'script', 'b'), ('c', 'alpaca', true, 'huggingface', 'x/c'),
-  ('d', 'alpaca', false, 'huggingface', 'x/d'), ('e', 'alpaca', false, 'modelscope', 'y/e')) t(dataset, formatting, ranking, load_from, location)"""
+SRC_HUB = """SELECT doc_id, md5(text) AS text_md5, 'lang=de train' AS part FROM documents WHERE lang = 'de' AND doc_id % 4 <> 0
+UNION ALL SELECT doc_id, md5(text), 'lang=en test' FROM documents WHERE lang = 'en' AND doc_id % 4 = 0
+UNION ALL SELECT doc_id, md5(text), 'lang=en train+test' FROM documents WHERE lang = 'en'
+UNION ALL SELECT doc_id, md5(text), 'stream' FROM documents WHERE lang = 'de' AND doc_id % 4 = 0"""
 
 
 def src_preview(spark, sf_dir):
@@ -318,11 +344,21 @@ AGG_PPO_COUNTS = "SELECT CAST(8 AS BIGINT) AS backward_batch, CAST(48 AS BIGINT)
 
 
 def ls_ref_gate(spark, sf_dir):
-    pairs = [(s, k, preference.uses_reference(s, k)) for s in ("dpo", "kto", "sft") for k in ("sigmoid", "orpo", "simpo")]
-    return spark.createDataFrame(pairs, "stage string, loss string, reference boolean")
+    """Preference pairs by the stage and loss that their label decides: a stage that needs no
+    reference gives its pairs without the reference's part."""
+    out = []
+    for i, (stage, loss) in enumerate(REF_GATES):
+        rows = logps(spark, sf_dir).where(F.col("label") % len(REF_GATES) == i)
+        needed = preference.uses_reference(stage, loss)
+        margin = F.col("chosen") - F.col("rejected") - ((F.col("ref_chosen") - F.col("ref_rejected")) if needed else F.lit(0.0))
+        out.append(rows.select("vec_id", F.lit(stage).alias("stage"), F.lit(loss).alias("loss"), F.lit(needed).alias("reference"), F.round(margin, 6).alias("margin")))
+    return reduce(DataFrame.unionByName, out)
 
 
-LS_REF_GATE = "SELECT stage, loss, stage = 'dpo' AND loss = 'sigmoid' AS reference FROM (VALUES ('dpo'), ('kto'), ('sft')) s(stage), (VALUES ('sigmoid'), ('orpo'), ('simpo')) l(loss)"
+REF_GATES = [(s, k) for s in ("dpo", "kto") for k in ("sigmoid", "orpo", "simpo")]
+LS_REF_GATE = f"""WITH s AS (SELECT unnest([{', '.join(f"{{'i': {i}, 'stage': '{s}', 'loss': '{k}'}}" for i, (s, k) in enumerate(REF_GATES))}]) AS g)
+SELECT vec_id, g.stage AS stage, g.loss AS loss, g.stage = 'dpo' AND g.loss = 'sigmoid' AS reference, round(c - r - CASE WHEN g.stage = 'dpo' AND g.loss = 'sigmoid' THEN rc - rr ELSE 0 END, 6) AS margin
+FROM {L} x JOIN s ON x.label % {len(REF_GATES)} = g.i"""
 
 
 def api_scores(spark, sf_dir):
@@ -433,7 +469,7 @@ UNION ALL SELECT 'chance', doc_id, CAST(d.i AS BIGINT), CAST(k AS BIGINT) FROM q
 
 
 QUERIES = (
-    "src_json src_csv src_text src_catalog src_preview snk_tokenized snk_predictions_sft snk_ppl src_trainer_log prj_alp_history prj_alp_pair prj_sg_kto prc_dispatch "
+    "src_json src_csv src_text src_catalog src_hub src_preview snk_tokenized snk_predictions_sft snk_ppl src_trainer_log prj_alp_history prj_alp_pair prj_sg_kto prc_dispatch "
     "tool_descriptions flt_tool_schema prc_sft_eos flt_pack_len col_kto col_ppl_pair col_4d_switch mm_prepend agg_score_dump agg_ppl_loss agg_ppo_counts ls_ref_gate "
     "api_scores mix_single spl_none st_take st_shuffle st_concat st_interleave"
 ).split()

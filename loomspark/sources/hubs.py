@@ -13,9 +13,24 @@ _READERS: dict[str, Callable[[SparkSession, DatasetSpec], DataFrame]] = {}
 _SCRIPTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def register_hub(name: str, reader: Callable[[SparkSession, DatasetSpec], DataFrame]) -> None:
-    """Install a client for a hub; none is built in, since reading one takes its own library."""
+_STREAMS: dict[str, Callable[[SparkSession, DatasetSpec, int], DataFrame]] = {}
+
+
+def register_hub(name: str, reader: Callable[[SparkSession, DatasetSpec], DataFrame], stream: Callable[[SparkSession, DatasetSpec, int], DataFrame] | None = None) -> None:
+    """Install what reads a hub's datasets, and what streams them (with so many files a batch).
+
+    ``mirror.register_mirror`` does so for a folder of repositories; clients that go to the network
+    take their own libraries.
+    """
     _READERS[name] = reader
+    if stream is not None:
+        _STREAMS[name] = stream
+
+
+def stream_hub(spark: SparkSession, spec: DatasetSpec, files_per_batch: int = 1) -> DataFrame:
+    if spec.load_from not in _STREAMS:
+        raise ValueError(f"No stream is registered for the {spec.load_from} hub, which {spec.name} needs.")
+    return _STREAMS[spec.load_from](spark, spec, files_per_batch)
 
 
 def read_hub(spark: SparkSession, spec: DatasetSpec) -> DataFrame:

@@ -57,6 +57,11 @@ def read_files(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     """A dataset of one file, or of a folder of files of one type; text has one row a line."""
     files = list_files(spark, path)
     kind = format_of(files)
+    return read_as(spark, files, kind, schema)
+
+
+def read_as(spark: SparkSession, files: list[str], kind: str, schema: str | None = None) -> DataFrame:
+    """Files of one of FORMATS."""
     reader = spark.read.schema(schema) if schema else spark.read
     if kind == "json":
         return reader.option("multiLine", is_json_list(spark, files[0])).json(files)
@@ -71,8 +76,10 @@ def read_files(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 def stream_dataset(spark: SparkSession, spec: DatasetSpec, folder: str = "", files_per_batch: int = 1) -> DataFrame:
     """The raw rows of a file spec as a stream, file by file, in the schema its files have now."""
+    if spec.load_from in hubs.HUBS:
+        return hubs.stream_hub(spark, spec, files_per_batch)
     if spec.load_from != "file":
-        raise ValueError("Only datasets of files can be streamed.")
+        raise ValueError("Only datasets of files and hubs can be streamed.")
     path = os.path.join(folder, spec.name) if folder else spec.name
     files = list_files(spark, path)
     kind = format_of(files)

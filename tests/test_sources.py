@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.operators import evaluation
 from loomspark.operators.align import align
 from loomspark.plans.prepare import DataOptions, get_dataset, unmerged
-from loomspark.sources import builders, hubs, media, readers, sinks
+from loomspark.sources import builders, hubs, media, mirror, readers, sinks
 from loomspark.sources.catalog import DatasetSpec, catalog_table, usable_datasets
 from loomspark.streaming import streams
 
@@ -336,3 +336,36 @@ def test_sizes_follow_the_media_of_a_row(spark):
     out = {r["rid"]: r for r in media.with_sizes(rows, info, "rid").collect()}
     assert [x and x["width"] for x in out[1]["_image_sizes"]] == [4, None, 4] and out[2]["_image_sizes"] is None and out[1]["_video_sizes"] is None
     assert out[3]["_video_sizes"][0]["frames"] == 9 and out[3]["_audio_sizes"] is None and len(out[3]["_image_sizes"]) == 1
+
+
+def test_shards_follow_names():
+    files = [f"/r/{n}" for n in ("data/train-00000-of-00002.parquet", "data/train-00001-of-00002.parquet", "data/validation-0.parquet", "en/test/part.parquet", "de_dev.parquet", "readings/a.parquet")]
+    find = lambda **k: [f[3:] for f in mirror.shards(files, "/r", DatasetSpec("x", "huggingface", **k))]
+    assert find() == ["data/train-00000-of-00002.parquet", "data/train-00001-of-00002.parquet"]
+    assert find(folder="data", split="validation") == ["data/validation-0.parquet"] and find(subset="en", split="test") == ["en/test/part.parquet"]
+    assert find(subset="de", split="validation") == ["de_dev.parquet"] and find(folder="readings") == ["readings/a.parquet"]
+    assert find(folder="data", split="train+validation") == ["data/train-00000-of-00002.parquet", "data/train-00001-of-00002.parquet", "data/validation-0.parquet"]
+    for odd in ({"subset": "fr"}, {"split": "test", "folder": "data"}, {"folder": "none"}):
+        with pytest.raises(ValueError, match="no files"):
+            find(**odd)
+
+
+def test_mirrors_are_read_and_streamed(spark, tmp_path):
+    base = tmp_path / "hub" / "who" / "what"
+    (base / "sub").mkdir(parents=True)
+    (base / "sub" / "train-0.json").write_text('[{"a": 1}, {"a": 2}]')
+    (base / "sub" / "train-1.jsonl").write_text('{"a": 3, "b": "x"}\n')
+    (base / "test.csv").write_text("a,b\n4,y\n")
+    (base / ".hidden.json").write_text("{}")
+    (base / "dataset_info.json.txt").write_text("note")
+    spec = DatasetSpec("who/what", "openmind", subset="sub")
+    assert sorted((r["a"], r["b"]) for r in mirror.read_mirror(spark, str(tmp_path / "hub"), spec).collect()) == [(1, None), (2, None), (3, "x")]
+    mirror.register_mirror("openmind", str(tmp_path / "hub"))
+    assert readers.read_dataset(spark, DatasetSpec("who/what", "openmind", split="test")).first()["b"] == "y"
+    stream = readers.stream_dataset(spark, DatasetSpec("who/what", "openmind", split="test"))
+    stream.writeStream.format("memory").queryName("mirrored").trigger(availableNow=True).start().awaitTermination()
+    assert [r["b"] for r in spark.table("mirrored").collect()] == ["y"]
+    with pytest.raises(ValueError):
+        mirror.read_mirror(spark, str(tmp_path / "hub"), DatasetSpec("no/such", "openmind"))
+    with pytest.raises(ValueError):
+        mirror.register_mirror("elsewhere", str(tmp_path))
