@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 
@@ -25,6 +26,27 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: dict[str, object] = {}
+
+
+def remove_at_end(spark: SparkSession, path: str) -> str:
+    """``path``, which is removed when Python ends, on whatever file system it is."""
+    if not _MADE:
+        atexit.register(remove_made)
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _MADE[path] = (found, found.getFileSystem(spark._jsc.hadoopConfiguration()))
+    return path
+
+
+def remove_made() -> None:
+    """Remove what ``remove_at_end`` was told; tables that still read it must not be asked any more."""
+    while _MADE:
+        _, (place, system) = _MADE.popitem()
+        # The JVM may have gone first; a folder that stays is the caller's to clear.
+        with contextlib.suppress(Exception):
+            system.delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there."""
     context = df.sparkSession.sparkContext

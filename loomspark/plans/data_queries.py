@@ -774,12 +774,12 @@ def st_events_by_window(spark, sf_dir):
     """The events as a stream: counts by hour and kind, once all of it has been read."""
     from uuid import uuid4
 
-    from loomspark.functions.lineage import shared_folder
+    from loomspark.functions.lineage import remove_at_end, shared_folder
     from loomspark.streaming.streams import events_by_window, keep_latest
 
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = f"{shared_folder(spark)}/events-{uuid4().hex}"
+    folder = remove_at_end(spark, f"{shared_folder(spark)}/events-{uuid4().hex}")
     keep_latest(events_by_window(stream), f"{folder}/table", f"{folder}/checkpoint", seconds=None).awaitTermination()
     return spark.read.parquet(f"{folder}/table").select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", long(F.col("n"), "n"), F.round("total", 3).alias("total"))
 

@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions.lineage import shared_folder
+from loomspark.functions.lineage import remove_at_end, shared_folder
 from loomspark.functions.text import EOS_ID, PAD_ID
 from loomspark.operators import collate, metrics, mixing, multimodal, preference, serving, stages, tools
 from loomspark.operators.align import align
@@ -23,8 +23,8 @@ from loomspark.streaming import streams
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/query-{uuid4().hex}"
+    """A new path in the shared folder, which goes when Python ends."""
+    return remove_at_end(spark, f"{shared_folder(spark)}/query-{uuid4().hex}")
 
 
 # Formats of files, read back by their specs.
