@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.functions.lineage import remove_at_end
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,9 +54,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table of its own in the shared folder and read it again.
 
-    The folder is the caller's to keep or clear: rows may be asked for until the session ends.
+    Rows may be asked for until Python ends, which removes the table.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = remove_at_end(df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -64,7 +66,7 @@ def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
     joined by the column then needs no exchange on this side."""
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table, path = f"{name}_{uuid.uuid4().hex}", f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    table, path = f"{name}_{uuid.uuid4().hex}", remove_at_end(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
     df.write.bucketBy(buckets, column).options(path=path, compression="zstd").saveAsTable(table)
     found = spark.table(table)
     # Only the name goes: the table is external, and ``found`` knows its files and buckets.
