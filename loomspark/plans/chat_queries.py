@@ -435,6 +435,22 @@ def pk_neat(spark: SparkSession, sf_dir: str) -> DataFrame:
 PK_NEAT = f"SELECT conv_id, n_input, {ids_md5_sql('ids')} AS ids_md5, {ids_md5_sql('labels')} AS labels_md5 FROM ({sft_sql()})"
 
 
+def pk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows each block holds, in their order: the packing plan itself."""
+    blocks = pk_blocks(spark, sf_dir, True)
+    return blocks.select("batch_id", "block", F.posexplode("rows").alias("position", "conv_id")).select("batch_id", long(F.col("block"), "block"), long(F.col("position"), "position"), "conv_id")
+
+
+#: One row a step: the largest row that fits the open block (the last of equals), else a new block.
+PK_PLAN = f"""WITH RECURSIVE a AS ({sft_sql()}),
+s AS (SELECT conv_id // {BATCH} AS batch_id, list({{'n': n_input, 'id': conv_id}}) AS rest FROM a WHERE n_input <= {CUTOFF} GROUP BY 1),
+p AS (SELECT batch_id, rest, CAST(0 AS BIGINT) AS room, CAST(-1 AS BIGINT) AS block, CAST(0 AS BIGINT) AS position, CAST(NULL AS STRUCT(n BIGINT, id BIGINT)) AS taken FROM s
+  UNION ALL SELECT batch_id, list_filter(rest, lambda x: x.id <> c.id), CASE WHEN c.n <= room THEN room ELSE {CUTOFF} END - c.n, CASE WHEN c.n <= room THEN block ELSE block + 1 END,
+    CASE WHEN c.n <= room THEN position + 1 ELSE 0 END, c
+  FROM (SELECT *, coalesce(list_max(list_filter(rest, lambda x: x.n <= room)), list_max(rest)) AS c FROM p WHERE len(rest) > 0))
+SELECT batch_id, block, position, taken.id AS conv_id FROM p WHERE taken IS NOT NULL"""
+
+
 def turn_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mask of segment numbers, one segment a turn: a place for every 16 characters."""
     rows = chats(spark, sf_dir)
@@ -505,6 +521,7 @@ def queries() -> dict:
         "col_pair": col_pair,
         "pk_sft": pk_sft,
         "pk_neat": pk_neat,
+        "pk_plan": pk_plan,
         "pk_seqlens": pk_seqlens,
         "pk_unpad": pk_unpad,
         "col_mask4d": col_mask4d,
