@@ -104,13 +104,15 @@ def ranked(rows: DataFrame, part: str) -> DataFrame:
 def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = LEAST_DOCUMENTS, ranks: int = TERM_RANKS) -> DataFrame:
     """(lang, source, part, item, value, rank): distances to the other sources of the language
     (part ``pair``) and the terms that a source has above its language (part ``term``)."""
-    counts = cut_lineage(counted(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])))
-    terms = counts.where("term <> ''")
-    kept = terms.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs")
-    postings = cut_lineage(terms.drop("docs").join(kept, ["lang", "term"]))
+    counts = counted(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))]))
+    # A window holds one row a source; rare terms, which are most of them, are dropped before anything is written.
+    whole = Window.partitionBy("lang", "term")
+    rated = counts.withColumns({"lang_n": F.sum("n").over(whole), "lang_docs": F.sum("docs").over(whole)})
+    held = cut_lineage(rated.where((F.col("term") == "") | (F.col("lang_docs") >= least)).drop("docs", "lang_docs"))
+    postings = held.where("term <> ''")
     langs = postings.dropDuplicates(["lang", "term"]).groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     sizes = postings.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = counts.where("term = ''").select("lang", "source").join(langs, "lang", "left").join(sizes, ["lang", "source"], "left")
+    groups = held.where("term = ''").select("lang", "source").join(langs, "lang", "left").join(sizes, ["lang", "source"], "left")
     groups = cut_lineage(groups.select("lang", "source", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("lang_total", F.lit(0)).alias("lang_total")).withColumn("zero", share("0", "total")))
     shares = cut_lineage(postings.join(groups, ["lang", "source"]).select("lang", "source", "term", share("n", "total").alias("p"), share("lang_n", "lang_total").alias("q"), "zero"))
 
