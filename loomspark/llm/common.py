@@ -85,6 +85,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return what allocators keep of freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def frugal(work: Callable) -> Callable:
     """A partition function that gives freed memory back to the system when it ends.
 
@@ -95,9 +102,7 @@ def frugal(work: Callable) -> Callable:
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return run
 

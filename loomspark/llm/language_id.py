@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspark.llm.bpe_automaton import rows_in_slices
-from loomspark.llm.common import frugal, free_names, read_table, small_batches, unit_hash
+from loomspark.llm.common import frugal, free_names, give_back, read_table, small_batches, unit_hash
 
 WINDOW = 256
 CLASSES = 64
@@ -243,9 +243,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     )
     sample = sorted((r["id"], r["__lang"], r["window"]) for r in taken.collect())
     sample = [s for s in sample if s[2].strip()]
-    if other and sample:
-        return train_with_other([s[2] for s in sample], [s[1] for s in sample])
-    return train([s[2].encode() for s in sample], [s[1] for s in sample]) if sample else None
+    if not sample:
+        return None
+    windows, names = [s[2] for s in sample], [s[1] for s in sample]
+    model = train_with_other(windows, names) if other else train([w.encode() for w in windows], names)
+    # The driver goes on for long; what training took should not stay with it.
+    give_back()
+    return model
 
 
 def predict(df: DataFrame, model: ByteCnn | None, text: str = "text", keep: list[str] | None = None, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:

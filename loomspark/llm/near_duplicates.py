@@ -54,6 +54,8 @@ SMALL_BUCKET = 8
 COUNT_BITS, BLOCK_ROWS = 18, 1000
 #: Up to so many ids (8 bytes each) a set of documents is broadcast; beyond, it is joined.
 BROADCAST_IDS = 1_000_000
+#: Up to so many edges, both ways, components are found in so many partitions, with labels broadcast.
+FEW_EDGES, FEW_PARTITIONS = 200_000, 8
 
 _MARKS = re.compile(r"\W+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -254,19 +256,25 @@ def crossing_pairs(open_members: DataFrame, similarity: float, block_rows: int =
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and the smallest node of its component, by label spreading with shortcuts."""
+    """node and the smallest node of its component, by label spreading with shortcuts.
+
+    A round is one aggregation. Few edges take few tasks, however many partitions a shuffle has: the
+    driver keeps a record of every task, and there are rounds for each of several tables of links.
+    """
     both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
+    few = both.count() <= FEW_EDGES
+    gathered = lambda df: df.coalesce(FEW_PARTITIONS) if few else df
+    both = gathered(both)
+    labels = cut_lineage(gathered(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"))))
     while True:
-        labels = cut_lineage(labels)
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        known = F.broadcast(labels) if few else labels
+        told = both.join(known.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.col("label").alias("new"), F.lit(None).alias("label"))
         # A label is itself a node, whose own label is at most as large.
-        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        moved = labels.join(near, "node").join(far, "label").select("node", "label", F.least("label", "near", "far").alias("new"))
-        moved = cut_lineage(moved)
+        far = labels.join(known.select(F.col("node").alias("label"), F.col("label").alias("new")), "label").select("node", "new", "label")
+        moved = cut_lineage(gathered(told.union(far).groupBy("node").agg(F.max("label").alias("label"), F.min("new").alias("new"))))
+        labels = moved.select("node", F.col("new").alias("label"))
         if moved.where("new < label").isEmpty():
             return labels
-        labels = moved.select("node", F.col("new").alias("label"))
 
 
 def unconnected(pairs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -314,6 +314,33 @@ def test_near_duplicates_with_text_ids(spark):
     assert {r["doc_id"] for r in near_duplicates.keep_one(df).collect()} == {"a", "x-9", None, "z"}
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_take_few_tasks(spark, monkeypatch, few):
+    monkeypatch.setattr(near_duplicates, "FEW_EDGES", few)
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 130)] + [(200, i) for i in range(201, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    want = {x: x for e in edges for x in e}
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    context, group = spark.sparkContext, f"components {few}"
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        context.setJobGroup(group, group)
+        got = {r["node"]: r["label"] for r in near_duplicates.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == want
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(x.numTasks for x in map(tracker.getStageInfo, stages) if x)
+    assert tasks < (1000 if few else 100_000)
+
+
 def test_near_duplicate_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (5, None)], "doc_id long, text string")
     rows = sorted((r["doc_id"] or -1, r["class_id"] or -1) for r in near_duplicates.near_duplicate_classes(df).collect())
