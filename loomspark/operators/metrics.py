@@ -217,7 +217,7 @@ def overlap_f(hits: int, said: int, wanted: int) -> float:
 
 def rouge_n(said: list[str], wanted: list[str], n: int) -> float:
     """F score of distinct n-grams."""
-    a, b = set(ngrams(said, n)), set(ngrams(wanted, n))
+    a, b = (set(zip(*(words[i:] for i in range(n)))) for words in (said, wanted))
     return overlap_f(len(a & b), len(a), len(b))
 
 
@@ -258,20 +258,22 @@ def bleu4(said: str, wanted: str) -> float:
     return brevity * math.exp(total)
 
 
-def similarity_scores(predicted: Column, label: Column, segment=str.split) -> Column:
+def similarity_scores(predicted: Column, label: Column, segment=str.split, bleu: bool = True) -> Column:
     """ROUGE-1, -2, -L (F, of segmented words) and BLEU-4, in percent to four places.
 
-    ``segment`` splits a text into words; an empty side scores 0.
+    ``segment`` splits a text into words; an empty side scores 0. Without ``bleu`` only the ROUGE
+    scores are computed and returned.
     """
+    names = ["rouge_1", "rouge_2", "rouge_l"] + ["bleu_4"] * bleu
 
-    @pandas_udf("struct<rouge_1:double,rouge_2:double,rouge_l:double,bleu_4:double>")
+    @pandas_udf(f"struct<{','.join(f'{n}:double' for n in names)}>")
     def score(said: pd.Series, wanted: pd.Series) -> pd.DataFrame:
         out = []
         for a, b in zip(said.fillna(""), wanted.fillna("")):
             x, y = list(segment(a)), list(segment(b))
             rouge = (rouge_n(x, y, 1), rouge_n(x, y, 2), rouge_l(x, y)) if x and y else (0.0, 0.0, 0.0)
-            out.append([round(v * 100, 4) for v in (*rouge, bleu4(a, b))])
-        return pd.DataFrame(out, columns=["rouge_1", "rouge_2", "rouge_l", "bleu_4"])
+            out.append([round(v * 100, 4) for v in (*rouge, *([bleu4(a, b)] if bleu else []))])
+        return pd.DataFrame(out, columns=names)
 
     return score(predicted, label)
 

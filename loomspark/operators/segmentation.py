@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from loomspark.functions.lineage import cut_lineage
+
 #: Scripts without spaces: Han, kana, Thai, Lao, Khmer, Myanmar.
 UNSPACED = "฀-໿က-႟ក-៿々-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 PARTS = re.compile(f"([{UNSPACED}]+)|([^\\W{UNSPACED}]+)|(\\S)")
@@ -45,29 +47,26 @@ class Segmenter:
 
     def __post_init__(self) -> None:
         self.total = math.log(max(1, sum(self.words.values())))
-        # Beginnings of words are in the trie too, so that a walk knows when to end.
-        self.begins = {w[:i] for w in self.words for i in range(1, len(w) + 1)}
+        # Beginnings of words are in the trie too, as None, so that a walk knows when to end.
+        self.chances: dict[str, float | None] = {w[:i]: None for w in self.words for i in range(1, len(w))}
+        self.chances |= {w: math.log(n) - self.total if n else None for w, n in self.words.items()}
 
     def cuts(self, text: str) -> list[str]:
         """The most probable cut into dictionary words and single characters."""
-        n = len(text)
-        best: list[tuple[float, int]] = [(0.0, 0)] * (n + 1)
+        n, chances, alone = len(text), self.chances, -self.total
+        ends, bests = list(range(1, n + 2)), [0.0] * (n + 1)
         for i in range(n - 1, -1, -1):
-            chance, end = -math.inf, i + 1
-            for j in range(i + 1, n + 1):
-                piece = text[i:j]
-                if piece not in self.begins and j > i + 1:
-                    break
-                count = self.words.get(piece, 0)
-                if count or j == i + 1:
-                    found = math.log(count or 1) - self.total + best[j][0]
-                    if found >= chance:
-                        chance, end = found, j
-            best[i] = (chance, end)
+            known = chances.get(text[i], -math.inf)
+            chance, end, j = (alone if known is None or known == -math.inf else known) + bests[i + 1], i + 1, i + 2
+            while j <= n and (known := chances.get(text[i:j], -math.inf)) != -math.inf:
+                if known is not None and (found := known + bests[j]) >= chance:
+                    chance, end = found, j
+                j += 1
+            bests[i], ends[i] = chance, end
         out, at = [], 0
         while at < n:
-            out.append(text[at : best[at][1]])
-            at = best[at][1]
+            out.append(text[at : ends[at]])
+            at = ends[at]
         return out
 
     def unknown(self, text: str) -> list[str]:
@@ -117,7 +116,8 @@ class Segmenter:
 def train_segmenter(words: DataFrame, word: str = "word", n: str = "n", most_words: int = MOST_WORDS, longest: int = LONGEST) -> Segmenter:
     """A segmenter of counted words: the ``most_words`` most frequent ones (up to ``longest``
     characters; of equals the smaller) as its dictionary, all of them for the places in words."""
-    counted = words.where(F.col(word).isNotNull() & (F.length(word) > 0) & (F.col(n) > 0)).groupBy(F.col(word).alias("w")).agg(F.sum(n).alias("n"))
+    # Written once: the texts behind the words are not counted again for each of the tables below.
+    counted = cut_lineage(words.where(F.col(word).isNotNull() & (F.length(word) > 0) & (F.col(n) > 0)).groupBy(F.col(word).alias("w")).agg(F.sum(n).alias("n")))
     short = counted.where(F.length("w") <= longest)
     held = {r["w"]: r["n"] for r in short.orderBy(F.desc("n"), "w").limit(most_words).collect()}
     size = F.length("w")

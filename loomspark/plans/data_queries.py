@@ -633,13 +633,14 @@ def agg_rouge_segmented(spark, sf_dir):
     """The same over texts without spaces, in characters that stand for letters: a dictionary of the
     words of documents cuts them."""
     unspaced = lambda c: F.regexp_replace(F.translate(F.lower(c), *LETTERS), f"[^{LETTERS[1][0]}-{LETTERS[1][-1]}]", "")
-    words = docs(spark, sf_dir).select(F.explode(F.split("text", r"\s+")).alias("word")).select(unspaced(F.col("word")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # Words are counted as they stand; only distinct ones are rewritten.
+    words = docs(spark, sf_dir).select(F.explode(F.split("text", r"\s+")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).select(unspaced(F.col("word")).alias("word"), "n")
     model = segmentation.train_segmenter(words)
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", before.alias("label")).where("label is not null")
-    rows = segmentation.segmented(segmentation.segmented(rows.select("conv_id", "turn", unspaced(F.col("text")).alias("a"), unspaced(F.col("label")).alias("b")), model, "a", "x"), model, "b", "y")
-    joined = lambda c: F.array_join(c, " ")
-    return rows.select("conv_id", "turn", metrics.similarity_scores(joined("x"), joined("y")).alias("s")).select("conv_id", "turn", "s.rouge_1", "s.rouge_2", "s.rouge_l")
+    # Each text is cut once, before it serves as an answer and as the label of the next one.
+    cut = segmentation.segmented(table(spark, sf_dir, "conversations").select("conv_id", "turn", unspaced(F.col("text")).alias("a")), model, "a", "x")
+    said = cut.select("conv_id", "turn", F.array_join("x", " ").alias("x"))
+    rows = said.withColumn("y", F.lag("x").over(Window.partitionBy("conv_id").orderBy("turn"))).where("y is not null")
+    return rows.select("conv_id", "turn", metrics.similarity_scores(F.col("x"), F.col("y"), bleu=False).alias("s")).select("conv_id", "turn", "s.rouge_1", "s.rouge_2", "s.rouge_l")
 
 
 def agg_rouge_bleu_parts(spark, sf_dir):

@@ -75,3 +75,12 @@ def test_scores_use_the_words(spark, model):
     df = spark.createDataFrame([("我们喜欢北京", "我们喜欢北京大学")], "said string, wanted string")
     out = df.select(metrics.similarity_scores(F.col("said"), F.col("wanted"), model.segment).alias("s")).first()["s"]
     assert out["rouge_1"] == pytest.approx(100 * 2 / 3, abs=1e-3) and out["rouge_l"] == pytest.approx(100 * 2 / 3, abs=1e-3) and out["rouge_2"] == pytest.approx(50.0)
+
+
+def test_segmented_scores_cut_each_text_once(spark, data):
+    from loomspark.plans import catalogue
+
+    plan = catalogue.queries()["agg_rouge_segmented"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    # One step cuts, one scores, and nothing is scored that the query doesn't return.
+    assert plan.count("ArrowEvalPython") == 2
+    assert "bleu" not in plan
