@@ -14,8 +14,11 @@ IGNORE = -100
 
 
 def bound(value: Column, make: Callable[[Column], Column]) -> Column:
-    """``make`` of a value that is computed once, however often ``make`` reads it."""
-    return F.transform(F.array(value), make)[0]
+    """``make`` of a value that is computed once, however often ``make`` reads it.
+
+    A fold over nothing: unlike a transformed element, what ``make`` returns is not copied.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, make)
 
 
 def strip(text: Column) -> Column:

@@ -124,22 +124,25 @@ def fold_turns(pairs: Column, cutoff: int, efficient_eos: bool, train_on_prompt:
     none = F.array().cast(INTS)
     front = none if front is None else front
 
-    def source_labels(source: Column) -> Column:
+    def fitting(ids: Column, n: Column) -> Column:
+        return F.when(F.size(ids) > n, F.slice(ids, F.lit(1), n)).otherwise(ids)
+
+    def source_labels(source: Column, n: Column) -> Column:
         if train_on_prompt:
-            return source
+            return fitting(source, n)
         if efficient_eos:
-            return F.when(F.size(source) > 0, F.concat(F.array(F.lit(EOS_ID)), ignored(F.size(source) - 1))).otherwise(none)
-        return ignored(F.size(source))
+            return F.when(n > 0, F.concat(F.array(F.lit(EOS_ID)), ignored(n - 1))).otherwise(none)
+        return ignored(n)
 
-    def cut(pair: Column, i: Column, kept: Column) -> Column:
-        source, target = head(pair["source"], kept[i]["s"]), head(pair["target"], kept[i]["t"])
-        learned = F.when(i == 0, target).otherwise(ignored(F.size(target))) if mask_history else target
-        return F.struct(F.concat(source, target).alias("ids"), F.concat(source_labels(source), learned).alias("labels"))
+    def target_labels(target: Column, n: Column, i: Column) -> Column:
+        return F.when(i == 0, fitting(target, n)).otherwise(ignored(n)) if mask_history else fitting(target, n)
 
     def joined(turns: Column, kept: Column) -> Column:
-        made = F.transform(head(turns, F.size(kept)), lambda p, i: cut(p, i, kept))
-        flat = lambda parts, name: F.flatten(F.transform(F.reverse(parts) if mask_history else parts, lambda x: x[name]))
-        return bound(made, lambda parts: F.struct(F.concat(front, flat(parts, "ids")).alias("ids"), F.concat(ignored(F.size(front)), flat(parts, "labels")).alias("labels")))
+        turns = head(turns, F.size(kept))
+        ids = F.transform(turns, lambda p, i: F.array(fitting(p["source"], kept[i]["s"]), fitting(p["target"], kept[i]["t"])))
+        labels = F.transform(turns, lambda p, i: F.array(source_labels(p["source"], kept[i]["s"]), target_labels(p["target"], kept[i]["t"], i)))
+        flat = lambda first, parts: F.flatten(F.concat(F.array(first), F.flatten(F.reverse(parts) if mask_history else parts)))
+        return F.struct(flat(front, ids).alias("ids"), flat(ignored(F.size(front)), labels).alias("labels"))
 
     used = F.size(front) + int(efficient_eos)
     return bound(F.reverse(pairs) if mask_history else pairs, lambda turns: bound(kept_lengths(turns, cutoff, used), lambda kept: joined(turns, kept)))
@@ -165,9 +168,8 @@ def process_sft(
     rows = ready(df.where(valid_for("sft")), template, tools_date)
     turns = bound(pieces(F.concat("_prompt", "_response"), template, encode), lambda made: F.coalesce(turn_pairs(made), F.array().cast(PAIRS)))
     rows = rows.withColumn("__fold", fold_turns(turns, cutoff, template.efficient_eos, train_on_prompt, mask_history, F.col("__front")))
-    last = F.array(F.lit(EOS_ID)) if template.efficient_eos else F.array().cast(INTS)
-    ids = F.concat(F.col("__fold.ids"), last)
-    return rows.select(*(keep or []), ids.alias("input_ids"), ones(ids).alias("attention_mask"), F.concat(F.col("__fold.labels"), last).alias("labels"), *media_columns())
+    ids, labels = (F.concat(F.col(f"__fold.{c}"), F.array(F.lit(EOS_ID))) if template.efficient_eos else F.col(f"__fold.{c}") for c in ("ids", "labels"))
+    return rows.select(*(keep or []), ids.alias("input_ids"), ones(ids).alias("attention_mask"), labels.alias("labels"), *media_columns())
 
 
 def process_pretrain(df: DataFrame, cutoff: int, keep: list[str] | None = None, encode: Encoder = char_ids, add_bos: bool = False, end_id: int = EOS_ID) -> DataFrame:

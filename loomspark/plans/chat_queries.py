@@ -34,7 +34,7 @@ def ids_md5(column, name):
 
 
 def learned(labels):
-    return F.size(F.filter(labels, lambda x: x != IGNORE))
+    return F.size(F.array_remove(labels, IGNORE))
 
 
 def sft_digests(rows: DataFrame, *keep: str) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.functions.lineage import cut_lineage
 from loomspark.operators import stages, vision
 from loomspark.operators.templates import TEMPLATES
 from loomspark.plans.chat_queries import NO_TOOLS, QWEN_SYSTEM, sft_digests
@@ -16,6 +17,8 @@ from loomspark.sources import media
 
 #: Budget of the stages below: pictures take up to a few thousand tokens.
 BUDGET = 6144
+#: Turns that a task takes through the stage of one plugin, some seconds of work.
+TURNS_A_TASK = 8000
 
 
 def long(c: Column, name: str) -> Column:
@@ -171,7 +174,10 @@ def prc_mm_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing = media.with_info(pictures).select("name", "path", "info.*").dropDuplicates(["path"])
     marked = F.transform("_prompt", lambda m, i: F.when(i == 0, F.struct(m["role"].alias("role"), F.concat(F.lit("<image>"), m["content"]).alias("content"))).otherwise(m))
     rows = chats.withColumns({"_prompt": marked, "_images": F.array(F.concat(F.lit("p"), F.col("conv_id")))})
-    rows = media.with_sizes(rows, listing, "conv_id")
+    # Every plugin starts from these rows. Stages cost far more than the rows' bytes say, so tasks
+    # follow from the turns; put together by bytes they would be too few.
+    tasks = table(spark, sf_dir, "conversations").count() // TURNS_A_TASK + 1
+    rows = cut_lineage(media.with_sizes(rows, listing, "conv_id").repartition(tasks, "conv_id"))
     made = []
     for plugin in PLUGINS:
         token = "[IMG]" if plugin == "pixtral" else "#"
